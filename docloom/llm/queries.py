@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing
+from docloom.llm import mixing, quality, warc
 from docloom.session import table
 
 
+def op2_warc(spark, sf_dir):
+    index, folder = warc.archive(spark, table(spark, sf_dir, "pages"))
+    records = warc.read_records(index, folder, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op7_mixing": op7_mixing}
-ORACLE_SQL = {"op7_mixing": mixing.ORACLE_SQL}
+QUERIES = {"op2_warc": op2_warc, "op5_quality": op5_quality, "op7_mixing": op7_mixing}
+ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
