@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, quality, warc
+from docloom.llm import mixing, quality, suffix_dedup, warc
 from docloom.session import table
 
 
@@ -22,5 +22,9 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_warc": op2_warc, "op5_quality": op5_quality, "op7_mixing": op7_mixing}
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op2_warc": op2_warc, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
