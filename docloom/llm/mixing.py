@@ -63,27 +63,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, se
         .withColumn("size", word_count(F.col("text")))
         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         .withColumn("_bin", F.substring("_h", 1, BIN_HEX))
+        .withColumn("_tie", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     )
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
     plan = targets(bins.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights, share, max_epochs)
     plan = plan.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    # The bin in which the words so far reach the rest of the target.
+    # For each bin the words before it; the bin where they reach the rest of the target is the border.
     run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    ends = bins.withColumn("_end", F.sum("_bin_size").over(run)).withColumnRenamed("source", "_s")
-    border = (
-        ends.join(plan, F.col("_s").eqNullSafe(F.col("source")))
-        .filter(F.col("_end") >= F.col("_rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct("_bin", (F.col("_end") - F.col("_bin_size")).alias("_start"))).alias("_border"))
-        .withColumnRenamed("source", "_b")
-    )
-    plan = plan.join(border, F.col("source").eqNullSafe(F.col("_b")), "left").drop("_b").withColumnRenamed("source", "_s")
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    at_border = F.col("_bin") == F.col("_border._bin")
-    apart = placed.filter(~F.coalesce(at_border, F.lit(False))).withColumn("_extra", F.coalesce(F.col("_bin") < F.col("_border._bin"), F.lit(True)).cast("int"))
-    inside = Window.partitionBy("source").orderBy("_h", F.md5(F.coalesce(F.col("text"), F.lit("")))).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("_border._start") + F.sum("size").over(inside)
+    ends = bins.withColumn("_end", F.sum("_bin_size").over(run)).withColumnsRenamed({"source": "_s", "_bin": "_b"})
+    steps = ends.join(plan, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+    steps = steps.withColumn("_start", F.col("_end") - F.col("_bin_size")).drop("_bin_size")
+    # Joined on (source, bin), a hot source is spread over all its bins.
+    placed = rows.join(steps, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b"))).drop("_s", "_b")
+    at_border = (F.col("_start") < F.col("_rest")) & (F.col("_end") >= F.col("_rest"))
+    apart = placed.filter(~at_border).withColumn("_extra", (F.col("_end") < F.col("_rest")).cast("int"))
+    inside = Window.partitionBy("source").orderBy("_h", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_start") + F.sum("size").over(inside)
     near = placed.filter(at_border).withColumn("_extra", (2 * end - F.col("size") <= 2 * F.col("_rest")).cast("int"))
     both = apart.unionByName(near)
     repeats = F.col("_whole") + F.when(F.col("_rest") > 0, F.col("_extra")).otherwise(F.lit(0))
