@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,6 +66,24 @@ def _forget(spark_ref, path: str) -> None:
         pass
 
 
+def record_batches(rows, names, types, size: int = 4000):
+    """Arrow batches of at most `size` rows from an iterator of tuples; at least one, perhaps empty."""
+    part: list[tuple] = []
+    first = True
+    for r in rows:
+        part.append(r)
+        if len(part) >= size:
+            yield _batch(part, names, types)
+            part, first = [], False
+    if part or first:
+        yield _batch(part, names, types)
+
+
+def _batch(part, names, types) -> pa.RecordBatch:
+    columns = zip(*part) if part else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+
 def byte_groups(texts, limit: int = 2_000_000):
     """Yield (start, end) ranges of consecutive texts of about `limit` characters; a longer text is alone."""
     start = total = 0

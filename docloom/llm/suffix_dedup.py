@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Workspace
+from docloom.llm.common import Workspace, record_batches
 
 LENGTH = 400
 K = 64
@@ -91,43 +91,39 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return np.stack([at[first], windows[first], windows[last]])
 
 
-def suffixes(texts: list[bytes | None]):
-    """(text number, anchor, first window, last window, beginning, block digest) columns for a list of texts."""
-    which, spots, keys, blocks = [], [], [], []
+def suffixes(texts):
+    """For groups of an iterable of texts: (text numbers, anchor / first / last window, beginnings, block digests)."""
     digest = xxhash.xxh3_128_digest
 
-    def take(joined: bytes, number, found, shift):
-        for a, lo, hi in found.T.tolist():
-            keys.append(joined[a : a + 12] + digest(joined[a : a + K])[:12])
-            blocks.append(digest(joined[lo : hi + LENGTH]))
-        which.append(number)
-        spots.append(found - shift)
-
-    i = 0
-    while i < len(texts):
-        group, total = [], 0
-        while i < len(texts) and (not group or total + len(texts[i] or b"") <= _GROUP):
-            group.append(texts[i] or b"")
-            total += len(group[-1])
-            i += 1
-        base = i - len(group)
-        if total > _LONG:  # one long text, in parts that share LENGTH - 1 bytes
-            for at in range(0, total - LENGTH + 1, _LONG):
-                part = group[0][at : at + _LONG + LENGTH - 1]
+    def described(joined: bytes, number, found, shift):
+        at = found.T.tolist()
+        keys = [joined[a : a + 12] + digest(joined[a : a + K])[:12] for a, _, _ in at]
+        return number, found - shift, keys, [digest(joined[lo : hi + LENGTH]) for _, lo, hi in at]
+
+    def winnowed(base: int, group: list[bytes]):
+        joined = group[0] if len(group) == 1 else b"".join(group)
+        if len(joined) > _LONG:  # one long text, in parts that share LENGTH - 1 bytes
+            for at in range(0, len(joined) - LENGTH + 1, _LONG):
+                part = joined[at : at + _LONG + LENGTH - 1]
                 found = _anchors(np.frombuffer(part, np.uint8), np.zeros(1, np.int64), np.array([len(part)]))
-                take(part, np.full(found.shape[1], base), found, -at)
-            continue
-        joined = b"".join(group)
-        ends = np.cumsum([len(t) for t in group])
-        starts = np.concatenate([[0], ends[:-1]])
-        if len(joined) < LENGTH:
-            continue
-        found = _anchors(np.frombuffer(joined, np.uint8), starts, ends)
-        number = np.searchsorted(ends, found[0], side="right")
-        take(joined, number + base, found, starts[number])
-    if not which:
-        return np.zeros(0, np.int64), np.zeros((3, 0), np.int64), [], []
-    return np.concatenate(which), np.concatenate(spots, axis=1), keys, blocks
+                yield described(part, np.full(found.shape[1], base), found, -at)
+        elif len(joined) >= LENGTH:
+            ends = np.cumsum([len(t) for t in group])
+            starts = np.concatenate([[0], ends[:-1]])
+            found = _anchors(np.frombuffer(joined, np.uint8), starts, ends)
+            number = np.searchsorted(ends, found[0], side="right")
+            yield described(joined, number + base, found, starts[number])
+
+    group: list[bytes] = []
+    total = base = 0
+    for i, text in enumerate(texts):
+        if group and total + len(text or b"") > _GROUP:
+            yield from winnowed(base, group)
+            group, total, base = [], 0, i
+        group.append(text or b"")
+        total += len(group[-1])
+    if group:
+        yield from winnowed(base, group)
 
 
 def _row_key():
@@ -140,8 +136,8 @@ def postings(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            which, (a, lo, hi), keys, blocks = suffixes(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(a), pa.array(lo), pa.array(hi), pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())], ["rk", "pos", "lo", "hi", "key", "block"])
+            for which, (a, lo, hi), keys, blocks in suffixes(x.as_py() for x in b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(a), pa.array(lo), pa.array(hi), pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())], ["rk", "pos", "lo", "hi", "key", "block"])
 
     return docs.mapInArrow(run, "rk binary, pos long, lo long, hi long, key binary, block binary")
 
@@ -187,19 +183,22 @@ def _nodes():
 def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The bytes around each representative suffix, as far as its windows may reach."""
     wanted = reps.groupBy("rk").agg(F.collect_list(F.struct("pos", "lo", "hi", "n")).alias("spots"))
-    joined = wanted.join(docs, "rk").select("rk", "body", "spots")
+    joined = wanted.join(docs, "rk").select("rk", "body", "spots").sortWithinPartitions("rk")
 
-    def run(batches):
+    def spots(batches):
+        seen = None
         for b in batches:
-            out, seen = [], set()
-            for rk, body, spots in zip(*(c.to_pylist() for c in b.columns)):
-                for s in spots:
-                    if (rk, s["pos"]) in seen:  # rows equal in id and text have one key
-                        continue
-                    seen.add((rk, s["pos"]))
+            for rk, body, spots in zip(*b.columns):
+                rk, body = rk.as_py(), body.as_py()
+                if rk == seen:  # rows equal in id and text have one key, and come one after the other
+                    continue
+                seen = rk
+                for s in spots.as_py():
                     left = max(0, s["pos"] - _WIDTH + 1)
-                    out.append((rk, s["pos"], s["n"], s["pos"] - s["hi"], s["pos"] - s["lo"], s["pos"] - left, body[left : s["pos"] + LENGTH]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 7, _CONTEXT_TYPES)], _CONTEXT_NAMES)
+                    yield rk, s["pos"], s["n"], s["pos"] - s["hi"], s["pos"] - s["lo"], s["pos"] - left, body[left : s["pos"] + LENGTH]
+
+    def run(batches):
+        yield from record_batches(spots(batches), _CONTEXT_NAMES, _CONTEXT_TYPES)
 
     return joined.mapInArrow(run, "rk binary, pos long, n long, near long, far long, at long, ctx binary")
 
@@ -209,17 +208,18 @@ _CONTEXT_TYPES = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
 
 
 def _node_rows(contexts: DataFrame) -> DataFrame:
-    def run(batches):
+    def nodes(batches):
         digest = xxhash.xxh3_128_digest
         for b in batches:
-            out = []
             for rk, pos, n, near, far, at, ctx in zip(*(c.to_pylist() for c in b.columns)):
                 for j, (d1, d2) in enumerate(_nodes()):
                     if d2 < near or d1 > far or d1 > at or at - d2 + LENGTH > len(ctx):
                         continue
                     whole = digest(ctx[at - d2 : at - d1 + LENGTH]) if d2 <= at and at - d1 + LENGTH <= len(ctx) else None
-                    out.append((rk, pos, n, j, digest(ctx[at - d1 : at - d2 + LENGTH]), whole))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])], ["rk", "pos", "n", "node", "core", "whole"])
+                    yield rk, pos, n, j, digest(ctx[at - d1 : at - d2 + LENGTH]), whole
+
+    def run(batches):
+        yield from record_batches(nodes(batches), ["rk", "pos", "n", "node", "core", "whole"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
 
     return contexts.mapInArrow(run, "rk binary, pos long, n long, node int, core binary, whole binary")
 
@@ -228,16 +228,17 @@ def _window_rows(contexts: DataFrame, live: DataFrame) -> DataFrame:
     lists = live.groupBy("rk", "pos").agg(F.collect_set("node").alias("nodes"))
     joined = contexts.join(lists, ["rk", "pos"]).select(*_CONTEXT_NAMES, "nodes")
 
-    def run(batches):
+    def windows(batches):
         digest, nodes = xxhash.xxh3_128_digest, _nodes()
         for b in batches:
-            out = []
             for rk, pos, n, near, far, at, ctx, js in zip(*(c.to_pylist() for c in b.columns)):
                 for j in js:
                     for d in range(max(near, nodes[j][0]), min(far, nodes[j][1]) + 1):
                         if d <= at and at - d + LENGTH <= len(ctx):
-                            out.append((rk, n, pos - d, digest(ctx[at - d : at - d + LENGTH])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.binary(), pa.int64(), pa.int64(), pa.binary()])], ["rk", "n", "start", "string"])
+                            yield rk, n, pos - d, digest(ctx[at - d : at - d + LENGTH])
+
+    def run(batches):
+        yield from record_batches(windows(batches), ["rk", "n", "start", "string"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
 
     return joined.mapInArrow(run, "rk binary, n long, start long, string binary")
 
@@ -323,14 +324,15 @@ def _with_spans(spark: SparkSession, docs: DataFrame, columns: list[str]) -> Dat
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
 
-    def run(batches):
+    def rows(batches):
         for b in batches:
-            out = []
-            for body, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kept, removed, runs = cut(body, spans)
-                out.append((len(body), removed, runs, hashlib.sha256(kept).hexdigest()))
-            c = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), pa.int64()) for x in c[:3]), pa.array(list(c[3]), pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for doc_id, body, spans in zip(*b.columns):
+                body = body.as_py()
+                kept, removed, runs = cut(body, spans.as_py())
+                yield doc_id.as_py(), len(body), removed, runs, hashlib.sha256(kept).hexdigest()
+
+    def run(batches):
+        yield from record_batches(rows(batches), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [*[pa.int64()] * 4, pa.string()])
 
     return _with_spans(spark, docs, ["doc_id"]).select(F.col("doc_id").cast("long"), "body", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
