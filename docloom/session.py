@@ -1,7 +1,19 @@
 """Session construction for local runs; on a cluster the caller brings its own session."""
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did."""
+    held = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if ROOT not in held.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (held, ROOT) if x)
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     spark = (
@@ -20,4 +32,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
