@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, order_minhash, quality, suffix_dedup, warc
+from docloom.llm import mixing, order_minhash, piece_fst, quality, suffix_dedup, warc
 from docloom.session import table
 
 
@@ -18,6 +18,10 @@ def op3_order_minhash(spark, sf_dir):
     return order_minhash.classes(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return piece_fst.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,5 +34,5 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
