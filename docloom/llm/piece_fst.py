@@ -12,10 +12,11 @@ Three transducers are compiled from a model file and composed with each input.
    the BPE segmentation exactly if all its neighbouring pairs are, and every prefix has exactly
    one such sequence, so after composition one last piece survives at each position.
 
-The shortest path in the tropical semiring (min, +) is found by one sweep over positions. No
+The shortest path in the tropical semiring (min, +) is found by one sweep over positions, and for
+BPE, where all finite costs are 0, by depth-first search with the longest arc first. No
 piece holds a mark after another symbol, and no piece holds an unspelt symbol, so the lattice of
 a text falls apart at these places and its shortest path is that of the parts in a row; parts met
-before are looked up. The pair costs are computed when first needed and kept.
+before are looked up. The same holds before signs that no piece holds after a letter. The pair costs are computed when first needed and kept.
 
 Decoding is the inverse projection: pieces to symbols, byte pieces to bytes, marks to spaces, the
 mark in front dropped; bytes that are not UTF-8 become U+FFFD.
@@ -40,8 +41,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _INF = float("inf")
-KEPT_PARTS = 250_000
-KEPT_PAIRS = 400_000
+KEPT_PARTS = 700_000
+KEPT_PAIRS = 600_000
 
 
 def read_model(path: str) -> dict:
@@ -69,17 +70,21 @@ class Transducer:
             if t == _BYTE:
                 self.byte[int(p[3:5], 16)] = i
         self.symbols = set("".join(self.lexicon))
-        self.longest = max(map(len, self.lexicon))
         self.unspelt = -min(self.scores) + 10.0
         if any(MARK in p.lstrip(MARK) for p in self.lexicon):
             raise ValueError("a piece holds a mark after another symbol")
         # Line ends are cut off as parts of their own where no piece spells them.
         lone = "\n" if "\n" not in self.symbols else ""
         self.part = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
+        # ASCII signs that no piece holds after a letter or digit: a part falls apart before them, too.
+        signs = {chr(c) for c in range(33, 127) if not chr(c).isalnum()}
+        self.tail = "".join(sorted(signs - {b for p in self.lexicon for a, b in zip(p, p[1:]) if a.isalnum()}))
         if self.bpe:  # a piece that its own merges do not make never comes out
             self.lexicon = {p: i for p, i in self.lexicon.items() if len(p) == 1 or self._merge(p) == [p]}
+        # The lexicon as a tree of beginnings: a beginning that is no piece itself holds -1.
+        self.begins = {p[:k]: -1 for p in self.lexicon for k in range(1, len(p))} | self.lexicon
         self.bytes_of = [self._bytes_of(p, t) for p, t in zip(self.pieces, types)]
-        self.pairs: dict[tuple[str, str], float] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _bytes_of(self, piece: str, kind: int) -> bytes:
@@ -89,61 +94,115 @@ class Transducer:
             return b""
         return " ⁇ ".encode() if kind == _UNKNOWN else piece.replace(MARK, " ").encode()
 
-    def _merge(self, text: str) -> list[str]:
-        """Merge neighbours with the best score, leftmost of equals first, while any join is a piece."""
+    def _merge(self, text: str, wall: int = 0) -> list[str] | None:
+        """Merge neighbours with the best score, leftmost of equals first, while any join is a piece.
+
+        With a wall, None as soon as a merge crosses it: the symbol before the wall is then joined to the one after it.
+        """
         parts, lexicon, scores = list(text), self.lexicon, self.scores
-        while len(parts) > 1:
-            best, at = -_INF, -1
-            for i in range(len(parts) - 1):
-                k = lexicon.get(parts[i] + parts[i + 1])
-                if k is not None and scores[k] > best:
-                    best, at = scores[k], i
-            if at < 0:
+        cost = [-_INF if (k := lexicon.get(a + b)) is None else scores[k] for a, b in zip(parts, parts[1:])]
+        while cost:
+            best = max(cost)
+            if best == -_INF:
                 break
+            at = cost.index(best)
+            if wall:
+                if at == wall - 1:
+                    return None
+                if at < wall - 1:
+                    wall -= 1
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del cost[at]
+            if at < len(cost):
+                cost[at] = -_INF if (k := lexicon.get(parts[at] + parts[at + 1])) is None else scores[k]
+            if at:
+                cost[at - 1] = -_INF if (k := lexicon.get(parts[at - 1] + parts[at])) is None else scores[k]
         return parts
 
-    def pair_cost(self, left: str, right: str) -> float:
-        key = (left, right)
-        cost = self.pairs.get(key)
-        if cost is None:
+    def allowed(self, left: int, right: int) -> bool:
+        """Whether the pair costs 0: a merge never crosses the place where the two pieces meet."""
+        key = left << 20 | right
+        got = self.pairs.get(key)
+        if got is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            cost = self.pairs[key] = 0.0 if self._merge(left + right) == [left, right] else _INF
-        return cost
+            a, b = self.pieces[left], self.pieces[right]
+            got = self.pairs[key] = self._merge(a + b, len(a)) == [a, b]
+        return got
+
+    def _arcs(self, part: str, start: int) -> list[tuple[int, int]]:
+        """(end, piece) arcs of the lattice from `start`, shortest first; an unspelt symbol is the piece -1."""
+        out, begins, n = [], self.begins, len(part)
+        end = start + 1
+        while end <= n:
+            i = begins.get(part[start:end])
+            if i is None:
+                break
+            if i >= 0:
+                out.append((end, i))
+            end += 1
+        if not out:
+            out.append((start + 1, -1))
+        return out
+
+    def _bytes(self, symbols: str) -> list[int]:
+        return [self.byte[b] for b in symbols.encode("utf-8", "replace")]
 
     def shortest_path(self, part: str) -> tuple[int, ...]:
-        """The pieces of one part of the lattice: D[e] = min over arcs (s, e) of D[s] + cost."""
+        """The pieces of one part of the lattice."""
+        return self._search(part) if self.bpe else self._sweep(part)
+
+    def _search(self, part: str) -> tuple[int, ...]:
+        """All finite paths of a BPE lattice cost 0, so the first complete one is shortest: depth first, longest arc
+        first. Each position is reached by one path only, so a position without a way on is dead for good."""
         whole = self.lexicon.get(part)
-        if whole is not None and self.bpe:
+        if whole is not None:
             return (whole,)
-        n = len(part)
-        dist, back = [0.0] + [_INF] * n, [None] * (n + 1)  # back: (start, piece or None for byte pieces)
-        lexicon, symbols = self.lexicon, self.symbols
-        for end in range(1, n + 1):
-            if part[end - 1] not in symbols:
-                dist[end], back[end] = dist[end - 1] + self.unspelt, (end - 1, None)
-                continue
-            for start in range(max(0, end - self.longest), end):
-                if dist[start] == _INF:
+        n, pairs, dead = len(part), self.pairs, set()
+        starts, pieces, open_arcs = [0], [], [self._arcs(part, 0)]
+        while True:
+            arcs = open_arcs[-1]
+            last = pieces[-1] if pieces else -1
+            while arcs:
+                end, i = arcs.pop()
+                if end in dead:
                     continue
-                piece = part[start:end]
-                i = lexicon.get(piece)
-                if i is None:
-                    continue
-                if self.bpe:
-                    last = back[start]
-                    cost = 0.0 if last is None or last[1] is None else self.pair_cost(last[1], piece)
-                else:
-                    cost = -self.scores[i]
-                if dist[start] + cost < dist[end]:
-                    dist[end], back[end] = dist[start] + cost, (start, piece)
+                if last >= 0 and i >= 0:
+                    ok = pairs.get(last << 20 | i)
+                    if ok is None:
+                        ok = self.allowed(last, i)
+                    if not ok:
+                        continue
+                pieces.append(i)
+                break
+            else:
+                dead.add(starts.pop())
+                open_arcs.pop()
+                pieces.pop()
+                continue
+            if end == n:
+                break
+            starts.append(end)
+            open_arcs.append(self._arcs(part, end))
+        if min(pieces) >= 0:
+            return tuple(pieces)
+        return tuple(chain.from_iterable([i] if i >= 0 else self._bytes(part[at]) for at, i in zip(starts, pieces)))
+
+    def _sweep(self, part: str) -> tuple[int, ...]:
+        """Unigram lattice, one position after the other: D[end] = min over arcs of D[start] - score."""
+        n = len(part)
+        dist, back = [0.0] + [_INF] * n, [(0, -1)] * (n + 1)
+        for start in range(n):
+            for end, i in [*self._arcs(part, start), (start + 1, -1)]:
+                cost = dist[start] + (self.unspelt if i < 0 else -self.scores[i])
+                if cost < dist[end]:
+                    dist[end], back[end] = cost, (start, i)
         out, at = [], n
         while at:
-            start, piece = back[at]
-            out.extend([lexicon[piece]] if piece is not None else [self.byte[b] for b in reversed(part[start:at].encode("utf-8", "replace"))])
+            start, i = back[at]
+            out.append([i] if i >= 0 else self._bytes(part[start:at]))
             at = start
-        return tuple(reversed(out))
+        return tuple(chain.from_iterable(reversed(out)))
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
@@ -151,7 +210,11 @@ class Transducer:
     def __getitem__(self, part: str) -> tuple[int, ...]:
         got = self.known.get(part)
         if got is None:
-            got = self.shortest_path(part)
+            word = part.rstrip(self.tail)
+            if len(word) < len(part) and word and word[-1].isalnum():
+                got = self[word] + self[part[len(word) :]]
+            else:
+                got = self.shortest_path(part)
             if len(part) <= 64:  # longer parts hardly come again
                 if len(self.known) >= KEPT_PARTS:
                     self.known.clear()
