@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, order_minhash, piece_fst, quality, suffix_dedup, warc
+from docloom.llm import additive_quant, mixing, order_minhash, piece_fst, quality, suffix_dedup, toxicity, warc
 from docloom.session import table
 
 
@@ -26,13 +26,21 @@ def op5_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_additive_quant(spark, sf_dir):
+    return additive_quant.neighbours(spark, table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_additive_quant": op6_additive_quant, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
