@@ -4,19 +4,19 @@ Sketch. A text is its lower-case words. Its shingles are runs of five words, eac
 how often it came before (a repeated shingle counts as often as it stands). For each of `TABLES`
 hash functions the `SIZE` least labelled shingles are taken and put back in text order; their
 sequence is one bucket key. Two texts share a key if they share these shingles and their order,
-so a key speaks for edit similarity and not for a bag of shingles. With few shingles three equal
-least ones are rare even among copies, so texts of up to SHORT shingles also get TABLES keys of
-one shingle each.
+so a key speaks for edit similarity and not for a bag of shingles.
 
 Candidates. Texts with equal words are one class from the start. In each bucket all texts are
 compared with the bucket's least one: one pair per member. Where members then belong to
 different classes, the bucket is looked at again: up to `SMALL` members by all pairs of
-different classes, a larger one after it is dealt out by further keys, compared with the least
-again, and so on for `DEPTH` levels. So no bucket makes more pairs than SMALL/2 per member.
-
-Verification. Each word becomes one character (20 bits of its hash), and Spark's `levenshtein`
-with a limit aligns the two character strings inside a band of the limit's width. Texts are
-linked if at most a fifth of the longer one's words is edited: similarity 0.8 or more.
+different classes, a larger one after it is dealt out by FURTHER further keys, compared with the
+least again, and so on for `DEPTH` levels. So no bucket makes more pairs than SMALL/2 per member.
+
+Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
+0.8 or more. Each word becomes one character (20 bits of its hash). First the two strings are
+aligned at their common unique runs of three words inside the band of the limit; the edits that
+this alignment needs are an upper bound, so a bound within the limit settles the pair. For the
+rest Spark's `levenshtein` with a limit aligns exactly inside bands of growing width.
 Classes are the connected components of the links; an id's class is its least doc_id.
 
 Recall. Copies whose shingles agree in share J meet in a bucket with probability
@@ -45,9 +45,9 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 36
 SIZE = 3
-SHORT = 40
 SMALL = 64
 DEPTH = 3
+FURTHER = 6
 _WORD = re.compile(r"\w+")
 _STEP = 65_536  # shingles hashed at once for one text
 
@@ -98,7 +98,7 @@ def _labelled(w: np.ndarray) -> np.ndarray:
 
 
 def sketch(w: np.ndarray) -> np.ndarray:
-    """TABLES bucket keys of a text given as word hashes, twice as many for a short one."""
+    """TABLES bucket keys of a text given as word hashes."""
     with np.errstate(over="ignore"):
         h = _labelled(w)
         best = np.zeros((TABLES, 0), np.int64)
@@ -107,13 +107,10 @@ def sketch(w: np.ndarray) -> np.ndarray:
             v = _mix((h[spots] ^ _XOR) * _MUL) if at else _mix((h[None, : spots.shape[1]] ^ _XOR) * _MUL)
             take = min(SIZE, v.shape[1])
             best = np.take_along_axis(spots, np.argpartition(v, take - 1, axis=1)[:, :take], axis=1)
-        least = np.take_along_axis(best, np.take_along_axis(v, best, axis=1).argmin(axis=1)[:, None], axis=1) if len(h) <= SHORT else None
         best.sort(axis=1)
         keys = np.arange(TABLES, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for i in range(best.shape[1]):
             keys = _mix(keys * _P + h[best[:, i]])
-        if least is not None:
-            keys = np.concatenate([keys, _mix((np.arange(TABLES, dtype=np.uint64) + np.uint64(TABLES)) * _P + h[least[:, 0]])])
     return keys.view(np.int64)
 
 
@@ -164,10 +161,56 @@ def _verified(work: Workspace, pairs: DataFrame, codes: DataFrame, name: str) ->
     texts = codes.join(work.write(needed, f"needed-{name}"), "digest", "left_semi").groupBy("digest").agg(F.first("code").alias("code"))
     texts = work.write(texts, f"texts-{name}")
     left, right = texts.select(F.col("digest").alias("a"), F.col("code").alias("x")), texts.select(F.col("digest").alias("b"), F.col("code").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded, "a binary, b binary, x string, y string, sure boolean")
+    joined = work.write(joined, f"bounded-{name}")
     limit = "CAST(floor((1 - 0.8BD) * greatest(length(x), length(y))) AS INT)"
-    tight = f"least(24, {limit})"
-    near = f"CASE WHEN levenshtein(x, y, {tight}) >= 0 THEN true ELSE levenshtein(x, y, {limit}) >= 0 END"
-    return work.write(pairs.join(left, "a").join(right, "b").filter(F.expr(near)).select("a", "b"), f"links-{name}")
+    near = " OR ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(32, {limit})", f"least(256, {limit})", limit))
+    work.write(joined.filter("sure").select("a", "b").unionByName(joined.filter("NOT sure").filter(near).select("a", "b")), f"links-{name}")
+    for part in ("bounded", "texts", "needed"):
+        work.drop(f"{part}-{name}")
+    return work.read(f"links-{name}")
+
+
+def _limit(n: int, m: int) -> int:
+    return max(n, m) // 5
+
+
+def edit_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits that suffice to turn a into b: those of an alignment at common unique runs of three words."""
+    n, m, limit = len(a), len(b), _limit(len(a), len(b))
+    if min(n, m) < 3:
+        return max(n, m) if n != m or (a != b).any() else 0
+
+    def unique_runs(w):
+        h = (w[:-2].astype(np.uint64) << np.uint64(42)) ^ (w[1:-1].astype(np.uint64) << np.uint64(21)) ^ w[2:].astype(np.uint64)
+        runs, first, times = np.unique(h, return_index=True, return_counts=True)
+        return runs[times == 1], first[times == 1]
+
+    (ha, pa_), (hb, pb_) = unique_runs(a), unique_runs(b)
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    p, q = pa_[i], pb_[j]
+    inside = np.abs(p - q) <= limit
+    p, q = p[inside], q[inside]
+    order = np.argsort(p)
+    p, q = p[order], q[order]
+    if not len(p):
+        return max(n, m)
+    rising = q > np.concatenate([[-1], np.maximum.accumulate(q)[:-1]])
+    p, q = p[rising], q[rising]
+    dp, dq = np.diff(p), np.diff(q)
+    same = np.minimum(3, np.minimum(dp, dq))
+    return int(max(p[0], q[0]) + np.maximum(dp - same, dq - same).sum() + max(n - p[-1] - 3, m - q[-1] - 3))
+
+
+def _bounded(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, 200):
+            part = b.slice(lo, 200)
+            sure = []
+            for x, y in zip(part.column(2), part.column(3)):
+                v, w = (np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32) for t in (x, y))
+                sure.append(edit_bound(v, w) <= _limit(len(v), len(w)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sure, pa.bool_())], ["a", "b", "x", "y", "sure"])
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -194,8 +237,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         wide = open_rows.filter(F.col("members") > SMALL).select("bucket", "digest", "n")
         deeper = level < DEPTH and wide.limit(1).count() > 0
         if deeper:  # each member of a wide bucket goes to the buckets of its own other keys within it
-            split = wide.join(texts.select("digest", "keys"), "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n")
-            split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n").filter(F.col("bucket").isNotNull())
+            own = F.slice("keys", FURTHER * level + 1, FURTHER)
+            split = wide.join(texts.select("digest", own.alias("keys")), "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n")
+            split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n")
             leaders = work.write(_least(split), f"leaders-{level}")
             members = work.write(split.join(leaders, "bucket").select("bucket", "digest", "n", "leader"), f"members-{level}")
             pairs = pairs.unionByName(_star(members))
