@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import additive_quant, mixing, order_minhash, piece_fst, quality, suffix_dedup, toxicity, warc
+from docloom.llm import additive_quant, html_extract, mixing, order_minhash, piece_fst, quality, suffix_dedup, toxicity, warc
 from docloom.session import table
 
 
+def op1_html_extract(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark, sf_dir):
     index, folder = warc.archive(spark, table(spark, sf_dir, "pages"))
     records = warc.read_records(index, folder, with_payload=False)
@@ -42,5 +46,5 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_additive_quant": op6_additive_quant, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_additive_quant": op6_additive_quant, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup}
 ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
