@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -66,6 +67,12 @@ def _forget(spark_ref, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def record_batches(rows, names, types, size: int = 4000):
     """Arrow batches of at most `size` rows from an iterator of tuples; at least one, perhaps empty."""
     part: list[tuple] = []

@@ -6,11 +6,13 @@ hash functions the `SIZE` least labelled shingles are taken and put back in text
 sequence is one bucket key. Two texts share a key if they share these shingles and their order,
 so a key speaks for edit similarity and not for a bag of shingles.
 
-Candidates. Texts with equal words are one class from the start. In each bucket all texts are
-compared with the bucket's least one: one pair per member. Where members then belong to
-different classes, the bucket is looked at again: up to `SMALL` members by all pairs of
-different classes, a larger one after it is dealt out by FURTHER further keys, compared with the
-least again, and so on for `DEPTH` levels. So no bucket makes more pairs than SMALL/2 per member.
+Candidates. Texts with equal words are one class from the start. In each bucket every text is
+compared with the bucket's least one: one pair per member. The first FIRST tables do so alone and
+settle nearly all classes; of the other tables only buckets that still hold several classes are
+looked at. What stays mixed after that is compared in full, by all pairs of different classes in
+buckets of up to SMALL members; a larger one is dealt out by FURTHER keys of its members first. So
+no bucket makes more than SMALL/2 + FURTHER pairs per member, and links inside a class that is
+known already are not looked for.
 
 Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
 0.8 or more. Each word becomes one character (20 bits of its hash). First the two strings are
@@ -35,10 +37,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace
+from docloom.llm.common import Workspace, release
 from docloom.llm.components import components
 
 WORDS = 5
@@ -46,7 +49,7 @@ SIMILARITY = 0.8
 TABLES = 36
 SIZE = 3
 SMALL = 64
-DEPTH = 3
+FIRST = 6
 FURTHER = 6
 _WORD = re.compile(r"\w+")
 _STEP = 65_536  # shingles hashed at once for one text
@@ -114,14 +117,14 @@ def sketch(w: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SKETCH = "doc_id long, mark long, digest binary, n long, code string, keys array<long>"
+SKETCH = "doc_id long, mark long, digest binary, n long, code binary, keys array<long>"
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the raw text), digest of the words, number of words, words as characters, bucket keys; wordless texts have null digests."""
 
     def run(batches):
-        hashes = _Hashes()
+        hashes, pack = _Hashes(), zstandard.ZstdCompressor(level=1)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
@@ -129,31 +132,21 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for text in part.column(2):
                     words = _WORD.findall((text.as_py() or "").lower())
                     if not words:
-                        out.append((None, 0, "", []))
+                        out.append((None, 0, b"", []))
                         continue
                     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    code = ((w >> np.uint64(44)).astype(np.uint32) + np.uint32(0x10000)).tobytes().decode("utf-32-le")
-                    out.append((xxhash.xxh3_128_digest(w.tobytes()), len(words), code, sketch(w)))
+                    code = (w >> np.uint64(44)).astype(np.uint32).tobytes()
+                    out.append((xxhash.xxh3_128_digest(w.tobytes()), len(words), pack.compress(code), sketch(w)))
                 digest, n, code, keys = zip(*out) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(code, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "digest", "n", "code", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "digest", "n", "code", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SKETCH)
 
 
-def _least(entries: DataFrame) -> DataFrame:
-    """(bucket, leader, members) of the buckets with at least two texts."""
-    return entries.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("leader"), F.max("digest").alias("_last")).filter(F.col("leader.digest") < F.col("_last")).select("bucket", "leader")
-
-
 def _near_in_length(n, m):
     return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
 
-def _star(members: DataFrame) -> DataFrame:
-    joined = members.filter((F.col("digest") != F.col("leader.digest")) & _near_in_length(F.col("n"), F.col("leader.n")))
-    return joined.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
-
-
 def _verified(work: Workspace, pairs: DataFrame, codes: DataFrame, name: str) -> DataFrame:
     """The pairs within the limit of edits. A tight band comes first: most copies have few edits."""
     pairs = work.write(pairs, f"pairs-{name}")
@@ -161,11 +154,11 @@ def _verified(work: Workspace, pairs: DataFrame, codes: DataFrame, name: str) ->
     texts = codes.join(work.write(needed, f"needed-{name}"), "digest", "left_semi").groupBy("digest").agg(F.first("code").alias("code"))
     texts = work.write(texts, f"texts-{name}")
     left, right = texts.select(F.col("digest").alias("a"), F.col("code").alias("x")), texts.select(F.col("digest").alias("b"), F.col("code").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded, "a binary, b binary, x string, y string, sure boolean")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded, "a binary, b binary, x string, y string")
     joined = work.write(joined, f"bounded-{name}")
     limit = "CAST(floor((1 - 0.8BD) * greatest(length(x), length(y))) AS INT)"
     near = " OR ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(32, {limit})", f"least(256, {limit})", limit))
-    work.write(joined.filter("sure").select("a", "b").unionByName(joined.filter("NOT sure").filter(near).select("a", "b")), f"links-{name}")
+    work.write(joined.filter("x IS NULL").select("a", "b").unionByName(joined.filter("x IS NOT NULL").filter(near).select("a", "b")), f"links-{name}")
     for part in ("bounded", "texts", "needed"):
         work.drop(f"{part}-{name}")
     return work.read(f"links-{name}")
@@ -203,14 +196,44 @@ def edit_bound(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _bounded(batches):
+    """(a, b, packed codes of both) to (a, b, x, y): the words as characters where the bound does not settle the pair."""
+    unpack = zstandard.ZstdDecompressor()
     for b in batches:
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
-            sure = []
-            for x, y in zip(part.column(2), part.column(3)):
-                v, w = (np.frombuffer(t.as_py().encode("utf-32-le"), np.uint32) for t in (x, y))
-                sure.append(edit_bound(v, w) <= _limit(len(v), len(w)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sure, pa.bool_())], ["a", "b", "x", "y", "sure"])
+            x, y = [], []
+            for p, q in zip(part.column(2), part.column(3)):
+                v, w = (np.frombuffer(unpack.decompress(t.as_py()), np.uint32) for t in (p, q))
+                sure = edit_bound(v, w) <= _limit(len(v), len(w))
+                x.append(None if sure else (v + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
+                y.append(None if sure else (w + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.string()), pa.array(y, pa.string())], ["a", "b", "x", "y"])
+
+
+def _cross(members: DataFrame) -> DataFrame:
+    """All pairs of different classes in members(bucket, digest, n, root) of small buckets."""
+    other = members.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("digest", "n", "root")])
+    joined = members.join(other, "bucket").filter((F.col("digest") < F.col("o_digest")) & (F.col("root") != F.col("o_root")) & _near_in_length(F.col("n"), F.col("o_n")))
+    return joined.select(F.col("digest").alias("a"), F.col("o_digest").alias("b"))
+
+
+def _star(work: Workspace, members: DataFrame, name: str) -> DataFrame:
+    """Pairs of each member of another class with the bucket's least text."""
+    leaders = work.write(members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "root")).alias("leader")), f"leaders-{name}")
+    joined = members.join(leaders, "bucket").filter((F.col("root") != F.col("leader.root")) & _near_in_length(F.col("n"), F.col("leader.n")))
+    return joined.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows(.., digest) with the class that each text belongs to so far."""
+    if roots is None:
+        return rows.withColumn("root", F.col("digest"))
+    return rows.join(roots.withColumnRenamed("root", "_r"), F.col("digest") == F.col("node"), "left").withColumn("root", F.coalesce("_r", "digest")).drop("_r", "node")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Buckets that hold more than one class, with the number of their members."""
+    return members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("members")).filter("_a < _b").select("bucket", "members")
 
 
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -219,36 +242,38 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = work.write(sketches(docs), "sketches")
     texts = work.write(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
     codes = rows.filter("digest IS NOT NULL").select("digest", "code")
-    entries = texts.select("digest", "n", F.explode("keys").alias("bucket"))
-    leaders = work.write(_least(entries), "leaders-0")
-    members = work.write(entries.join(leaders, "bucket").select("bucket", "digest", "n", "leader"), "members-0")
-    links = _verified(work, _star(members), codes, "0")
-    roots = components(work, links, "roots-0")
-    for level in range(1, DEPTH + 1):
-        placed = members.select("bucket", "digest", "n").join(roots, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("root", "digest").alias("root"))
-        placed = work.write(placed, f"placed-{level}")
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("members")).filter("_a < _b").select("bucket", "members")
-        mixed = work.write(mixed, f"mixed-{level}")
-        open_rows = placed.join(mixed, "bucket")
-        small = open_rows.filter(F.col("members") <= SMALL).drop("members")
-        other = small.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("digest", "n", "root")])
-        cross = small.join(other, "bucket").filter((F.col("digest") < F.col("o_digest")) & (F.col("root") != F.col("o_root")) & _near_in_length(F.col("n"), F.col("o_n")))
-        pairs = cross.select(F.col("digest").alias("a"), F.col("o_digest").alias("b"))
-        wide = open_rows.filter(F.col("members") > SMALL).select("bucket", "digest", "n")
-        deeper = level < DEPTH and wide.limit(1).count() > 0
-        if deeper:  # each member of a wide bucket goes to the buckets of its own other keys within it
-            own = F.slice("keys", FURTHER * level + 1, FURTHER)
-            split = wide.join(texts.select("digest", own.alias("keys")), "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n")
-            split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n")
-            leaders = work.write(_least(split), f"leaders-{level}")
-            members = work.write(split.join(leaders, "bucket").select("bucket", "digest", "n", "leader"), f"members-{level}")
-            pairs = pairs.unionByName(_star(members))
-        pairs = work.write(pairs.distinct().join(links, ["a", "b"], "left_anti"), f"more-{level}")
+    links, roots = None, None
+
+    def link(pairs: DataFrame, name: str) -> None:
+        nonlocal links, roots
+        found = _verified(work, pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), codes, name)
+        links = found if links is None else work.write(links.unionByName(found), f"all-links-{name}")
+        roots = components(work, links, f"roots-{name}")
+        release(spark)
+
+    # A few tables settle nearly all classes; in the others only buckets of several classes are looked at.
+    for level, (first, count) in enumerate(((1, FIRST), (FIRST + 1, TABLES - FIRST))):
+        own = _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots)
+        entries = own.select("digest", "n", "root", F.explode("keys").alias("bucket"))
+        mixed = work.write(_mixed(entries), f"mixed-{level}")
+        members = work.write(entries.join(mixed.select("bucket"), "bucket", "left_semi"), f"members-{level}")
+        release(spark)
+        link(_star(work, members, str(level)), f"{level}-star")
+        members = work.write(_rooted(members.drop("root"), roots), f"placed-{level}")
+        open_rows = members.join(work.write(_mixed(members), f"open-{level}"), "bucket")
+        pairs = _cross(open_rows.filter(F.col("members") <= SMALL).drop("members"))
+        wide = open_rows.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
+        if wide.limit(1).count():  # each member goes to the buckets of its own next keys within the wide one
+            further = texts.select("digest", F.slice("keys", TABLES - FURTHER * (level + 1) + 1, FURTHER).alias("keys"))
+            split = wide.join(further, "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n", "root")
+            split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n", "root")
+            narrow = work.write(split.join(_mixed(split), "bucket"), f"narrow-{level}")
+            pairs = pairs.unionByName(_cross(narrow.filter(F.col("members") <= SMALL).drop("members"))).unionByName(_star(work, narrow.drop("members"), f"{level}-wide"))
+        pairs = work.write(pairs.distinct(), f"cross-{level}")
         if pairs.limit(1).count():
-            links = work.write(links.unionByName(_verified(work, pairs, codes, str(level))), f"links-all-{level}")
-            roots = components(work, links, f"roots-{level}")
-        if not deeper:
-            break
+            link(pairs, f"{level}-cross")
+        for name in ("members", "placed"):
+            work.drop(f"{name}-{level}")
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     ids = ids.filter("digest IS NOT NULL").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first_id", "copies", F.coalesce("root", "digest").alias("root"))
     ids = work.write(ids, "ids")

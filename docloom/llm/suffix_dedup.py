@@ -29,7 +29,6 @@ a character; `remove` then drops its rest from the text, while `digests` counts
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Workspace, record_batches
+from docloom.llm.common import Workspace, record_batches, release
 
 LENGTH = 400
 K = 64
@@ -258,14 +257,14 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, batch
     for _, level in family.levels:
         work.drop(level)
     work.drop("postings")
-    _release(spark)
+    release(spark)
 
     reps = work.write(found.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos", "lo", "hi")).alias("rep")).select("key", "block", "n", "rep.*"), "reps")
     twice = reps.filter("n > 1").select("block")
     ranges = work.write(found.join(twice, "block", "left_semi").select("rk", "lo", (F.col("hi") + LENGTH).alias("hi")), "ranges-0")
     open_keys = work.write(reps.filter("n = 1").select("key").distinct(), "open")
     contexts = work.write(_contexts(docs, reps.join(open_keys, "key", "left_semi")), "contexts")
-    _release(spark)
+    release(spark)
 
     rows = work.write(_node_rows(contexts), "nodes")
     cores = work.write(rows.groupBy("core").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").select("core"), "cores")
@@ -283,16 +282,10 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, batch
     out = work.write(out, "spans")
     for name in ("found", "contexts", "nodes", "windows"):
         work.drop(name)
-    _release(spark)
+    release(spark)
     return out
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def merge_spans(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(spans):
