@@ -8,6 +8,7 @@ import pandas as pd
 from dateutil import parser as _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from docloom.functions import fixed
@@ -17,7 +18,7 @@ _MONTHS_FIRST = ["M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/
 _DAYS_FIRST = ["d/M/yyyy h:mm a", "d/M/yyyy HH:mm", "d/M/yyyy"]
 
 
-@pandas_udf("timestamp")
+@pandas_udf(T.TimestampType())
 def _general(raw: pd.Series) -> pd.Series:
     def one(text):
         if text is None or not _YEAR.search(text):

@@ -212,11 +212,12 @@ def communities(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
         raise ValueError("component too large for agglomeration in one task")
     kind = edges.schema["src"].dataType.simpleString()
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _greedy_modularity(list(zip(pdf["src"], pdf["dst"])))
-        return pd.DataFrame({"node": list(found), "leader": list(found.values())})
+    def cluster(batches):
+        pairs = [p for b in batches for p in zip(b["src"], b["dst"])]
+        found = _greedy_modularity(pairs)
+        yield pd.DataFrame({"node": list(found), "leader": list(found.values())})
 
-    found = inside.groupBy(F.lit(1)).applyInPandas(cluster, f"node {kind}, leader {kind}")
+    found = inside.coalesce(1).mapInPandas(cluster, f"node {kind}, leader {kind}")  # bounded by max_edges
     sizes = found.groupBy("leader").agg(F.count("*").alias("size"), F.min("node").alias("_first"))
     ranked = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.col("size").desc(), "_first")) - 1)
     return found.join(ranked, "leader").select("node", "community", "size")

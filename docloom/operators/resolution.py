@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from docloom.functions import fixed
@@ -24,7 +25,7 @@ def fold_surface(surface: str) -> str:
     return re.sub(r"\s+", " ", text).strip().lower()
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normalise_surface(surface: pd.Series) -> pd.Series:
     return surface.map(lambda s: None if s is None else fold_surface(s))
 
@@ -44,7 +45,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)])
 
@@ -89,7 +90,7 @@ def cluster_people(forms: DataFrame, strict_initials: bool = False) -> DataFrame
     pairs = _pairs(named, "last")
     pairs = pairs.withColumn("native", _given_compatible(F.col("a_given"), F.col("b_given"), strict_initials)).withColumn("reorder", F.col("a_bag") == F.col("b_bag"))
 
-    @pandas_udf("boolean")
+    @pandas_udf(T.BooleanType())
     def compatible(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y):
             near = lambda p, q: p == q or (not strict_initials and (len(p) == 1 and q.startswith(p) or len(q) == 1 and p.startswith(q))) or indel_ratio(p, q) >= fixed.PERSON_FUZZ

@@ -1,8 +1,590 @@
-"""All registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators, each beside its SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand in for the engine's inputs: an order is a message or chunk, customers, suppliers and nations are its
+actors, parts are documents. Doubles that are compared are rounded to six places the same way on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docloom.functions import dates, fixed, profile, textmap
+from docloom.functions.profile import micro
+from docloom.operators import edges, evaluation, graph, resolution, retrieval, traversal
+from docloom.session import table
+from docloom.streaming import ingest
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+# --- Profiling ----------------------------------------------------------------------------------------------------------
+
+_COMMON = ", ".join(f"'{w}'" for w in fixed.COMMON_WORDS)
+_ALLOWED = ", ".join(f"'{w}'" for w in fixed.VOWELLESS_WORDS)
+_PROFILE_SQL = rf"""
+WITH b AS (SELECT doc_id, text, regexp_replace(text, '{fixed.STAMP}', ' ', 'gi') AS body FROM documents),
+w AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(regexp_replace(body, '{fixed.URL}', ' ', 'g'), '{fixed.EMAIL}', ' ', 'g'), '[A-Za-z][A-Za-z''’\-]+'), lambda x: lower(x)) AS ws FROM b),
+v AS (SELECT *, len(ws) AS n, list_distinct(ws) AS us, len(regexp_replace(body, '[ \t\n\r\f\x0b]', '', 'g')) AS solid, len(regexp_replace(body, '\P{{L}}', '', 'g')) AS letters,
+        list_filter(string_split_regex(body, '\r?\n'), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') <> '') AS ls FROM w)
+SELECT doc_id, CAST(len(text) AS BIGINT) AS n_chars, CAST(n AS BIGINT) AS n_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(us) AS BIGINT) AS n_unique_words,
+  {_round("CASE WHEN n = 0 THEN 0 ELSE CAST(len(us) AS DOUBLE) / n END")} AS type_token_ratio,
+  {_round("CASE WHEN n = 0 THEN 0 ELSE CAST(list_sum(list_transform(ws, lambda x: len(x))) AS DOUBLE) / n END")} AS mean_word_len,
+  {_round("CASE WHEN len(ls) = 0 THEN 0 ELSE CAST(list_sum(list_transform(ls, lambda x: len(x))) AS DOUBLE) / len(ls) END")} AS mean_line_len,
+  {_round("CASE WHEN solid = 0 THEN 0 ELSE CAST(letters AS DOUBLE) / solid END")} AS alpha_ratio,
+  {_round(r"CASE WHEN letters = 0 THEN 0 ELSE CAST(len(regexp_replace(body, '\P{Lu}', '', 'g')) AS DOUBLE) / letters END")} AS upper_ratio,
+  {_round(f"CASE WHEN n = 0 THEN 0 ELSE CAST(len(list_filter(ws, lambda x: x IN ({_COMMON}))) AS DOUBLE) / n END")} AS common_word_ratio,
+  {_round("CASE WHEN n = 0 THEN 0 ELSE CAST(len(list_filter(ws, lambda x: len(x) <= 2)) AS DOUBLE) / n END")} AS short_token_ratio,
+  {_round(f"CASE WHEN n = 0 THEN 0 ELSE CAST(len(list_filter(ws, lambda x: len(x) >= 3 AND NOT regexp_matches(x, '[aeiouy]') AND x NOT IN ({_ALLOWED}))) AS DOUBLE) / n END")} AS no_vowel_ratio,
+  {_round(f"CASE WHEN len(us) = 0 THEN 0 ELSE CAST(len(list_filter(us, lambda x: len(x) >= 3 AND NOT regexp_matches(x, '[aeiouy]') AND x NOT IN ({_ALLOWED}))) AS DOUBLE) / len(us) END")} AS no_vowel_type_ratio,
+  {_round(r"CASE WHEN solid = 0 THEN 0 ELSE CAST(len(regexp_replace(body, '[\p{L}\p{N}\s\p{P}\p{Sc}\p{Sm}\p{Cf}]', '', 'g')) AS DOUBLE) / solid END")} AS nonword_char_ratio,
+  CAST(len(regexp_extract_all(body, '{fixed.URL}')) AS BIGINT) AS n_urls,
+  CAST(len(regexp_extract_all(text, '(?i){fixed.STAMP}')) AS BIGINT) AS n_bates_stamps
+FROM v
+"""
+_EXACT = ["n_chars", "n_words", "n_lines", "n_unique_words", "n_urls", "n_bates_stamps"]
+_RATIOS = ["type_token_ratio", "mean_word_len", "mean_line_len", "alpha_ratio", "upper_ratio", "common_word_ratio", "short_token_ratio", "no_vowel_ratio", "no_vowel_type_ratio", "nonword_char_ratio"]
+
+
+@query(_PROFILE_SQL)
+def profile_metrics(spark, sf):
+    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *_EXACT, *[micro(F.col(c)).alias(c) for c in _RATIOS])
+
+
+@query(rf"""
+WITH p AS ({_PROFILE_SQL})
+SELECT doc_id,
+  CASE WHEN n_words < 5 THEN 'empty'
+    WHEN no_vowel_type_ratio > CASE WHEN n_words < 100 THEN 0.12 ELSE 0.06 END OR nonword_char_ratio > 0.005 THEN 'poor'
+    WHEN no_vowel_type_ratio > CASE WHEN n_words < 100 THEN 0.06 ELSE 0.03 END OR nonword_char_ratio > 0.001 THEN 'noisy' ELSE 'clean' END AS ocr_quality,
+  CASE WHEN n_words < 150 THEN 'short' WHEN common_word_ratio < 0.20 THEN 'sparse' WHEN common_word_ratio < 0.33 THEN 'mixed' ELSE 'prose' END AS text_style
+FROM p
+""")
+def quality_flags(spark, sf):
+    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = rows.withColumns({c: micro(F.col(c)) for c in ("no_vowel_type_ratio", "nonword_char_ratio", "common_word_ratio")})
+    return rows.select("doc_id", profile.ocr_quality().alias("ocr_quality"), profile.text_style().alias("text_style"))
+
+
+@query()
+def pattern_counts(spark, sf):
+    """Counts whose patterns bound words, which engines see differently in accented text."""
+    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_redaction_marks", "n_emails", "n_phones", "n_dates", "n_proper_noun_spans")
+
+
+@query()
+def document_types(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(profile.doc_types(F.col("text"))).alias("doc_type")).groupBy("doc_type").agg(F.count("*").alias("n_docs"))
+
+
+@query(rf"""
+SELECT md5(lower(trim(regexp_replace(regexp_replace(text, '{fixed.STAMP}', '', 'gi'), '\s+', ' ', 'g')))) AS fingerprint, count(*) AS n_docs, min(doc_id) AS first_doc
+FROM documents GROUP BY 1 HAVING count(*) > 1
+""")
+def exact_duplicates(spark, sf):
+    return profile.exact_duplicates(table(spark, sf, "documents"))
+
+
+@query("SELECT CAST(floor(log10(n_chars) / 0.5) AS BIGINT) AS bin, count(*) AS n FROM documents WHERE n_chars > 0 GROUP BY 1")
+def length_histogram(spark, sf):
+    return profile.histogram(table(spark, sf, "documents"), F.col("n_chars"), 0.5, log=True)
+
+
+@query("""
+SELECT source, CAST(count(*) FILTER (WHERE lang = 'de') AS BIGINT) AS de, CAST(count(*) FILTER (WHERE lang = 'en') AS BIGINT) AS en,
+  CAST(count(*) FILTER (WHERE lang = 'es') AS BIGINT) AS es, CAST(count(*) FILTER (WHERE lang = 'fr') AS BIGINT) AS fr, median(n_chars) AS median_chars
+FROM documents GROUP BY source
+""")
+def source_crosstab(spark, sf):
+    docs = table(spark, sf, "documents")
+    wide = docs.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).fillna(0)
+    return wide.join(docs.groupBy("source").agg(F.median("n_chars").alias("median_chars")), "source")
+
+
+@query("""
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
+SELECT source, n, floor(CAST(sum(n) OVER (ORDER BY n DESC, source) AS DOUBLE) / (SELECT sum(n) FROM c) * 1e6 + 0.5) / 1e6 AS cumulative FROM c
+""")
+def cumulative_share(spark, sf):
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.col("n").desc(), "source")) / F.sum("n").over(Window.partitionBy())
+    return counts.select("source", "n", micro(upto).alias("cumulative"))
+
+
+@query("SELECT 'text' AS \"column\", CAST(count(text) AS DOUBLE) / count(*) AS filled FROM documents UNION ALL SELECT 'lang', CAST(count(lang) AS DOUBLE) / count(*) FROM documents UNION ALL SELECT 'source', CAST(count(source) AS DOUBLE) / count(*) FROM documents")
+def null_fill_rates(spark, sf):
+    return profile.null_fill(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+# --- Text mapping (one Python pass a document: no SQL form) ---------------------------------------------------------------
+
+
+def _letters(spark, sf):
+    """Documents with a header and page stamps that depend on the id alone."""
+    head = F.concat(F.lit("From: Ann Alder <ann@ex.org>\nSent: 3/4/2012 5:06 PM\nTo: Bob Birch; Cy Cedar <cy@ex.org>\nCc: Dee Dogwood <dee@ex.org>\nSubject: Re: item "), (F.col("doc_id") % 97).cast("string"), F.lit("\n\n"))
+    stamp = F.concat(F.lit("\nHOUSE OVERSIGHT "), F.lpad((F.col("doc_id") % 1000000).cast("string"), 6, "0"), F.lit("\n"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(head, "text", stamp).alias("text"))
+
+
+@query()
+def normalised_documents(spark, sf):
+    rows = textmap.normalised(_letters(spark, sf))
+    return rows.select("doc_id", F.length("doc.text").alias("n_chars"), F.size("doc.segments").alias("n_segments"), F.col("doc.n_redactions").alias("n_redactions"), textmap.page_lookup(F.col("doc.pages"), F.lit(0)).alias("first_page"))
+
+
+@query("SELECT doc_id, 0 AS block_index, CAST(n AS BIGINT) AS n_people, substr(sha1('ann@ex.org|bob birch,cy@ex.org,dee@ex.org|re: item ' || (doc_id % 97) || '|3/4/2012 5:06 pm'), 1, 16) AS message_key FROM documents, (SELECT 3 AS n)")
+def header_messages(spark, sf):
+    return textmap.messages(_letters(spark, sf)).filter("block_index = 0").select("doc_id", "block_index", F.size(F.concat("recipients", "cc")).cast("long").alias("n_people"), "message_key")
+
+
+@query("""
+SELECT 'ann@ex.org' AS source, t AS target, t = 'dee@ex.org' AS is_cc, count(*) AS n FROM documents, (VALUES ('bob birch'), ('cy@ex.org'), ('dee@ex.org')) v(t) GROUP BY 1, 2, 3
+""")
+def header_edges(spark, sf):
+    rows = textmap.mail_edges(textmap.messages(_letters(spark, sf)).filter("block_index = 0"))
+    return rows.groupBy("source", "target", "is_cc").agg(F.count("*").alias("n"))
+
+
+@query()
+def document_chunks(spark, sf):
+    return textmap.chunks(table(spark, sf, "documents")).select("chunk_id", "doc_id", "char_start", "char_end", "n_words", "has_header")
+
+
+@query()
+def chunk_fingerprints(spark, sf):
+    return textmap.chunk_fingerprint(textmap.chunks(table(spark, sf, "documents")))
+
+
+@query("SELECT CAST(sum(ceil(greatest(n - 60, 0) / 290.0)) AS BIGINT) AS n_chunks FROM (SELECT len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n FROM documents)")
+def chunk_count_estimate(spark, sf):
+    words = F.regexp_count("text", F.lit(r"[^ \t\n\r]+"))
+    return table(spark, sf, "documents").agg(F.sum(textmap.chunk_estimate(words)).cast("long").alias("n_chunks"))
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id, ts, event_id AS error_id FROM events WHERE event_type = 'error')
+SELECT p.event_id, (SELECT min(e.ts) FROM e WHERE e.user_id = p.user_id AND e.ts >= p.ts) AS next_error FROM p
+""")
+def next_error(spark, sf):
+    """A forward as-of lookup: the first error of the user at or after each purchase, by a window over the union."""
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "error"))
+    order = Window.partitionBy("user_id").orderBy("ts", F.col("event_type").desc(), "event_id").rowsBetween(0, Window.unboundedFollowing)
+    found = events.withColumn("next_error", F.first(F.when(F.col("event_type") == "error", F.col("ts")), ignorenulls=True).over(order))
+    return found.filter("event_type = 'purchase'").select("event_id", "next_error")
+
+
+# --- Dates --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderdate AS sent_at FROM orders WHERE year(o_orderdate) BETWEEN 1990 AND 2021")
+def parsed_dates(spark, sf):
+    shapes = F.element_at(F.array(F.lit("M/d/yyyy h:mm:ss a"), F.lit("MMMM d, yyyy h:mm:ss a"), F.lit("yyyy-MM-dd HH:mm:ss")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, sf, "orders")
+    raw = F.when(shapes == "M/d/yyyy h:mm:ss a", F.date_format("o_orderdate", "M/d/yyyy h:mm:ss a")).when(shapes == "yyyy-MM-dd HH:mm:ss", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy h:mm:ss a"))
+    return dates.parse_sent(rows.select("o_orderkey", raw.alias("sent_raw"))).filter("sent_at IS NOT NULL").select("o_orderkey", "sent_at")
+
+
+# --- Edges --------------------------------------------------------------------------------------------------------------
+
+
+def _letters_of_orders(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_orderkey").alias("message_key"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("block_index"), (F.col("l_returnflag") == "R").alias("is_cc"), F.col("o_orderdate").alias("sent_at"), F.col("o_orderpriority").alias("subject"))
+
+
+@query("""
+SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey) AS weight, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_docs,
+  CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS n_cc, min(o_orderdate) AS first_sent, max(o_orderdate) AS last_sent,
+  CAST(floor((epoch(max(o_orderdate)) - epoch(min(o_orderdate))) / 86400) AS BIGINT) AS span_days,
+  array_to_string(list_slice(list_sort(list(DISTINCT o_orderpriority)), 1, 3), '; ') || CASE WHEN count(DISTINCT o_orderpriority) > 3 THEN '; +' || (count(DISTINCT o_orderpriority) - 3) || ' more' ELSE '' END AS subjects
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2
+""")
+def communicated_with(spark, sf):
+    return edges.communicated_with(_letters_of_orders(spark, sf)).select("src", "dst", "weight", "n_rows", "n_docs", "n_cc", "first_sent", "last_sent", "span_days", "subjects")
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS k, 's' || l_suppkey AS dst, l_partkey AS doc, l_linenumber AS b, l_returnflag = 'R' AS cc, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+one AS (SELECT k, dst, arg_min(cc, (doc, b)) AS cc, min(d) AS d, list_distinct(list(doc)) AS docs FROM m GROUP BY 1, 2),
+p AS (SELECT a.k, a.dst AS src, b.dst AS dst, a.cc AND b.cc AS cc, a.d AS d, list_distinct(list_concat(a.docs, b.docs)) AS docs FROM one a JOIN one b ON a.k = b.k AND a.dst < b.dst),
+c AS (SELECT src, dst, count(DISTINCT k) AS weight, CAST(sum(CASE WHEN cc THEN 1 ELSE 0 END) AS BIGINT) AS n_cc, min(d) AS first_sent, max(d) AS last_sent FROM p GROUP BY 1, 2),
+n AS (SELECT src, dst, count(DISTINCT x) AS n_docs FROM (SELECT src, dst, unnest(docs) AS x FROM p) GROUP BY 1, 2)
+SELECT c.src, c.dst, weight, n_cc, first_sent, last_sent, n_docs FROM c JOIN n ON c.src = n.src AND c.dst = n.dst
+""")
+def co_recipient_of(spark, sf):
+    return edges.co_recipients(_letters_of_orders(spark, sf)).select("src", "dst", "weight", "n_cc", "first_sent", "last_sent", "n_docs")
+
+
+def _mentions_of_orders(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    doc = F.date_format(F.min("l_shipdate").over(Window.partitionBy("l_orderkey")), "yyyy-MM")
+    return lines.select(F.col("l_orderkey").alias("chunk_id"), doc.alias("doc_id"), F.col("l_suppkey").alias("entity_id"))
+
+
+_NPMI_SQL = """
+WITH o AS (SELECT l_orderkey AS chunk, strftime(min(l_shipdate), '%Y-%m') AS doc FROM lineitem GROUP BY 1),
+k0 AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS e FROM lineitem),
+k AS (SELECT k0.chunk, e, doc FROM k0 JOIN o ON k0.chunk = o.chunk WHERE k0.chunk IN (SELECT chunk FROM k0 GROUP BY chunk HAVING count(*) <= 60)),
+n AS (SELECT CAST(count(DISTINCT chunk) AS DOUBLE) AS n FROM k),
+df AS (SELECT e, CAST(count(*) AS DOUBLE) AS df FROM k GROUP BY 1 HAVING count(*) >= 3),
+p AS (SELECT a.e AS src, b.e AS dst, count(*) AS c, count(DISTINCT a.doc) AS n_docs FROM k a JOIN k b ON a.chunk = b.chunk AND a.e < b.e WHERE a.e IN (SELECT e FROM df) AND b.e IN (SELECT e FROM df) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT a.doc) >= 2)
+SELECT src, dst, c AS n_chunks_joint, n_docs, floor(CASE WHEN c / n >= 1 THEN 1.0 ELSE ln(c / n / ((x.df / n) * (y.df / n))) / -ln(c / n) END * 1e6 + 0.5) / 1e6 AS npmi
+FROM p JOIN df x ON x.e = src JOIN df y ON y.e = dst, n
+"""
+
+
+@query(_NPMI_SQL)
+def co_occurs_with(spark, sf):
+    rows = edges.co_occurs_with(_mentions_of_orders(spark, sf), min_npmi=-1.0)
+    return rows.select("src", "dst", "n_chunks_joint", "n_docs", micro(F.col("npmi")).alias("npmi"))
+
+
+@query()
+def threads(spark, sf):
+    """Events as messages: one subject a type, participants by user, a window of hours."""
+    events = table(spark, sf, "events").filter("event_type <> 'click'")
+    rows = events.select(F.col("event_id").cast("string").alias("message_key"), F.concat(F.lit("about "), "event_type").alias("subject"), F.col("user_id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("ts").alias("sent_at"), F.col("event_id").alias("doc_id"))
+    return edges.threads(rows, window_days=0.5)[0]
+
+
+@query("""
+SELECT message_key, source, target FROM (SELECT conv_id || '-' || turn AS message_key, CASE WHEN turn % 5 = 0 THEN role || '@ex.org' ELSE role END AS source, 'desk' AS target, CASE WHEN turn % 3 = 0 THEN text ELSE ' ' END AS subject FROM conversations)
+WHERE source LIKE '%@%' OR regexp_replace(subject, '^\\s+|\\s+$', '', 'g') <> ''
+""")
+def routing_filter(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("message_key"), F.when(F.col("turn") % 5 == 0, F.concat("role", F.lit("@ex.org"))).otherwise(F.col("role")).alias("source"), F.lit("desk").alias("target"), F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(" ").alias("subject"), F.lit(None).cast("string").alias("sent_raw"))
+    return edges.drop_routing(rows).select("message_key", "source", "target")
+
+
+@query("SELECT p_partkey, len(string_split(p_name, ' ')) > 6 OR regexp_matches(lower(p_name), '^(dear|hi|hello|hey|thanks|thank|dearest|attn|re|fw|fwd|i)\\b') AS noisy FROM part")
+def noisy_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", edges.is_noisy(F.col("p_name"), F.lit("PERSON")).alias("noisy"))
+
+
+# --- Graph --------------------------------------------------------------------------------------------------------------
+
+
+def _flows(spark, sf, least: int = 0):
+    """Nation to nation: orders of a customer's nation from a supplier's nation."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    src = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
+    dst = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
+    rows = lines.join(orders, "l_orderkey").join(src, "o_custkey").join(dst, "l_suppkey").filter("src <> dst")
+    return rows.groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") > least)
+
+
+_FLOWS = "flows AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
+
+
+def _thin(spark, sf):
+    """A sparse directed graph: the flows whose sum of ends is a multiple of seven, whatever their weight."""
+    return _flows(spark, sf).filter((F.col("src") * 3 + F.col("dst") * 5) % 11 == 0)
+
+
+_THIN = f"{_FLOWS}, thin AS (SELECT * FROM flows WHERE (src * 3 + dst * 5) % 11 = 0)"
+
+
+@query(f"""
+WITH {_FLOWS}, o AS (SELECT src AS node, count(*) AS od, CAST(sum(weight) AS BIGINT) AS os FROM flows GROUP BY 1), i AS (SELECT dst AS node, count(*) AS id, CAST(sum(weight) AS BIGINT) AS s FROM flows GROUP BY 1)
+SELECT coalesce(o.node, i.node) AS node, coalesce(od, 0) AS out_degree, coalesce(os, 0) AS out_strength, coalesce(id, 0) AS in_degree, coalesce(s, 0) AS in_strength, coalesce(od, 0) + coalesce(id, 0) AS degree, coalesce(os, 0) + coalesce(s, 0) AS strength
+FROM o FULL JOIN i ON o.node = i.node
+""")
+def graph_degrees(spark, sf):
+    return graph.degrees(_flows(spark, sf))
+
+
+@query(f"""
+WITH {_THIN}, n AS (SELECT count(*) AS n_nodes FROM (SELECT src FROM thin UNION SELECT dst FROM thin)), m AS (SELECT count(*) AS n_edges FROM thin),
+r AS (SELECT count(*) AS n_mutual FROM thin a WHERE EXISTS (SELECT 1 FROM thin b WHERE a.src = b.dst AND a.dst = b.src))
+SELECT n_nodes, n_edges, floor(CAST(n_edges AS DOUBLE) / (n_nodes * (n_nodes - 1)) * 1e6 + 0.5) / 1e6 AS density, floor(CAST(n_mutual AS DOUBLE) / n_edges * 1e6 + 0.5) / 1e6 AS reciprocity FROM n, m, r
+""")
+def graph_summary(spark, sf):
+    return graph.summary(_thin(spark, sf)).select("n_nodes", "n_edges", micro(F.col("density")).alias("density"), micro(F.col("reciprocity")).alias("reciprocity"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = [f"{_FLOWS}, nodes AS (SELECT DISTINCT node FROM (SELECT src AS node FROM flows UNION ALL SELECT dst FROM flows)), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), t AS (SELECT src, sum(weight) AS t FROM flows GROUP BY 1), sh AS (SELECT f.src, f.dst, CAST(weight AS DOUBLE) / t AS share FROM flows f JOIN t ON f.src = t.src), r0 AS (SELECT node, 1.0 / n AS r FROM nodes, n)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS (SELECT nodes.node, 0.85 * (coalesce(f, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE node NOT IN (SELECT src FROM t)) / n) + (1 - 0.85) / n AS r FROM nodes LEFT JOIN (SELECT dst, sum(share * r) AS f FROM sh JOIN r{i - 1} ON src = node GROUP BY 1) g ON node = dst, n)")
+    return f"WITH {', '.join(steps)} SELECT node, floor(r * 1e6 + 0.5) / 1e6 AS rank FROM r{rounds}"
+
+
+@query(_pagerank_sql(8))
+def pagerank(spark, sf):
+    return graph.pagerank(_flows(spark, sf), fixed_rounds=8).select("node", micro(F.col("rank")).alias("rank"))
+
+
+@query()
+def pagerank_converged(spark, sf):
+    return graph.pagerank(_flows(spark, sf))
+
+
+@query(f"""
+WITH RECURSIVE {_THIN}, u AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), reach AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
+l AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1) SELECT node, root, count(*) OVER (PARTITION BY root) AS size FROM l
+""")
+def weak_components(spark, sf):
+    return graph.weak_components(_thin(spark, sf))
+
+
+@query(f"""
+WITH RECURSIVE {_THIN}, nodes AS (SELECT src AS node FROM thin UNION SELECT dst FROM thin), reach AS (SELECT node, node AS seen FROM nodes UNION SELECT reach.node, thin.dst FROM reach JOIN thin ON reach.seen = thin.src)
+SELECT a.node, min(a.seen) AS root FROM reach a JOIN reach b ON a.node = b.seen AND a.seen = b.node GROUP BY 1
+""")
+def strong_components(spark, sf):
+    return graph.strong_components(_thin(spark, sf))
+
+
+@query()
+def betweenness(spark, sf):
+    return graph.betweenness(_thin(spark, sf))
+
+
+@query()
+def communities(spark, sf):
+    return graph.communities(_thin(spark, sf))
+
+
+@query()
+def plot_nodes(spark, sf):
+    flows = _thin(spark, sf)
+    return graph.plot_frame(graph.pagerank(flows, fixed_rounds=8), flows, graph.communities(flows))[0]
+
+
+_STORE = f"{_THIN}, store AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(weight) AS weight FROM thin WHERE src <> dst GROUP BY 1, 2), adj AS (SELECT a AS node, b AS other, weight FROM store UNION ALL SELECT b, a, weight FROM store)"
+
+
+def _adjacent(spark, sf):
+    return traversal.adjacency(traversal.graph_store(_thin(spark, sf)))
+
+
+@query(f"WITH {_STORE} SELECT other, weight FROM adj WHERE node = 3 ORDER BY weight DESC, other LIMIT 8")
+def direct_edges(spark, sf):
+    return traversal.direct_edges(_adjacent(spark, sf), 3)
+
+
+@query(f"""
+WITH {_STORE}, pairs AS (SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+d AS (SELECT a, b, CAST(NULL AS INTEGER) AS via, CAST(weight AS DOUBLE) AS strength, 1 AS hops FROM pairs JOIN adj ON node = a AND other = b),
+t AS (SELECT p.a, p.b, x.other AS via, CAST(x.weight * y.weight AS DOUBLE) AS strength, 2 AS hops FROM pairs p JOIN adj x ON x.node = p.a JOIN adj y ON y.node = p.b AND y.other = x.other WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.a = p.a AND d.b = p.b)),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY strength DESC, via) AS n FROM t)
+SELECT a, b, via, strength, hops FROM d UNION ALL SELECT a, b, via, strength, hops FROM r WHERE n = 1
+""")
+def connections(spark, sf):
+    nation = table(spark, sf, "nation").select("n_nationkey")
+    pairs = nation.select(F.col("n_nationkey").alias("a")).join(nation.select(F.col("n_nationkey").alias("b")), F.col("a") < F.col("b"))  # 25 nations
+    return traversal.connections(_adjacent(spark, sf), pairs)
+
+
+@query(f"""
+WITH {_STORE}, near AS (SELECT other AS node, weight AS first FROM adj WHERE node = 3 ORDER BY weight DESC, other LIMIT 5),
+o AS (SELECT adj.node AS via, adj.other, adj.weight * first AS strength, row_number() OVER (PARTITION BY adj.node ORDER BY adj.weight DESC, adj.other) AS n FROM adj JOIN near ON adj.node = near.node WHERE adj.other <> 3 AND adj.other NOT IN (SELECT other FROM adj WHERE node = 3))
+SELECT via, other, strength FROM o WHERE n <= 3 ORDER BY strength DESC, via, other LIMIT 5
+""")
+def explore(spark, sf):
+    return traversal.explore(_adjacent(spark, sf), 3)[1]
+
+
+@query(f"WITH {_STORE} SELECT a, b, weight FROM store ORDER BY md5('one|' || a || '|' || b), a, b LIMIT 10")
+def mine_one_hop(spark, sf):
+    return traversal.mine_one_hop(traversal.graph_store(_thin(spark, sf)), 10)
+
+
+@query(f"""
+WITH {_STORE}, mid AS (SELECT node FROM adj GROUP BY 1 HAVING count(*) >= 2 AND count(*) < 50),
+p AS (SELECT x.node, x.other AS a, y.other AS b FROM adj x JOIN adj y ON x.node = y.node AND x.other < y.other WHERE x.node IN (SELECT node FROM mid) AND NOT EXISTS (SELECT 1 FROM store s WHERE s.a = x.other AND s.b = y.other)),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5('two|' || node || '|' || a || '|' || b), a, b) AS n FROM p),
+m AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY node) AS k FROM o WHERE n = 1)
+SELECT node AS via, a, b FROM m WHERE k = 1
+""")
+def mine_two_hop(spark, sf):
+    return traversal.mine_two_hop(traversal.graph_store(_thin(spark, sf)))
+
+
+@query()
+def mine_no_path(spark, sf):
+    return traversal.mine_no_path(traversal.graph_store(_thin(spark, sf)), 10)
+
+
+# --- Resolution ---------------------------------------------------------------------------------------------------------
+
+
+def _mentions(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text")
+    return retrieval.capitalised_mentions(docs)
+
+
+@query()
+def capitalised_mentions(spark, sf):
+    return _mentions(spark, sf).groupBy("norm").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query()
+def resolved_people(spark, sf):
+    """Supplier and customer names as persons of two words, with variants by initial."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.element_at(F.array(*[F.lit(x) for x in ("maria", "m", "marla", "john", "jon")]), (F.col("c_custkey") % 5 + 1).cast("int")), F.lit(" family"), (F.col("c_custkey") % 37).cast("string")).alias("norm"), F.lit("PERSON").alias("type"))
+    return resolution.resolve(names)[0]
+
+
+@query("""
+WITH f AS (SELECT p_name AS norm, count(*) AS n FROM part GROUP BY 1) SELECT norm, n FROM f
+""")
+def surface_forms(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_name").alias("norm"), F.lit("ORG").alias("type"))
+    return resolution.surface_counts(rows).select("norm", "n")
+
+
+@query()
+def clustered_names(spark, sf):
+    forms = table(spark, sf, "part").select(F.col("p_name").alias("norm")).distinct()
+    return resolution.cluster_conservative(forms)
+
+
+@query("SELECT s_nationkey AS address, max_by(s_suppkey, (s_acctbal, s_suppkey)) AS owner, count(DISTINCT s_suppkey) AS n_claimants FROM supplier GROUP BY 1")
+def contested_addresses(spark, sf):
+    claims = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("address"), F.col("s_suppkey").alias("entity_id"), F.col("s_acctbal").alias("n_mentions"))
+    return resolution.contested(claims)
+
+
+@query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def linked_labels(spark, sf):
+    """A left join on a key, as mentions are linked to aliases."""
+    return table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_documents(spark, sf):
+    """Resume: what has no result yet."""
+    return ingest.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+
+
+@query()
+def actors(spark, sf):
+    rows = table(spark, sf, "customer").select(F.lower("c_name").alias("key"), F.array(F.lower("c_mktsegment")).alias("names"))
+    names = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.lower("c_name").alias("norm"), F.format_string("PER_%06d", "c_custkey").alias("entity_id"))
+    addresses = table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.lower("c_name").alias("address"), F.format_string("ADR_%06d", "c_custkey").alias("entity_id"))
+    return resolution.resolve_actors(rows, addresses, names)
+
+
+# --- Retrieval and evaluation -------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+_TOPK = "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
+
+
+def _hits(spark, sf):
+    vectors = _vectors(spark, sf)
+    return retrieval.top_k_many(vectors, vectors.filter("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+
+
+@query(f"{_TOPK} SELECT query_id, id, rank, floor(score * 1e6 + 0.5) / 1e6 AS score FROM r WHERE rank <= 8")
+def vector_top_k(spark, sf):
+    return _hits(spark, sf).select("query_id", "id", F.col("rank").cast("long").alias("rank"), micro(F.col("score")).alias("score"))
+
+
+@query(f"""
+{_TOPK}, x AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 20),
+t AS (SELECT query_id, count(*) AS n FROM x GROUP BY 1),
+m AS (SELECT x.query_id, sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS h1, sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS h3, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS h5, sum(CASE WHEN rank <= 8 THEN 1 ELSE 0 END) AS h8, min(rank) AS f FROM x JOIN r USING (query_id, id) WHERE rank <= 8 GROUP BY 1)
+SELECT count(*) AS n_queries, {_round("avg(coalesce(h1, 0) / n)")} AS recall_at_1, {_round("avg(coalesce(h3, 0) / n)")} AS recall_at_3, {_round("avg(coalesce(h5, 0) / n)")} AS recall_at_5, {_round("avg(coalesce(h8, 0) / n)")} AS recall_at_8, {_round("avg(coalesce(1.0 / f, 0))")} AS mrr
+FROM t LEFT JOIN m USING (query_id)
+""")
+def recall_and_mrr(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    expected = q.join(e, "label").filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id"))
+    rows = evaluation.recall_at_k(_hits(spark, sf), expected)
+    return rows.select("n_queries", *[micro(F.col(c)).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_8", "mrr")])
+
+
+@query("""
+WITH c AS (SELECT doc_id, lang AS norm FROM documents JOIN labels USING (doc_id) WHERE n_chars > 300), g AS (SELECT doc_id, lang AS norm FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+b AS (SELECT coalesce(c.norm, g.norm) AS norm, c.doc_id IS NOT NULL AS p, g.doc_id IS NOT NULL AS t FROM c FULL JOIN g ON c.doc_id = g.doc_id),
+s AS (SELECT norm, CAST(sum(CASE WHEN p AND t THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN p AND NOT t THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN t AND NOT p THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM b GROUP BY 1)
+SELECT norm, tp, fp, fn, floor(CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END * 1e6 + 0.5) / 1e6 AS precision, floor(CASE WHEN tp + fn = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END * 1e6 + 0.5) / 1e6 AS recall FROM s
+""")
+def set_scores(spark, sf):
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumnRenamed("lang", "norm")
+    out = evaluation.set_scores(rows.filter("n_chars > 300"), rows.filter("quality = 1"), ["doc_id", "norm"], ["norm"])
+    return out.select("norm", "tp", "fp", "fn", micro(F.col("precision")).alias("precision"), micro(F.col("recall")).alias("recall"))
+
+
+@query("""
+WITH v AS (SELECT doc_id, quality AS a, toxic AS b FROM labels), n AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS agreement FROM v),
+x AS (SELECT a AS k, CAST(count(*) AS DOUBLE) AS c FROM v GROUP BY 1), y AS (SELECT b AS k, CAST(count(*) AS DOUBLE) AS c FROM v GROUP BY 1), e AS (SELECT sum(x.c * y.c) AS s FROM x JOIN y ON x.k = y.k)
+SELECT n, floor(agreement * 1e6 + 0.5) / 1e6 AS agreement, floor((agreement - s / (CAST(n AS DOUBLE) * n)) / (1 - s / (CAST(n AS DOUBLE) * n)) * 1e6 + 0.5) / 1e6 AS kappa FROM n, e
+""")
+def cohen_kappa(spark, sf):
+    labels = table(spark, sf, "labels")
+    sheets = labels.select(F.col("doc_id").alias("item"), F.explode(F.array(F.struct(F.lit("a").alias("annotator"), F.col("quality").alias("verdict")), F.struct(F.lit("b").alias("annotator"), F.col("toxic").alias("verdict")))).alias("x")).select("item", "x.*")
+    return evaluation.kappa(sheets).select("n", micro(F.col("agreement")).alias("agreement"), micro(F.col("kappa")).alias("kappa"))
+
+
+@query()
+def stratified_sample(spark, sf):
+    return evaluation.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", 50)
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE length(text) < 40)")
+def complete_documents(spark, sf):
+    """Relational division: conversations all of whose turns are judged (here: long enough)."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat_ws("-", "conv_id", "turn").alias("item"), "text")
+    return evaluation.complete_documents(turns, turns.filter(F.length("text") >= 40)).select(F.col("doc_id").alias("conv_id"))
+
+
+@query()
+def faithfulness(spark, sf):
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), " ").alias("source"))
+    answers = turns.filter("role = 'assistant'").join(asked, "conv_id").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("answer"), "source")
+    return evaluation.faithfulness(answers)
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2")
+def evidence_chunks(spark, sf):
+    """The first two of a group in order, as evidence chunks are chosen per document."""
+    rows = table(spark, sf, "documents").select(F.col("lang").alias("doc_id"), F.lit(True).alias("has_header"), F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").alias("d")).alias("chunk_index"), F.col("doc_id").alias("id"), "source", "n_chars")
+    out = retrieval.evidence_chunks(rows, rows.select("doc_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("lang"), "source", "n_chars")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf):
+    return ingest.windowed_counts(table(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n_events FROM s GROUP BY user_id, k
+""")
+def sessions(spark, sf):
+    return ingest.sessions(table(spark, sf, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n_events")
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Item pairs that co-occur more than chance."""
+    return co_occurs_with(spark, sf_dir)
