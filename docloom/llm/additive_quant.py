@@ -32,7 +32,7 @@ WORDS = 256
 BEAM = 4
 MAX_TRAIN = 10_000
 ROUNDS = 2
-RERANK = 24
+RERANK = 96
 CHUNK = 2048
 QUERY_BLOCK = 2048
 
