@@ -55,15 +55,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCH
     return levels.select("source", "source_size", F.when(filled, F.col("_cap")).otherwise(F.col("_first._level") * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The columns of `docs` with size, source_size, target, repeats and taken added (older ones of those names go)."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")]
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+    """The columns of `docs` (or those named in `keep`) with size, source_size, target, repeats and taken added.
+
+    Older columns of those five names go.
+    """
+    kept = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")]
     rows = (
-        docs.select(*kept)
+        docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", "text")  # the row's own names cannot clash in there
         .withColumn("size", word_count(F.col("text")))
         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
         .withColumn("_bin", F.substring("_h", 1, BIN_HEX))
         .withColumn("_tie", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+        .drop("text", "doc_id")
     )
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
     plan = targets(bins.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights, share, max_epochs)
@@ -83,13 +87,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, se
     near = placed.filter(at_border).withColumn("_extra", (2 * end - F.col("size") <= 2 * F.col("_rest")).cast("int"))
     both = apart.unionByName(near)
     repeats = F.col("_whole") + F.when(F.col("_rest") > 0, F.col("_extra")).otherwise(F.lit(0))
-    return both.withColumn("repeats", repeats.cast("long")).select(*kept, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    return both.withColumn("repeats", repeats.cast("long")).select("_row.*", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
+def repeat_rows(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of docs, with its own columns only, as often as it is taken."""
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", "text"), keep=["_doc"], **how)
     times = F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats").cast("int"))).otherwise(F.array().cast("array<int>"))
-    return mixed.select(*columns, F.explode(times).alias("_copy")).drop("_copy")
+    return mixed.select("_doc", F.explode(times)).select("_doc.*")
 
 
 ORACLE_SQL = r"""

@@ -294,7 +294,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = rows.filter("NOT alone").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("c")).select("c.doc_id", "c.mark", F.lit(False).alias("_alone"))
     chosen = work.write(first.unionByName(rows.filter("alone").select("doc_id", "mark", F.lit(True).alias("_alone")).distinct()), "chosen")
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_alone")
-    marked = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_text", F.xxhash64("text"))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text"))
     joined = marked.join(chosen, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_mark")))
     equal_rows = Window.partitionBy("_id", "_mark").orderBy("_alone")
-    return joined.withColumn("_n", F.row_number().over(equal_rows)).filter("_alone OR _n = 1").select(*docs.columns)
+    return joined.withColumn("_n", F.row_number().over(equal_rows)).filter("_alone OR _n = 1").select("_row.*")

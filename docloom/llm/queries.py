@@ -35,7 +35,7 @@ def op6_additive_quant(spark, sf_dir):
 
 
 def op7_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_toxicity(spark, sf_dir):

@@ -309,9 +309,9 @@ def cut(body: bytes, spans) -> tuple[bytes, int, int]:
 
 def _with_spans(spark: SparkSession, docs: DataFrame, columns: list[str]) -> DataFrame:
     work = Workspace(spark, "suffix")
-    rows = docs.select(*columns, _row_key().alias("rk"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    rows = docs.select(F.struct(*columns).alias("row"), _row_key().alias("rk"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
     spans = repeated_ranges(spark, rows.select("rk", "body"), work)
-    return rows.join(spans, "rk", "left")
+    return rows.join(spans, "rk", "left").select("row", "body", "spans")
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches):
         yield from record_batches(rows(batches), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [*[pa.int64()] * 4, pa.string()])
 
-    return _with_spans(spark, docs, ["doc_id"]).select(F.col("doc_id").cast("long"), "body", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(spark, docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "body", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -344,6 +344,6 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names)))], names)
 
     rows = _with_spans(spark, docs, names)
-    flagged = rows.select(*[F.col("text").isNotNull().alias("text") if c == "text" else F.col(c) for c in names], "body", "spans")
+    flagged = rows.select(*[F.col("row.text").isNotNull().alias("_c") if c == "text" else F.col("row")[c].alias(f"_c{i}") for i, c in enumerate(names)], "body", "spans")
     out = flagged.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
