@@ -286,7 +286,8 @@ class _Writer:
 
     def links(self, n: int) -> str:
         item = self.some("<li><a href='/{0}'>{1}</a></li>", "<a href=\"/{0}\">{1}</a> ", "<li class=item><a href='#'>{1}</a>", "<span><a href=/{0}>{1}</a></span> | ")
-        body = "".join(item.format(i, self.words(1, 4)) for i in range(n))
+        stop = self.some("", "", ".", ",", "?")  # menus made of words of a text keep its stops
+        body = "".join(item.format(i, self.words(1, self.some(1, 2, 4)) + (stop if self.r.random() < 0.5 else "")) for i in range(n))
         return f"<ul>{body}</ul>" if item.startswith("<li") else body
 
     def box(self, kind: str, names: str, body: str, semantic: str = "") -> str:
@@ -340,6 +341,9 @@ class _Writer:
                 out.append(f"<div>{_MARK}{self.prose(r.randint(1, 4))}</div>")
         if not out:
             out.append(self.some(f"<p>{_MARK}{self.prose(r.randint(1, 6))}</p>", f"<p>{_MARK}{self.words(1, 4)}</p>"))
+        if r.random() < 0.15:  # very short articles: a heading and a word or two
+            short = self.words(1, 3).capitalize() + self.some("", ".", "!")
+            out = [f"<h1>{_MARK}{short}</h1>", f"<p>{_MARK}{self.some('', '<b>')}{short}{self.some('', '<br>', ' ' + self.words(1, 2))}</p>"]
         return "".join(out)
 
     def page(self) -> str:
@@ -366,7 +370,7 @@ class _Writer:
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{whole}" + self.some("</body></html>", "")
 
 
-TRAIN_PAGES = 700
+TRAIN_PAGES = 1500
 
 
 def training_set(pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray, np.ndarray, list[Page]]:
@@ -387,7 +391,7 @@ def training_set(pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray,
 @lru_cache(maxsize=1)
 def model() -> hgb.Trees:
     x, y, _ = training_set()
-    return hgb.fit(x, y, trees=60, depth=5, rate=0.2, bins=32, min_rows=8)
+    return hgb.fit(x, y, trees=70, depth=5, rate=0.2, bins=32, min_rows=8)
 
 
 def extract_pages(pages, trees: hgb.Trees) -> list[str]:
