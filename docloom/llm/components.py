@@ -1,8 +1,8 @@
 """Connected components over a table of links, as joins and aggregations.
 
-Alternates large-star and small-star steps: every node links its larger neighbours, then its
-smaller ones and itself, to the least node it knows. Chains shorten geometrically, links never
-multiply, and hubs are only ever aggregated with partial sums. Each round is a written table.
+Every node holds the least node it knows of. A round takes the least label among a node's neighbours and then the
+label of that label, so that stars settle at once and chains halve. Labels and links are written tables: a join of two
+plain tables lets Spark split the rows of a hub, and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -17,31 +17,18 @@ MAX_ROUNDS = 60
 
 def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
     """links(a, b) to (node, root): the least node of its component for each node that has a link."""
-    pairs = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, at = work.write(pairs, f"{name}-0"), f"{name}-0"
+    pairs = links.filter("a <> b").select("a", "b")
+    both = work.write(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-both")
+    labels, at = work.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), f"{name}-0"), f"{name}-0"
     for i in range(1, MAX_ROUNDS):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # Written first: a join of two plain tables lets Spark split the rows of a hub.
-        low = work.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-{i}-low")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = work.write(large.filter("a <> b").distinct(), f"{name}-{i}-large")
-        low = work.write(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{i}-low2")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        after = work.write(small.filter("a <> b").distinct(), f"{name}-{i}")
-        changed = _differ(now, after)
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+        known = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        low = near.join(labels, F.col("a") == F.col("node")).select("node", "root", F.least("near", "root").alias("low"))
+        after = low.join(known, F.col("low") == F.col("_n")).select("node", F.least("low", "_r").alias("root"), (F.least("low", "_r") < F.col("root")).alias("moved"))
+        after = work.write(after, f"{name}-{i}")
+        moved = after.filter("moved").limit(1).count()
         work.drop(at)
-        for part in ("large", "low", "low2"):
-            work.drop(f"{name}-{i}-{part}")
-        now, at = after, f"{name}-{i}"
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return work.write(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), f"{name}-out")
-
-
-def _differ(one: DataFrame, other: DataFrame) -> bool:
-    """Whether two sets of pairs differ, by their counts and sums of hashes."""
-    tell = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return tuple(tell(one)) != tuple(tell(other))
+        labels, at = after.select("node", "root"), f"{name}-{i}"
+        if not moved:
+            return labels
+    raise RuntimeError("components did not settle")

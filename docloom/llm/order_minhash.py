@@ -6,16 +6,16 @@ hash functions the `SIZE` least labelled shingles are taken and put back in text
 sequence is one bucket key. Two texts share a key if they share these shingles and their order,
 so a key speaks for edit similarity and not for a bag of shingles.
 
-Candidates. Texts with equal words are one class from the start. In each bucket every text is
-compared with the bucket's least one: one pair per member. The first FIRST tables do so alone and
-settle nearly all classes; of the other tables only buckets that still hold several classes are
-looked at. What stays mixed after that is compared in full, by all pairs of different classes in
-buckets of up to SMALL members; a larger one is dealt out by FURTHER keys of its members first. So
-no bucket makes more than SMALL/2 + FURTHER pairs per member, and links inside a class that is
-known already are not looked for.
+Candidates. Texts with equal words are one class from the start. In the first FIRST tables every
+text is compared with its bucket's least one: one pair per member, which settles nearly all
+classes. Of all tables only buckets that still hold several classes are then compared in full, by
+all pairs of different classes for up to SMALL members; in a larger one each member meets the least
+one, and the members are dealt out by FURTHER more keys and compared in full there. So no bucket
+makes more than some SMALL/2 pairs per member, and links inside a class that is known already are
+not looked for.
 
 Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
-0.8 or more. Each word becomes one character (20 bits of its hash). First the two strings are
+0.8 or more. Each word becomes one character (16 bits of its hash). First the two strings are
 aligned at their common unique runs of three words inside the band of the limit; the edits that
 this alignment needs are an upper bound, so a bound within the limit settles the pair. For the
 rest Spark's `levenshtein` with a limit aligns exactly inside bands of growing width.
@@ -135,7 +135,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         out.append((None, 0, b"", []))
                         continue
                     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    code = (w >> np.uint64(44)).astype(np.uint32).tobytes()
+                    code = (w >> np.uint64(48)).astype(np.uint16).tobytes()
                     out.append((xxhash.xxh3_128_digest(w.tobytes()), len(words), pack.compress(code), sketch(w)))
                 digest, n, code, keys = zip(*out) if out else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(code, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "digest", "n", "code", "keys"])
@@ -203,7 +203,7 @@ def _bounded(batches):
             part = b.slice(lo, 200)
             x, y = [], []
             for p, q in zip(part.column(2), part.column(3)):
-                v, w = (np.frombuffer(unpack.decompress(t.as_py()), np.uint32) for t in (p, q))
+                v, w = (np.frombuffer(unpack.decompress(t.as_py()), np.uint16).astype(np.uint32) for t in (p, q))
                 sure = edit_bound(v, w) <= _limit(len(v), len(w))
                 x.append(None if sure else (v + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
                 y.append(None if sure else (w + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
@@ -218,8 +218,9 @@ def _cross(members: DataFrame) -> DataFrame:
 
 
 def _star(work: Workspace, members: DataFrame, name: str) -> DataFrame:
-    """Pairs of each member of another class with the bucket's least text."""
-    leaders = work.write(members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "root")).alias("leader")), f"leaders-{name}")
+    """Pairs of each member of another class with its bucket's least text."""
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "root")).alias("leader"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+    leaders = work.write(leaders.filter("_a < _b").select("bucket", "leader"), f"leaders-{name}")
     joined = members.join(leaders, "bucket").filter((F.col("root") != F.col("leader.root")) & _near_in_length(F.col("n"), F.col("leader.n")))
     return joined.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
 
@@ -236,44 +237,44 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("members")).filter("_a < _b").select("bucket", "members")
 
 
+def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of either table, with the classes of `roots` merged as `merged` says."""
+    upper = merged.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    moved = roots.join(upper, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return moved.unionByName(merged.join(moved.select("node"), "node", "left_anti"))
+
+
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, mark, alone for every row of docs."""
     work = Workspace(spark, "omh")
     rows = work.write(sketches(docs), "sketches")
     texts = work.write(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
     codes = rows.filter("digest IS NOT NULL").select("digest", "code")
-    links, roots = None, None
-
-    def link(pairs: DataFrame, name: str) -> None:
-        nonlocal links, roots
-        found = _verified(work, pairs if links is None else pairs.join(links, ["a", "b"], "left_anti"), codes, name)
-        links = found if links is None else work.write(links.unionByName(found), f"all-links-{name}")
-        roots = components(work, links, f"roots-{name}")
-        release(spark)
-
-    # A few tables settle nearly all classes; in the others only buckets of several classes are looked at.
-    for level, (first, count) in enumerate(((1, FIRST), (FIRST + 1, TABLES - FIRST))):
-        own = _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots)
-        entries = own.select("digest", "n", "root", F.explode("keys").alias("bucket"))
-        mixed = work.write(_mixed(entries), f"mixed-{level}")
-        members = work.write(entries.join(mixed.select("bucket"), "bucket", "left_semi"), f"members-{level}")
-        release(spark)
-        link(_star(work, members, str(level)), f"{level}-star")
-        members = work.write(_rooted(members.drop("root"), roots), f"placed-{level}")
-        open_rows = members.join(work.write(_mixed(members), f"open-{level}"), "bucket")
-        pairs = _cross(open_rows.filter(F.col("members") <= SMALL).drop("members"))
-        wide = open_rows.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
-        if wide.limit(1).count():  # each member goes to the buckets of its own next keys within the wide one
-            further = texts.select("digest", F.slice("keys", TABLES - FURTHER * (level + 1) + 1, FURTHER).alias("keys"))
-            split = wide.join(further, "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n", "root")
-            split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n", "root")
-            narrow = work.write(split.join(_mixed(split), "bucket"), f"narrow-{level}")
-            pairs = pairs.unionByName(_cross(narrow.filter(F.col("members") <= SMALL).drop("members"))).unionByName(_star(work, narrow.drop("members"), f"{level}-wide"))
-        pairs = work.write(pairs.distinct(), f"cross-{level}")
-        if pairs.limit(1).count():
-            link(pairs, f"{level}-cross")
-        for name in ("members", "placed"):
-            work.drop(f"{name}-{level}")
+    texts_of = lambda roots, first, count: _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots).select("digest", "n", "root", F.explode("keys").alias("bucket"))
+
+    # A few tables, by one pair per member, settle nearly all classes.
+    links = _verified(work, _star(work, texts_of(None, 1, FIRST), "first"), codes, "first")
+    roots = components(work, links, "roots-first")
+    release(spark)
+    # Then buckets of all tables that still hold several classes.
+    entries = texts_of(roots, 1, TABLES)
+    mixed = work.write(_mixed(entries), "mixed")
+    members = work.write(entries.join(mixed, "bucket"), "members")
+    release(spark)
+    pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
+    wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
+    if wide.limit(1).count():  # each member goes to the buckets of some of its own keys within the wide one
+        further = texts.select("digest", F.slice("keys", TABLES - FURTHER + 1, FURTHER).alias("keys"))
+        split = wide.join(further, "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n", "root")
+        split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n", "root")
+        narrow = work.write(split.join(_mixed(split), "bucket"), "narrow")
+        pairs = pairs.unionByName(_cross(narrow.filter(F.col("members") <= SMALL).drop("members"))).unionByName(_star(work, wide, "wide")).unionByName(_star(work, narrow.drop("members"), "narrow"))
+    found = _verified(work, pairs.distinct().join(links, ["a", "b"], "left_anti"), codes, "rest")
+    # New links join whole classes: components of the classes, then of their members.
+    lifted = found.join(roots.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left")
+    merged = components(work, lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "roots-rest")
+    roots = work.write(_lifted(roots, merged), "roots")
+    release(spark)
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     ids = ids.filter("digest IS NOT NULL").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first_id", "copies", F.coalesce("root", "digest").alias("root"))
     ids = work.write(ids, "ids")
