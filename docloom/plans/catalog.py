@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates, fixed, profile, textmap
 from docloom.functions.profile import micro
-from docloom.operators import edges, evaluation, graph, resolution, retrieval, traversal
+from docloom.operators import answering, edges, evaluation, graph, reports, resolution, retrieval, traversal
 from docloom.session import table
 from docloom.streaming import ingest
 
@@ -585,6 +585,169 @@ def sessions(spark, sf):
     return ingest.sessions(table(spark, sf, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n_events")
 
 
+# --- Reports, lookups, adjudication -------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name AS src_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def label_lookup(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("canonical"))
+    return reports.with_labels(rows, nodes).select("o_orderkey", "src_name")
+
+
+@query("SELECT year(o_orderdate) AS year, count(DISTINCT o_orderkey) AS n_messages FROM orders GROUP BY 1")
+def messages_per_year(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("message_key"), F.col("o_orderdate").alias("sent_at"))
+    return reports.per_year(rows).select(F.col("year").cast("long").alias("year"), "n_messages")
+
+
+@query(f"WITH {_FLOWS} SELECT src, dst, weight FROM flows ORDER BY weight DESC, src, dst LIMIT 10")
+def top_edges(spark, sf):
+    return reports.top(_flows(spark, sf), "weight", 10, "src", "dst")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n FROM documents) WHERE n BETWEEN 150 AND 1500")
+def band_filter(spark, sf):
+    return table(spark, sf, "documents").filter(reports.band(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")))).select("doc_id")
+
+
+@query("SELECT count(n_chars) AS n, floor(avg(n_chars) * 1e6 + 0.5) / 1e6 AS mean, min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS largest FROM documents")
+def describe_lengths(spark, sf):
+    return reports.describe(table(spark, sf, "documents"), "n_chars").select("n", micro(F.col("mean")).alias("mean"), "least", "median", "largest")
+
+
+@query(f"WITH {_STORE} SELECT CAST(1 AS INTEGER) AS tier, 'flows' AS relation, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS weight FROM store")
+def relation_counts(spark, sf):
+    store = traversal.graph_store(_thin(spark, sf)).withColumn("tier", F.lit(1)).withColumn("relation", F.lit("flows"))
+    return reports.by_relation(store)
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s), o AS (SELECT query_id, min(rank) AS r FROM r WHERE id = query_id AND rank <= 5 GROUP BY 1)
+SELECT floor(CAST(count(*) FILTER (WHERE r <= 1) AS DOUBLE) / 50 * 1e6 + 0.5) / 1e6 AS top1, floor(CAST(count(*) FILTER (WHERE r <= 5) AS DOUBLE) / 50 * 1e6 + 0.5) / 1e6 AS top5 FROM o
+""")
+def self_retrieval(spark, sf):
+    """Fifty rows searched by their own vectors."""
+    v = _vectors(spark, sf)
+    q = v.filter("id < 50").select((F.col("id") + 1_000_000_000).alias("query_id"), F.col("v").alias("q"))
+    hits = retrieval.top_k_many(v, q, 5).select((F.col("query_id") - 1_000_000_000).alias("query_id"), "id", "rank")
+    return evaluation.self_retrieval(hits).select(micro(F.col("top1")).alias("top1"), micro(F.col("top5")).alias("top5"))
+
+
+@query("""
+WITH r AS (SELECT label AS g, vec_id AS p, [vec_id % 5, vec_id % 7 + 10, vec_id % 3 + 20] AS ids FROM embeddings WHERE vec_id < 60),
+j AS (SELECT x.g, avg(CAST(len(list_intersect(x.ids, y.ids)) AS DOUBLE) / len(list_distinct(list_concat(x.ids, y.ids)))) AS j FROM r x JOIN r y ON x.g = y.g AND x.p < y.p GROUP BY 1)
+SELECT floor(avg(j) * 1e6 + 0.5) / 1e6 AS stability FROM j
+""")
+def paraphrase_stability(spark, sf):
+    rows = table(spark, sf, "embeddings").filter("vec_id < 60").select(F.col("label").alias("group_id"), F.col("vec_id").alias("phrase_id"), F.array(F.col("vec_id") % 5, F.col("vec_id") % 7 + 10, F.col("vec_id") % 3 + 20).alias("ids"))
+    return evaluation.paraphrase_stability(rows).select(micro(F.col("stability")).alias("stability"))
+
+
+@query("SELECT doc_id AS chunk_id, 0 AS source_rank FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 1 FROM documents WHERE n_chars > 2000 AND lang <> 'en'")
+def merged_sources(spark, sf):
+    d = table(spark, sf, "documents")
+    return retrieval.merge_sources(d.filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id")), d.filter("n_chars > 2000").select(F.col("doc_id").alias("chunk_id"))).select("chunk_id", "source_rank")
+
+
+def _arms(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    arm = lambda name, test: d.filter(test).select(F.lit(name).alias("system"), "doc_id", F.col("doc_id").cast("string").alias("chunk_id"), F.lit(0).alias("start"), F.col("source").alias("norm"), F.col("lang").alias("type"), F.col("source").alias("surface"), F.lit(None).cast("string").alias("note"))
+    return arm("a", "n_chars > 500").unionByName(arm("b", "n_chars < 3000")).unionByName(arm("c", "lang = 'en'"))
+
+
+@query("""
+SELECT doc_id, source AS norm, CAST((n_chars > 500) AS BIGINT) + CAST((n_chars < 3000) AS BIGINT) + CAST((lang = 'en') AS BIGINT) AS n,
+  NOT (n_chars > 500 AND n_chars < 3000 AND lang = 'en') AS disputed
+FROM documents WHERE n_chars > 500 OR n_chars < 3000 OR lang = 'en'
+""")
+def pooled_mentions(spark, sf):
+    return evaluation.disputed(evaluation.pool(_arms(spark, sf)), 3).select("doc_id", "norm", "n", "disputed")
+
+
+@query()
+def dealt_sheets(spark, sf):
+    return evaluation.deal(evaluation.pool(_arms(spark, sf)), 2, 10).groupBy("annotator").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query("""
+WITH j AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'y' ELSE 'n' END AS v FROM labels UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'u' ELSE 'y' END FROM labels)
+SELECT doc_id FROM j GROUP BY 1 HAVING bool_and(v = 'y')
+""")
+def gold_strict(spark, sf):
+    labels = table(spark, sf, "labels")
+    verdicts = F.array(F.when(F.col("quality") == 1, "Yes").otherwise("no"), F.when(F.col("toxic") == 1, "unsure").otherwise("y"))
+    judged = evaluation.judgements(labels.select("doc_id", F.lit("n").alias("norm"), F.lit("PERSON").alias("type"), F.lit(None).cast("string").alias("true_type"), F.explode(verdicts).alias("verdict")))
+    return evaluation.gold(judged, "strict").select("doc_id")
+
+
+@query("""
+WITH s AS (SELECT lang, avg(CAST(n_chars > 1000 AS DOUBLE)) AS x, count(*) AS n FROM documents GROUP BY 1) SELECT floor(sum(x * n) / sum(n) * 1e6 + 0.5) / 1e6 AS x FROM s
+""")
+def post_stratified(spark, sf):
+    d = table(spark, sf, "documents")
+    n = F.count("*")
+    scores = d.groupBy(F.col("lang").alias("stratum")).agg(F.avg((F.col("n_chars") > 1000).cast("double")).alias("x"))
+    shares = d.groupBy(F.col("lang").alias("stratum")).agg(n.cast("double").alias("frame_share"))
+    return evaluation.post_stratified(scores, shares, "x").select(micro(F.col("x")).alias("x"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN -1 ELSE turn * 100 + 3 END AS doc_start, CASE WHEN turn % 4 = 0 THEN 'in_prepended_header' END AS note FROM conversations WHERE length(text) > 20
+""")
+def document_spans(spark, sf):
+    rows = table(spark, sf, "conversations").filter(F.length("text") > 20)
+    span = retrieval.document_span(F.col("turn") * 100, F.col("turn") * 100 + F.length("text") - 5, F.col("text"), F.when(F.col("turn") % 4 == 0, 2).otherwise(8), F.lit(12))
+    return rows.select("conv_id", "turn", span["doc_start"].alias("doc_start"), span["note"].alias("note"))
+
+
+@query("""
+SELECT conv_id, turn, role IN ('PERSON', 'ORG', 'GPE', 'user') AND length(text) >= 2 AND NOT regexp_matches(text, '(?i)redacted|non-responsive|house\\s*oversight|https?|www\\.|\\.com\\b|@') AS plausible FROM conversations WHERE length(text) > 30
+""")
+def plausible_surfaces(spark, sf):
+    rows = table(spark, sf, "conversations").filter(F.length("text") > 30)
+    return rows.select("conv_id", "turn", retrieval.is_plausible(F.col("text"), F.when(F.col("role") == "user", "ORG").otherwise(F.col("role"))).alias("plausible"))
+
+
+@query()
+def candidate_lists(spark, sf):
+    rows = _arms(spark, sf).select("chunk_id", "surface", "type", "start")
+    return retrieval.candidate_lists(rows)
+
+
+@query("SELECT count(*) AS n_chunks, CAST(sum(length(text) // 4) AS BIGINT) AS input_tokens FROM documents")
+def extraction_cost(spark, sf):
+    return retrieval.extraction_cost(table(spark, sf, "documents"), 0.5, 2.5).select("n_chunks", "input_tokens")
+
+
+@query()
+def tagged_mentions(spark, sf):
+    """The tagger interface with a stand-in that finds words in capitals."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text")
+    return answering.tag(chunks, _capitals)
+
+
+def _capitals():
+    import re
+
+    return lambda text: [(w, "ORG") for w in re.findall(r"\b[A-Z]{4,}\b", text)[:50]]
+
+
+@query()
+def hashed_search(spark, sf):
+    """Benchmark items against documents by the built-in embedding."""
+    d = retrieval.hashed_embedding(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), "v")
+    q = retrieval.hashed_embedding(table(spark, sf, "benchmark")).select((-F.col("item_id") - 1).alias("query_id"), F.col("v").alias("q"))
+    return retrieval.top_k_many(d, q, 3).select("query_id", "id", "rank")
+
+
+@query()
+def canonical_addresses(spark, sf):
+    rows = table(spark, sf, "customer").select(F.concat(F.lower("c_mktsegment"), (F.col("c_custkey") % 5).cast("string"), F.lit("@ex.org")).alias("address"))
+    return resolution.canonical_addresses(rows)
+
+
 def flagship(spark, sf_dir):
     """Item pairs that co-occur more than chance."""
     return co_occurs_with(spark, sf_dir)
