@@ -54,6 +54,13 @@ class Workspace:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+        """A table dealt out by the key, so that joins on it move only the other side; and its name, to be dropped."""
+        table = f"docloom_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(table)
+        return self.spark.table(table), table
+
     def drop(self, name: str) -> None:
         remove_path(self.spark, f"{self.path}/{name}")
 

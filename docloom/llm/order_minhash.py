@@ -50,7 +50,7 @@ TABLES = 36
 SIZE = 3
 SMALL = 64
 FIRST = 6
-FURTHER = 6
+FURTHER = 3
 _WORD = re.compile(r"\w+")
 _STEP = 65_536  # shingles hashed at once for one text
 
@@ -147,19 +147,23 @@ def _near_in_length(n, m):
     return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
 
-def _verified(work: Workspace, pairs: DataFrame, codes: DataFrame, name: str) -> DataFrame:
-    """The pairs within the limit of edits. A tight band comes first: most copies have few edits."""
+def _verified(work: Workspace, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs(a, b) within the limit of edits. `texts` is dealt out by digest, so only pairs move to it.
+
+    Least texts of buckets stand in many pairs as `a`: their codes are fetched once each and joined as a plain table,
+    whose hot keys Spark can split.
+    """
     pairs = work.write(pairs, f"pairs-{name}")
-    needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    texts = codes.join(work.write(needed, f"needed-{name}"), "digest", "left_semi").groupBy("digest").agg(F.first("code").alias("code"))
-    texts = work.write(texts, f"texts-{name}")
-    left, right = texts.select(F.col("digest").alias("a"), F.col("code").alias("x")), texts.select(F.col("digest").alias("b"), F.col("code").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_bounded, "a binary, b binary, x string, y string")
+    code = texts.select(F.col("digest").alias("_d"), "code")
+    left = pairs.select("a").distinct().join(code, F.col("a") == F.col("_d")).select("a", F.col("code").alias("x"))
+    left = work.write(left, f"left-{name}")
+    right = work.write(pairs.join(code, F.col("b") == F.col("_d")).select("a", "b", F.col("code").alias("y")), f"right-{name}")
+    joined = right.join(left, "a").select("a", "b", "x", "y").mapInArrow(_bounded, "a binary, b binary, x string, y string")
     joined = work.write(joined, f"bounded-{name}")
     limit = "CAST(floor((1 - 0.8BD) * greatest(length(x), length(y))) AS INT)"
     near = " OR ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(32, {limit})", f"least(256, {limit})", limit))
     work.write(joined.filter("x IS NULL").select("a", "b").unionByName(joined.filter("x IS NOT NULL").filter(near).select("a", "b")), f"links-{name}")
-    for part in ("bounded", "texts", "needed"):
+    for part in ("bounded", "left", "right"):
         work.drop(f"{part}-{name}")
     return work.read(f"links-{name}")
 
@@ -233,8 +237,13 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Buckets that hold more than one class, with the number of their members."""
-    return members.groupBy("bucket").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("members")).filter("_a < _b").select("bucket", "members")
+    """(bucket): those that hold more than one class. Classes are told apart by 64 bits inside a bucket."""
+    mark = F.xxhash64("root")
+    return members.groupBy("bucket").agg(F.min(mark).alias("_a"), F.max(mark).alias("_b")).filter("_a < _b").select("bucket")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    return members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
 
 
 def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
@@ -248,18 +257,21 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, mark, alone for every row of docs."""
     work = Workspace(spark, "omh")
     rows = work.write(sketches(docs), "sketches")
-    texts = work.write(rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    codes = rows.filter("digest IS NOT NULL").select("digest", "code")
+    once = rows.filter("digest IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "code")])
+    texts, table = work.write_bucketed(once, "texts", "digest")
+    release(spark)
+
     texts_of = lambda roots, first, count: _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots).select("digest", "n", "root", F.explode("keys").alias("bucket"))
 
     # A few tables, by one pair per member, settle nearly all classes.
-    links = _verified(work, _star(work, texts_of(None, 1, FIRST), "first"), codes, "first")
+    links = _verified(work, _star(work, texts_of(None, 1, FIRST), "first"), texts, "first")
     roots = components(work, links, "roots-first")
     release(spark)
     # Then buckets of all tables that still hold several classes.
     entries = texts_of(roots, 1, TABLES)
     mixed = work.write(_mixed(entries), "mixed")
-    members = work.write(entries.join(mixed, "bucket"), "members")
+    members = work.write(entries.join(mixed, "bucket", "left_semi"), "members")
+    members = work.write(_sized(members), "sized")
     release(spark)
     pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
     wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
@@ -267,17 +279,20 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         further = texts.select("digest", F.slice("keys", TABLES - FURTHER + 1, FURTHER).alias("keys"))
         split = wide.join(further, "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n", "root")
         split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n", "root")
-        narrow = work.write(split.join(_mixed(split), "bucket"), "narrow")
+        narrow = work.write(_sized(work.write(split.join(_mixed(split), "bucket", "left_semi"), "narrow")), "narrow-sized")
         pairs = pairs.unionByName(_cross(narrow.filter(F.col("members") <= SMALL).drop("members"))).unionByName(_star(work, wide, "wide")).unionByName(_star(work, narrow.drop("members"), "narrow"))
-    found = _verified(work, pairs.distinct().join(links, ["a", "b"], "left_anti"), codes, "rest")
+    found = _verified(work, pairs.distinct().join(links, ["a", "b"], "left_anti"), texts, "rest")
     # New links join whole classes: components of the classes, then of their members.
     lifted = found.join(roots.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left")
     merged = components(work, lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "roots-rest")
     roots = work.write(_lifted(roots, merged), "roots")
+    spark.sql(f"DROP TABLE {table}")
+    work.drop("texts")
     release(spark)
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     ids = ids.filter("digest IS NOT NULL").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first_id", "copies", F.coalesce("root", "digest").alias("root"))
     ids = work.write(ids, "ids")
+    release(spark)
     named = ids.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     by_digest = work.write(ids.join(named, "root").select(F.col("digest").alias("_d"), "class_id", "class_size"), "classes")
     out = rows.select("doc_id", "mark", "digest").join(by_digest, F.col("digest") == F.col("_d"), "left")
