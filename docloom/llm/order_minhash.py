@@ -253,9 +253,9 @@ def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.unionByName(merged.join(moved.select("node"), "node", "left_anti"))
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """doc_id, class_id, class_size, mark, alone for every row of docs."""
-    work = Workspace(spark, "omh")
+    work = work or Workspace(spark, "omh")
     rows = work.write(sketches(docs), "sketches")
     once = rows.filter("digest IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "code")])
     texts, table = work.write_bucketed(once, "texts", "digest")
@@ -304,8 +304,9 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least doc_id; all documents without words stay."""
-    work = Workspace(spark, "omh-keep")
-    rows = work.write(classes(spark, docs), "classes")
+    work = Workspace(spark, "omh")
+    rows = work.write(classes(spark, docs, work), "classes-of-rows")
+    work.drop("sketches")
     # A class whose ids are all null still keeps one row: the class is then known by its members' marks.
     first = rows.filter("NOT alone").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("c")).select("c.doc_id", "c.mark", F.lit(False).alias("_alone"))
     chosen = work.write(first.unionByName(rows.filter("alone").select("doc_id", "mark", F.lit(True).alias("_alone")).distinct()), "chosen")
