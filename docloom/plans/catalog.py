@@ -89,7 +89,10 @@ def pattern_counts(spark, sf):
     return rows.select("doc_id", "n_redaction_marks", "n_emails", "n_phones", "n_dates", "n_proper_noun_spans")
 
 
-@query()
+_TYPES_SQL = " UNION ALL ".join(f"SELECT '{name}' AS doc_type, doc_id FROM documents WHERE regexp_matches(text, '{'(?im)' if fold else ''}{pattern}')" for name, fold, pattern in fixed.DOC_TYPES)
+
+
+@query(f"SELECT doc_type, count(*) AS n_docs FROM ({_TYPES_SQL}) GROUP BY 1")
 def document_types(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(profile.doc_types(F.col("text"))).alias("doc_type")).groupBy("doc_type").agg(F.count("*").alias("n_docs"))
 
@@ -258,7 +261,12 @@ def co_occurs_with(spark, sf):
     return rows.select("src", "dst", "n_chunks_joint", "n_docs", micro(F.col("npmi")).alias("npmi"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_type, user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, CAST(event_id AS VARCHAR)) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE event_type <> 'click'),
+g AS (SELECT *, sum(new) OVER (PARTITION BY event_type, user_id ORDER BY ts, CAST(event_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS k FROM e),
+t AS (SELECT 'about ' || event_type AS canonical, min('about ' || event_type || chr(31) || event_id) AS root, count(*) AS n_messages, min(ts) AS first_sent, max(ts) AS last_sent FROM g GROUP BY event_type, user_id, k HAVING count(*) >= 2)
+SELECT printf('THR_%04d', row_number() OVER (ORDER BY n_messages DESC, root) - 1) AS entity_id, 'THREAD' AS type, canonical, n_messages, CAST(1 AS BIGINT) AS n_participants, first_sent, last_sent FROM t
+""")
 def threads(spark, sf):
     """Events as messages: one subject a type, participants by user, a window of hours."""
     events = table(spark, sf, "events").filter("event_type <> 'click'")
@@ -478,7 +486,10 @@ def pending_documents(spark, sf):
     return ingest.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query()
+@query("""
+WITH c AS (SELECT lower(c_name) AS key, c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'address' WHEN c_custkey % 2 = 0 THEN 'exact' ELSE 'minted' END AS method FROM customer)
+SELECT key, method, CASE method WHEN 'address' THEN printf('ADR_%06d', k) WHEN 'exact' THEN printf('PER_%06d', k) ELSE printf('EML_%06d', row_number() OVER (PARTITION BY method ORDER BY key) - 1) END AS entity_id FROM c
+""")
 def actors(spark, sf):
     rows = table(spark, sf, "customer").select(F.lower("c_name").alias("key"), F.array(F.lower("c_mktsegment")).alias("names"))
     names = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.lower("c_name").alias("norm"), F.format_string("PER_%06d", "c_custkey").alias("entity_id"))
@@ -666,7 +677,10 @@ def pooled_mentions(spark, sf):
     return evaluation.disputed(evaluation.pool(_arms(spark, sf)), 3).select("doc_id", "norm", "n", "disputed")
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('deal|' || doc_id), doc_id) - 1 AS n FROM documents WHERE n_chars > 500 OR n_chars < 3000 OR lang = 'en')
+SELECT CAST(a AS INTEGER) AS annotator, count(*) AS n_docs FROM d, (VALUES (0), (1)) v(a) WHERE n < 10 OR (n - 10) % 2 = a GROUP BY 1
+""")
 def dealt_sheets(spark, sf):
     return evaluation.deal(evaluation.pool(_arms(spark, sf)), 2, 10).groupBy("annotator").agg(F.countDistinct("doc_id").alias("n_docs"))
 
@@ -710,7 +724,7 @@ def plausible_surfaces(spark, sf):
     return rows.select("conv_id", "turn", retrieval.is_plausible(F.col("text"), F.when(F.col("role") == "user", "ORG").otherwise(F.col("role"))).alias("plausible"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, '- ' || source || ' [' || lang || ']' AS candidates FROM documents WHERE n_chars > 500 OR n_chars < 3000 OR lang = 'en'")
 def candidate_lists(spark, sf):
     rows = _arms(spark, sf).select("chunk_id", "surface", "type", "start")
     return retrieval.candidate_lists(rows)
