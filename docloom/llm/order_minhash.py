@@ -254,7 +254,10 @@ def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """doc_id, class_id, class_size, mark, alone for every row of docs."""
+    """doc_id, class_id, class_size, mark, alone, root for every row of docs.
+
+    `root` (a digest, null if alone) names the class; class_id does not where ids are null or stand at different texts.
+    """
     work = work or Workspace(spark, "omh")
     rows = work.write(sketches(docs), "sketches")
     once = rows.filter("digest IS NOT NULL").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "keys", "code")])
@@ -294,12 +297,12 @@ def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None)
     ids = work.write(ids, "ids")
     release(spark)
     named = ids.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_digest = work.write(ids.join(named, "root").select(F.col("digest").alias("_d"), "class_id", "class_size"), "classes")
+    by_digest = work.write(ids.join(named, "root").select(F.col("digest").alias("_d"), "class_id", "class_size", "root"), "classes")
     out = rows.select("doc_id", "mark", "digest").join(by_digest, F.col("digest") == F.col("_d"), "left")
     alone = F.col("digest").isNull()
     class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
     size = F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long")
-    return out.select("doc_id", class_id.alias("class_id"), size.alias("class_size"), "mark", alone.alias("alone"))
+    return out.select("doc_id", class_id.alias("class_id"), size.alias("class_size"), "mark", alone.alias("alone"), "root")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -307,8 +310,8 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     work = Workspace(spark, "omh")
     rows = work.write(classes(spark, docs, work), "classes-of-rows")
     work.drop("sketches")
-    # A class whose ids are all null still keeps one row: the class is then known by its members' marks.
-    first = rows.filter("NOT alone").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("c")).select("c.doc_id", "c.mark", F.lit(False).alias("_alone"))
+    # By root, as several classes may have the class_id null or the same repeated doc_id.
+    first = rows.filter("NOT alone").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("c")).select("c.doc_id", "c.mark", F.lit(False).alias("_alone"))
     chosen = work.write(first.unionByName(rows.filter("alone").select("doc_id", "mark", F.lit(True).alias("_alone")).distinct()), "chosen")
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_alone")
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text"))

@@ -156,6 +156,15 @@ def test_classes_match_brute_force(spark):
     assert kept == {c for i, c in want.items() if c is not None}
 
 
+def test_classes_without_an_id_of_their_own_stay_apart(spark):
+    texts = [" ".join(words(900 + i, 60)) for i in range(6)]
+    near = " ".join([*texts[0].split()[:-1], "other"])
+    rows = [(None, t, "s") for t in (*texts[:3], near)] + [(7, t, "s") for t in texts[3:]]
+    kept = sorted((r.doc_id or 0, r.text) for r in order_minhash.keep_one(spark, docs(spark, rows)).collect())
+    assert [i for i, _ in kept] == [0, 0, 0, 7, 7, 7] and len({t for _, t in kept}) == 6
+    assert {t for _, t in kept} >= set(texts[1:])
+
+
 def test_order_matters_to_the_sketch():
     a = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     moved = np.concatenate([a[200:], a[:200]])
