@@ -101,11 +101,13 @@ def suffixes(texts):
 
     def winnowed(base: int, group: list[bytes]):
         joined = group[0] if len(group) == 1 else b"".join(group)
-        if len(joined) > _LONG:  # one long text, in parts that share LENGTH - 1 bytes
+        if len(joined) > _LONG:  # one long text, in parts that overlap; a run of windows is whole in the part where it starts
             for at in range(0, len(joined) - LENGTH + 1, _LONG):
-                part = joined[at : at + _LONG + LENGTH - 1]
+                left = max(0, at - 1)  # the window before tells whether the first run started earlier
+                part = joined[left : at + _LONG + _WIDTH + LENGTH - 1]
                 found = _anchors(np.frombuffer(part, np.uint8), np.zeros(1, np.int64), np.array([len(part)]))
-                yield described(part, np.full(found.shape[1], base), found, -at)
+                found = found[:, (found[1] >= at - left) & (found[1] < at - left + _LONG)]
+                yield described(part, np.full(found.shape[1], base), found, -left)
         elif len(joined) >= LENGTH:
             ends = np.cumsum([len(t) for t in group])
             starts = np.concatenate([[0], ends[:-1]])

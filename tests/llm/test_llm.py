@@ -361,6 +361,24 @@ def test_long_text_in_parts(monkeypatch):
     assert set(whole) == set(parts)
 
 
+def test_runs_at_part_boundaries_are_whole(monkeypatch):
+    data = np.random.default_rng(4).integers(97, 123, 30_000, np.uint8).tobytes()
+    found = lambda: [x for _, spots, keys, blocks in suffix_dedup.suffixes([data]) for x in zip(*spots.tolist(), keys, blocks)]
+    whole = found()
+    for size in (7_000, 1_001):
+        monkeypatch.setattr(suffix_dedup, "_LONG", size)
+        assert found() == whole
+
+
+def test_removal_in_a_text_of_several_parts(spark):
+    data = np.random.default_rng(5).integers(97, 123, 2 * suffix_dedup._LONG + 90_000, np.uint8).tobytes().decode()
+    alone, at = data[::-1], suffix_dedup._LONG
+    rows = [(1, alone, "s"), (2, data, "s"), (3, "A" + data[at - 450 : at + 450] + "B", "s")]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(spark, docs(spark, rows)).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert got == {1: (0, 0, sha(alone)), 2: (900, 1, sha(data[: at - 450] + data[at + 450 :])), 3: (900, 1, sha("AB"))}
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------------
 
 
