@@ -10,9 +10,11 @@ Candidates. Texts with equal words are one class from the start. In the first FI
 text is compared with its bucket's least one: one pair per member, which settles nearly all
 classes. Of all tables only buckets that still hold several classes are then compared in full, by
 all pairs of different classes for up to SMALL members; in a larger one each member meets the least
-one, and the members are dealt out by FURTHER more keys and compared in full there. So no bucket
-makes more than some SMALL/2 pairs per member, and links inside a class that is known already are
-not looked for.
+one first. Larger buckets that hold several classes even then are compared in full too, by blocks of
+BLOCK members against blocks: a pair goes on to verification unless lengths or word counts prove
+that it is not near. So every pair of different classes that shares a bucket is settled, and links
+inside a class that is known already are not looked for. The work of a large bucket of distinct
+documents grows with the square of its members, divided by BLOCK in rows.
 
 Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
 0.8 or more. Each word becomes one character (16 bits of its hash). First the two strings are
@@ -50,7 +52,8 @@ TABLES = 36
 SIZE = 3
 SMALL = 64
 FIRST = 6
-FURTHER = 3
+BLOCK = 1024
+_BINS = 256  # word counts that a pair is sifted by
 _WORD = re.compile(r"\w+")
 _STEP = 65_536  # shingles hashed at once for one text
 
@@ -229,6 +232,63 @@ def _star(work: Workspace, members: DataFrame, name: str) -> DataFrame:
     return joined.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
+def _counts(code: bytes) -> bytes:
+    """How often the words of each of _BINS kinds occur, 255 at most."""
+    kinds = np.frombuffer(zstandard.ZstdDecompressor().decompress(code), np.uint16) % _BINS
+    return np.minimum(np.bincount(kinds, minlength=_BINS), 255).astype(np.uint8).tobytes()
+
+
+def sift(left, right):
+    """(i, j) of the near-able pairs of left x right, each (roots, numbers of words, counts): an edit changes two counts by one at most."""
+    (ra, na, ca), (rb, nb, cb) = left, right
+    for i in range(len(ra)):
+        longer = np.maximum(na[i], nb)
+        j = np.flatnonzero((rb != ra[i]) & (5 * np.minimum(na[i], nb) >= 4 * longer))
+        if len(j):
+            apart = np.abs(cb[j] - ca[i]).sum(axis=1, dtype=np.int64)
+            j = j[apart <= 2 * (longer[j] // 5)]
+            yield from ((i, k) for k in j.tolist())
+
+
+def _blocks(wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different classes in wide(bucket, digest, n, root) that lengths and word counts leave open."""
+
+    def counted(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_counts(c.as_py()) for c in b.column(1)], pa.binary())], ["_d", "counts"])
+
+    code = texts.join(wide.select(F.col("digest").alias("_w")).distinct(), F.col("digest") == F.col("_w")).select("digest", "code")
+    members = _sized(wide).join(code.mapInArrow(counted, "_d binary, counts binary"), F.col("digest") == F.col("_d"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    members = members.withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = members.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "root", "counts")
+
+    def pairs(group: pa.Table) -> pa.Table:
+        own, digest, root = (np.array(group.column(c).to_pylist(), object) for c in ("own", "digest", "root"))
+        n = group.column("n").to_numpy()
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, _BINS).astype(np.int16)
+        first = group.column("p")[0].as_py()
+        at, to = np.flatnonzero(own == first), np.flatnonzero(own != first)
+        same = group.column("q")[0].as_py() == first
+        to = at if same else to
+        a, b = [], []
+        for i, j in sift((root[at], n[at], counts[at]), (root[to], n[to], counts[to])):
+            x, y = digest[at[i]], digest[to[j]]
+            if x < y or not same:
+                a.append(min(x, y))
+                b.append(max(x, y))
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return members.groupBy("bucket", "p", "q").applyInArrow(pairs, "a binary, b binary")
+
+
+def _joined(work: Workspace, roots: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """`roots` after the new links `found`, which join whole classes: components of the classes, then of their members."""
+    lifted = found.join(roots.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left")
+    merged = components(work, lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), f"roots-{name}")
+    return work.write(_lifted(roots, merged), f"all-{name}")
+
+
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """rows(.., digest) with the class that each text belongs to so far."""
     if roots is None:
@@ -278,17 +338,19 @@ def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None)
     release(spark)
     pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
     wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
-    if wide.limit(1).count():  # each member goes to the buckets of some of its own keys within the wide one
-        further = texts.select("digest", F.slice("keys", TABLES - FURTHER + 1, FURTHER).alias("keys"))
-        split = wide.join(further, "digest").select(F.explode("keys").alias("_key"), "bucket", "digest", "n", "root")
-        split = split.select(F.xxhash64("bucket", "_key").alias("bucket"), "digest", "n", "root")
-        narrow = work.write(_sized(work.write(split.join(_mixed(split), "bucket", "left_semi"), "narrow")), "narrow-sized")
-        pairs = pairs.unionByName(_cross(narrow.filter(F.col("members") <= SMALL).drop("members"))).unionByName(_star(work, wide, "wide")).unionByName(_star(work, narrow.drop("members"), "narrow"))
+    some = wide.limit(1).count() > 0
+    if some:
+        pairs = pairs.unionByName(_star(work, wide, "wide"))
     found = _verified(work, pairs.distinct().join(links, ["a", "b"], "left_anti"), texts, "rest")
-    # New links join whole classes: components of the classes, then of their members.
-    lifted = found.join(roots.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left")
-    merged = components(work, lifted.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "roots-rest")
-    roots = work.write(_lifted(roots, merged), "roots")
+    roots = _joined(work, roots, found, "rest")
+    if some:
+        wide = _rooted(wide.drop("root"), roots)
+        wide = work.write(wide.join(work.write(_mixed(wide), "wide-mixed"), "bucket", "left_semi"), "wide")
+        release(spark)
+        if wide.limit(1).count():
+            open_pairs = work.write(_blocks(wide, texts).distinct(), "open-pairs")
+            known = work.read("pairs-first").unionByName(work.read("pairs-rest")).select("a", "b")
+            roots = _joined(work, roots, _verified(work, open_pairs.join(known, ["a", "b"], "left_anti"), texts, "wide"), "wide")
     spark.sql(f"DROP TABLE {table}")
     work.drop("texts")
     release(spark)

@@ -165,6 +165,19 @@ def test_classes_without_an_id_of_their_own_stay_apart(spark):
     assert {t for _, t in kept} >= set(texts[1:])
 
 
+def test_near_copies_in_wide_buckets_are_found(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 50)
+    licence, rows = words(1_000, 150), []
+    for i in range(300):  # distinct documents with one licence, each with a copy that shares no other shingle
+        own = words(2_000 + i, 100, 100_000)
+        rows += [(2 * i, " ".join(licence + own), "s"), (2 * i + 1, " ".join(licence + [f"x{k}" if k % 5 == 2 else w for k, w in enumerate(own)]), "s")]
+    hashes = order_minhash._Hashes()
+    keys = [order_minhash.sketch(np.array([hashes[w] for w in text.split()], np.uint64)) for _, text, _ in rows]
+    meet = [i for i in range(300) if (keys[2 * i] == keys[2 * i + 1]).any()]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(spark, docs(spark, rows)).collect()}
+    assert len(meet) > 250 and got == {2 * i + k: 2 * i if k == 0 or i in meet else 2 * i + 1 for i in range(300) for k in (0, 1)}
+
+
 def test_order_matters_to_the_sketch():
     a = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     moved = np.concatenate([a[200:], a[:200]])
