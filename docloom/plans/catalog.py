@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import dates, fixed, profile, textmap
 from docloom.functions.profile import micro
 from docloom.operators import answering, edges, evaluation, graph, reports, resolution, retrieval, traversal
-from docloom.session import table
+from docloom.session import spread, table
 from docloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -63,7 +63,7 @@ _RATIOS = ["type_token_ratio", "mean_word_len", "mean_line_len", "alpha_ratio",
 
 @query(_PROFILE_SQL)
 def profile_metrics(spark, sf):
-    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = profile.profile(spread(table(spark, sf, "documents").select("doc_id", "text")))
     return rows.select("doc_id", *_EXACT, *[micro(F.col(c)).alias(c) for c in _RATIOS])
 
 
@@ -77,7 +77,7 @@ SELECT doc_id,
 FROM p
 """)
 def quality_flags(spark, sf):
-    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = profile.profile(spread(table(spark, sf, "documents").select("doc_id", "text")))
     rows = rows.withColumns({c: micro(F.col(c)) for c in ("no_vowel_type_ratio", "nonword_char_ratio", "common_word_ratio")})
     return rows.select("doc_id", profile.ocr_quality().alias("ocr_quality"), profile.text_style().alias("text_style"))
 
@@ -85,7 +85,7 @@ def quality_flags(spark, sf):
 @query()
 def pattern_counts(spark, sf):
     """Counts whose patterns bound words, which engines see differently in accented text."""
-    rows = profile.profile(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = profile.profile(spread(table(spark, sf, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_redaction_marks", "n_emails", "n_phones", "n_dates", "n_proper_noun_spans")
 
 

@@ -34,3 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def table(spark: SparkSession, sf_dir: str, name: str):
     share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows):
+    """rows dealt out over all cores where the files give fewer splits; many files are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
