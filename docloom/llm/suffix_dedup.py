@@ -1,19 +1,22 @@
 """Removing long repeated passages with a logarithmic family of sparse suffix arrays.
 
-A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere else.
+A byte goes if it lies in a string of `length` bytes that also starts anywhere else.
 
 Sparse suffixes. Of the suffixes of a text only anchored ones are kept: in every window of
-LENGTH bytes the K-byte string with the least hash, the leftmost of equals (winnowing). The
+`length` bytes the K-byte string with the least hash, the leftmost of equals (winnowing). The
 anchor of a window depends on the window's bytes alone, so two equal windows have anchors at
-the same offset, and only suffixes with equal beginnings need comparing. About one byte in 170
-is an anchor. A suffix is ordered by its first 12 bytes and then by a digest of its first K.
-
-Family of arrays. Batches of documents come one after the other. Each gets its sorted array of
-distinct suffix beginnings, which is merge-scanned (a sort-merge join) against every level that
-is there; beginnings met again are noted. Levels of equal size are merged before the next
-batch, so with B batches there are at most log2(B) levels and a beginning is rewritten as often.
-
-Long matches. For suffixes whose beginning is shared:
+the same offset, and only suffixes whose beginnings agree for K bytes need comparing. For 400
+bytes about one byte in 170 is an anchor.
+
+Family of arrays. A suffix array holds the distinct anchored suffixes of some batches, ordered by
+their first K bytes, as a table in ranges of that order with the length of the prefix that each
+shares with its predecessor. A new batch is merge-scanned against the levels that are there: one
+pass over the joint order compares neighbours, and a suffix is met again if it shares K bytes with
+one before it. Then levels of equal size merge, so B batches leave at most log2(B) + 1 levels and a
+suffix is rewritten as often. Levels are kept in the family's folder: `SuffixFamily` on the same
+folder goes on where it stood. A corpus is dealt into 1 + log2(suffixes / BATCH_SUFFIXES) batches.
+
+Long matches. A suffix that was met agrees for K bytes only, so its windows are compared in full:
  1. the block, all bytes of all windows with this anchor: an equal block elsewhere means every
     window of it repeats;
  2. otherwise nodes of NODE neighbouring windows at fixed distances from the anchor: the bytes
@@ -21,9 +24,12 @@ Long matches. For suffixes whose beginning is shared:
  3. otherwise each window of the node by itself.
 Comparisons are by 128-bit digests, counted with partial sums, so that a passage in a third of
 all documents is one row per task. Nothing pairs the copies, and no group is gathered anywhere.
+Neighbours in suffix order alone would not be exact here: the neighbour that agrees longest to the
+right of an anchor need not be the one that agrees longest to its left.
 
 Defined cases: a null text has no bytes; rows equal in id and text are different documents;
-texts under LENGTH bytes never match; an empty table gives an empty result. A removed run may cut
+texts under `length` bytes never match; an empty table gives an empty result; very long texts are
+winnowed in parts with the same result; columns of any name go along. A removed run may cut
 a character; `remove` then drops its rest from the text, while `digests` counts bytes exactly.
 """
 
@@ -38,13 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import Workspace, record_batches, release
+from docloom.llm.common import Workspace, list_names, record_batches, release, remove_path
 
 LENGTH = 400
 K = 64
 NODE = 48
-BATCHES = 4
-_WIDTH = LENGTH - K + 1  # K-byte strings in a window
+BATCH_SUFFIXES = 1_000_000
 _GROUP = 400_000  # bytes winnowed at once: the arrays stay in cache
 _LONG = 8_000_000  # longer texts are winnowed in overlapping parts
 _POS = np.uint64((1 << 24) - 1)
@@ -62,10 +67,10 @@ with np.errstate(over="ignore"):
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
     """(anchor, first window, last window) for every run of windows with one anchor; texts are data[start:end]."""
-    n = len(data)
-    keep = ends - starts >= LENGTH
+    n, width = len(data), length - K + 1  # K-byte strings in a window
+    keep = ends - starts >= length
     starts, ends = starts[keep], ends[keep]
     if not len(starts):
         return np.zeros((3, 0), np.int64)
@@ -77,12 +82,12 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         h = _mix(h)
     v = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     m = 1
-    while 2 * m <= _WIDTH:
+    while 2 * m <= width:
         v = np.minimum(v[:-m], v[m:])
         m *= 2
-    if m < _WIDTH:
-        v = np.minimum(v[: n - LENGTH + 1], v[_WIDTH - m :])
-    sizes = ends - starts - LENGTH + 1
+    if m < width:
+        v = np.minimum(v[: n - length + 1], v[width - m :])
+    sizes = ends - starts - length + 1
     windows = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     at = (v[windows] & _POS).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -90,28 +95,27 @@ def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return np.stack([at[first], windows[first], windows[last]])
 
 
-def suffixes(texts):
-    """For groups of an iterable of texts: (text numbers, anchor / first / last window, beginnings, block digests)."""
+def suffixes(texts, length: int = LENGTH):
+    """For groups of an iterable of texts: (text numbers, anchor / first / last window, first K bytes of the suffixes, block digests)."""
     digest = xxhash.xxh3_128_digest
 
     def described(joined: bytes, number, found, shift):
         at = found.T.tolist()
-        keys = [joined[a : a + 12] + digest(joined[a : a + K])[:12] for a, _, _ in at]
-        return number, found - shift, keys, [digest(joined[lo : hi + LENGTH]) for _, lo, hi in at]
+        return number, found - shift, [joined[a : a + K] for a, _, _ in at], [digest(joined[lo : hi + length]) for _, lo, hi in at]
 
     def winnowed(base: int, group: list[bytes]):
         joined = group[0] if len(group) == 1 else b"".join(group)
         if len(joined) > _LONG:  # one long text, in parts that overlap; a run of windows is whole in the part where it starts
-            for at in range(0, len(joined) - LENGTH + 1, _LONG):
+            for at in range(0, len(joined) - length + 1, _LONG):
                 left = max(0, at - 1)  # the window before tells whether the first run started earlier
-                part = joined[left : at + _LONG + _WIDTH + LENGTH - 1]
-                found = _anchors(np.frombuffer(part, np.uint8), np.zeros(1, np.int64), np.array([len(part)]))
+                part = joined[left : at + _LONG + 2 * length - K]
+                found = _anchors(np.frombuffer(part, np.uint8), np.zeros(1, np.int64), np.array([len(part)]), length)
                 found = found[:, (found[1] >= at - left) & (found[1] < at - left + _LONG)]
                 yield described(part, np.full(found.shape[1], base), found, -left)
-        elif len(joined) >= LENGTH:
+        elif len(joined) >= length:
             ends = np.cumsum([len(t) for t in group])
             starts = np.concatenate([[0], ends[:-1]])
-            found = _anchors(np.frombuffer(joined, np.uint8), starts, ends)
+            found = _anchors(np.frombuffer(joined, np.uint8), starts, ends, length)
             number = np.searchsorted(ends, found[0], side="right")
             yield described(joined, number + base, found, starts[number])
 
@@ -132,56 +136,123 @@ def _row_key():
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per anchored suffix of docs(rk, body)."""
 
     def run(batches):
         for b in batches:
-            for which, (a, lo, hi), keys, blocks in suffixes(x.as_py() for x in b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(a), pa.array(lo), pa.array(hi), pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())], ["rk", "pos", "lo", "hi", "key", "block"])
+            for which, (a, lo, hi), keys, blocks in suffixes((x.as_py() for x in b.column(1)), length):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(a), pa.array(lo), pa.array(hi), pa.array(keys, pa.binary()), pa.array(blocks, pa.binary())], ["rk", "pos", "lo", "hi", "suffix", "block"])
 
-    return docs.mapInArrow(run, "rk binary, pos long, lo long, hi long, key binary, block binary")
+    return docs.mapInArrow(run, "rk binary, pos long, lo long, hi long, suffix binary, block binary")
 
 
-class SuffixFamily:
-    """Levels of sorted suffix beginnings, each a written table; sizes are powers of two, in batches."""
+def _combined(batches):
+    """(suffix, fresh) to (suffix, fresh, n): equal ones of a task are one row, so that no suffix fills a range of the order."""
+    held, size = [], 0
 
-    def __init__(self, work: Workspace):
-        self.work, self.levels, self.count = work, [], 0  # levels: (batches, table)
+    def counted():
+        table = pa.Table.from_batches(held).group_by(["suffix", "fresh"]).aggregate([("n", "sum")])
+        return [pa.RecordBatch.from_arrays([b.column("suffix"), b.column("fresh"), b.column("n_sum")], ["suffix", "fresh", "n"]) for b in table.to_batches(max_chunksize=20_000)]
+
+    for b in batches:
+        held.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(b.num_rows, np.int64))], ["suffix", "fresh", "n"]))
+        size += b.num_rows
+        if size > 200_000:
+            yield from counted()
+            held, size = [], 0
+    if held:
+        yield from counted()
+
+
+def shared_prefixes(suffixes: list[bytes]) -> np.ndarray:
+    """Of each of some ordered suffixes the bytes that it shares with its predecessor; none for the first."""
+    if not suffixes:
+        return np.zeros(0, np.int64)
+    text = np.frombuffer(b"".join(suffixes), np.uint8).reshape(len(suffixes), K)
+    same = text[1:] == text[:-1]
+    return np.concatenate([[0], np.where(same.all(1), K, same.argmin(1))])
+
+
+def _scanned(batches):
+    """Ordered (suffix, fresh, n) of a range to its array of the fresh ones: (suffix, lcp, met)."""
+    last, lcp_of_last, fresh, n = None, 0, False, 0
+
+    def rows():
+        nonlocal last, lcp_of_last, fresh, n
+        for b in batches:
+            for lo in range(0, b.num_rows, 20_000):
+                part = b.slice(lo, 20_000)
+                texts = part.column(0).to_pylist()
+                lcps = shared_prefixes([last, *texts])[1:] if last is not None else shared_prefixes(texts)
+                for text, lcp, is_fresh, count in zip(texts, lcps.tolist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    if lcp < K or last is None:
+                        if fresh:
+                            yield last, lcp_of_last, n > 1
+                        last, lcp_of_last, fresh, n = text, lcp, False, 0
+                    fresh, n = fresh or is_fresh, n + count
+        if fresh:
+            yield last, lcp_of_last, n > 1
+
+    yield from record_batches(rows(), ["suffix", "lcp", "met"], [pa.binary(), pa.int64(), pa.bool_()], 20_000)
 
-    def _merge_equal(self) -> None:
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels[-2:]
-            name = f"level-{2 * n}-{self.count}"
-            both = self.work.read(a).unionByName(self.work.read(b)).distinct()
-            self.work.write(both.sortWithinPartitions("key"), name)
-            self.levels[-2:] = [(2 * n, name)]
-            self.work.drop(a)
-            self.work.drop(b)
+
+class SuffixFamily:
+    """Suffix arrays of batches in levels, tables of a folder that are found again; level-a-b holds batches a to b."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        spans = sorted(tuple(map(int, x.split("-")[1:])) for x in list_names(spark, folder) if x.startswith("level-"))
+        self.levels = [x for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)]  # a merge that was cut off leaves its parts behind
+        for x in set(spans) - set(self.levels):
+            remove_path(spark, self._path(x))
+
+    def _path(self, level: tuple[int, int]) -> str:
+        return f"{self.folder}/level-{level[0]}-{level[1]}"
+
+    def array(self, level: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema("suffix binary, lcp long, met boolean").parquet(self._path(level))
+
+    def _write(self, rows: DataFrame, level: tuple[int, int]) -> None:
+        """Order rows(suffix, fresh, n) and scan neighbours; only fresh suffixes are kept."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = rows.repartitionByRange(parts, "suffix").sortWithinPartitions("suffix")
+        made = f"{self.folder}/new-{level[0]}-{level[1]}"
+        ordered.mapInArrow(_scanned, "suffix binary, lcp long, met boolean").write.mode("overwrite").parquet(made)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path(made).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(path(made), path(self._path(level)))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch of postings in; the beginnings that it repeats, in itself or from earlier batches."""
+        """Take in a batch(suffix): its suffixes that it repeats, in itself or from earlier batches."""
+        new = (self.levels[-1][1] + 1,) * 2 if self.levels else (0, 0)
+        rows = batch.select("suffix", F.lit(True).alias("fresh")).mapInArrow(_combined, "suffix binary, fresh boolean, n long")
+        for level in self.levels:
+            rows = rows.unionByName(self.array(level).select("suffix", F.lit(False).alias("fresh"), F.lit(1).cast("long").alias("n")))
+        self._write(rows, new)
+        met = self.array(new).filter("met").select("suffix").write.mode("overwrite")
+        met.parquet(f"{self.folder}/met-{new[0]}")
+        self.levels.append(new)
         self._merge_equal()
-        self.count += 1
-        name = f"array-{self.count}"
-        array = self.work.write(batch.groupBy("key").agg((F.count("*") > 1).alias("again")).sortWithinPartitions("key"), name)
-        met = array.filter("again").select("key")
-        for _, level in self.levels:
-            met = met.unionByName(array.join(self.work.read(level), "key", "left_semi").select("key"))
-        met = self.work.write(met, f"met-{self.count}")
-        kept = self.work.write(array.select("key"), f"level-1-{self.count}")
-        self.work.drop(name)
-        self.levels.append((1, f"level-1-{self.count}"))
-        assert kept.columns == ["key"]
-        return met
-
-
-def _nodes():
+        return self.spark.read.schema("suffix binary").parquet(f"{self.folder}/met-{new[0]}")
+
+    def _merge_equal(self) -> None:
+        size = lambda x: x[1] - x[0]
+        while len(self.levels) > 1 and size(self.levels[-1]) == size(self.levels[-2]):
+            a, b = self.levels[-2:]
+            both = self.array(a).unionByName(self.array(b)).select("suffix", F.lit(True).alias("fresh"), F.lit(1).cast("long").alias("n"))
+            self._write(both, (a[0], b[1]))
+            self.levels[-2:] = [(a[0], b[1])]
+            for x in (a, b):
+                remove_path(self.spark, self._path(x))
+
+
+def _nodes(length: int):
     """(first, last) distance from the anchor back to a window's start, for every node."""
-    return [(d, min(d + NODE, _WIDTH) - 1) for d in range(0, _WIDTH, NODE)]
+    width = length - K + 1
+    return [(d, min(d + NODE, width) - 1) for d in range(0, width, NODE)]
 
 
-def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """The bytes around each representative suffix, as far as its windows may reach."""
     wanted = reps.groupBy("rk").agg(F.collect_list(F.struct("pos", "lo", "hi", "n")).alias("spots"))
     joined = wanted.join(docs, "rk").select("rk", "body", "spots").sortWithinPartitions("rk")
@@ -195,8 +266,8 @@ def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     continue
                 seen = rk
                 for s in spots.as_py():
-                    left = max(0, s["pos"] - _WIDTH + 1)
-                    yield rk, s["pos"], s["n"], s["pos"] - s["hi"], s["pos"] - s["lo"], s["pos"] - left, body[left : s["pos"] + LENGTH]
+                    left = max(0, s["pos"] - length + K)
+                    yield rk, s["pos"], s["n"], s["pos"] - s["hi"], s["pos"] - s["lo"], s["pos"] - left, body[left : s["pos"] + length]
 
     def run(batches):
         yield from record_batches(spots(batches), _CONTEXT_NAMES, _CONTEXT_TYPES)
@@ -208,16 +279,16 @@ _CONTEXT_NAMES = ["rk", "pos", "n", "near", "far", "at", "ctx"]
 _CONTEXT_TYPES = [pa.binary(), *[pa.int64()] * 5, pa.binary()]
 
 
-def _node_rows(contexts: DataFrame) -> DataFrame:
+def _node_rows(contexts: DataFrame, length: int) -> DataFrame:
     def nodes(batches):
-        digest = xxhash.xxh3_128_digest
+        digest, nodes_of = xxhash.xxh3_128_digest, _nodes(length)
         for b in batches:
             for rk, pos, n, near, far, at, ctx in zip(*(c.to_pylist() for c in b.columns)):
-                for j, (d1, d2) in enumerate(_nodes()):
-                    if d2 < near or d1 > far or d1 > at or at - d2 + LENGTH > len(ctx):
+                for j, (d1, d2) in enumerate(nodes_of):
+                    if d2 < near or d1 > far or d1 > at or at - d2 + length > len(ctx):
                         continue
-                    whole = digest(ctx[at - d2 : at - d1 + LENGTH]) if d2 <= at and at - d1 + LENGTH <= len(ctx) else None
-                    yield rk, pos, n, j, digest(ctx[at - d1 : at - d2 + LENGTH]), whole
+                    whole = digest(ctx[at - d2 : at - d1 + length]) if d2 <= at and at - d1 + length <= len(ctx) else None
+                    yield rk, pos, n, j, digest(ctx[at - d1 : at - d2 + length]), whole
 
     def run(batches):
         yield from record_batches(nodes(batches), ["rk", "pos", "n", "node", "core", "whole"], [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
@@ -225,18 +296,18 @@ def _node_rows(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(run, "rk binary, pos long, n long, node int, core binary, whole binary")
 
 
-def _window_rows(contexts: DataFrame, live: DataFrame) -> DataFrame:
+def _window_rows(contexts: DataFrame, live: DataFrame, length: int) -> DataFrame:
     lists = live.groupBy("rk", "pos").agg(F.collect_set("node").alias("nodes"))
     joined = contexts.join(lists, ["rk", "pos"]).select(*_CONTEXT_NAMES, "nodes")
 
     def windows(batches):
-        digest, nodes = xxhash.xxh3_128_digest, _nodes()
+        digest, nodes = xxhash.xxh3_128_digest, _nodes(length)
         for b in batches:
             for rk, pos, n, near, far, at, ctx, js in zip(*(c.to_pylist() for c in b.columns)):
                 for j in js:
                     for d in range(max(near, nodes[j][0]), min(far, nodes[j][1]) + 1):
-                        if d <= at and at - d + LENGTH <= len(ctx):
-                            yield rk, n, pos - d, digest(ctx[at - d : at - d + LENGTH])
+                        if d <= at and at - d + length <= len(ctx):
+                            yield rk, n, pos - d, digest(ctx[at - d : at - d + length])
 
     def run(batches):
         yield from record_batches(windows(batches), ["rk", "n", "start", "string"], [pa.binary(), pa.int64(), pa.int64(), pa.binary()])
@@ -244,42 +315,42 @@ def _window_rows(contexts: DataFrame, live: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "rk binary, n long, start long, string binary")
 
 
-def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, batches: int = BATCHES) -> DataFrame:
+def repeated_ranges(spark: SparkSession, docs: DataFrame, work: Workspace, length: int = LENGTH, batch_suffixes: int | None = None) -> DataFrame:
     """(rk, spans): byte ranges to remove for each row of docs(rk, body) that has any."""
-    numbered = postings(docs).withColumn("batch", F.pmod(F.xxhash64("rk"), F.lit(batches)))
-    numbered.write.partitionBy("batch").parquet(f"{work.path}/postings")
-    every = spark.read.schema("rk binary, pos long, lo long, hi long, key binary, block binary, batch long").parquet(f"{work.path}/postings")
-    family = SuffixFamily(work)
+    every = work.write(postings(docs, length), "postings")
+    batches = 1 + (every.count() // (batch_suffixes or BATCH_SUFFIXES)).bit_length()
+    family = SuffixFamily(spark, f"{work.path}/family")
     met = None
     for i in range(batches):
-        own = family.add(every.filter(F.col("batch") == i))
+        own = family.add(every.filter(F.pmod(F.xxhash64("rk"), F.lit(batches)) == i).select("suffix"))
         met = own if met is None else met.unionByName(own)
+        release(spark)
     shared = work.write(met.distinct(), "shared")
-    found = work.write(every.drop("batch").join(shared, "key", "left_semi"), "found")
-    for _, level in family.levels:
-        work.drop(level)
+    found = work.write(every.join(shared, "suffix", "left_semi"), "found")
+    work.drop("family")
     work.drop("postings")
     release(spark)
 
-    reps = work.write(found.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pos", "lo", "hi")).alias("rep")).select("key", "block", "n", "rep.*"), "reps")
+    least = F.min(F.struct("rk", "pos", "lo", "hi")).alias("rep")  # a block holds its suffix
+    reps = work.write(found.groupBy("block").agg(F.count("*").alias("n"), least, F.first("suffix").alias("suffix")).select("suffix", "block", "n", "rep.*"), "reps")
     twice = reps.filter("n > 1").select("block")
-    ranges = work.write(found.join(twice, "block", "left_semi").select("rk", "lo", (F.col("hi") + LENGTH).alias("hi")), "ranges-0")
-    open_keys = work.write(reps.filter("n = 1").select("key").distinct(), "open")
-    contexts = work.write(_contexts(docs, reps.join(open_keys, "key", "left_semi")), "contexts")
+    ranges = work.write(found.join(twice, "block", "left_semi").select("rk", "lo", (F.col("hi") + length).alias("hi")), "ranges-0")
+    open_keys = work.write(reps.filter("n = 1").select("suffix").distinct(), "open")
+    contexts = work.write(_contexts(docs, reps.join(open_keys, "suffix", "left_semi"), length), "contexts")
     release(spark)
 
-    rows = work.write(_node_rows(contexts), "nodes")
+    rows = work.write(_node_rows(contexts, length), "nodes")
     cores = work.write(rows.groupBy("core").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 AND least = 1").select("core"), "cores")
     wholes = work.write(rows.filter("whole IS NOT NULL").groupBy("whole").agg(F.sum("n").alias("w")).filter("w > 1").select("whole"), "wholes")
-    bounds = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _nodes()]), F.col("node") + 1)
+    bounds = F.element_at(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _nodes(length)]), F.col("node") + 1)
     in_whole = rows.filter("n = 1").join(wholes, "whole", "left_semi")
-    ranges1 = work.write(in_whole.select("rk", (F.col("pos") - bounds["b"]).alias("lo"), (F.col("pos") - bounds["a"] + LENGTH).alias("hi")), "ranges-1")
-    unsettled = rows.filter("n = 1").join(wholes, "whole", "left_anti").join(cores, "core", "left_semi").select("core").distinct()
-    unsettled = work.write(unsettled, "unsettled")
+    ranges1 = work.write(in_whole.select("rk", (F.col("pos") - bounds["b"]).alias("lo"), (F.col("pos") - bounds["a"] + length).alias("hi")), "ranges-1")
+    single = work.write(rows.filter("n = 1").join(wholes, "whole", "left_anti").select("core").distinct(), "single")
+    unsettled = work.write(cores.join(single, "core", "left_semi"), "unsettled")
     live = rows.join(unsettled, "core", "left_semi").select("rk", "pos", "node")
-    windows = work.write(_window_rows(contexts, live), "windows")
+    windows = work.write(_window_rows(contexts, live, length), "windows")
     strings = work.write(windows.groupBy("string").agg(F.sum("n").alias("w")).filter("w > 1").select("string"), "strings")
-    ranges2 = windows.filter("n = 1").join(strings, "string", "left_semi").select("rk", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi"))
+    ranges2 = windows.filter("n = 1").join(strings, "string", "left_semi").select("rk", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
     out = ranges.unionByName(ranges1).unionByName(ranges2).groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     out = work.write(out, "spans")
     for name in ("found", "contexts", "nodes", "windows"):
@@ -298,9 +369,10 @@ def merge_spans(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut(body: bytes, spans) -> tuple[bytes, int, int]:
-    """(kept bytes, removed bytes, removed runs)."""
+def cut(body: bytes, spans, min_words: int = 0) -> tuple[bytes, int, int]:
+    """(kept bytes, removed bytes, removed runs); runs of fewer than `min_words` words stay."""
     runs = merge_spans((s["lo"], s["hi"]) for s in spans or ())
+    runs = [(lo, hi) for lo, hi in runs if not min_words or len(body[lo:hi].split()) >= min_words]
     kept, at = [], 0
     for lo, hi in runs:
         kept.append(body[at:lo])
@@ -309,14 +381,14 @@ def cut(body: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(kept), sum(hi - lo for lo, hi in runs), len(runs)
 
 
-def _with_spans(spark: SparkSession, docs: DataFrame, columns: list[str]) -> DataFrame:
+def _with_spans(spark: SparkSession, docs: DataFrame, columns: list[str], length: int) -> DataFrame:
     work = Workspace(spark, "suffix")
     rows = docs.select(F.struct(*columns).alias("row"), _row_key().alias("rk"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    spans = repeated_ranges(spark, rows.select("rk", "body"), work)
+    spans = repeated_ranges(spark, rows.select("rk", "body"), work, length)
     return rows.join(spans, "rk", "left").select("row", "body", "spans")
 
 
-def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def digests(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
 
     def rows(batches):
@@ -329,11 +401,14 @@ def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def run(batches):
         yield from record_batches(rows(batches), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [*[pa.int64()] * 4, pa.string()])
 
-    return _with_spans(spark, docs, ["doc_id"]).select(F.col("row.doc_id").cast("long").alias("doc_id"), "body", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(spark, docs, ["doc_id"], length).select(F.col("row.doc_id").cast("long").alias("doc_id"), "body", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
 
+def remove(spark: SparkSession, docs: DataFrame, length: int = LENGTH, min_words: int = 0) -> DataFrame:
+    """The documents without their repeated passages; a column n_chars, if there, follows the text.
 
-def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents without their repeated passages; a column n_chars, if there, follows the text."""
+    With `min_words` only runs of that many words go: set `length` to bytes that so many words always have.
+    """
     names = docs.columns
     at = names.index("text")
     schema = T.StructType([f if i != at else T.StructField("text", T.StringType()) for i, f in enumerate(docs.schema.fields)])
@@ -342,10 +417,10 @@ def remove(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for b in batches:
             bodies, spans = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
             there = b.column(at).to_pylist()
-            texts = [cut(body, s)[0].decode("utf-8", "ignore") if ok else None for ok, body, s in zip(there, bodies, spans)]
+            texts = [cut(body, s, min_words)[0].decode("utf-8", "ignore") if ok else None for ok, body, s in zip(there, bodies, spans)]
             yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names)))], names)
 
-    rows = _with_spans(spark, docs, names)
+    rows = _with_spans(spark, docs, names, length)
     flagged = rows.select(*[F.col("row.text").isNotNull().alias("_c") if c == "text" else F.col("row")[c].alias(f"_c{i}") for i, c in enumerate(names)], "body", "spans")
     out = flagged.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

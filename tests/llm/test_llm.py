@@ -366,6 +366,40 @@ def test_removal_matches_brute_force(spark):
     assert suffix_dedup.digests(spark, docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("length", [100, 400])
+def test_removal_in_many_batches(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 8)
+    r, base = random.Random(8), " ".join(words(3, 2000))
+    rows = [(i, " ".join(words(50 + i, 60)) + base[(a := r.randrange(9000)) : a + r.choice([length - 1, length, 3 * length])], "s") for i in range(60)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(spark, docs(spark, rows), length).collect())
+    assert got == [(i, *w) for (i, _, _), w in zip(rows, brute_removal([t.encode() for _, t, _ in rows], length))]
+
+
+def test_family_keeps_ordered_levels(spark):
+    folder, r = f"{Workspace(spark, 'test').path}/family", random.Random(2)
+    make = lambda n: [bytes(r.choice(b"ab") for _ in range(9)) + bytes(suffix_dedup.K - 9) for _ in range(n)]
+    seen, frame = set(), lambda rows: spark.createDataFrame([(bytearray(x),) for x in rows], "suffix binary")
+    for k in range(6):
+        batch = make(60)
+        family = suffix_dedup.SuffixFamily(spark, folder)  # another object each time: the levels are in the folder
+        met = {bytes(x.suffix) for x in family.add(frame(batch)).collect()}
+        assert met == {x for x in batch if x in seen or batch.count(x) > 1}
+        seen |= set(batch)
+        sizes = [b - a + 1 for a, b in family.levels]
+        assert sum(sizes) == k + 1 and sizes == sorted(set(sizes), reverse=True)
+        for level in family.levels:
+            rows = sorted((x.f, x.at, bytes(x.suffix)) for x in family.array(level).select("suffix", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at")).collect())
+            assert [x for *_, x in rows] == sorted({x for *_, x in rows})
+    assert suffix_dedup.shared_prefixes([b"a" * 64, b"a" * 63 + b"b", b"a" * 63 + b"b"]).tolist() == [0, 63, 64]
+
+
+def test_only_runs_of_enough_words_go(spark):
+    passage, short = " ".join(words(700, 60)), " ".join(words(701, 45, 10**12))
+    rows = [(i, " ".join(words(800 + i, 40)) + " " + (passage if i < 2 else short) + " " + " ".join(words(900 + i, 40)), "s") for i in range(4)]
+    left = {r.doc_id: r.text for r in suffix_dedup.remove(spark, docs(spark, rows), 100, 51).collect()}
+    assert all(len(left[i].split()) in (80, 81) for i in (0, 1)) and all(left[i] == rows[i][1] for i in (2, 3))
+
+
 def test_long_text_in_parts(monkeypatch):
     data = bytes(random.Random(1).randrange(97, 123) for _ in range(30_000))
     whole = [x for _, spots, keys, _ in suffix_dedup.suffixes([data]) for x in zip(spots[0].tolist(), keys)]
