@@ -1,9 +1,14 @@
 """The training-data pipeline over `documents`; each stage works on what its predecessor kept.
 
 Quality: documents scored under 0.5 go. Near-duplicates: one document of each class stays. Suffix
-arrays: passages of 400 bytes and more that repeat anywhere go, the rest of a document stays.
+arrays: passages of over 50 words that repeat anywhere go, the rest of a document stays.
 Mixing: each document is repeated, kept or left out so that sources meet their targets. Encoding:
 the texts become pieces, with a proof that decoding gives the text again.
+
+Defined cases: a null or empty text is scored like any other and, if it stays, has no pieces; null ids
+are different documents; repeated rows are near-duplicates of each other; of ties the least id stays; texts
+of any length are worked on whole; columns besides those of documents go along up to the last stage; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +21,10 @@ from docloom.llm.common import Workspace
 from docloom.session import table
 
 
+#: A repeated passage goes from so many words on; PASSAGE_BYTES of them are compared first, fewer than so many words have.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -25,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove(spark, docs)
+    return suffix_dedup.remove(spark, docs, length=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
