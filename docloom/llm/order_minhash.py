@@ -8,19 +8,20 @@ so a key speaks for edit similarity and not for a bag of shingles.
 
 Candidates. Texts with equal words are one class from the start. In the first FIRST tables every
 text is compared with its bucket's least one: one pair per member, which settles nearly all
-classes. Of all tables only buckets that still hold several classes are then compared in full, by
-all pairs of different classes for up to SMALL members; in a larger one each member meets the least
-one first. Larger buckets that hold several classes even then are compared in full too, by blocks of
-BLOCK members against blocks: a pair goes on to verification unless lengths or word counts prove
-that it is not near. So every pair of different classes that shares a bucket is settled, and links
-inside a class that is known already are not looked for. The work of a large bucket of distinct
-documents grows with the square of its members, divided by BLOCK in rows.
+classes. Then buckets of all tables that hold several classes are looked at: in each round one text of
+each class meets one of a leading class, all drawn anew by a hash of the round, until a round joins
+none. Only buckets that then still hold several classes are compared in full, by all pairs of different classes for up to
+SMALL members and in larger ones by blocks of BLOCK members against blocks: a pair goes on to
+verification unless lengths or word counts prove that it is not near. So every pair of different
+classes that shares a bucket is settled, and links inside a class that is known already are not
+looked for. The work of a large bucket of distinct documents grows with the square of its members,
+divided by BLOCK in rows.
 
 Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
-0.8 or more. Each word becomes one character (16 bits of its hash). First the two strings are
-aligned at their common unique runs of three words inside the band of the limit; the edits that
-this alignment needs are an upper bound, so a bound within the limit settles the pair. For the
-rest Spark's `levenshtein` with a limit aligns exactly inside bands of growing width.
+0.8 or more. Each word becomes one character (16 bits of its hash). First two bounds are taken from
+runs of three words: as an edit spoils three of them, too few common ones mean that a pair is not
+near; and the alignment at their common unique ones inside the band of the limit gives edits that
+suffice. For the rest Spark's `levenshtein` with a limit aligns exactly inside bands of growing width.
 Classes are the connected components of the links; an id's class is its least doc_id.
 
 Recall. Copies whose shingles agree in share J meet in a bucket with probability
@@ -53,6 +54,7 @@ SIZE = 3
 SMALL = 64
 FIRST = 6
 BLOCK = 1024
+ROUNDS, WORTH = 4, 50  # rounds go on while a pair in so many joins classes; what they leave is compared in full
 _BINS = 256  # word counts that a pair is sifted by
 _WORD = re.compile(r"\w+")
 _STEP = 65_536  # shingles hashed at once for one text
@@ -175,46 +177,58 @@ def _limit(n: int, m: int) -> int:
     return max(n, m) // 5
 
 
-def edit_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """Edits that suffice to turn a into b: those of an alignment at common unique runs of three words."""
-    n, m, limit = len(a), len(b), _limit(len(a), len(b))
-    if min(n, m) < 3:
-        return max(n, m) if n != m or (a != b).any() else 0
+def _runs(w: np.ndarray):
+    """The different runs of three words: their hashes in order, first places, times."""
+    h = (w[:-2].astype(np.uint64) << np.uint64(42)) ^ (w[1:-1].astype(np.uint64) << np.uint64(21)) ^ w[2:].astype(np.uint64)
+    return np.unique(h, return_index=True, return_counts=True)
 
-    def unique_runs(w):
-        h = (w[:-2].astype(np.uint64) << np.uint64(42)) ^ (w[1:-1].astype(np.uint64) << np.uint64(21)) ^ w[2:].astype(np.uint64)
-        runs, first, times = np.unique(h, return_index=True, return_counts=True)
-        return runs[times == 1], first[times == 1]
 
-    (ha, pa_), (hb, pb_) = unique_runs(a), unique_runs(b)
+def edit_bounds(a: np.ndarray, b: np.ndarray, runs_a=None) -> tuple[int, int]:
+    """(least, most) edits from a to b: an edit spoils three runs of three words at most; an alignment at common unique runs suffices."""
+    n, m, limit = len(a), len(b), _limit(len(a), len(b))
+    if min(n, m) < 3:
+        most = max(n, m) if n != m or (a != b).any() else 0
+        return min(most, abs(n - m)), most
+    (ha, first_a, times_a), (hb, first_b, times_b) = runs_a or _runs(a), _runs(b)
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    p, q = pa_[i], pb_[j]
+    least = max(abs(n - m), -((int(np.minimum(times_a[i], times_b[j]).sum()) - max(n, m) + 2) // 3))
+    if least > limit:
+        return least, max(n, m)
+    once = (times_a[i] == 1) & (times_b[j] == 1)
+    p, q = first_a[i[once]], first_b[j[once]]
     inside = np.abs(p - q) <= limit
     p, q = p[inside], q[inside]
     order = np.argsort(p)
     p, q = p[order], q[order]
     if not len(p):
-        return max(n, m)
+        return least, max(n, m)
     rising = q > np.concatenate([[-1], np.maximum.accumulate(q)[:-1]])
     p, q = p[rising], q[rising]
     dp, dq = np.diff(p), np.diff(q)
     same = np.minimum(3, np.minimum(dp, dq))
-    return int(max(p[0], q[0]) + np.maximum(dp - same, dq - same).sum() + max(n - p[-1] - 3, m - q[-1] - 3))
+    return least, int(max(p[0], q[0]) + np.maximum(dp - same, dq - same).sum() + max(n - p[-1] - 3, m - q[-1] - 3))
 
 
 def _bounded(batches):
-    """(a, b, packed codes of both) to (a, b, x, y): the words as characters where the bound does not settle the pair."""
-    unpack = zstandard.ZstdDecompressor()
+    """(a, b, packed codes of both) to (a, b, x, y): the words as characters where bounds do not settle the pair; pairs that are not near go."""
+    unpack, seen, v, runs = zstandard.ZstdDecompressor(), None, None, None
+    text = lambda w: (w + np.uint32(0x10000)).tobytes().decode("utf-32-le")
     for b in batches:
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
-            x, y = [], []
-            for p, q in zip(part.column(2), part.column(3)):
-                v, w = (np.frombuffer(unpack.decompress(t.as_py()), np.uint16).astype(np.uint32) for t in (p, q))
-                sure = edit_bound(v, w) <= _limit(len(v), len(w))
-                x.append(None if sure else (v + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
-                y.append(None if sure else (w + np.uint32(0x10000)).tobytes().decode("utf-32-le"))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.string()), pa.array(y, pa.string())], ["a", "b", "x", "y"])
+            x, y, keep = [], [], []
+            for first, p, q in zip(part.column(0), part.column(2), part.column(3)):
+                if first.as_py() != seen:  # pairs of one text often come one after the other
+                    seen, v = first.as_py(), np.frombuffer(unpack.decompress(p.as_py()), np.uint16).astype(np.uint32)
+                    runs = _runs(v) if len(v) >= 3 else None
+                w = np.frombuffer(unpack.decompress(q.as_py()), np.uint16).astype(np.uint32)
+                least, most = edit_bounds(v, w, runs)
+                keep.append(least <= _limit(len(v), len(w)))
+                sure = not keep[-1] or most <= _limit(len(v), len(w))
+                x.append(None if sure else text(v))
+                y.append(None if sure else text(w))
+            out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.string()), pa.array(y, pa.string())], ["a", "b", "x", "y"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
 
 def _cross(members: DataFrame) -> DataFrame:
@@ -232,6 +246,35 @@ def _star(work: Workspace, members: DataFrame, name: str) -> DataFrame:
     return joined.select(F.col("leader.digest").alias("a"), F.col("digest").alias("b")).distinct()
 
 
+def _drawn(members: DataFrame, i: int) -> DataFrame:
+    """members(bucket, digest, n, root) to one text for each class of a bucket, drawn by a hash of round i."""
+    draw = F.min(F.struct(F.xxhash64("digest", F.lit(i)).alias("lot"), "digest", "n")).alias("drawn")
+    return members.groupBy("bucket", "root").agg(draw).select("bucket", "root", "drawn")
+
+
+def _settle_classes(work: Workspace, members: DataFrame, roots: DataFrame, texts: DataFrame, known: list[str]) -> DataFrame:
+    """`roots` after rounds in which drawn texts of a bucket's classes meet; `known` names the tables of tried pairs."""
+    for i in range(ROUNDS):
+        drawn = work.write(_drawn(_rooted(members.drop("root"), roots), i), f"drawn-{i}")
+        leaders = drawn.groupBy("bucket").agg(F.min(F.struct("drawn", "root")).alias("first"), F.count("*").alias("_k")).filter("_k > 1")
+        leaders = work.write(leaders.select("bucket", "first.root", F.col("first.drawn.digest").alias("d"), F.col("first.drawn.n").alias("m")), f"leaders-{i}")
+        met = drawn.join(leaders.select("bucket", F.col("root").alias("_r"), "d", "m"), "bucket").filter((F.col("root") != F.col("_r")) & _near_in_length(F.col("drawn.n"), F.col("m")))
+        pairs = met.select(F.least("d", "drawn.digest").alias("a"), F.greatest("d", "drawn.digest").alias("b")).distinct()
+        found = _verified(work, pairs.join(_tried(work, known), ["a", "b"], "left_anti"), texts, f"round-{i}")
+        known.append(f"pairs-round-{i}")
+        roots = _joined(work, roots, found, f"round-{i}")
+        if found.count() * WORTH < work.read(f"pairs-round-{i}").count():
+            break
+    return roots
+
+
+def _tried(work: Workspace, known: list[str]) -> DataFrame:
+    out = work.read(known[0])
+    for name in known[1:]:
+        out = out.unionByName(work.read(name))
+    return out.select("a", "b")
+
+
 def _counts(code: bytes) -> bytes:
     """How often the words of each of _BINS kinds occur, 255 at most."""
     kinds = np.frombuffer(zstandard.ZstdDecompressor().decompress(code), np.uint16) % _BINS
@@ -302,6 +345,12 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").agg(F.min(mark).alias("_a"), F.max(mark).alias("_b")).filter("_a < _b").select("bucket")
 
 
+def _mixed_only(work: Workspace, members: DataFrame, name: str) -> DataFrame:
+    """The members of buckets that hold more than one class."""
+    mixed = work.write(_mixed(members), f"{name}-mixed")
+    return work.write(members.join(mixed, "bucket", "left_semi"), name)
+
+
 def _sized(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
 
@@ -313,6 +362,28 @@ def _lifted(roots: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.unionByName(merged.join(moved.select("node"), "node", "left_anti"))
 
 
+def _linked(work: Workspace, texts: DataFrame) -> DataFrame:
+    """(node, root) of all texts(digest, n, keys, code) that have links."""
+    texts_of = lambda roots, first, count: _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots).select("digest", "n", "root", F.explode("keys").alias("bucket"))
+
+    # A few tables, by one pair per member, settle nearly all classes.
+    links = _verified(work, _star(work, texts_of(None, 1, FIRST), "first"), texts, "first")
+    roots = components(work, links, "roots-first")
+    known = ["pairs-first"]
+    release(work.spark)
+    # Then buckets of all tables that still hold several classes.
+    members = _mixed_only(work, texts_of(roots, 1, TABLES), "members")
+    release(work.spark)
+    roots = _settle_classes(work, members, roots, texts, known)
+    members = work.write(_sized(_mixed_only(work, _rooted(members.drop("root"), roots), "open")), "sized")
+    pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
+    wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
+    if wide.limit(1).count():
+        pairs = pairs.unionByName(_blocks(wide, texts))
+    found = _verified(work, pairs.distinct().join(_tried(work, known), ["a", "b"], "left_anti"), texts, "rest")
+    return _joined(work, roots, found, "rest")
+
+
 def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """doc_id, class_id, class_size, mark, alone, root for every row of docs.
 
@@ -324,34 +395,10 @@ def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None)
     texts, table = work.write_bucketed(once, "texts", "digest")
     release(spark)
 
-    texts_of = lambda roots, first, count: _rooted(texts.select("digest", "n", F.slice("keys", first, count).alias("keys")), roots).select("digest", "n", "root", F.explode("keys").alias("bucket"))
-
-    # A few tables, by one pair per member, settle nearly all classes.
-    links = _verified(work, _star(work, texts_of(None, 1, FIRST), "first"), texts, "first")
-    roots = components(work, links, "roots-first")
-    release(spark)
-    # Then buckets of all tables that still hold several classes.
-    entries = texts_of(roots, 1, TABLES)
-    mixed = work.write(_mixed(entries), "mixed")
-    members = work.write(entries.join(mixed, "bucket", "left_semi"), "members")
-    members = work.write(_sized(members), "sized")
-    release(spark)
-    pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
-    wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
-    some = wide.limit(1).count() > 0
-    if some:
-        pairs = pairs.unionByName(_star(work, wide, "wide"))
-    found = _verified(work, pairs.distinct().join(links, ["a", "b"], "left_anti"), texts, "rest")
-    roots = _joined(work, roots, found, "rest")
-    if some:
-        wide = _rooted(wide.drop("root"), roots)
-        wide = work.write(wide.join(work.write(_mixed(wide), "wide-mixed"), "bucket", "left_semi"), "wide")
-        release(spark)
-        if wide.limit(1).count():
-            open_pairs = work.write(_blocks(wide, texts).distinct(), "open-pairs")
-            known = work.read("pairs-first").unionByName(work.read("pairs-rest")).select("a", "b")
-            roots = _joined(work, roots, _verified(work, open_pairs.join(known, ["a", "b"], "left_anti"), texts, "wide"), "wide")
-    spark.sql(f"DROP TABLE {table}")
+    try:
+        roots = _linked(work, texts)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     work.drop("texts")
     release(spark)
     ids = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))

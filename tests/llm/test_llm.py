@@ -129,7 +129,8 @@ def test_bound_is_sound():
         b = list(a)
         for _ in range(r.randint(0, 6)):
             b.insert(r.randint(0, len(b)), r.randint(0, 40)) if r.random() < 0.5 else b.pop(r.randrange(len(b))) if len(b) > 1 else None
-        assert order_minhash.edit_bound(np.array(a, np.uint32), np.array(b, np.uint32)) >= edit_distance(a, b)
+        least, most = order_minhash.edit_bounds(np.array(a, np.uint32), np.array(b, np.uint32))
+        assert least <= edit_distance(a, b) <= most or most > edit_distance(a, b) and least > order_minhash._limit(len(a), len(b)) and edit_distance(a, b) > order_minhash._limit(len(a), len(b))
 
 
 def test_classes_match_brute_force(spark):
