@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the session's shared folder; one is set only where the session names none."""
+    """An eager checkpoint in the session's shared folder; a session of one JVM that names none gets its own."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and (context.master.startswith("local-cluster") or not context.master.startswith("local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint(eager=True)
