@@ -2,8 +2,10 @@
 
 Three transducers are compiled from a model file and composed with each input.
 
- * The normaliser maps a text to symbols: a space becomes the mark U+2581, one mark goes in front
-   of a text that is not empty, all else is passed on (the identity normaliser).
+ * The normaliser maps a text to symbols. The character map of the model is a tree of byte strings
+   with their replacements; at each place the longest rule is taken, and what no rule holds is
+   passed on. Then, as the model says, runs of spaces shrink, a space becomes the mark U+2581 and
+   one mark goes in front of a text that is not empty.
  * The lexicon maps symbols to pieces: an arc from position s to position e for each piece that
    spells symbols s..e. A symbol that no piece spells gets one arc of its UTF-8 byte pieces.
  * The grammar weighs sequences of pieces. For a unigram model an arc costs minus its score. For a
@@ -12,18 +14,21 @@ Three transducers are compiled from a model file and composed with each input.
    the BPE segmentation exactly if all its neighbouring pairs are, and every prefix has exactly
    one such sequence, so after composition one last piece survives at each position.
 
-The shortest path in the tropical semiring (min, +) is found by one sweep over positions, and for
-BPE, where all finite costs are 0, by depth-first search with the longest arc first. No
-piece holds a mark after another symbol, and no piece holds an unspelt symbol, so the lattice of
-a text falls apart at these places and its shortest path is that of the parts in a row; parts met
-before are looked up. The same holds before signs that no piece holds after a letter. The pair costs are computed when first needed and kept.
+The shortest path in the tropical semiring (min, +) is found by one sweep over the positions in
+order for either kind: the distance of a state is the least sum of a distance before it and the
+weight of the arc. States are positions for a unigram model, and positions with the last piece for
+a BPE model, of which one at most has a finite distance. No piece holds a mark after another symbol,
+and no piece holds an unspelt symbol, so the lattice of a text falls apart at these places and its
+shortest path is that of the parts in a row; parts met before are looked up. The same holds before
+signs that no piece holds after a letter. The pair costs are computed when first needed and kept.
 
 Decoding is the inverse projection: pieces to symbols, byte pieces to bytes, marks to spaces, the
 mark in front dropped; bytes that are not UTF-8 become U+FFFD.
 
 Defined cases: a null or empty text has no pieces; a mark that stands in the text itself decodes
 to a space; repeated rows encode alike; texts are encoded whole; an empty table gives an empty
-result. Models with another normaliser than the identity are refused.
+result; texts of any length and columns of any name are taken. With a character map `exact` means that
+decoding gives the normalised text.
 """
 
 from __future__ import annotations
@@ -53,17 +58,68 @@ def read_model(path: str) -> dict:
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
     spec = m.normalizer_spec
-    if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only the identity normaliser with marks before words is supported")
+    if not spec.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only marks before words are supported")
     if m.trainer_spec.model_type not in (1, 2):
         raise ValueError("only unigram and BPE models are supported")
-    return {"pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "types": [p.type for p in m.pieces], "bpe": m.trainer_spec.model_type == 2, "prefix": spec.add_dummy_prefix}
+    kept = {"map": spec.precompiled_charsmap, "shrink": spec.remove_extra_whitespaces, "prefix": spec.add_dummy_prefix}
+    return kept | {"pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "types": [p.type for p in m.pieces], "bpe": m.trainer_spec.model_type == 2}
+
+
+class Normaliser:
+    """A character map as a transducer: states are beginnings of rules, a final state puts out its replacement."""
+
+    def __init__(self, charsmap: bytes):
+        self.rules: dict[str, str] = {}
+        if charsmap:
+            size = int.from_bytes(charsmap[:4], "little")
+            units, texts = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist(), charsmap[4 + size :]
+            self._read(units, texts)
+        self.begins: dict[str, str | None] = {}
+        for rule, new in self.rules.items():
+            for k in range(1, len(rule)):
+                self.begins.setdefault(rule[:k], None)
+            self.begins[rule] = new
+        first = {r[0] for r in self.begins}
+        self.starts = re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if first else None
+
+    def _read(self, units: list[int], texts: bytes) -> None:
+        """All rules of a double array: a unit holds a label in its low byte, the place of its children, and whether a value follows."""
+        below = lambda u: (u >> 10) << ((u & 512) >> 6)
+        todo = [(below(units[0]), b"")]
+        while todo:
+            base, key = todo.pop()
+            for label in range(1, 256):
+                at = base ^ label
+                if at >= len(units) or units[at] & 0x800000FF != label:
+                    continue
+                child = at ^ below(units[at])
+                if units[at] >> 8 & 1:
+                    value = units[child] & 0x7FFFFFFF
+                    self.rules[(key + bytes([label])).decode()] = texts[value : texts.index(b"\0", value)].decode()
+                todo.append((child, key + bytes([label])))
+
+    def __call__(self, text: str) -> str:
+        if self.starts is None:
+            return text
+        out, at, n = [], 0, len(text)
+        while m := self.starts.search(text, at):
+            start, best, end = m.start(), None, m.start() + 1
+            k = end
+            while k <= n and (rule := text[start:k]) in self.begins:
+                if self.begins[rule] is not None:
+                    best, end = self.begins[rule], k
+                k += 1
+            out += [text[at:start], text[start:end] if best is None else best]
+            at = end
+        return "".join([*out, text[at:]])
 
 
 class Transducer:
     def __init__(self, model: dict):
         self.pieces, self.scores, types = model["pieces"], model["scores"], model["types"]
-        self.bpe, self.prefix = model["bpe"], model["prefix"]
+        self.bpe, self.prefix, self.shrink = model["bpe"], model["prefix"], model.get("shrink", False)
+        self.mapped = Normaliser(model.get("map", b""))
         self.lexicon = {p: i for i, (p, t) in enumerate(zip(self.pieces, types)) if t in (_NORMAL, _USER)}
         self.byte = [0] * 256
         for i, (p, t) in enumerate(zip(self.pieces, types)):
@@ -149,54 +205,32 @@ class Transducer:
         return [self.byte[b] for b in symbols.encode("utf-8", "replace")]
 
     def shortest_path(self, part: str) -> tuple[int, ...]:
-        """The pieces of one part of the lattice."""
-        return self._search(part) if self.bpe else self._sweep(part)
-
-    def _search(self, part: str) -> tuple[int, ...]:
-        """All finite paths of a BPE lattice cost 0, so the first complete one is shortest: depth first, longest arc
-        first. Each position is reached by one path only, so a position without a way on is dead for good."""
+        """The pieces of one part of the lattice: distances of states in order of position, then the way back."""
         whole = self.lexicon.get(part)
-        if whole is not None:
+        if whole is not None and self.bpe:
             return (whole,)
-        n, pairs, dead = len(part), self.pairs, set()
-        starts, pieces, open_arcs = [0], [], [self._arcs(part, 0)]
-        while True:
-            arcs = open_arcs[-1]
-            last = pieces[-1] if pieces else -1
-            while arcs:
-                end, i = arcs.pop()
-                if end in dead:
-                    continue
-                if last >= 0 and i >= 0:
-                    ok = pairs.get(last << 20 | i)
-                    if ok is None:
-                        ok = self.allowed(last, i)
-                    if not ok:
-                        continue
-                pieces.append(i)
-                break
-            else:
-                dead.add(starts.pop())
-                open_arcs.pop()
-                pieces.pop()
-                continue
-            if end == n:
-                break
-            starts.append(end)
-            open_arcs.append(self._arcs(part, end))
-        if min(pieces) >= 0:
-            return tuple(pieces)
-        return tuple(chain.from_iterable([i] if i >= 0 else self._bytes(part[at]) for at, i in zip(starts, pieces)))
-
-    def _sweep(self, part: str) -> tuple[int, ...]:
-        """Unigram lattice, one position after the other: D[end] = min over arcs of D[start] - score."""
-        n = len(part)
-        dist, back = [0.0] + [_INF] * n, [(0, -1)] * (n + 1)
+        n, bpe, pairs, scores = len(part), self.bpe, self.pairs, self.scores
+        dist, back = [0.0] + [_INF] * n, [(0, -2)] * (n + 1)  # a state's last arc: where it starts, its piece
         for start in range(n):
-            for end, i in [*self._arcs(part, start), (start + 1, -1)]:
-                cost = dist[start] + (self.unspelt if i < 0 else -self.scores[i])
+            before = dist[start]
+            if before == _INF:
+                continue
+            last = back[start][1]
+            for end, i in self._arcs(part, start):
+                if bpe:  # the weight of a pair is 0 or infinite, so a state at distance 0 cannot be bettered
+                    if dist[end] == 0.0:
+                        continue
+                    if last >= 0 and i >= 0:
+                        ok = pairs.get(last << 20 | i)
+                        if not (self.allowed(last, i) if ok is None else ok):
+                            continue
+                    cost = before
+                else:
+                    cost = before + (self.unspelt if i < 0 else -scores[i])
                 if cost < dist[end]:
                     dist[end], back[end] = cost, (start, i)
+            if not bpe and before + self.unspelt < dist[start + 1]:
+                dist[start + 1], back[start + 1] = before + self.unspelt, (start, -1)
         out, at = [], n
         while at:
             start, i = back[at]
@@ -204,7 +238,13 @@ class Transducer:
             at = start
         return tuple(chain.from_iterable(reversed(out)))
 
+    def symbols_of(self, text: str) -> str:
+        """The normalised text, with spaces as spaces."""
+        text = self.mapped(text)
+        return re.sub(" +", " ", text).strip(" ") if self.shrink else text
+
     def normalise(self, text: str) -> str:
+        text = self.symbols_of(text)
         return (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
 
     def __getitem__(self, part: str) -> tuple[int, ...]:
@@ -273,7 +313,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, check: bool = False) -> Dat
                 part = b.slice(lo, 500)
                 texts = [x.as_py() or "" for x in part.column(at)]
                 rows = [t.encode(x) for x in texts]
-                more = [pa.array([t.decode(r.tolist()) == x.replace(MARK, " ") for r, x in zip(rows, texts)], pa.bool_())] if check else []
+                more = [pa.array([t.decode(r.tolist()) == t.symbols_of(x).replace(MARK, " ") for r, x in zip(rows, texts)], pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(rows), *more], schema.names)
 
     return kept.mapInArrow(run, schema)
