@@ -10,12 +10,11 @@ Candidates. Texts with equal words are one class from the start. In the first FI
 text is compared with its bucket's least one: one pair per member, which settles nearly all
 classes. Then buckets of all tables that hold several classes are looked at: in each round one text of
 each class meets one of a leading class, all drawn anew by a hash of the round, until a round joins
-none. Only buckets that then still hold several classes are compared in full, by all pairs of different classes for up to
-SMALL members and in larger ones by blocks of BLOCK members against blocks: a pair goes on to
-verification unless lengths or word counts prove that it is not near. So every pair of different
-classes that shares a bucket is settled, and links inside a class that is known already are not
-looked for. The work of a large bucket of distinct documents grows with the square of its members,
-divided by BLOCK in rows.
+few. Buckets that then still hold several classes are compared in full, by blocks of BLOCK members
+against blocks: every pair of different classes is settled by its length, its word counts or the
+bounds below, or goes on to be aligned. So every pair of different classes that shares a bucket is
+settled, and links inside a class that is known already are not looked for. The work of a large
+bucket of distinct documents grows with the square of its members, divided by BLOCK in rows.
 
 Verification. Texts are linked if at most a fifth of the longer one's words is edited: similarity
 0.8 or more. Each word becomes one character (16 bits of its hash). First two bounds are taken from
@@ -51,9 +50,8 @@ WORDS = 5
 SIMILARITY = 0.8
 TABLES = 36
 SIZE = 3
-SMALL = 64
 FIRST = 6
-BLOCK = 1024
+BLOCK = 512
 ROUNDS, WORTH = 4, 50  # rounds go on while a pair in so many joins classes; what they leave is compared in full
 _BINS = 256  # word counts that a pair is sifted by
 _WORD = re.compile(r"\w+")
@@ -183,13 +181,13 @@ def _runs(w: np.ndarray):
     return np.unique(h, return_index=True, return_counts=True)
 
 
-def edit_bounds(a: np.ndarray, b: np.ndarray, runs_a=None) -> tuple[int, int]:
+def edit_bounds(a: np.ndarray, b: np.ndarray, runs_a=None, runs_b=None) -> tuple[int, int]:
     """(least, most) edits from a to b: an edit spoils three runs of three words at most; an alignment at common unique runs suffices."""
     n, m, limit = len(a), len(b), _limit(len(a), len(b))
     if min(n, m) < 3:
         most = max(n, m) if n != m or (a != b).any() else 0
         return min(most, abs(n - m)), most
-    (ha, first_a, times_a), (hb, first_b, times_b) = runs_a or _runs(a), _runs(b)
+    (ha, first_a, times_a), (hb, first_b, times_b) = runs_a or _runs(a), runs_b or _runs(b)
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     least = max(abs(n - m), -((int(np.minimum(times_a[i], times_b[j]).sum()) - max(n, m) + 2) // 3))
     if least > limit:
@@ -231,13 +229,6 @@ def _bounded(batches):
             yield out.filter(pa.array(keep, pa.bool_()))
 
 
-def _cross(members: DataFrame) -> DataFrame:
-    """All pairs of different classes in members(bucket, digest, n, root) of small buckets."""
-    other = members.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("digest", "n", "root")])
-    joined = members.join(other, "bucket").filter((F.col("digest") < F.col("o_digest")) & (F.col("root") != F.col("o_root")) & _near_in_length(F.col("n"), F.col("o_n")))
-    return joined.select(F.col("digest").alias("a"), F.col("o_digest").alias("b"))
-
-
 def _star(work: Workspace, members: DataFrame, name: str) -> DataFrame:
     """Pairs of each member of another class with its bucket's least text."""
     leaders = members.groupBy("bucket").agg(F.min(F.struct("digest", "n", "root")).alias("leader"), F.min("root").alias("_a"), F.max("root").alias("_b"))
@@ -275,10 +266,9 @@ def _tried(work: Workspace, known: list[str]) -> DataFrame:
     return out.select("a", "b")
 
 
-def _counts(code: bytes) -> bytes:
+def _counts(code: np.ndarray) -> np.ndarray:
     """How often the words of each of _BINS kinds occur, 255 at most."""
-    kinds = np.frombuffer(zstandard.ZstdDecompressor().decompress(code), np.uint16) % _BINS
-    return np.minimum(np.bincount(kinds, minlength=_BINS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount(code % _BINS, minlength=_BINS), 255).astype(np.int16)
 
 
 def sift(left, right):
@@ -293,36 +283,52 @@ def sift(left, right):
             yield from ((i, k) for k in j.tolist())
 
 
-def _blocks(wide: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different classes in wide(bucket, digest, n, root) that lengths and word counts leave open."""
-
-    def counted(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_counts(c.as_py()) for c in b.column(1)], pa.binary())], ["_d", "counts"])
+def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(bucket, digest, n, root) of different classes that are near or that bounds leave open.
 
-    code = texts.join(wide.select(F.col("digest").alias("_w")).distinct(), F.col("digest") == F.col("_w")).select("digest", "code")
-    members = _sized(wide).join(code.mapInArrow(counted, "_d binary, counts binary"), F.col("digest") == F.col("_d"))
+    All pairs of a bucket are looked at, by blocks of BLOCK members against blocks; classes that a pair of a block has
+    joined are one from then on, so a block gives a link for each class at most, and the pairs left open.
+    """
+    wanted = members.select(F.col("digest").alias("_w")).distinct()
+    code = texts.select(F.col("digest").alias("_d"), "code").join(wanted, F.col("_d") == F.col("_w"), "left_semi")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = members.withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "root", "counts")
+    rows = _sized(members).withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.join(code, F.col("digest") == F.col("_d")).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "root", "code")
 
     def pairs(group: pa.Table) -> pa.Table:
         own, digest, root = (np.array(group.column(c).to_pylist(), object) for c in ("own", "digest", "root"))
-        n = group.column("n").to_numpy()
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, _BINS).astype(np.int16)
-        first = group.column("p")[0].as_py()
-        at, to = np.flatnonzero(own == first), np.flatnonzero(own != first)
-        same = group.column("q")[0].as_py() == first
-        to = at if same else to
+        n, unpack = group.column("n").to_numpy(), zstandard.ZstdDecompressor()
+        words = [np.frombuffer(unpack.decompress(c), np.uint16).astype(np.uint32) for c in group.column("code").to_pylist()]
+        counts = np.stack([_counts(w) for w in words])
+        first, same = group.column("p")[0].as_py(), group.column("p")[0].as_py() == group.column("q")[0].as_py()
+        at = np.flatnonzero(own == first)
+        to = at if same else np.flatnonzero(own != first)
+        runs: dict[int, tuple] = {}
+        parent: dict[bytes, bytes] = {}
+
+        def top(r: bytes) -> bytes:
+            while r in parent:
+                r = parent[r]
+            return r
+
         a, b = [], []
         for i, j in sift((root[at], n[at], counts[at]), (root[to], n[to], counts[to])):
-            x, y = digest[at[i]], digest[to[j]]
-            if x < y or not same:
-                a.append(min(x, y))
-                b.append(max(x, y))
+            i, j = int(at[i]), int(to[j])
+            if (same and digest[i] >= digest[j]) or top(root[i]) == top(root[j]):
+                continue
+            for k in (i, j):
+                if k not in runs and n[k] >= 3:
+                    runs[k] = _runs(words[k])
+            least, most = edit_bounds(words[i], words[j], runs.get(i), runs.get(j))
+            limit = _limit(n[i], n[j])
+            if least <= limit:
+                a.append(min(digest[i], digest[j]))
+                b.append(max(digest[i], digest[j]))
+                if most <= limit:
+                    parent[top(root[i])] = top(root[j])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return members.groupBy("bucket", "p", "q").applyInArrow(pairs, "a binary, b binary")
+    return rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "a binary, b binary")
 
 
 def _joined(work: Workspace, roots: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -375,11 +381,7 @@ def _linked(work: Workspace, texts: DataFrame) -> DataFrame:
     members = _mixed_only(work, texts_of(roots, 1, TABLES), "members")
     release(work.spark)
     roots = _settle_classes(work, members, roots, texts, known)
-    members = work.write(_sized(_mixed_only(work, _rooted(members.drop("root"), roots), "open")), "sized")
-    pairs = _cross(members.filter(F.col("members") <= SMALL).drop("members"))
-    wide = members.filter(F.col("members") > SMALL).select("bucket", "digest", "n", "root")
-    if wide.limit(1).count():
-        pairs = pairs.unionByName(_blocks(wide, texts))
+    pairs = work.write(_blocks(_mixed_only(work, _rooted(members.drop("root"), roots), "open"), texts), "met")
     found = _verified(work, pairs.distinct().join(_tried(work, known), ["a", "b"], "left_anti"), texts, "rest")
     return _joined(work, roots, found, "rest")
 
@@ -405,7 +407,7 @@ def classes(spark: SparkSession, docs: DataFrame, work: Workspace | None = None)
     ids = ids.filter("digest IS NOT NULL").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "first_id", "copies", F.coalesce("root", "digest").alias("root"))
     ids = work.write(ids, "ids")
     release(spark)
-    named = ids.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = work.write(ids.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")), "named")
     by_digest = work.write(ids.join(named, "root").select(F.col("digest").alias("_d"), "class_id", "class_size", "root"), "classes")
     out = rows.select("doc_id", "mark", "digest").join(by_digest, F.col("digest") == F.col("_d"), "left")
     alone = F.col("digest").isNull()

@@ -219,6 +219,22 @@ def test_unigram_sweep_takes_the_best_path():
     assert t.decode(t.encode("abé").tolist()) == "abé"
 
 
+def test_normaliser_equals_the_library():
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto()
+    m.ParseFromString(library.serialized_model_proto())
+    spec = m.normalizer_spec
+    model = {"pieces": ["<unk>", "a"], "scores": [0, -1], "types": [2, 1], "bpe": False, "prefix": spec.add_dummy_prefix, "shrink": spec.remove_extra_whitespaces, "map": spec.precompiled_charsmap}
+    ours = piece_fst.Transducer(model)
+    assert len(ours.mapped.rules) > 1000
+    r = random.Random(6)
+    signs = "aA1 ①ﬁＡｶﾞ½é\u0301e\u0301\u00a0\u200b\t\n㍿ℌ日ـ…"
+    for t in ["".join(r.choice(signs) for _ in range(r.randint(0, 20))) for _ in range(2000)]:
+        assert ours.normalise(t) == library.normalize(t), repr(t)
+
+
 def test_encode_decode_tables(spark):
     rows = piece_fst.encode(docs(spark, ODD, True), check=True)
     assert rows.filter("NOT exact").count() == 0 and rows.count() == len(ODD)
