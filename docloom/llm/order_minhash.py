@@ -12,7 +12,7 @@ classes. Then buckets of all tables that hold several classes are looked at: in
 each class meets one of a leading class, all drawn anew by a hash of the round, until a round joins
 few. Buckets that then still hold several classes are compared in full, by blocks of BLOCK members
 against blocks: every pair of different classes is settled by its length, its word counts or the
-bounds below, or goes on to be aligned. So every pair of different classes that shares a bucket is
+bounds below, or aligned. So every pair of different classes that shares a bucket is
 settled, and links inside a class that is known already are not looked for. The work of a large
 bucket of distinct documents grows with the square of its members, divided by BLOCK in rows.
 
@@ -20,7 +20,8 @@ Verification. Texts are linked if at most a fifth of the longer one's words is e
 0.8 or more. Each word becomes one character (16 bits of its hash). First two bounds are taken from
 runs of three words: as an edit spoils three of them, too few common ones mean that a pair is not
 near; and the alignment at their common unique ones inside the band of the limit gives edits that
-suffice. For the rest Spark's `levenshtein` with a limit aligns exactly inside bands of growing width.
+suffice. For the rest the alignment table is computed by bit strings inside a block, or by Spark's
+`levenshtein` with a limit inside bands of growing width.
 Classes are the connected components of the links; an id's class is its least doc_id.
 
 Recall. Copies whose shingles agree in share J meet in a bucket with probability
@@ -52,6 +53,7 @@ TABLES = 36
 SIZE = 3
 FIRST = 6
 BLOCK = 512
+ALIGNED = 4_000  # words up to which a block aligns its pairs itself
 ROUNDS, WORTH = 4, 50  # rounds go on while a pair in so many joins classes; what they leave is compared in full
 _BINS = 256  # word counts that a pair is sifted by
 _WORD = re.compile(r"\w+")
@@ -271,39 +273,74 @@ def _counts(code: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(code % _BINS, minlength=_BINS), 255).astype(np.int16)
 
 
-def sift(left, right):
-    """(i, j) of the near-able pairs of left x right, each (roots, numbers of words, counts): an edit changes two counts by one at most."""
-    (ra, na, ca), (rb, nb, cb) = left, right
+def sift(left, right, table: int):
+    """(i, j) of the near-able pairs of left x right, each (roots, numbers of words, counts, keys), that share no table before this one.
+
+    An edit changes two counts by one at most.
+    """
+    (ra, na, ca, ka), (rb, nb, cb, kb) = left, right
     for i in range(len(ra)):
         longer = np.maximum(na[i], nb)
         j = np.flatnonzero((rb != ra[i]) & (5 * np.minimum(na[i], nb) >= 4 * longer))
+        j = j[~(kb[j, :table] == ka[i, :table]).any(axis=1)]
         if len(j):
             apart = np.abs(cb[j] - ca[i]).sum(axis=1, dtype=np.int64)
-            j = j[apart <= 2 * (longer[j] // 5)]
-            yield from ((i, k) for k in j.tolist())
+            yield from ((i, k) for k in j[apart <= 2 * (longer[j] // 5)].tolist())
+
+
+def _places(w: np.ndarray) -> dict[int, int]:
+    """Of each word the places where it stands, as bits."""
+    out: dict[int, int] = {}
+    for i, x in enumerate(w.tolist()):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def aligned(places: dict[int, int], n: int, w: np.ndarray, limit: int) -> bool:
+    """Whether `limit` edits turn a text of n words at these places into w: a column of the alignment table is two bit strings."""
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits, left = full, 0, n, len(w)
+    for x in w.tolist():
+        same = places.get(x, 0)
+        across = (((same & up) + up) ^ up) | same
+        more = down | (full ^ ((across | up) & full))
+        less = up & across
+        edits += 1 if more & last else -1 if less & last else 0
+        more = more << 1 | 1
+        same |= down
+        up = ((less << 1) | (full ^ ((same | more) & full))) & full
+        down = more & same & full
+        left -= 1
+        if edits - left > limit:
+            return False
+    return edits <= limit
 
 
 def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members(bucket, digest, n, root) of different classes that are near or that bounds leave open.
+    """Pairs (a, b) of members(bucket, digest, n, root) of different classes that are near, or longer than ALIGNED words and left open by bounds.
 
-    All pairs of a bucket are looked at, by blocks of BLOCK members against blocks; classes that a pair of a block has
-    joined are one from then on, so a block gives a link for each class at most, and the pairs left open.
+    All pairs of a bucket are looked at, by blocks of BLOCK members against blocks, each pair in the first table that it
+    shares (if the classes differ, its bucket there is among these too). Classes that a pair of a block has joined are one
+    from then on, so a block gives a link for each class at most.
     """
     wanted = members.select(F.col("digest").alias("_w")).distinct()
-    code = texts.select(F.col("digest").alias("_d"), "code").join(wanted, F.col("_d") == F.col("_w"), "left_semi")
+    code = texts.select(F.col("digest").alias("_d"), "code", "keys").join(wanted, F.col("_d") == F.col("_w"), "left_semi")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = _sized(members).withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.join(code, F.col("digest") == F.col("_d")).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "root", "code")
+    rows = rows.join(code, F.col("digest") == F.col("_d")).select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "n", "root", "code", "keys")
 
     def pairs(group: pa.Table) -> pa.Table:
         own, digest, root = (np.array(group.column(c).to_pylist(), object) for c in ("own", "digest", "root"))
         n, unpack = group.column("n").to_numpy(), zstandard.ZstdDecompressor()
         words = [np.frombuffer(unpack.decompress(c), np.uint16).astype(np.uint32) for c in group.column("code").to_pylist()]
         counts = np.stack([_counts(w) for w in words])
+        keys = np.array(group.column("keys").to_pylist(), np.int64)
+        here = int((keys[0] == group.column("bucket")[0].as_py()).argmax())
         first, same = group.column("p")[0].as_py(), group.column("p")[0].as_py() == group.column("q")[0].as_py()
         at = np.flatnonzero(own == first)
         to = at if same else np.flatnonzero(own != first)
         runs: dict[int, tuple] = {}
+        places: dict[int, dict[int, int]] = {}
         parent: dict[bytes, bytes] = {}
 
         def top(r: bytes) -> bytes:
@@ -311,21 +348,27 @@ def _blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
                 r = parent[r]
             return r
 
+        def of(held: dict, k: int, make):
+            if k not in held and n[k] >= 3:
+                held[k] = make(words[k])
+            return held.get(k)
+
         a, b = [], []
-        for i, j in sift((root[at], n[at], counts[at]), (root[to], n[to], counts[to])):
+        for i, j in sift((root[at], n[at], counts[at], keys[at]), (root[to], n[to], counts[to], keys[to]), here):
             i, j = int(at[i]), int(to[j])
             if (same and digest[i] >= digest[j]) or top(root[i]) == top(root[j]):
                 continue
-            for k in (i, j):
-                if k not in runs and n[k] >= 3:
-                    runs[k] = _runs(words[k])
-            least, most = edit_bounds(words[i], words[j], runs.get(i), runs.get(j))
             limit = _limit(n[i], n[j])
-            if least <= limit:
+            least, most = edit_bounds(words[i], words[j], of(runs, i, _runs), of(runs, j, _runs))
+            near = least <= limit and most <= limit
+            left_open = least <= limit and not near and max(n[i], n[j]) > ALIGNED
+            if least <= limit and not near and not left_open:
+                near = aligned(of(places, i, _places) or _places(words[i]), int(n[i]), words[j], limit)
+            if near or left_open:
                 a.append(min(digest[i], digest[j]))
                 b.append(max(digest[i], digest[j]))
-                if most <= limit:
-                    parent[top(root[i])] = top(root[j])
+            if near:
+                parent[top(root[i])] = top(root[j])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return rows.groupBy("bucket", "p", "q").applyInArrow(pairs, "a binary, b binary")

@@ -133,6 +133,14 @@ def test_bound_is_sound():
         assert least <= edit_distance(a, b) <= most or most > edit_distance(a, b) and least > order_minhash._limit(len(a), len(b)) and edit_distance(a, b) > order_minhash._limit(len(a), len(b))
 
 
+def test_alignment_by_bit_strings():
+    r = random.Random(5)
+    for _ in range(600):
+        a, b = ([r.randint(0, r.choice([2, 9])) for _ in range(r.randint(1, 30))] for _ in range(2))
+        d, x, y = edit_distance(a, b), np.array(a), np.array(b)
+        assert all(order_minhash.aligned(order_minhash._places(x), len(a), y, k) == (d <= k) for k in (d - 1, d, d + 1, 0, 40))
+
+
 def test_classes_match_brute_force(spark):
     r, rows = random.Random(2), []
     for g in range(12):
