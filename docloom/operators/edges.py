@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed
 from docloom.functions.profile import strip_all
 from docloom.operators.components import connected_components
+from docloom.operators.numbering import numbered
 
 
 def _present(c: str) -> Column:
@@ -20,38 +21,41 @@ def drop_routing(rows: DataFrame) -> DataFrame:
     return rows.filter(address | _present("subject") | _present("sent_raw"))
 
 
-def evidence(values: Column, cap: int = fixed.EVIDENCE_CAP) -> Column:
-    """A sorted set of strings as text, cut at `cap` with the number left out."""
-    kept = F.array_sort(F.filter(values, lambda x: strip_all(x) != ""))
-    text = F.array_join(F.slice(kept, 1, cap), "; ")
-    return F.when(F.size(kept) > cap, F.concat(text, F.lit("; +"), (F.size(kept) - cap).cast("string"), F.lit(" more"))).otherwise(text)
-
-
 def days_between(first: Column, last: Column) -> Column:
     """Whole elapsed days."""
     seconds = F.unix_timestamp(last.cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))
     return F.floor(seconds / 86400).cast("long")
 
 
+def least_values(rows: DataFrame, keys: list[str], value: Column, cap: int, out: str) -> DataFrame:
+    """keys, out: the `cap` least distinct values that are not blank, as evidence text; no group is gathered beyond the cap."""
+    one = rows.select(*keys, value.cast("string").alias("_v")).filter(F.col("_v").isNotNull() & (strip_all(F.col("_v")) != "")).distinct()
+    counted = one.groupBy(*keys).agg(F.count("*").alias("_k"))
+    first = one.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).filter(F.col("_n") <= cap)
+    kept = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_v")), "; ").alias("_t"))
+    more = F.when(F.col("_k") > cap, F.concat(F.lit("; +"), (F.col("_k") - cap).cast("string"), F.lit(" more"))).otherwise("")
+    return kept.join(counted, keys).select(*keys, F.concat("_t", more).alias(out))
+
+
 def communicated_with(rows: DataFrame) -> DataFrame:
     """rows(src, dst, message_key, doc_id, is_cc, sent_at, subject) to one edge per direction.
 
-    The distinct counts share one expansion and partial aggregates; evidence lists are cut after aggregation.
+    The distinct counts share one expansion and partial aggregates; of a pair's evidence only what is shown meets in one place.
     """
-    grouped = rows.filter(F.col("src") != F.col("dst")).groupBy("src", "dst")
-    out = grouped.agg(
+    rows = rows.filter(F.col("src") != F.col("dst"))
+    out = rows.groupBy("src", "dst").agg(
         F.countDistinct("message_key").alias("weight"),
         F.count("*").alias("n_rows"),
         F.countDistinct("doc_id").alias("n_docs"),
         F.sum(F.col("is_cc").cast("long")).alias("n_cc"),
         F.min("sent_at").alias("first_sent"),
         F.max("sent_at").alias("last_sent"),
-        F.collect_set(F.col("doc_id").cast("string")).alias("_docs"),
-        F.collect_set("subject").alias("_subjects"),
     )
+    keys = ["src", "dst"]
+    out = out.join(least_values(rows, keys, F.col("doc_id"), fixed.EVIDENCE_CAP, "doc_ids"), keys, "left").join(least_values(rows, keys, F.col("subject"), fixed.SUBJECT_CAP, "subjects"), keys, "left")
     return out.select(
         "src", "dst", F.lit("communicated_with").alias("relation"), F.lit(1).alias("tier"), "weight", "n_rows", "n_docs", "n_cc", "first_sent", "last_sent",
-        days_between(F.col("first_sent"), F.col("last_sent")).alias("span_days"), evidence(F.col("_docs")).alias("doc_ids"), evidence(F.col("_subjects"), fixed.SUBJECT_CAP).alias("subjects"),
+        days_between(F.col("first_sent"), F.col("last_sent")).alias("span_days"), F.coalesce("doc_ids", F.lit("")).alias("doc_ids"), F.coalesce("subjects", F.lit("")).alias("subjects"),
     )
 
 
@@ -110,8 +114,7 @@ def threads(rows: DataFrame, window_days: float = fixed.THREAD_WINDOW_DAYS, min_
     roots = connected_components(nodes, linked.select(name("message_key").alias("a"), name("before").alias("b")))
     placed = dated.join(roots, name("message_key") == F.col("node")).select("subject", "message_key", "sent", "root")
     size = placed.groupBy("root").agg(F.count("*").alias("n_messages"), F.min("sent").alias("first_sent"), F.max("sent").alias("last_sent"), F.first("subject").alias("canonical")).filter(F.col("n_messages") >= min_messages)
-    rank = F.row_number().over(Window.orderBy(F.col("n_messages").desc(), "root"))
-    ids = size.withColumn("entity_id", F.format_string("THR_%04d", rank - 1))
+    ids = numbered(size, [F.col("n_messages").desc(), F.col("root")], "_rank").withColumn("entity_id", F.format_string("THR_%04d", "_rank"))
     inside = placed.join(ids.select("root", "entity_id"), "root").select("subject", "message_key", "entity_id")
     seen = named.join(inside, ["subject", "message_key"])
     edges = seen.select("entity_id", "doc_id", F.explode(F.array("src", "dst")).alias("src")).filter("src IS NOT NULL").groupBy("src", F.col("entity_id").alias("dst")).agg(F.count("*").alias("weight"), F.countDistinct("doc_id").alias("n_docs"))
@@ -158,3 +161,14 @@ def stack_edges(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.select(*[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in EDGE_COLUMNS])
+
+
+NODE_COLUMNS = "entity_id type canonical n_aliases n_mentions addresses".split()
+
+
+def stack_nodes(*parts: DataFrame) -> DataFrame:
+    """All node tables as one, with the fixed columns; missing ones are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in NODE_COLUMNS])

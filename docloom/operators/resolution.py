@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from docloom.functions import fixed
 from docloom.functions.profile import strip_all
 from docloom.operators.components import connected_components
+from docloom.operators.numbering import numbered
 
 _TITLE = re.compile(fixed.TITLE, re.I)
 
@@ -153,8 +154,8 @@ def assemble(forms: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFram
     order = F.struct(F.col("norm").rlike("(?i)" + fixed.SALUTATION).alias("s"), (~F.col("norm").contains(" ")).alias("o"), (-F.col("n")).alias("n"), (-F.length("norm")).alias("l"), "norm")
     groups = rows.groupBy("root", "type").agg(F.min_by("norm", order).alias("canonical"), F.count("*").alias("n_aliases"), F.sum("n").alias("n_mentions"))
     prefix = F.substring("type", 1, 3)
-    rank = F.row_number().over(Window.orderBy("root", "type")) - 1
-    entities = groups.withColumn("entity_id", F.format_string("%s_%06d", F.when(F.col("type") == "PERSON", "PER").otherwise(prefix), rank))
+    ranked = numbered(groups, [F.col("root"), F.col("type")], "_rank")
+    entities = ranked.withColumn("entity_id", F.format_string("%s_%06d", F.when(F.col("type") == "PERSON", "PER").otherwise(prefix), "_rank"))
     aliases = rows.join(entities.select("root", "type", "entity_id"), ["root", "type"]).select("entity_id", "type", "norm", F.col("n").alias("n_mentions"), F.col("kind").alias("resolution"))
     return entities.select("entity_id", "type", "canonical", "n_aliases", "n_mentions"), aliases
 
@@ -214,8 +215,8 @@ def resolve_actors(actors: DataFrame, addresses: DataFrame, names: DataFrame) ->
     step = step.join(shown, "key", "left")
     found = F.coalesce("by_address", "by_name", "by_bag", "by_shown")
     method = F.when(F.col("by_address").isNotNull(), "address").when(F.col("by_name").isNotNull(), "exact").when(F.col("by_bag").isNotNull(), "reordered").when(F.col("by_shown").isNotNull(), "display").otherwise("minted")
-    rank = F.row_number().over(Window.partitionBy("method").orderBy("key")) - 1
-    return step.withColumn("method", method).select("key", F.coalesce(found, F.format_string("EML_%06d", rank)).alias("entity_id"), "method")
+    ranked = numbered(step.select("key", method.alias("method"), found.alias("found")), [F.when(F.col("method") == "minted", 0).otherwise(1), F.col("key")], "_rank")  # minted ones first
+    return ranked.select("key", F.coalesce("found", F.format_string("EML_%06d", "_rank")).alias("entity_id"), "method")
 
 
 def top_names(rows: DataFrame, k: int = 3) -> DataFrame:

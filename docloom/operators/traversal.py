@@ -91,3 +91,11 @@ def mine_no_path(store: DataFrame, n: int) -> DataFrame:
     inside = marked.filter(F.col("_r").isNotNull()).orderBy("node").limit(n).select("node", F.row_number().over(Window.orderBy("node")).alias("i"))
     outside = marked.filter(F.col("_r").isNull()).orderBy("node").limit(n).select("node", F.row_number().over(Window.orderBy("node")).alias("i"))
     return inside.select(F.col("node").alias("a"), "i").join(outside.select(F.col("node").alias("b"), "i"), "i").select("a", "b")
+
+
+def cited_facts(edges: DataFrame) -> DataFrame:
+    """edges(src, dst, relation, weight, first_sent, last_sent, doc_ids) to src, dst and one sentence with dates and documents."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    span = F.when(F.col("first_sent").isNotNull(), F.concat(F.lit(", "), day("first_sent"), F.lit(" to "), day("last_sent"))).otherwise("")
+    cited = F.when(F.col("doc_ids") != "", F.concat(F.lit(", documents "), "doc_ids")).otherwise("")
+    return edges.select("src", "dst", F.concat(F.concat_ws(" ", "src", "relation", "dst"), F.lit(" (weight "), F.col("weight").cast("string"), span, cited, F.lit(")")).alias("fact"))

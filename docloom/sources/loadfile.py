@@ -96,3 +96,16 @@ def write_yaml(df: DataFrame, path: str, limit: int = 10_000) -> None:
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Adjudication sheets: CSV files with a header and quoted cells that may hold line ends; all columns are text, blanks null."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(*[F.when(F.trim(c) != "", F.col(c)).alias(c) for c in rows.columns])
+
+
+def write_html(rows: DataFrame, path: str) -> None:
+    """A folder of HTML tables, one for each part of rows."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in rows.columns], F.lit("</tr>"))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)

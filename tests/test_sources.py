@@ -1,6 +1,10 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from docloom.functions import profile
 from docloom.plans import catalog
+from docloom.operators import retrieval
+from docloom.operators.numbering import numbered
 from docloom.sources import loadfile
 from docloom.streaming import ingest
 
@@ -39,3 +43,18 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["src", "dst", "n_chunks_joint", "n_docs", "npmi"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(catalog.QUERIES[k](spark, "/root/testdata/sf0.001").columns for k in ("profile_metrics", "communicated_with", "vector_top_k"))
+
+
+def test_sheets_index_and_pages(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('item,verdict\n1,"y, ""sure""\nindeed"\n2, \n')
+    assert [(r.item, r.verdict) for r in loadfile.read_sheets(spark, str(tmp_path / "a.csv")).collect()] == [("1", 'y, "sure"\nindeed'), ("2", None)]
+    retrieval.save_index(spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "id long, v array<float>"), str(tmp_path / "index"))
+    assert [(r.id, r.v) for r in retrieval.load_index(spark, str(tmp_path / "index")).collect()] == [(1, [0.6, 0.8])]
+    loadfile.write_html(spark.createDataFrame([("<b>&", None)], "a string, b string"), str(tmp_path / "page"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "page")).collect()] == ["<tr><td>&lt;b>&amp;</td><td></td></tr>"]
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"))
+    assert {r.x: r.n for r in numbered(rows, [F.col("x").desc()], "n").collect()} == {i: 499 - i for i in range(500)}
+    assert numbered(rows.limit(0), [F.col("x")], "n").count() == 0
