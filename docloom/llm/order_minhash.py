@@ -52,7 +52,7 @@ SIMILARITY = 0.8
 TABLES = 36
 SIZE = 3
 FIRST = 6
-BLOCK = 512
+BLOCK = 128
 ALIGNED = 4_000  # words up to which a block aligns its pairs itself
 ROUNDS, WORTH = 4, 50  # rounds go on while a pair in so many joins classes; what they leave is compared in full
 _BINS = 256  # word counts that a pair is sifted by
