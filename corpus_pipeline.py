@@ -21,8 +21,8 @@ from docloom.llm.common import Workspace
 from docloom.session import table
 
 
-#: A repeated passage goes from so many words on; PASSAGE_BYTES of them are compared first, fewer than so many words have.
-PASSAGE_WORDS, PASSAGE_BYTES = 51, 200
+#: A repeated passage goes from so many words on; strings of PASSAGE_BYTES are compared, which is fewer than so many words of natural text have.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 250
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
