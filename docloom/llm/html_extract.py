@@ -114,7 +114,14 @@ def parse(page: str) -> Page:
     out = Page()
     stack = [("html", out.node(-1, "html", 0))]  # all open elements; an inline one has the node of its block
     run: list[str] = []
-    linked = at = links = 0
+    linked = at = links = paragraphs = 0
+
+    def close(i: int) -> None:
+        """Close the elements from place i on."""
+        nonlocal links, paragraphs
+        links -= sum(t == "a" for t, _ in stack[i:])
+        paragraphs -= sum(t == "p" for t, _ in stack[i:])
+        del stack[i:]
 
     def flush() -> None:
         nonlocal linked
@@ -135,15 +142,14 @@ def parse(page: str) -> Page:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            if tag == "p" and not any(t == "p" for t, _ in stack[-64:]):
+            if tag == "p" and not paragraphs:
                 flush()
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     if any(t in BLOCK for t, _ in stack[i:]):
                         flush()
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and stack[i][0] in BLOCK:
                     break  # an inline end does not close a block
@@ -165,13 +171,13 @@ def parse(page: str) -> Page:
                 if name in fence:
                     break
                 if name in closes or name == "p":
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     if name == "p" and not closes:
                         break
                 elif name in BLOCK and not closes:
                     break
                 i -= 1
+            paragraphs += tag == "p"
             stack.append((tag, out.node(stack[-1][1], tag, _families(m["attrs"] or ""))))
         else:
             if tag == "a":
