@@ -11,7 +11,8 @@ neighbouring ranges into one read while the gap is small, and cuts the records o
 
 Defined cases: a null html is an empty payload; payloads under `min_revisit` bytes are always
 responses; rows equal in payload and page_id are responses alike; a null page_id ranks below all
-others; a null url is written as an empty target; an empty table gives empty archives and results.
+others; a null url is written as an empty target; very long payloads are records like others; other columns of pages
+stay out; an empty table gives empty archives and results.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ MIN_REVISIT = 1000
 ROLL_BYTES = 64_000_000
 READ_BYTES = 8_000_000
 READ_GAP = 65_536
+TASK_BYTES = 64_000_000
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _CRLF = b"\r\n"
@@ -119,9 +121,15 @@ _RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), p
 
 
 def read_records(index: DataFrame, folder: str, with_payload: bool = True, read_bytes: int = READ_BYTES, gap: int = READ_GAP) -> DataFrame:
-    """The records that the index rows name, by coalesced sorted reads."""
+    """The records that the index rows name, by coalesced sorted reads.
+
+    Tasks are counted by the bytes of the records and not by those of the index, of which one partition names gigabytes.
+    """
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spare = min(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // read_bytes))
+    tasks = max(1, spare, -(-total // TASK_BYTES))
     block = F.floor(F.col("offset") / read_bytes)
-    ordered = index.select("file", "offset", "length", block.alias("_block")).repartition("file", "_block").sortWithinPartitions("file", "offset")
+    ordered = index.select("file", "offset", "length", block.alias("_block")).repartition(tasks, "file", "_block").sortWithinPartitions("file", "offset")
 
     def runs(batches):
         now = None  # file, start, end, [(offset, length)]
