@@ -464,6 +464,50 @@ def test_media_copies_are_found(spark):
     assert media.classes(spark, spark.createDataFrame([], "media_id long, media binary")).count() == 0
 
 
+def test_many_copies_of_one_picture(spark):
+    """Hundreds of noisy copies crowd the band values; with small crowds and blocks every step is taken."""
+    noise, base = np.random.default_rng(4), media.draw(0)
+    copies = [np.clip(base * 0.9 + noise.normal(0, 2, base.shape), 0, 255) for _ in range(150)] + [base[i % 6 :, i // 6 :] for i in range(24)]
+    others = [media.draw(i) for i in range(1, 31)]
+    rows = [(i, media.encode_png(p)) for i, p in enumerate(copies + others)]
+    frame = spark.createDataFrame(rows, "media_id long, media binary")
+    got = {r.media_id: (r.class_id, r.class_size) for r in media.classes(spark, frame).collect()}
+    assert all(got[i] == (0, 174) for i in range(174)) and all(got[i] == (i, 1) for i in range(174, 204))
+
+
+def test_blocks_give_the_links_of_brute_force(spark, monkeypatch):
+    """A value held by all images, without rounds: blocks alone find the classes of a comparison of all pairs."""
+    monkeypatch.setattr(media, "CROWD", 1)
+    monkeypatch.setattr(media, "ROUNDS", 0)
+    monkeypatch.setattr(media, "BLOCK", 5)
+    noise, pictures = np.random.default_rng(4), [media.draw(i % 9) for i in range(40)]
+    pictures = [media.raster(media.encode_png(np.clip(p + noise.normal(0, 9, p.shape), 0, 255))) for p in pictures]
+    found = [media.describe(p) for p in pictures]
+    least = list(range(40))
+    for _ in range(3):
+        for i in range(40):
+            for j in range(40):
+                shared = np.intersect1d(media.band_keys(found[i][1]), media.band_keys(found[j][1]))
+                if i != j and len(shared) >= media.MIN_VOTES and (media.consensus(*found[min(i, j)], *found[max(i, j)]) >= media.MIN_INLIERS):
+                    least[i] = least[j] = min(least[i], least[j])
+    rows = [(i, media.encode_png(p)) for i, p in enumerate(pictures)]
+    got = {r.media_id: r.class_id for r in media.classes(spark, spark.createDataFrame(rows, "media_id long, media binary")).collect()}
+    assert [got[i] for i in range(40)] == least and len(set(least)) < 30
+
+
+def test_large_images_resized_and_cropped():
+    scene = lambda seed: np.block([[media.draw(seed + 4 * r + c) for c in range(4)] for r in range(4)])
+    big = scene(0)
+    whole = media.describe(big)
+    assert len(whole[1]) > 100
+    for part in (big[100:260, 150:310], media._resize(big, 2.0), media._resize(big, 2**0.5)):
+        other = media.describe(part)
+        assert len(np.intersect1d(media.band_keys(whole[1]), media.band_keys(other[1]))) >= media.MIN_VOTES
+        assert media.consensus(*whole, *other) >= media.MIN_INLIERS
+    unlike = media.describe(scene(50))
+    assert media.consensus(*whole, *unlike) < media.MIN_INLIERS
+
+
 def test_rasters():
     image = np.arange(48).reshape(6, 8)
     assert (media.raster(media.encode_png(image)) == image).all()
