@@ -400,6 +400,21 @@ def test_removal_in_many_batches(spark, monkeypatch, length):
     assert got == [(i, *w) for (i, _, _), w in zip(rows, brute_removal([t.encode() for _, t, _ in rows], length))]
 
 
+def test_more_batches_do_not_order_suffixes_again(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_SUFFIXES", 8)
+    passes, add = [], suffix_dedup.SuffixFamily.add
+
+    def counted(family, batch, *rest):
+        passes.append(batch.count() + sum(family.array(x).count() for x in family.levels))
+        return add(family, batch, *rest)
+
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "add", counted)
+    rows = [(i, " ".join(words(300 + i, 300)), "s") for i in range(40)]
+    suffixes = sum(len(keys) for _, _, keys, _ in suffix_dedup.suffixes([t.encode() for _, t, _ in rows]))
+    assert suffix_dedup.digests(spark, docs(spark, rows)).filter("n_removed > 0").count() == 0
+    assert len(passes) > 3 and sum(passes) < 2 * suffixes
+
+
 def test_family_keeps_ordered_levels(spark):
     folder, r = f"{Workspace(spark, 'test').path}/family", random.Random(2)
     make = lambda n: [bytes(r.choice(b"ab") for _ in range(9)) + bytes(suffix_dedup.K - 9) for _ in range(n)]
