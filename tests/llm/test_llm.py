@@ -510,6 +510,40 @@ def test_blocks_give_the_links_of_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(40)] == least and len(set(least)) < 30
 
 
+def test_crowded_values_are_stored_once(spark, monkeypatch):
+    """Images with crowded values meet by blocks: their values are not written again, round after round."""
+    written = Counter()
+    write = Workspace.write
+
+    def counted(work, frame, name):
+        out = write(work, frame, name)
+        written[name] = out.count() if "key" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    monkeypatch.setattr(media, "CROWD", 1)
+    scenes = [media.draw(i) for i in range(20)]
+    rows = [(i, media.encode_png(p)) for i, p in enumerate(scenes + [np.clip(p * 0.8 + 20, 0, 255) for p in scenes])]
+    got = {r.media_id: r.class_id for r in media.classes(spark, spark.createDataFrame(rows, "media_id long, media binary")).collect()}
+    assert [got[i] for i in range(40)] == [i % 20 for i in range(40)]
+    assert sum(written.values()) <= 2 * written["bands"]
+
+
+def test_blocks_find_pictures_that_share_few_values(monkeypatch):
+    """Two corners that agree are enough for a comparison, in blocks of any cut; links inside a class are left out."""
+    pairs = [(media.draw(seed), media._resize(media.draw(seed), 1 / 0.6)) for seed in (1016, 1023, 1029)]
+    found = [media.describe(np.rint(x).astype(np.float32)) for pair in pairs for x in pair]
+    assert all(len(np.intersect1d(media.band_keys(found[i][1]), media.band_keys(found[i + 1][1]))) < media.MIN_VOTES for i in range(0, len(found), 2))
+    names = [bytes([i]) for i in range(len(found))]
+    whole = media.Block(names, names, *([x.tobytes() for x in column] for column in zip(*found)))
+    wanted = {(names[i], names[i + 1]) for i in range(0, len(found), 2)}
+    assert set(media.links_between(whole, whole)) == wanted
+    monkeypatch.setattr(media, "_MEETINGS", 3)
+    assert set(media.links_between(whole, whole)) == wanted
+    one_class = media.Block(names, [b""] * len(names), *([x.tobytes() for x in column] for column in zip(*found)))
+    assert media.links_between(one_class, one_class) == []
+
+
 def test_large_images_resized_and_cropped():
     scene = lambda seed: np.block([[media.draw(seed + 4 * r + c) for c in range(4)] for r in range(4)])
     big = scene(0)
