@@ -115,6 +115,21 @@ class Normaliser:
         return "".join([*out, text[at:]])
 
 
+class _Known(dict):
+    """The pieces of parts met before; those of others are found, and kept if the part is short."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        got = self.find(part)
+        if len(part) <= 64:  # longer parts hardly come again
+            if len(self) >= KEPT_PARTS:
+                self.clear()
+            self[part] = got
+        return got
+
+
 class Transducer:
     def __init__(self, model: dict):
         self.pieces, self.scores, types = model["pieces"], model["scores"], model["types"]
@@ -139,9 +154,15 @@ class Transducer:
             self.lexicon = {p: i for p, i in self.lexicon.items() if len(p) == 1 or self._merge(p) == [p]}
         # The lexicon as a tree of beginnings: a beginning that is no piece itself holds -1.
         self.begins = {p[:k]: -1 for p in self.lexicon for k in range(1, len(p))} | self.lexicon
+        # The same tree by symbols: a symbol leads to a piece or -1, and to the symbols after it.
+        self.tree: dict[str, tuple[int, dict]] = {}
+        nodes = {"": self.tree}
+        for p in sorted(self.begins, key=len):
+            nodes[p] = {}
+            nodes[p[:-1]][p[-1]] = self.begins[p], nodes[p]
         self.bytes_of = [self._bytes_of(p, t) for p, t in zip(self.pieces, types)]
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self._pieces_of)
 
     def _bytes_of(self, piece: str, kind: int) -> bytes:
         if kind == _BYTE:
@@ -209,28 +230,8 @@ class Transducer:
         whole = self.lexicon.get(part)
         if whole is not None and self.bpe:
             return (whole,)
-        n, bpe, pairs, scores = len(part), self.bpe, self.pairs, self.scores
-        dist, back = [0.0] + [_INF] * n, [(0, -2)] * (n + 1)  # a state's last arc: where it starts, its piece
-        for start in range(n):
-            before = dist[start]
-            if before == _INF:
-                continue
-            last = back[start][1]
-            for end, i in self._arcs(part, start):
-                if bpe:  # the weight of a pair is 0 or infinite, so a state at distance 0 cannot be bettered
-                    if dist[end] == 0.0:
-                        continue
-                    if last >= 0 and i >= 0:
-                        ok = pairs.get(last << 20 | i)
-                        if not (self.allowed(last, i) if ok is None else ok):
-                            continue
-                    cost = before
-                else:
-                    cost = before + (self.unspelt if i < 0 else -scores[i])
-                if cost < dist[end]:
-                    dist[end], back[end] = cost, (start, i)
-            if not bpe and before + self.unspelt < dist[start + 1]:
-                dist[start + 1], back[start + 1] = before + self.unspelt, (start, -1)
+        n = len(part)
+        back = self._sweep_pairs(part, n) if self.bpe else self._sweep_scores(part, n)
         out, at = [], n
         while at:
             start, i = back[at]
@@ -238,6 +239,48 @@ class Transducer:
             at = start
         return tuple(chain.from_iterable(reversed(out)))
 
+    def _sweep_pairs(self, part: str, n: int) -> list:
+        """A state's last arc (where it starts, its piece) for pair costs: 0 or infinite, so a state at distance 0 cannot be bettered."""
+        back: list = [None] * (n + 1)  # None: distance infinite
+        back[0] = 0, -2
+        known = self.pairs.get
+        for start in range(n):
+            if back[start] is None:
+                continue
+            last, spelt, node = back[start][1], False, self.tree
+            left = last << 20
+            for end in range(start, n):
+                got = node.get(part[end])
+                if got is None:
+                    break
+                i, node = got
+                if i >= 0:
+                    spelt = True
+                    if back[end + 1] is None:
+                        if last < 0:
+                            back[end + 1] = start, i
+                        else:
+                            ok = known(left | i)
+                            if self.allowed(last, i) if ok is None else ok:
+                                back[end + 1] = start, i
+            if not spelt and back[start + 1] is None:
+                back[start + 1] = start, -1
+        return back
+
+    def _sweep_scores(self, part: str, n: int) -> list:
+        """The same where an arc costs minus its score."""
+        scores = self.scores
+        dist, back = [0.0] + [_INF] * n, [(0, -2)] * (n + 1)
+        for start in range(n):
+            before = dist[start]
+            for end, i in self._arcs(part, start):
+                cost = before + (self.unspelt if i < 0 else -scores[i])
+                if cost < dist[end]:
+                    dist[end], back[end] = cost, (start, i)
+            if before + self.unspelt < dist[start + 1]:
+                dist[start + 1], back[start + 1] = before + self.unspelt, (start, -1)
+        return back
+
     def symbols_of(self, text: str) -> str:
         """The normalised text, with spaces as spaces."""
         text = self.mapped(text)
@@ -247,24 +290,16 @@ class Transducer:
         text = self.symbols_of(text)
         return (MARK if self.prefix else "") + text.replace(" ", MARK) if text else ""
 
-    def __getitem__(self, part: str) -> tuple[int, ...]:
-        got = self.known.get(part)
-        if got is None:
-            word = part.rstrip(self.tail)
-            if len(word) < len(part) and word and word[-1].isalnum():
-                got = self[word] + self[part[len(word) :]]
-            else:
-                got = self.shortest_path(part)
-            if len(part) <= 64:  # longer parts hardly come again
-                if len(self.known) >= KEPT_PARTS:
-                    self.known.clear()
-                self.known[part] = got
-        return got
+    def _pieces_of(self, part: str) -> tuple[int, ...]:
+        word = part.rstrip(self.tail)
+        if len(word) < len(part) and word and word[-1].isalnum():
+            return self.known[word] + self.known[part[len(word) :]]
+        return self.shortest_path(part)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.part.findall(self.normalise(text)))), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, self.part.findall(self.normalise(text)))), np.int32)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -220,6 +220,24 @@ def test_pieces_equal_the_library(spark, pieces):
         assert ours.decode(theirs.encode(t)) == theirs.decode(theirs.encode(t))
 
 
+def test_parts_met_before_are_looked_up_without_a_call(pieces, monkeypatch):
+    """A part is swept once, arcs are taken as they are met, and a full store is emptied without a change of results."""
+    transducer, library = pieces
+    text = " ".join(words(8, 400)) + " qzxv-17, \U0001f600 ab\n"
+    wanted = library.encode(text)
+    swept = []
+    sweep = transducer.shortest_path
+    monkeypatch.setattr(transducer, "shortest_path", lambda part: swept.append(part) or sweep(part))
+    monkeypatch.setattr(transducer, "_arcs", None)
+    transducer.known.clear()
+    assert transducer.encode(text).tolist() == wanted and len(swept) == len(set(swept)) > 0
+    done = len(swept)
+    assert transducer.encode(text).tolist() == wanted and len(swept) == done
+    monkeypatch.setattr(piece_fst, "KEPT_PARTS", 3)
+    transducer.known.clear()
+    assert transducer.encode(text).tolist() == wanted
+
+
 def test_unigram_sweep_takes_the_best_path():
     model = {"pieces": ["<unk>", "▁", "a", "b", "ab", "▁a", "ba"] + [f"<0x{i:02X}>" for i in range(256)], "scores": [0, -3, -4, -4, -2, -2.5, -9] + [0] * 256, "types": [2] + [1] * 6 + [6] * 256, "bpe": False, "prefix": True}
     t = piece_fst.Transducer(model)
