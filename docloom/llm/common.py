@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -117,3 +118,21 @@ def byte_groups(texts, limit: int = 2_000_000):
         total += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def utf8_groups(texts: pa.Array, limit: int = 2_000_000):
+    """Yield (first, last, bytes, offsets) of consecutive texts of about `limit` bytes as numpy arrays over Arrow's own
+    buffers; a null text is an empty one, a longer text is alone. Text i of a group is bytes[offsets[i]:offsets[i + 1]].
+    """
+    if not len(texts):
+        return
+    texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, where, held = texts.buffers()
+    ends = np.frombuffer(where, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + limit, "right")) - 1)
+        yield lo, hi, data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        lo = hi
