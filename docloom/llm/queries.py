@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.llm import additive_quant, html_extract, importance, media, mixing, order_minhash, piece_fst, quality, suffix_dedup, toxicity, vector_codes, warc
+from docloom.llm import additive_quant, html_extract, importance, language_id, media, mixing, order_minhash, piece_fst, quality, suffix_dedup, toxicity, vector_codes, warc
 from docloom.session import table
 
 
@@ -51,6 +51,10 @@ def op10_media_copies(spark, sf_dir):
     return media.classes(spark, media.render(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
+def op11_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark, sf_dir):
     docs, target = (table(spark, sf_dir, x) for x in ("documents", "benchmark"))
     return importance.rank(spark, docs, target, keep=["doc_id"])
@@ -60,5 +64,5 @@ def op13_vector_codes(spark, sf_dir):
     return vector_codes.compress(spark, table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_html_extract": op1_html_extract, "op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_additive_quant": op6_additive_quant, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_media_copies": op10_media_copies, "op12_importance": op12_importance, "op13_vector_codes": op13_vector_codes}
+QUERIES = {"op1_html_extract": op1_html_extract, "op2_warc": op2_warc, "op3_order_minhash": op3_order_minhash, "op4_sentencepiece": op4_sentencepiece, "op5_quality": op5_quality, "op6_additive_quant": op6_additive_quant, "op7_mixing": op7_mixing, "op8_toxicity": op8_toxicity, "op9_suffix_dedup": op9_suffix_dedup, "op10_media_copies": op10_media_copies, "op11_language_id": op11_language_id, "op12_importance": op12_importance, "op13_vector_codes": op13_vector_codes}
 ORACLE_SQL = {"op2_warc": warc.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
