@@ -586,7 +586,7 @@ def test_rasters():
 
 
 def test_registry():
-    assert [int(k[2:].split("_")[0]) for k in sorted(QUERIES, key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in sorted(QUERIES, key=lambda k: int(k[2:].split("_")[0]))] == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
