@@ -37,6 +37,12 @@ def least_values(rows: DataFrame, keys: list[str], value: Column, cap: int, out:
     return kept.join(counted, keys).select(*keys, F.concat("_t", more).alias(out))
 
 
+def top_values(counts: DataFrame, keys: list[str], value: str, n: str, cap: int, out: str) -> DataFrame:
+    """keys, out: the `cap` values of counts(keys, value, n) with the largest n, the least first among equals, as text."""
+    first = counts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(n).desc(), value))).filter(F.col("_n") <= cap)
+    return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("string").alias("v")))), lambda r: r["v"]), "; ").alias(out))
+
+
 def communicated_with(rows: DataFrame) -> DataFrame:
     """rows(src, dst, message_key, doc_id, is_cc, sent_at, subject) to one edge per direction.
 
@@ -70,20 +76,30 @@ def unordered_pairs(rows: DataFrame, group: str, item: str, carry: list[str] | N
 def co_recipients(rows: DataFrame) -> DataFrame:
     """rows(message_key, dst, doc_id, block_index, is_cc, sent_at, subject) to undirected edges of joint recipients.
 
-    Of copies of a message the one with the least (doc_id, block_index) tells; documents count over all copies.
+    Of a recipient's copies of a message the one with the least (doc_id, block_index) tells whether it was a copy, when it
+    was sent and its subject. Documents are those of all copies of the message, whoever is named in them. Documents,
+    dates and subjects are reduced by message first and meet its pairs as rows.
     """
-    one = rows.groupBy("message_key", "dst").agg(F.min(F.struct("doc_id", "block_index", "is_cc", "sent_at", "subject")).alias("r"), F.collect_set("doc_id").alias("docs"))
-    one = one.select("message_key", "dst", "r.is_cc", "r.sent_at", "r.subject", "docs")
-    pairs = unordered_pairs(one, "message_key", "dst", ["is_cc", "sent_at", "subject", "docs"])
-    joint = pairs.withColumn("_docs", F.array_union("a_docs", "b_docs"))
-    counted = joint.groupBy("src", "dst").agg(
-        F.countDistinct("message_key").alias("weight"),
+    key = ["message_key"]
+    one = rows.groupBy("message_key", "dst").agg(F.min(F.struct("doc_id", "block_index", "is_cc", "sent_at", "subject")).alias("r")).select("message_key", "dst", "r.is_cc", "r.sent_at", "r.subject")
+    when = one.groupBy(key).agg(F.min("sent_at").alias("first_sent"), F.max("sent_at").alias("last_sent"))
+    pairs = unordered_pairs(one, "message_key", "dst", ["is_cc"])
+    keys = ["src", "dst"]
+    counted = pairs.join(when, key).groupBy(keys).agg(
+        F.count("*").alias("weight"),
         F.sum((F.col("a_is_cc") & F.col("b_is_cc")).cast("long")).alias("n_cc"),
-        F.min("a_sent_at").alias("first_sent"),
-        F.max("a_sent_at").alias("last_sent"),
+        F.min("first_sent").alias("first_sent"),
+        F.max("last_sent").alias("last_sent"),
     )
-    docs = joint.select("src", "dst", F.explode("_docs").alias("d")).groupBy("src", "dst").agg(F.countDistinct("d").alias("n_docs"))
-    return counted.join(docs, ["src", "dst"]).withColumn("relation", F.lit("co_recipient_of")).withColumn("tier", F.lit(1)).withColumn("span_days", days_between(F.col("first_sent"), F.col("last_sent")))
+    placed = pairs.select(*key, *keys).join(rows.select("message_key", "doc_id").filter("doc_id IS NOT NULL").distinct(), key).select(*keys, "doc_id").distinct()
+    docs = placed.groupBy(keys).agg(F.count("*").alias("n_docs"))
+    spoken = one.filter("subject IS NOT NULL").groupBy("message_key", "subject").agg(F.count("*").alias("k"))
+    subjects = top_values(pairs.select(*key, *keys).join(spoken, key).groupBy(*keys, "subject").agg(F.sum("k").alias("k")), keys, "subject", "k", fixed.SUBJECT_CAP, "subjects")
+    out = counted.join(docs, keys, "left").join(least_values(placed, keys, F.col("doc_id"), fixed.EVIDENCE_CAP, "doc_ids"), keys, "left").join(subjects, keys, "left")
+    return out.select(
+        *keys, F.lit("co_recipient_of").alias("relation"), F.lit(1).alias("tier"), "weight", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_cc", "first_sent", "last_sent",
+        days_between(F.col("first_sent"), F.col("last_sent")).alias("span_days"), F.coalesce("doc_ids", F.lit("")).alias("doc_ids"), F.coalesce("subjects", F.lit("")).alias("subjects"),
+    )
 
 
 def normalise_subject(subject: Column) -> Column:
@@ -130,45 +146,62 @@ def is_noisy(canonical: Column, kind: Column) -> Column:
     return (tokens > fixed.MAX_ENTITY_TOKENS) | ((kind == "PERSON") & F.coalesce(canonical.rlike("(?i)" + fixed.SALUTATION), F.lit(False)))
 
 
-def co_occurs_with(mentions: DataFrame, min_entity_df=fixed.MIN_ENTITY_DF, min_pair_df=fixed.MIN_PAIR_DF, min_pair_docs=fixed.MIN_PAIR_DOCS, min_npmi=fixed.MIN_NPMI, max_entities=fixed.MAX_ENTITIES_PER_CHUNK) -> DataFrame:
-    """mentions(chunk_id, doc_id, entity_id) to undirected edges weighted by normalised pointwise mutual information.
+def usable_mentions(mentions: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """Mentions that are linked, stand in the body and name no entity of exclude(entity_id).
+
+    A chunk's prepended header is on every chunk of its message, so its mentions would count again and again; the
+    column in_header tells them, where there is one.
+    """
+    rows = mentions.filter(F.col("entity_id").isNotNull() & F.col("chunk_id").isNotNull())
+    if "in_header" in mentions.columns:
+        rows = rows.filter(~F.coalesce("in_header", F.lit(False)))
+    return rows if exclude is None else rows.join(exclude.select("entity_id"), "entity_id", "left_anti")
+
 
-    Rare entities are dropped before pairs are made; a chunk makes at most max_entities^2 / 2 pairs.
+def co_occurs_with(mentions: DataFrame, exclude: DataFrame | None = None, min_entity_df=fixed.MIN_ENTITY_DF, min_pair_df=fixed.MIN_PAIR_DF, min_pair_docs=fixed.MIN_PAIR_DOCS, min_npmi=fixed.MIN_NPMI, max_entities=fixed.MAX_ENTITIES_PER_CHUNK) -> DataFrame:
+    """mentions(chunk_id, doc_id, entity_id, in_header) to undirected edges weighted by normalised pointwise mutual information.
+
+    Header mentions and the entities of exclude(entity_id), such as noisy ones, take no part. Rare entities are dropped
+    before pairs are made; a chunk makes at most max_entities^2 / 2 pairs.
     """
-    once = mentions.filter(F.col("entity_id").isNotNull() & F.col("chunk_id").isNotNull()).groupBy("chunk_id", "entity_id").agg(F.min("doc_id").alias("doc_id"))
+    once = usable_mentions(mentions, exclude).groupBy("chunk_id", "entity_id").agg(F.min("doc_id").alias("doc_id"))
     width = Window.partitionBy("chunk_id")
     kept = once.withColumn("_n", F.count("*").over(width)).filter(F.col("_n") <= max_entities).drop("_n")
     chunks = kept.agg(F.countDistinct("chunk_id").cast("double").alias("n_chunks"))
     df = kept.groupBy("entity_id").agg(F.count("*").alias("df")).filter(F.col("df") >= min_entity_df)
     frequent = kept.join(df.select("entity_id"), "entity_id", "left_semi")
-    pairs = unordered_pairs(frequent, "chunk_id", "entity_id", ["doc_id"])
-    counted = pairs.groupBy("src", "dst").agg(F.count("*").alias("n_chunks_joint"), F.countDistinct("a_doc_id").alias("n_docs"))
+    by_doc = unordered_pairs(frequent, "chunk_id", "entity_id", ["doc_id"]).groupBy("src", "dst", F.col("a_doc_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    counted = by_doc.groupBy("src", "dst").agg(F.sum("n").alias("n_chunks_joint"), F.count("doc_id").alias("n_docs"))
     counted = counted.filter((F.col("n_chunks_joint") >= min_pair_df) & (F.col("n_docs") >= min_pair_docs))
     left, right = (df.select(F.col("entity_id").alias(k), F.col("df").cast("double").alias(f"{k}_df")) for k in ("src", "dst"))
     scored = counted.join(left, "src").join(right, "dst").crossJoin(F.broadcast(chunks))  # one row
     p = F.col("n_chunks_joint") / F.col("n_chunks")
     pmi = F.log(p / ((F.col("src_df") / F.col("n_chunks")) * (F.col("dst_df") / F.col("n_chunks"))))
     npmi = F.when(p >= 1, 1.0).otherwise(pmi / -F.log(p))
-    return scored.withColumn("npmi", npmi).filter(F.col("npmi") >= min_npmi).select("src", "dst", "n_chunks_joint", "n_docs", "npmi", F.lit("co_occurs_with").alias("relation"), F.lit(2).alias("tier"))
+    found = scored.withColumn("npmi", npmi).filter(F.col("npmi") >= min_npmi)
+    docs = least_values(by_doc.join(found.select("src", "dst"), ["src", "dst"], "left_semi"), ["src", "dst"], F.col("doc_id"), fixed.EVIDENCE_CAP, "doc_ids")
+    return found.join(docs, ["src", "dst"], "left").select("src", "dst", F.lit("co_occurs_with").alias("relation"), F.lit(2).alias("tier"), F.round("npmi", 4).alias("weight"), "n_chunks_joint", "n_docs", "npmi", F.coalesce("doc_ids", F.lit("")).alias("doc_ids"))
 
 
-EDGE_COLUMNS = "src dst relation tier weight n_rows n_docs n_cc n_chunks_joint npmi first_sent last_sent span_days doc_ids subjects".split()
+EDGE_COLUMNS = {
+    "src": "string", "dst": "string", "relation": "string", "tier": "int", "weight": "double", "n_rows": "long", "n_docs": "long", "n_cc": "long", "n_chunks_joint": "long", "npmi": "double",
+    "first_sent": "timestamp", "last_sent": "timestamp", "span_days": "long", "doc_ids": "string", "subjects": "string",
+}
+NODE_COLUMNS = {"entity_id": "string", "type": "string", "canonical": "string", "n_aliases": "long", "n_mentions": "long", "addresses": "array<string>"}
 
 
-def stack_edges(*parts: DataFrame) -> DataFrame:
-    """All edge tables as one, with the fixed columns; missing ones are null."""
+def _stacked(parts: tuple[DataFrame, ...], columns: dict[str, str]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).alias(c) for c in EDGE_COLUMNS])
+    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast(kind).alias(c) for c, kind in columns.items()])
 
 
-NODE_COLUMNS = "entity_id type canonical n_aliases n_mentions addresses".split()
+def stack_edges(*parts: DataFrame) -> DataFrame:
+    """All edge tables as one, with the fixed columns; missing ones are nulls of the column's type."""
+    return _stacked(parts, EDGE_COLUMNS)
 
 
 def stack_nodes(*parts: DataFrame) -> DataFrame:
-    """All node tables as one, with the fixed columns; missing ones are null."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in NODE_COLUMNS])
+    """All node tables as one, with the fixed columns; missing ones are nulls of the column's type."""
+    return _stacked(parts, NODE_COLUMNS)

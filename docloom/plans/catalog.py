@@ -235,39 +235,51 @@ def communicated_with(spark, sf):
 
 
 @query("""
-WITH m AS (SELECT l_orderkey AS k, 's' || l_suppkey AS dst, l_partkey AS doc, l_linenumber AS b, l_returnflag = 'R' AS cc, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-one AS (SELECT k, dst, arg_min(cc, (doc, b)) AS cc, min(d) AS d, list_distinct(list(doc)) AS docs FROM m GROUP BY 1, 2),
-p AS (SELECT a.k, a.dst AS src, b.dst AS dst, a.cc AND b.cc AS cc, a.d AS d, list_distinct(list_concat(a.docs, b.docs)) AS docs FROM one a JOIN one b ON a.k = b.k AND a.dst < b.dst),
-c AS (SELECT src, dst, count(DISTINCT k) AS weight, CAST(sum(CASE WHEN cc THEN 1 ELSE 0 END) AS BIGINT) AS n_cc, min(d) AS first_sent, max(d) AS last_sent FROM p GROUP BY 1, 2),
-n AS (SELECT src, dst, count(DISTINCT x) AS n_docs FROM (SELECT src, dst, unnest(docs) AS x FROM p) GROUP BY 1, 2)
-SELECT c.src, c.dst, weight, n_cc, first_sent, last_sent, n_docs FROM c JOIN n ON c.src = n.src AND c.dst = n.dst
+WITH m AS (SELECT l_orderkey AS k, 's' || l_suppkey AS dst, l_partkey AS doc, l_linenumber AS b, l_returnflag = 'R' AS cc, o_orderdate AS d, l_returnflag || l_linestatus AS subject FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+one AS (SELECT k, dst, arg_min(cc, (doc, b)) AS cc, arg_min(d, (doc, b)) AS d, arg_min(subject, (doc, b)) AS subject FROM m GROUP BY 1, 2),
+p AS (SELECT a.k, a.dst AS src, b.dst AS dst, a.cc AND b.cc AS cc FROM one a JOIN one b ON a.k = b.k AND a.dst < b.dst),
+w AS (SELECT k, min(d) AS d0, max(d) AS d1 FROM one GROUP BY 1),
+c AS (SELECT src, dst, count(DISTINCT p.k) AS weight, CAST(sum(CASE WHEN cc THEN 1 ELSE 0 END) AS BIGINT) AS n_cc, min(d0) AS first_sent, max(d1) AS last_sent FROM p JOIN w ON p.k = w.k GROUP BY 1, 2),
+x AS (SELECT p.src, p.dst, count(DISTINCT doc) AS n_docs, list_sort(list(DISTINCT CAST(doc AS VARCHAR))) AS docs FROM p JOIN m ON p.k = m.k GROUP BY 1, 2),
+t AS (SELECT p.src, p.dst, subject, count(*) AS n FROM p JOIN one ON p.k = one.k GROUP BY 1, 2, 3),
+s AS (SELECT src, dst, string_agg(subject, '; ' ORDER BY n DESC, subject) AS subjects FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, subject) AS i FROM t) WHERE i <= 3 GROUP BY 1, 2)
+SELECT c.src, c.dst, weight, n_cc, first_sent, last_sent, n_docs, subjects, array_to_string(list_slice(docs, 1, 20), '; ') || CASE WHEN len(docs) > 20 THEN '; +' || (len(docs) - 20) || ' more' ELSE '' END AS doc_ids
+FROM c JOIN x ON c.src = x.src AND c.dst = x.dst JOIN s ON c.src = s.src AND c.dst = s.dst
 """)
 def co_recipient_of(spark, sf):
-    return edges.co_recipients(_letters_of_orders(spark, sf)).select("src", "dst", "weight", "n_cc", "first_sent", "last_sent", "n_docs")
+    """Lines of an order as copies of a message: each names one recipient in a document of its own."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    rows = lines.join(orders, "l_orderkey").select(F.col("l_orderkey").alias("message_key"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("block_index"), (F.col("l_returnflag") == "R").alias("is_cc"), F.col("o_orderdate").alias("sent_at"), F.concat("l_returnflag", "l_linestatus").alias("subject"))
+    return edges.co_recipients(rows).select("src", "dst", "weight", "n_cc", "first_sent", "last_sent", "n_docs", "subjects", "doc_ids")
 
 
 def _mentions_of_orders(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    """Suppliers named in orders; every sixth line stands in a header."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_linenumber")
     doc = F.date_format(F.min("l_shipdate").over(Window.partitionBy("l_orderkey")), "yyyy-MM")
-    return lines.select(F.col("l_orderkey").alias("chunk_id"), doc.alias("doc_id"), F.col("l_suppkey").alias("entity_id"))
+    return lines.select(F.col("l_orderkey").alias("chunk_id"), doc.alias("doc_id"), F.col("l_suppkey").alias("entity_id"), (F.col("l_linenumber") % 6 == 0).alias("in_header"))
 
 
 _NPMI_SQL = """
 WITH o AS (SELECT l_orderkey AS chunk, strftime(min(l_shipdate), '%Y-%m') AS doc FROM lineitem GROUP BY 1),
-k0 AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS e FROM lineitem),
+k0 AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS e FROM lineitem WHERE l_linenumber % 6 <> 0 AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)),
 k AS (SELECT k0.chunk, e, doc FROM k0 JOIN o ON k0.chunk = o.chunk WHERE k0.chunk IN (SELECT chunk FROM k0 GROUP BY chunk HAVING count(*) <= 60)),
 n AS (SELECT CAST(count(DISTINCT chunk) AS DOUBLE) AS n FROM k),
 df AS (SELECT e, CAST(count(*) AS DOUBLE) AS df FROM k GROUP BY 1 HAVING count(*) >= 3),
-p AS (SELECT a.e AS src, b.e AS dst, count(*) AS c, count(DISTINCT a.doc) AS n_docs FROM k a JOIN k b ON a.chunk = b.chunk AND a.e < b.e WHERE a.e IN (SELECT e FROM df) AND b.e IN (SELECT e FROM df) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT a.doc) >= 2)
-SELECT src, dst, c AS n_chunks_joint, n_docs, floor(CASE WHEN c / n >= 1 THEN 1.0 ELSE ln(c / n / ((x.df / n) * (y.df / n))) / -ln(c / n) END * 1e6 + 0.5) / 1e6 AS npmi
+p AS (SELECT a.e AS src, b.e AS dst, count(*) AS c, count(DISTINCT a.doc) AS n_docs, list_sort(list(DISTINCT a.doc)) AS docs FROM k a JOIN k b ON a.chunk = b.chunk AND a.e < b.e WHERE a.e IN (SELECT e FROM df) AND b.e IN (SELECT e FROM df) GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT a.doc) >= 2)
+SELECT src, dst, c AS n_chunks_joint, n_docs, array_to_string(list_slice(docs, 1, 20), '; ') || CASE WHEN len(docs) > 20 THEN '; +' || (len(docs) - 20) || ' more' ELSE '' END AS doc_ids,
+  floor(CASE WHEN c / n >= 1 THEN 1.0 ELSE ln(c / n / ((x.df / n) * (y.df / n))) / -ln(c / n) END * 1e6 + 0.5) / 1e6 AS npmi
 FROM p JOIN df x ON x.e = src JOIN df y ON y.e = dst, n
 """
 
 
 @query(_NPMI_SQL)
 def co_occurs_with(spark, sf):
-    rows = edges.co_occurs_with(_mentions_of_orders(spark, sf), min_npmi=-1.0)
-    return rows.select("src", "dst", "n_chunks_joint", "n_docs", micro(F.col("npmi")).alias("npmi"))
+    """Suppliers in debt stand for noisy entities."""
+    noisy = table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("entity_id"))
+    rows = edges.co_occurs_with(_mentions_of_orders(spark, sf), noisy, min_npmi=-1.0)
+    return rows.select("src", "dst", "n_chunks_joint", "n_docs", "doc_ids", micro(F.col("npmi")).alias("npmi"))
 
 
 _THREADS = """

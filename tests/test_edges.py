@@ -29,6 +29,40 @@ def test_co_recipients_over_copies(spark):
     assert got == {("a", "b"): (1, 3, 1), ("a", "c"): (1, 3, 0), ("b", "c"): (1, 3, 0)}
 
 
+def test_co_recipients_count_documents_of_partial_copies(spark):
+    """A copy that names one recipient only is still a document of the message."""
+    day = datetime(2012, 1, 1)
+    rows = [("s", "a", "m", "d1", 0, False, day, "x"), ("s", "b", "m", "d1", 0, False, day, "x"), ("s", "c", "m", "d2", 0, False, day + timedelta(days=3), "z"), ("s", "a", "m2", "d3", 0, False, None, "y"), ("s", "b", "m2", "d3", 0, False, None, "y"), ("s", "c", "m3", "d9", 0, False, day, "w")]
+    got = {(r.src, r.dst): r for r in edges.co_recipients(letters(spark, rows)).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    ab, ac = got["a", "b"], got["a", "c"]
+    assert (ab.weight, ab.n_docs, ab.doc_ids, ab.subjects) == (2, 3, "d1; d2; d3", "x; y; z")
+    assert (ac.weight, ac.n_docs, ac.doc_ids, ac.span_days) == (1, 2, "d1; d2", 3)
+
+
+def test_header_and_noisy_mentions_make_no_edge(spark):
+    schema = "chunk_id string, doc_id string, entity_id string, in_header boolean"
+    rows = [(f"c{i}", f"D{i}", e, True) for i in range(5) for e in ("E1", "E2")]
+    least = {"min_npmi": -1.0}
+    assert edges.co_occurs_with(spark.createDataFrame(rows, schema), **least).count() == 0
+    body = spark.createDataFrame([(c, d, e, False) for c, d, e, _ in rows], schema)
+    (r,) = edges.co_occurs_with(body, **least).collect()
+    assert (r.n_docs, r.doc_ids, r.weight) == (5, "D0; D1; D2; D3; D4", 1.0)
+    assert edges.co_occurs_with(body, spark.createDataFrame([("E2",)], "entity_id string"), **least).count() == 0
+
+
+def test_documents_are_counted_beyond_the_evidence(spark):
+    rows = [(f"c{i}", f"D{i:03d}", e, False) for i in range(50) for e in ("E1", "E2")]
+    (r,) = edges.co_occurs_with(spark.createDataFrame(rows, "chunk_id string, doc_id string, entity_id string, in_header boolean"), min_npmi=0.0).collect()
+    assert r.n_docs == 50 and r.doc_ids.endswith("; +30 more")
+
+
+def test_stacked_columns_keep_their_types(spark):
+    a = spark.createDataFrame([("E1", "PERSON", "x")], "entity_id string, type string, canonical string")
+    assert dict(edges.stack_nodes(a).dtypes) == {"entity_id": "string", "type": "string", "canonical": "string", "n_aliases": "bigint", "n_mentions": "bigint", "addresses": "array<string>"}
+    assert dict(edges.stack_edges(spark.createDataFrame([("a", "b")], "src string, dst string")).dtypes)["first_sent"] == "timestamp"
+
+
 def test_thread_window_and_generic_subjects(spark):
     day = datetime(2012, 1, 1)
     rows = [("a", "b", "m1", "d1", 0, False, day, "Re: harvest plan"), ("b", "a", "m2", "d2", 0, False, day + timedelta(days=30), "harvest plan"), ("a", "b", "m3", "d3", 0, False, day + timedelta(days=90), "FW: harvest plan"), ("a", "b", "m4", "d4", 0, False, day, "none"), ("a", "b", "m5", "d5", 0, False, day, "none")]
