@@ -15,6 +15,7 @@ from docloom.functions import fixed
 from docloom.functions.profile import strip_all
 from docloom.operators.components import connected_components
 from docloom.operators.numbering import numbered
+from docloom.operators.similarity_join import indel_ratio, similar_pairs
 
 _TITLE = re.compile(fixed.TITLE, re.I)
 
@@ -31,32 +32,6 @@ def normalise_surface(surface: pd.Series) -> pd.Series:
     return surface.map(lambda s: None if s is None else fold_surface(s))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * LCS / (len a + len b), with the LCS by bit-parallel rows."""
-    if not a and not b:
-        return 100.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
-
-
-@pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)])
-
-
-def may_reach(a: Column, b: Column, threshold: float) -> Column:
-    """Native filter that never drops a pair of the threshold: levenshtein distance is at most the indel distance."""
-    limit = F.floor((F.length(a) + F.length(b)) * (1 - threshold / 100.0))
-    return F.levenshtein(a, b) <= limit
-
-
 def surface_counts(mentions: DataFrame) -> DataFrame:
     """forms(norm, type, n) of mentions(norm, type, ..)."""
     return mentions.filter(F.coalesce("norm", F.lit("")) != "").groupBy("norm", "type").agg(F.count("*").alias("n"))
@@ -68,28 +43,42 @@ def org_key(norm: Column) -> Column:
     return F.when(plain == "", norm).otherwise(plain)
 
 
-def _pairs(rows: DataFrame, block: str) -> DataFrame:
-    a = rows.select(block, *[F.col(c).alias(f"a_{c}") for c in rows.columns if c != block])
-    b = rows.select(block, *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != block])
-    return a.join(b, block).filter("a_norm < b_norm")
+def _near(a: Column, b: Column, strict_initials: bool) -> Column:
+    """Equal, or one the initial of the other."""
+    initial = ((F.length(a) == 1) & b.startswith(a)) | ((F.length(b) == 1) & a.startswith(b))
+    return (a == b) | (initial & F.lit(not strict_initials))
 
 
-def _given_compatible(a: Column, b: Column, strict_initials: bool) -> Column:
-    """Zipped to the shorter: equal, an initial of the other, or similar."""
-    n = F.least(F.size(a), F.size(b))
-    return (n > 0) & F.forall(F.arrays_zip(F.slice(a, 1, n).alias("x"), F.slice(b, 1, n).alias("y")), lambda z: (z["x"] == z["y"]) | (F.lit(not strict_initials) & (((F.length(z["x"]) == 1) & z["y"].startswith(z["x"])) | ((F.length(z["y"]) == 1) & z["x"].startswith(z["y"])))))
+def _given_pairs(named: DataFrame, strict_initials: bool) -> DataFrame:
+    """(last, x, y): the different first given names of a surname that may stand for each other.
+
+    Given names are compared word by word, so the first words of two compatible forms are equal, an initial and a name,
+    or similar; no others meet.
+    """
+    first = named.select("last", F.get("given", F.lit(0)).alias("s")).distinct()
+    similar = similar_pairs(first, threshold=fixed.PERSON_FUZZ, block=["last"]).select("last", F.col("a").alias("x"), F.col("b").alias("y"))
+    if strict_initials:
+        return similar
+    short = first.filter(F.length("s") == 1).select("last", F.col("s").alias("x"), F.col("s").alias("i"))
+    long = first.filter(F.length("s") > 1).select("last", F.col("s").alias("y"), F.substring("s", 1, 1).alias("i"))
+    return similar.unionByName(short.join(long, ["last", "i"]).select("last", "x", "y")).distinct()
 
 
 def cluster_people(forms: DataFrame, strict_initials: bool = False) -> DataFrame:
-    """forms(norm) of persons to (norm, root, kind): forms of several words, blocked by their last word.
+    """forms(norm) of persons to (norm, root, kind): forms of several words with one last word.
 
-    Most pairs are settled natively; only those whose given names differ and could still be similar go to Python.
+    Forms of a surname meet only if their first given names may stand for each other, or if their words are the same;
+    most pairs are then settled natively, those with further given names that differ go to Python.
     """
     tokens = F.split("norm", " ")
-    named = forms.select("norm", tokens.alias("t")).filter(F.size("t") >= 2)
+    named = forms.select("norm", tokens.alias("t")).filter(F.size("t") >= 2).distinct()
     named = named.select("norm", F.element_at("t", -1).alias("last"), F.slice("t", 1, F.size("t") - 1).alias("given"), F.array_join(F.array_sort("t"), " ").alias("bag"))
-    pairs = _pairs(named, "last")
-    pairs = pairs.withColumn("native", _given_compatible(F.col("a_given"), F.col("b_given"), strict_initials)).withColumn("reorder", F.col("a_bag") == F.col("b_bag"))
+    side = lambda k: named.select("last", "bag", F.get("given", F.lit(0)).alias("x" if k == "a" else "y"), F.col("norm").alias(f"{k}_norm"), F.col("given").alias(f"{k}_given"))
+    a, b = side("a").drop("bag"), side("b").drop("bag")
+    given = _given_pairs(named, strict_initials)
+    equal = a.join(b.withColumnRenamed("y", "x"), ["last", "x"]).filter("a_norm < b_norm").drop("x")
+    met = equal.unionByName(a.join(given, ["last", "x"]).join(b, ["last", "y"]).drop("x", "y")).drop("last")
+    reordered = side("a").drop("x").join(side("b").drop("y"), ["last", "bag"]).filter("a_norm < b_norm").select("a_norm", "b_norm", F.lit(False).alias("native"))
 
     @pandas_udf(T.BooleanType())
     def compatible(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -99,23 +88,29 @@ def cluster_people(forms: DataFrame, strict_initials: bool = False) -> DataFrame
 
         return pd.Series([one(x, y) for x, y in zip(a, b)])
 
-    settled = pairs.filter("native OR reorder").select("a_norm", "b_norm", "native")
-    open_pairs = pairs.filter("NOT native AND NOT reorder").filter(may_reach(F.array_join("a_given", ""), F.array_join("b_given", ""), 0))
-    fuzzy = open_pairs.filter(compatible("a_given", "b_given")).select("a_norm", "b_norm", F.lit(True).alias("native"))
-    links = settled.unionByName(fuzzy)
+    n = F.least(F.size("a_given"), F.size("b_given"))
+    plain = F.forall(F.arrays_zip(F.slice("a_given", 1, n).alias("x"), F.slice("b_given", 1, n).alias("y")), lambda z: _near(z["x"], z["y"], strict_initials))
+    settled = met.withColumn("plain", plain)
+    fuzzy = settled.filter("NOT plain").filter(compatible("a_given", "b_given"))
+    links = settled.filter("plain").unionByName(fuzzy).select("a_norm", "b_norm", F.lit(True).alias("native")).unionByName(reordered)
     roots = connected_components(named.select(F.col("norm").alias("node")), links.select(F.col("a_norm").alias("a"), F.col("b_norm").alias("b")))
     kinds = links.join(roots, F.col("a_norm") == F.col("node")).groupBy("root").agg(F.max("native").alias("v")).select("root", F.when(F.col("v"), "name_variant").otherwise("token_reorder").alias("kind"))
     return roots.join(kinds, "root", "left").select(F.col("node").alias("norm"), "root", F.coalesce("kind", F.lit("singleton")).alias("kind"))
 
 
 def cluster_conservative(forms: DataFrame, threshold: float = fixed.ORG_FUZZ) -> DataFrame:
-    """forms(norm) of organisations or places to (norm, root, kind): near-identical keys in a block of four characters."""
-    keyed = forms.select("norm", F.regexp_replace(org_key(F.col("norm")), " ", "").alias("key")).withColumn("block", F.substring("key", 1, 4))
-    pairs = _pairs(keyed, "block").filter((F.col("a_key") == F.col("b_key")) | may_reach(F.col("a_key"), F.col("b_key"), threshold))
-    links = pairs.filter((F.col("a_key") == F.col("b_key")) | (ratio("a_key", "b_key") >= threshold))
-    roots = connected_components(keyed.select(F.col("norm").alias("node")), links.select(F.col("a_norm").alias("a"), F.col("b_norm").alias("b")))
-    size = F.count("*").over(Window.partitionBy("root"))
-    return roots.withColumn("kind", F.when(size > 1, "near_duplicate").otherwise("singleton")).select(F.col("node").alias("norm"), "root", "kind")
+    """forms(norm) of organisations or places to (norm, root, kind): near-identical keys that begin with the same four characters.
+
+    Forms of one key are linked to the least of them, and keys to similar keys by those least forms.
+    """
+    keyed = forms.select("norm", F.regexp_replace(org_key(F.col("norm")), " ", "").alias("s")).distinct()
+    first = keyed.groupBy("s").agg(F.min("norm").alias("a"))
+    alike = keyed.join(first, "s").filter("norm <> a").select(F.col("norm").alias("b"), "a")
+    near = similar_pairs(first.select("s", F.substring("s", 1, 4).alias("block")), threshold=threshold, block=["block"]).select(F.col("a").alias("s"), F.col("b").alias("t"))
+    links = near.join(first, "s").join(first.select(F.col("s").alias("t"), F.col("a").alias("b")), "t").select("a", "b").unionByName(alike.select("a", "b"))
+    roots = connected_components(keyed.select(F.col("norm").alias("node")), links)
+    size = roots.groupBy("root").agg(F.count("*").alias("n"))
+    return roots.join(size, "root").select(F.col("node").alias("norm"), "root", F.when(F.col("n") > 1, "near_duplicate").otherwise("singleton").alias("kind"))
 
 
 def attach_bare_names(forms: DataFrame, clusters: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -176,9 +171,9 @@ def canonical_addresses(observations: DataFrame, threshold: float = fixed.ADDRES
     """observations(address) to (address, best): similar local ends pooled, the commonest then shortest of a pool best."""
     counts = observations.filter(F.coalesce("address", F.lit("")) != "").groupBy(F.col("address").alias("norm")).agg(F.count("*").alias("n"))
     local = F.substring_index("norm", "@", 1)
-    blocked = counts.select("norm", "n", F.substring(local, -5, 5).alias("block"))
-    pairs = _pairs(blocked, "block").filter(may_reach(F.col("a_norm"), F.col("b_norm"), threshold)).filter(ratio("a_norm", "b_norm") >= threshold)
-    roots = connected_components(counts.select(F.col("norm").alias("node")), pairs.select(F.col("a_norm").alias("a"), F.col("b_norm").alias("b")))
+    blocked = counts.select(F.col("norm").alias("s"), F.substring(local, -5, 5).alias("block"))
+    pairs = similar_pairs(blocked, threshold=threshold, block=["block"])
+    roots = connected_components(counts.select(F.col("norm").alias("node")), pairs.select("a", "b"))
     rows = counts.join(roots, F.col("norm") == F.col("node"))
     best = rows.groupBy("root").agg(F.min_by("norm", F.struct((-F.col("n")).alias("n"), F.length("norm").alias("l"), "norm")).alias("best"))
     return rows.join(best, "root").select(F.col("norm").alias("address"), "best")
@@ -195,6 +190,40 @@ def attach_addresses(pairs: DataFrame, min_seen: int = 2) -> DataFrame:
     return seen.groupBy("entity_id").agg(F.array_sort(F.collect_set("address")).alias("addresses"))
 
 
+def match_people(actors: DataFrame, aliases: DataFrame, threshold: float = fixed.PERSON_FUZZ) -> DataFrame:
+    """actors(norm), aliases(norm, entity_id) of persons to (norm, entity_id, how), a row for each different actor.
+
+    In order: the same form, the same words in another order, the most similar form with the same last word (then the
+    least form), else unmatched with a null id. Of several entities of a form the least counts.
+    """
+    wanted = actors.select("norm").filter("norm IS NOT NULL").distinct()
+    names = aliases.filter("norm IS NOT NULL").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
+    exact = wanted.join(names, "norm", "left").withColumnRenamed("entity_id", "exact")
+    bags = names.groupBy(name_key(F.col("norm")).alias("bag")).agg(F.min("entity_id").alias("reordered"))
+    step = exact.withColumn("bag", F.when(F.col("exact").isNull(), name_key(F.col("norm")))).join(bags, "bag", "left").drop("bag")
+    last = F.substring_index("norm", " ", -1).alias("last")
+    left = step.filter("exact IS NULL AND reordered IS NULL").select(F.col("norm").alias("s"), last)
+    pairs = similar_pairs(left, names.select(F.col("norm").alias("s"), last), threshold, ["last"])
+    best = pairs.groupBy(F.col("a").alias("norm")).agg(F.min_by("b", F.struct((-F.col("ratio")).alias("r"), "b")).alias("b"))
+    fuzzy = best.join(names.select(F.col("norm").alias("b"), F.col("entity_id").alias("fuzzy")), "b").select("norm", "fuzzy")
+    step = step.join(fuzzy, "norm", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("reordered").isNotNull(), "reordered").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("unmatched")
+    return step.select("norm", F.coalesce("exact", "reordered", "fuzzy").alias("entity_id"), how.alias("how"))
+
+
+def link_addresses(actors: DataFrame, aliases: DataFrame, min_seen: int = 2) -> DataFrame:
+    """actors(norm, address), a row an observation, to (entity_id, addresses): the canonical addresses of a person.
+
+    A pair of name and address counts if it is seen at least `min_seen` times and the name is found exactly or reordered;
+    a similar name and a pair seen once are too little to give somebody an address.
+    """
+    mails = actors.filter(F.col("address").contains("@") & F.col("norm").isNotNull())
+    firm = mails.groupBy("norm", "address").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seen)
+    known = match_people(firm, aliases).filter(F.col("how").isin("exact", "reordered"))
+    found = firm.join(known, "norm").join(canonical_addresses(mails.select("address")), "address")
+    return found.groupBy("entity_id").agg(F.array_sort(F.collect_set("best")).alias("addresses"))
+
+
 def name_key(norm: Column) -> Column:
     return F.array_join(F.array_sort(F.split(norm, " ")), " ")
 

@@ -579,6 +579,77 @@ def actors(spark, sf):
     return resolution.resolve_actors(rows, addresses, names)
 
 
+_SYLLABLES = "ba de lo mi ra to ve su ni ko".split()
+
+
+def _person_names(key):
+    """A given name that tells the key by syllables."""
+    digits = F.split(key.cast("string"), "")
+    return F.array_join(F.transform(F.filter(digits, lambda d: d != ""), lambda d: F.get(F.array(*[F.lit(x) for x in _SYLLABLES]), d.cast("int"))), "")
+
+
+def _scanned(spark, sf):
+    """(persons: norm, entity_id; actors: key, norm): customers, and their names as scans of letters misread them."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(_person_names(F.col("c_custkey") + 1000), F.lit(" de "), _person_names(F.col("c_nationkey") + 100)).alias("given"), F.lower("c_mktsegment").alias("last"))
+    kind = F.col("c_custkey") % 6
+    misread = (
+        F.when(kind == 0, F.col("norm"))
+        .when(kind == 1, F.concat_ws(" ", "last", "given"))
+        .when(kind == 2, F.concat(F.substring("norm", 1, 4), F.substring("norm", 6, 100)))
+        .when(kind == 3, F.regexp_replace("norm", "^(.{7}).", "$1l"))
+        .when(kind == 4, F.concat(F.substring("norm", 1, 2), F.lit("ii"), F.substring("norm", 3, 100)))
+        .otherwise(F.concat(F.reverse("given"), F.lit(" "), "last"))
+    )
+    full = rows.withColumn("norm", F.concat_ws(" ", "given", "last"))
+    people = full.filter("c_custkey % 4 <> 1").select("norm", F.format_string("PER_%06d", "c_custkey").alias("entity_id"))
+    return people, full.select("c_custkey", misread.alias("norm"))
+
+
+def _syllables_sql(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda d: [{', '.join(repr(v) for v in _SYLLABLES)}][CAST(d AS INTEGER) + 1]), '')"
+
+
+# All pairs of a last word; the longest common subsequence of those whose Levenshtein distance allows it, row by row.
+_FUZZY_SQL = f"""
+WITH RECURSIVE f AS (SELECT c_custkey, {_syllables_sql("c_custkey + 1000")} || ' de ' || {_syllables_sql("c_nationkey + 100")} AS given, lower(c_mktsegment) AS last FROM customer),
+g AS (SELECT *, given || ' ' || last AS norm FROM f),
+people AS (SELECT norm, min(printf('PER_%06d', c_custkey)) AS entity_id FROM g WHERE c_custkey % 4 <> 1 GROUP BY 1),
+actors AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN norm WHEN 1 THEN last || ' ' || given WHEN 2 THEN substr(norm, 1, 4) || substr(norm, 6) WHEN 3 THEN regexp_replace(norm, '^(.{{7}}).', '\\1l') WHEN 4 THEN substr(norm, 1, 2) || 'ii' || substr(norm, 3) ELSE reverse(given) || ' ' || last END AS norm FROM g),
+names AS (SELECT DISTINCT norm FROM actors),
+bags AS (SELECT array_to_string(list_sort(string_split(norm, ' ')), ' ') AS bag, min(entity_id) AS entity_id FROM people GROUP BY 1),
+known AS (SELECT names.norm, people.entity_id AS exact, bags.entity_id AS reordered FROM names LEFT JOIN people ON names.norm = people.norm LEFT JOIN bags ON array_to_string(list_sort(string_split(names.norm, ' ')), ' ') = bag),
+c AS (SELECT k.norm AS a, p.norm AS b FROM known k JOIN people p ON string_split(k.norm, ' ')[-1] = string_split(p.norm, ' ')[-1] WHERE exact IS NULL AND reordered IS NULL AND levenshtein(k.norm, p.norm) <= floor((length(k.norm) + length(p.norm)) * 0.12 + 1e-9)),
+r AS (SELECT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0) AS l FROM c
+      UNION ALL
+      SELECT a, b, i + 1, list_transform(range(1, len(n) + 1), lambda j: list_max(list_slice(n, 1, j)))
+      FROM (SELECT a, b, i, list_transform(range(1, length(b) + 1), lambda k: CAST(greatest(l[k], CASE WHEN k > 1 THEN l[k - 1] ELSE 0 END + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 1 ELSE 0 END) AS INTEGER)) AS n FROM r WHERE i < length(a))),
+v AS (SELECT a, b, 200.0 * l[-1] / (length(a) + length(b)) AS ratio FROM r WHERE i = length(a)),
+fuzzy AS (SELECT a, arg_min(b, (-ratio, b)) AS b FROM v WHERE ratio >= 88 GROUP BY 1),
+found AS (SELECT known.norm, coalesce(exact, reordered, people.entity_id) AS entity_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN reordered IS NOT NULL THEN 'reordered' WHEN people.entity_id IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS how
+          FROM known LEFT JOIN fuzzy ON known.norm = a LEFT JOIN people ON people.norm = b)
+"""
+
+
+@query(_FUZZY_SQL + "SELECT norm, entity_id, how FROM found")
+def matched_people(spark, sf):
+    """Actors to persons: exact, reordered, and similar names of a last word by the similarity join."""
+    people, seen = _scanned(spark, sf)
+    return resolution.match_people(seen, people)
+
+
+@query(_FUZZY_SQL + """
+, o AS (SELECT norm, substr(md5(CAST(c_custkey AS VARCHAR)), 1, 12) || '@ex.org' AS address, c_custkey % 5 AS k FROM actors),
+n AS (SELECT norm, address FROM o, (SELECT unnest(range(3)) AS t) WHERE t <= k)
+SELECT entity_id, array_to_string(list_sort(list(DISTINCT address)), ' ') AS addresses FROM (SELECT norm, address FROM n GROUP BY 1, 2 HAVING count(*) >= 2) JOIN found USING (norm) WHERE how IN ('exact', 'reordered') GROUP BY 1
+""")
+def linked_addresses(spark, sf):
+    """Addresses that are seen with a person's name at least twice."""
+    people, seen = _scanned(spark, sf)
+    address = F.concat(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 12), F.lit("@ex.org"))
+    rows = seen.withColumn("address", address).withColumn("t", F.explode(F.sequence(F.lit(0), F.least(F.lit(2), (F.col("c_custkey") % 5).cast("int")))))
+    return resolution.link_addresses(rows, people).select("entity_id", F.array_join("addresses", " ").alias("addresses"))
+
+
 # --- Retrieval and evaluation -------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from docloom.functions import dates
-from docloom.operators import edges, resolution
+from docloom.operators import edges, resolution, similarity_join
 
 LETTER = "src string, dst string, message_key string, doc_id string, block_index int, is_cc boolean, sent_at timestamp_ntz, subject string"
 
@@ -103,8 +106,8 @@ def test_dates(spark):
 
 
 def test_indel_ratio():
-    assert resolution.indel_ratio("kitten", "sitting") == 200 * 4 / 13
-    assert resolution.indel_ratio("", "") == 100 and resolution.indel_ratio("ab", "") == 0
+    assert similarity_join.indel_ratio("kitten", "sitting") == 200 * 4 / 13
+    assert similarity_join.indel_ratio("", "") == 100 and similarity_join.indel_ratio("ab", "") == 0
 
 
 def test_people_merge_by_initial_and_variant(spark):
@@ -128,3 +131,79 @@ def test_actor_cascade(spark):
     addresses = spark.createDataFrame([("a@x.org", "PER_2")], "address string, entity_id string")
     got = {r.key: (r.entity_id, r.method) for r in resolution.resolve_actors(actors, addresses, names).collect()}
     assert got == {"a@x.org": ("PER_2", "address"), "bob birch": ("PER_1", "exact"), "birch bob": ("PER_1", "reordered"), "c@x.org": ("PER_1", "display"), "zed": ("EML_000000", "minted")}
+
+
+def edited(r, text, n):
+    for _ in range(n):
+        at = r.randint(0, len(text))
+        text = text[:at] + r.choice("abcd") + text[at:] if r.random() < 0.5 else text[:at] + text[at + 1 :]
+    return text
+
+
+@pytest.mark.parametrize("threshold", [94, 88, 85, 75])
+def test_similar_pairs_equal_all_pairs(spark, threshold):
+    r = random.Random(threshold)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randint(0, 24))) for _ in range(60)] + ["a" * n for n in range(0, 30)] + ["ab" * n for n in range(8)] + [None]
+    other = [None if t is None else edited(r, t, r.randint(0, 4)) for t in base for _ in range(2)]
+    block = lambda t: None if t is None else len(t) % 2 if r.random() < 0.9 else None
+    left, right = [(t, block(t)) for t in base], [(t, 0 if r.random() < 0.5 else 1) for t in other]
+    frames = [spark.createDataFrame(x, "s string, k int").repartition(3) for x in (left, right)]
+    got = similarity_join.similar_pairs(*frames, threshold=threshold, block=["k"]).collect()
+    want = {(k, a, b) for a, k in left for b, j in right if None not in (a, b, k) and k == j and similarity_join.indel_ratio(a, b) >= threshold}
+    assert len(got) == len(want) and {(x.k, x.a, x.b) for x in got} == want
+    assert all(x.ratio == similarity_join.indel_ratio(x.a, x.b) for x in got)
+    alone = similarity_join.similar_pairs(frames[1].select("s"), threshold=threshold).collect()
+    texts = {t for t in other if t is not None}
+    assert {(x.a, x.b) for x in alone} == {(a, b) for a in texts for b in texts if a < b and similarity_join.indel_ratio(a, b) >= threshold}
+
+
+def test_a_threshold_without_grams_is_refused():
+    with pytest.raises(ValueError):
+        similarity_join.gram_size(40)
+
+
+def test_one_surname_of_many_names_is_no_quadratic_block(spark):
+    """20,000 names of one last word against 500 misread ones; far fewer than all pairs meet."""
+    from pyspark.sql import functions as F
+
+    name = F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 14), F.lit(" smith"))
+    people = spark.range(20_000).select(name.alias("norm"), F.col("id").cast("string").alias("entity_id"))
+    seen = spark.range(500).select(F.regexp_replace(name, "^(.{5}).", "$1z").alias("norm"), F.col("id").cast("string").alias("want"))
+    got = resolution.match_people(seen, people).join(seen, "norm")
+    assert got.filter("how = 'fuzzy' AND entity_id = want").count() == 500
+
+
+def test_people_and_addresses(spark):
+    aliases = spark.createDataFrame([("reid weingarten", "P1"), ("ann alder", "P2"), ("ann alder", "P0"), ("jeffrey birch", "P3"), ("jeffery birch", "P4"), (None, "P9")], "norm string, entity_id string")
+    seen = [("reid weingarten", "r@x.org")] * 2 + [("weingarten reid", "w@x.org")] * 2 + [("ann alder", "once@x.org"), ("jeffrex birch", "j@x.org"), ("jeffrex birch", "j@x.org"), ("nobody here", "n@x.org"), (None, "z@x.org"), ("ann alder", None)]
+    rows = spark.createDataFrame(seen, "norm string, address string")
+    got = {r.norm: (r.entity_id, r.how) for r in resolution.match_people(rows, aliases).collect()}
+    assert got == {"reid weingarten": ("P1", "exact"), "weingarten reid": ("P1", "reordered"), "ann alder": ("P0", "exact"), "jeffrex birch": ("P3", "fuzzy"), "nobody here": (None, "unmatched")}
+    assert {r.entity_id: r.addresses for r in resolution.link_addresses(rows, aliases).collect()} == {"P1": ["r@x.org", "w@x.org"]}
+
+
+def brute_people(forms, strict):
+    near = lambda p, q: p == q or (not strict and (len(p) == 1 and q.startswith(p) or len(q) == 1 and p.startswith(q))) or similarity_join.indel_ratio(p, q) >= 88
+    root = {f: f for f in forms if " " in f}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in root:
+        for b in root:
+            x, y = a.split(), b.split()
+            if a < b and x[-1] == y[-1] and (all(near(p, q) for p, q in zip(x[:-1], y[:-1])) or sorted(x) == sorted(y)):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {f: find(f) for f in root}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_people_clusters_equal_all_pairs(spark, strict):
+    r = random.Random(9)
+    given = ["jeffrey", "jeffery", "j", "john", "jon", "maria", "m", "marla", "ann", "anne", "x"]
+    forms = sorted({" ".join([*r.sample(given, r.randint(1, 3)), r.choice(["birch", "oak", "elm"])]) for _ in range(120)} | {"solo"})
+    got = {x.norm: x.root for x in resolution.cluster_people(spark.createDataFrame([(f,) for f in forms], "norm string"), strict).collect()}
+    assert got == brute_people(forms, strict)
