@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.functions import dates, fixed, profile, textmap
+from docloom.functions import dates, fixed, profile, spans, textmap
 from docloom.functions.profile import micro
-from docloom.operators import answering, edges, evaluation, graph, reports, resolution, retrieval, traversal
+from docloom.operators import answering, edges, evaluation, graph, matching, range_joins, reports, resolution, retrieval, traversal
 from docloom.session import spread, table
 from docloom.streaming import ingest
 
@@ -506,7 +506,48 @@ def _mentions(spark, sf):
     return retrieval.capitalised_mentions(docs)
 
 
-@query()
+# Offsets of matches: what lies before a match is the pieces between matches and the matches so far.
+_SPANS_SQL = rf"""
+WITH t AS (SELECT doc_id, text, {_BOUND.replace("body", "text")} AS plain FROM documents),
+m AS (SELECT doc_id, text, regexp_extract_all(plain, '{fixed.PROPER_NOUN}') AS ms, string_split_regex(plain, '{fixed.PROPER_NOUN}') AS ps FROM t),
+i AS (SELECT doc_id, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, text, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start, regexp_replace(ms[i], '\s+$', '') AS surface FROM i),
+spans AS (SELECT doc_id, text, start, start + length(surface) AS stop, surface FROM s WHERE length(surface) >= 6)
+"""
+
+
+@query(_SPANS_SQL + r""", c AS (SELECT *, doc_id % 7 * 10 AS base, doc_id % 3 * 40 AS prefix FROM spans)
+SELECT doc_id, start, CAST(stop AS INTEGER) AS stop, surface, lower(surface) AS norm, start < prefix AS in_header, CASE WHEN start < prefix THEN -1 ELSE base + start - prefix END AS doc_start, CASE WHEN start < prefix THEN -1 ELSE base + stop - prefix END AS doc_end
+FROM (SELECT doc_id, start, stop, regexp_replace(regexp_replace(surface, '\.', ' ', 'g'), '\s+', ' ', 'g') AS surface, base, least(prefix, length(text)) AS prefix FROM c)
+""")
+def mention_spans(spark, sf):
+    """Every capitalised run of every text, with offsets in the text and, behind a header of 0, 40 or 80 characters, in its document."""
+    docs = table(spark, sf, "documents")
+    prefix = F.least(F.col("doc_id") % 3 * 40, F.length("text"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text", (F.col("doc_id") % 7 * 10).alias("char_start"), (F.col("doc_id") % 7 * 10 + F.length("text") - prefix).alias("char_end"))
+    found = spans.document_mentions(spread(rows))
+    plain = F.regexp_replace(F.regexp_replace("surface", r"\.", " "), r"\s+", " ")
+    return found.select("doc_id", "start", F.col("end").alias("stop"), plain.alias("surface"), "norm", "in_header", F.col("doc_start").cast("long").alias("doc_start"), F.col("doc_end").cast("long").alias("doc_end"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, text, regexp_extract(text, '\S{3}') AS s FROM conversations),
+a AS (SELECT *, strpos(text, s) - 1 AS first FROM t WHERE s <> ''),
+b AS (SELECT *, strpos(substr(text, first + 2), s) AS next, strpos(substr(lower(text), first + 2), lower(s)) AS loose FROM a)
+SELECT conv_id, turn, 0 AS nth, first AS start, s AS surface FROM b
+UNION ALL SELECT conv_id, turn, 1, CASE WHEN next > 0 THEN first + next WHEN loose > 0 THEN first + loose ELSE -1 END, s FROM b
+UNION ALL SELECT conv_id, turn, 2, -1, s || '~~' FROM b
+""")
+def located_surfaces(spark, sf):
+    """The first three characters of a turn twice, and a text that is nowhere."""
+    rows = table(spark, sf, "conversations").withColumn("s", F.regexp_extract("text", r"\S{3}", 0)).filter("s <> ''")
+    found = spans.located(rows.withColumn("surfaces", F.array("s", "s", F.concat("s", F.lit("~~")))), "surfaces")
+    return found.select("conv_id", "turn", "nth", F.col("start").cast("long").alias("start"), "surface")
+
+
+@query(_SPANS_SQL + r"""
+SELECT lower(regexp_replace(regexp_replace(surface, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY 1
+""")
 def capitalised_mentions(spark, sf):
     return _mentions(spark, sf).groupBy("norm").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -650,6 +691,98 @@ def linked_addresses(spark, sf):
     return resolution.link_addresses(rows, people).select("entity_id", F.array_join("addresses", " ").alias("addresses"))
 
 
+# --- Ranges -------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS doc, l_partkey * 10 AS s, l_partkey * 10 + CAST(l_quantity AS BIGINT) * CASE WHEN l_orderkey % 97 = 0 THEN 40 ELSE 1 END AS e FROM lineitem),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 100 END AS doc, o_custkey * 13 AS s, o_custkey * 13 + o_orderkey % 30 AS e FROM orders)
+SELECT l_orderkey, l_linenumber, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM a JOIN b ON a.doc = b.doc AND a.s < b.e AND b.s < a.e GROUP BY 1, 2
+""")
+def overlapping_spans(spark, sf):
+    """Lines as mentions and orders as headers of documents, of which one holds a third of both."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey")).alias("doc"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long") * F.when(F.col("l_orderkey") % 97 == 0, 40).otherwise(1)).alias("end"))
+    heads = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 100).alias("doc"), (F.col("o_custkey") * 13).alias("start"), (F.col("o_custkey") * 13 + F.col("o_orderkey") % 30).alias("end"))
+    return range_joins.overlaps(lines, heads, ["doc"]).groupBy("left.l_orderkey", "left.l_linenumber").agg(F.count("*").alias("n"), F.sum("right.o_orderkey").alias("keys"))
+
+
+@query(_SPANS_SQL + r"""
+, h AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n.]+\.') AS ms, string_split_regex(text, '[^\n.]+\.') AS ps FROM documents),
+hi AS (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM h),
+hs AS (SELECT doc_id, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, length(ms[i]) AS n FROM hi WHERE length(ms[i]) < 60)
+SELECT spans.doc_id, start, count(*) AS n_headers FROM spans JOIN hs ON spans.doc_id = hs.doc_id AND start < a + n AND a < stop GROUP BY 1, 2
+""")
+def mentions_in_spans(spark, sf):
+    """Mentions that overlap a short sentence, as those that overlap a header span."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    mentions = spans.capitalised(docs).select("doc_id", "start", "end")
+    heads = docs.lateralJoin(spans.PatternSpans(F.col("text").outer(), F.lit(r"[^\n.]+\."))).filter("end - start < 60").select("doc_id", "start", "end")
+    return range_joins.overlaps(mentions, heads, ["doc_id"]).groupBy("left.doc_id", "left.start").agg(F.count("*").alias("n_headers"))
+
+
+@query("""
+WITH p AS (SELECT user_id % 5 AS class, event_id, ts FROM events WHERE event_type = 'purchase'), e AS (SELECT user_id % 5 AS class, event_id, ts FROM events WHERE event_type = 'error')
+SELECT p.class, count(*) AS n_pairs, CAST(sum(p.event_id * 7 + e.event_id) AS BIGINT) AS keys FROM p JOIN e ON p.class = e.class AND e.ts BETWEEN p.ts - INTERVAL 30 MINUTE AND p.ts + INTERVAL 30 MINUTE GROUP BY 1
+""")
+def errors_near_purchases(spark, sf):
+    """All pairs of a purchase and an error of the same class of users within 30 minutes."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts", (F.col("user_id") % 5).alias("class"))
+    kind = lambda k: events.filter(F.col("event_type") == k)
+    pairs = range_joins.close_in_time(kind("purchase"), kind("error"), ["class"], "ts", 1800)
+    return pairs.groupBy("left.class").agg(F.count("*").alias("n_pairs"), F.sum(F.col("left.event_id") * 7 + F.col("right.event_id")).alias("keys"))
+
+
+# --- Questions ----------------------------------------------------------------------------------------------------------
+
+
+def _questions(spark, sf):
+    """(questions, names): turns that name parts, in capitals, as plurals and inside longer names; names are those of parts, and their words."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    n = part.count()
+    pick = lambda step, name: part.select(F.col("p_partkey").alias(f"k{step}"), F.col("p_name").alias(name))
+    key = F.col("conv_id") * 31 + F.col("turn")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text", *[F.pmod(key * step, F.lit(n)).alias(f"k{step}") for step in (1, 3, 7)])
+    for step, name in ((1, "a"), (3, "b"), (7, "c")):
+        rows = rows.join(pick(step, name), f"k{step}")
+    text = F.concat("text", F.lit(" Why the "), F.upper("a"), F.lit(", "), "b", F.lit("s or "), F.lit("x"), "c", F.lit(" of "), "b", F.lit("?"))
+    questions = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), text.alias("text"))
+    words = part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("name"))
+    names = part.select(F.col("p_name").alias("name"), F.format_string("PRT_%06d", "p_partkey").alias("entity_id")).unionByName(words.select("name", F.format_string("WRD_%06d", "p_partkey").alias("entity_id")))
+    return questions, names
+
+
+# Names in a text by strpos, then by length: a name takes its first free place; a taken one rules overlapping ones out.
+_MATCH_SQL = r"""
+WITH RECURSIVE z AS (SELECT count(*) AS n FROM part), k AS (SELECT *, conv_id * 31 + turn AS key FROM conversations),
+q AS (SELECT conv_id || '-' || turn AS question_id, lower(text || ' Why the ' || upper(a.p_name) || ', ' || b.p_name || 's or ' || 'x' || c.p_name || ' of ' || b.p_name || '?') AS text
+      FROM k, z JOIN part a ON a.p_partkey = key % n JOIN part b ON b.p_partkey = key * 3 % n JOIN part c ON c.p_partkey = key * 7 % n),
+w AS (SELECT lower(p_name) AS name, printf('PRT_%06d', p_partkey) AS e FROM part UNION ALL SELECT unnest(string_split(lower(p_name), ' ')), printf('WRD_%06d', p_partkey) FROM part),
+names AS (SELECT name, min(e) AS entity_id FROM w WHERE length(name) >= 4 GROUP BY 1),
+h AS (SELECT question_id, text, name, entity_id, string_split(text, name) AS ps FROM q JOIN names ON contains(text, name)),
+l AS (SELECT question_id, text, name, entity_id, CAST(1 + list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(name) AS BIGINT) AS spot FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM h)),
+c AS (SELECT question_id, name, any_value(entity_id) AS entity_id, list(spot ORDER BY spot) AS spots FROM l
+      WHERE NOT regexp_full_match(substr(text, spot + length(name), 1), '[\p{L}\p{N}]') AND (spot = 1 OR NOT regexp_full_match(substr(text, spot - 1, 1), '[\p{L}\p{N}]')) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY length(name) DESC, name) AS i FROM c),
+r AS (SELECT question_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS taken, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS entity_id, CAST(NULL AS BIGINT) AS start FROM q
+      UNION ALL
+      SELECT r.question_id, o.i, CASE WHEN len(free) > 0 THEN list_append(taken, {'s': free[1], 'e': free[1] + length(o.name)}) ELSE taken END, CASE WHEN len(free) > 0 THEN o.name END, o.entity_id, free[1] - 1
+      FROM r JOIN o ON r.question_id = o.question_id AND o.i = r.i + 1, LATERAL (SELECT list_filter(o.spots, lambda x: len(list_filter(taken, lambda y: x < y.e AND y.s < x + length(o.name))) = 0) AS free)),
+found AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY i) AS rank, entity_id, name, start FROM r WHERE name IS NOT NULL)
+"""
+
+
+@query(_MATCH_SQL + "SELECT question_id, CAST(rank AS INTEGER) AS rank, entity_id, name, CAST(start AS INTEGER) AS start FROM found")
+def question_entities(spark, sf):
+    questions, names = _questions(spark, sf)
+    return matching.match_entities(questions, names).select("question_id", "rank", "entity_id", "name", "start")
+
+
+@query(_MATCH_SQL + ", u AS (SELECT question_id, entity_id, min(rank) AS rank FROM found GROUP BY 1, 2), v AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS n FROM u) SELECT x.question_id, x.entity_id AS a, y.entity_id AS b FROM v x JOIN v y ON x.question_id = y.question_id AND x.n = 1 AND y.n = 2")
+def question_pairs(spark, sf):
+    """The two entities that each question is about."""
+    return matching.first_two(matching.match_entities(*_questions(spark, sf)))
+
+
 # --- Retrieval and evaluation -------------------------------------------------------------------------------------------
 
 
