@@ -53,7 +53,7 @@ K = 64
 NODE = 48
 BATCH_SUFFIXES = 1_000_000
 _GROUP = 400_000  # bytes winnowed at once: the arrays stay in cache
-_LONG = 8_000_000  # longer texts are winnowed in overlapping parts
+_LONG = 1_000_000  # longer texts are winnowed in overlapping parts; a part takes some 60 bytes of memory a byte
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -179,7 +179,7 @@ def _combined(bounds: np.ndarray):
         for b in batches:
             held.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ones(b.num_rows, np.int64))], ["suffix", "kind", "n"]))
             size += b.num_rows
-            if size > 200_000:
+            if size > 100_000:
                 yield from counted(held)
                 held, size = [], 0
         if held:
