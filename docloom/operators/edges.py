@@ -109,6 +109,13 @@ def normalise_subject(subject: Column) -> Column:
     return F.when(plain.isin(*fixed.EMPTY_SUBJECTS) | (F.length(plain) < 4), "").otherwise(plain)
 
 
+def _spoken(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with a usable subject, participants of messages, messages with their first date)."""
+    named = rows.withColumn("subject", normalise_subject(F.col("subject"))).filter("subject <> ''")
+    member = named.select("subject", "message_key", F.explode(F.array("src", "dst")).alias("who"), "sent_at").filter("who IS NOT NULL")
+    return named, member, member.groupBy("subject", "message_key").agg(F.min("sent_at").alias("sent"))
+
+
 def threads(rows: DataFrame, window_days: float = fixed.THREAD_WINDOW_DAYS, min_messages: int = fixed.MIN_THREAD_MESSAGES) -> tuple[DataFrame, DataFrame]:
     """rows(message_key, subject, src, dst, sent_at, doc_id) to (thread nodes, participation edges).
 
@@ -116,15 +123,19 @@ def threads(rows: DataFrame, window_days: float = fixed.THREAD_WINDOW_DAYS, min_
     neighbours in time gives the same components as linking all pairs. An undated message links to all of its
     participant's, so there the neighbour rule holds regardless of the gap.
     """
-    named = rows.withColumn("subject", normalise_subject(F.col("subject"))).filter("subject <> ''")
-    member = named.select("subject", "message_key", F.explode(F.array("src", "dst")).alias("who"), "sent_at").filter("who IS NOT NULL")
-    dated = member.groupBy("subject", "message_key").agg(F.min("sent_at").alias("sent"))
+    _, member, dated = _spoken(rows)
     seats = member.select("subject", "message_key", "who").distinct().join(dated, ["subject", "message_key"])
     order = Window.partitionBy("subject", "who").orderBy(F.col("sent").asc_nulls_first(), "message_key")
     gap = F.unix_timestamp(F.col("sent").cast("timestamp")) - F.unix_timestamp(F.lag("sent").over(order).cast("timestamp"))
     undated = F.max(F.col("sent").isNull()).over(Window.partitionBy("subject", "who"))
     linked = seats.select("subject", "message_key", F.lag("message_key").over(order).alias("before"), gap.alias("gap"), undated.alias("undated"))
     linked = linked.filter(F.col("before").isNotNull() & (F.col("undated") | (F.col("gap") <= window_days * 86400)))
+    return threads_by_links(rows, linked.select("subject", "message_key", "before"), min_messages)
+
+
+def threads_by_links(rows: DataFrame, linked: DataFrame, min_messages: int = fixed.MIN_THREAD_MESSAGES) -> tuple[DataFrame, DataFrame]:
+    """(thread nodes, participation edges) of rows and links(subject, message_key, before) between their messages."""
+    named, _, dated = _spoken(rows)
     name = lambda c: F.concat_ws("\x1f", "subject", c)
     nodes = dated.select(name("message_key").alias("node"))
     roots = connected_components(nodes, linked.select(name("message_key").alias("a"), name("before").alias("b")))

@@ -13,7 +13,9 @@ from docloom.functions import dates, fixed, profile, spans, textmap
 from docloom.functions.profile import micro
 from docloom.operators import answering, edges, evaluation, graph, matching, range_joins, reports, resolution, retrieval, traversal
 from docloom.session import spread, table
+from docloom.sources.workspace import new_folder
 from docloom.streaming import ingest
+from docloom.streaming import threads as thread_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -290,10 +292,14 @@ i AS (SELECT *, printf('THR_%04d', row_number() OVER (ORDER BY n_messages DESC,
 """
 
 
+def _event_letters(events):
+    """Events as messages: one subject a type, participants by user."""
+    return events.select(F.col("event_id").cast("string").alias("message_key"), F.concat(F.lit("about "), "event_type").alias("subject"), F.col("user_id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("ts").alias("sent_at"), F.col("event_id").alias("doc_id"))
+
+
 def _threads(spark, sf):
-    """Events as messages: one subject a type, participants by user, a window of hours."""
-    rows = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("message_key"), F.concat(F.lit("about "), "event_type").alias("subject"), F.col("user_id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("ts").alias("sent_at"), F.col("event_id").alias("doc_id"))
-    return edges.threads(rows, window_days=0.5)
+    """Threads with a window of hours."""
+    return edges.threads(_event_letters(table(spark, sf, "events")), window_days=0.5)
 
 
 @query(f"{_THREADS} SELECT entity_id, 'THREAD' AS type, canonical, n_messages, CAST(1 AS BIGINT) AS n_participants, first_sent, last_sent FROM i")
@@ -301,6 +307,20 @@ def threads(spark, sf):
     return _threads(spark, sf)[0]
 
 
+@query(f"{_THREADS} SELECT entity_id, canonical, n_messages, first_sent, last_sent FROM i")
+def streamed_threads(spark, sf):
+    """The same threads from a stream of files, a third of them a trigger, by the state of each participant's runs."""
+    folder = new_folder(spark, "threads")
+    events = table(spark, sf, "events")
+    arriving = spread(events)
+    arriving.write.parquet(f"{folder}/in")
+    at_once = max(1, -(-arriving.rdd.getNumPartitions() // 3))
+    stream = _event_letters(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/in"))
+    done = thread_stream.start_links(stream, f"{folder}/links", f"{folder}/state", window_days=0.5)
+    done.awaitTermination()
+    return thread_stream.threads_of(spark, f"{folder}/links", _event_letters(events))[0].select("entity_id", "canonical", "n_messages", "first_sent", "last_sent")
+
+
 @query(f"{_THREADS} SELECT who AS src, entity_id AS dst, n_messages AS weight, n_docs, 'participated_in' AS relation FROM i")
 def thread_edges(spark, sf):
     return _threads(spark, sf)[1].select("src", "dst", "weight", "n_docs", "relation")
