@@ -13,6 +13,7 @@ from docloom.functions import dates, fixed, profile, spans, textmap
 from docloom.functions.profile import micro
 from docloom.operators import answering, edges, evaluation, graph, matching, range_joins, reports, resolution, retrieval, traversal
 from docloom.session import spread, table
+from docloom.sources import loadfile
 from docloom.sources.workspace import new_folder
 from docloom.streaming import ingest
 from docloom.streaming import threads as thread_stream
@@ -163,19 +164,53 @@ def normalised_documents(spark, sf):
     return rows.select("doc_id", F.length("doc.text").alias("n_chars"), F.size("doc.segments").alias("n_segments"), F.col("doc.n_redactions").alias("n_redactions"), textmap.page_lookup(F.col("doc.pages"), F.lit(0)).alias("first_page"))
 
 
-@query("SELECT doc_id, 0 AS block_index, CAST(n AS BIGINT) AS n_people, substr(sha1('ann@ex.org|bob birch,cy@ex.org,dee@ex.org|re: item ' || (doc_id % 97) || '|3/4/2012 5:06 pm'), 1, 16) AS message_key FROM documents, (SELECT 3 AS n)")
+def _mail(spark, sf):
+    """Documents as mail of four shapes: one header; a forwarded message with a misread address; a gap in a header; senders in a row."""
+    item = (F.col("doc_id") % 97).cast("string")
+    one = F.concat(F.lit("From: Ann Alder <ann@ex.org>\nSent: 3/4/2012 5:06 PM\nTo: Bob Birch; Cy Cedar <cy@ex.org>\nCc: Dee Dogwood [mailto:dee@ex.org]\nSubject: Re: item "), item, F.lit("\n\n"), "text")
+    two = F.concat(F.lit("From: Elm, Eve\nTo: Oak, Jr., Al, ann@ex.org\nSubject: item "), item, F.lit("\n\n"), "text", F.lit("\n-----Original Message-----\nFrom: Bob <BOB@grnail.corn>\nDate: 1/2/2011\nTo: undisclosed recipients\nSubject: old\nSubject:\n"))
+    gap = F.concat(F.lit("To: Fir; fay©ex.org\n"), F.repeat(F.lit("x"), (F.col("doc_id") % 8 * 100).cast("int")), F.lit("\nSubject: item "), item, F.lit("\n\n"), "text")
+    row = F.concat(F.lit("From: redacted\nFrom: Gus <gus@ex.org>\nTo: Hal\nFrom: Ivy\nBcc: Jo; jo@ex.org\nSubject: item "), item, F.lit("\nFrom: -\nTo:\n\n"), "text")
+    shape = F.col("doc_id") % 4
+    return table(spark, sf, "documents").select("doc_id", F.when(shape == 0, one).when(shape == 1, two).when(shape == 2, gap).otherwise(row).alias("text"))
+
+
+# A gap of 400 characters or less keeps a header together; its length is that of the filler and the line ends.
+_MAIL_SQL = r"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS shape, 'item ' || (doc_id % 97) AS item, doc_id % 8 * 100 + 2 > 400 AS far FROM documents),
+m AS (SELECT doc_id, 0 AS block_index, FALSE AS is_forwarded, 'ann@ex.org' AS source, ['bob birch', 'cy@ex.org', 'dee@ex.org'] AS who, ['dee@ex.org'] AS cc, 're: ' || item AS topic, '3/4/2012 5:06 pm' AS sent FROM d WHERE shape = 0
+  UNION ALL SELECT doc_id, 0, FALSE, 'elm, eve', ['al', 'ann@ex.org', 'jr.', 'oak'], [], item, '' FROM d WHERE shape = 1
+  UNION ALL SELECT doc_id, 1, TRUE, 'bob@gmail.com', [], [], '', '1/2/2011' FROM d WHERE shape = 1
+  UNION ALL SELECT doc_id, 0, FALSE, NULL, ['fay@ex.org', 'fir'], [], CASE WHEN far THEN '' ELSE item END, '' FROM d WHERE shape = 2
+  UNION ALL SELECT doc_id, 1, FALSE, NULL, [], [], item, '' FROM d WHERE shape = 2 AND far
+  UNION ALL SELECT doc_id, 0, FALSE, 'gus@ex.org', ['hal'], [], '', '' FROM d WHERE shape = 3
+  UNION ALL SELECT doc_id, 1, FALSE, 'ivy', ['jo', 'jo@ex.org'], ['jo', 'jo@ex.org'], item, '' FROM d WHERE shape = 3)
+"""
+
+
+@query(_MAIL_SQL + "SELECT doc_id, CAST(block_index AS INTEGER) AS block_index, is_forwarded, source, CAST(len(who) AS BIGINT) AS n_people, substr(sha1(coalesce(source, '') || '|' || array_to_string(who, ',') || '|' || topic || '|' || sent), 1, 16) AS message_key FROM m")
 def header_messages(spark, sf):
-    return textmap.messages(_letters(spark, sf)).filter("block_index = 0").select("doc_id", "block_index", F.size(F.concat("recipients", "cc")).cast("long").alias("n_people"), "message_key")
+    rows = textmap.messages(spread(_mail(spark, sf)))
+    return rows.select("doc_id", "block_index", "is_forwarded", "source", F.size(F.concat("recipients", "cc")).cast("long").alias("n_people"), "message_key")
 
 
-@query("""
-SELECT 'ann@ex.org' AS source, t AS target, t = 'dee@ex.org' AS is_cc, count(*) AS n FROM documents, (VALUES ('bob birch'), ('cy@ex.org'), ('dee@ex.org')) v(t) GROUP BY 1, 2, 3
-""")
+@query(_MAIL_SQL + ", e AS (SELECT doc_id, source, unnest(who) AS target, cc FROM m WHERE source IS NOT NULL) SELECT source, target, list_contains(cc, target) AS is_cc, count(*) AS n FROM e WHERE source <> target GROUP BY 1, 2, 3")
 def header_edges(spark, sf):
-    rows = textmap.mail_edges(textmap.messages(_letters(spark, sf)).filter("block_index = 0"))
+    rows = textmap.mail_edges(textmap.messages(spread(_mail(spark, sf))))
     return rows.groupBy("source", "target", "is_cc").agg(F.count("*").alias("n"))
 
 
+@query(r"""
+SELECT doc_id, source, CASE WHEN body <> '' THEN md5(body) END AS digest FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents)
+""")
+def load_file_rows(spark, sf):
+    """Documents written as a load file whose cells hold line ends, and read again in splits."""
+    folder = new_folder(spark, "loadfile")
+    loadfile.write_dat(spread(table(spark, sf, "documents").select(F.col("doc_id").alias("Bates Begin"), F.col("source").alias("Original Filename"), F.col("text").alias("Body"))), folder)
+    rows = loadfile.read_dat(spark, folder, names=["Bates Begin", "Original Filename", "Body"])
+    return rows.select(F.col("`Bates Begin`").alias("doc_id"), F.col("`Original Filename`").alias("source"), F.md5("Body").alias("digest"))
+
+
 @query()
 def document_chunks(spark, sf):
     return textmap.chunks(table(spark, sf, "documents")).select("chunk_id", "doc_id", "char_start", "char_end", "n_words", "has_header")
@@ -1076,4 +1111,4 @@ def canonical_addresses(spark, sf):
 
 def flagship(spark, sf_dir):
     """Item pairs that co-occur more than chance."""
-    return co_occurs_with(spark, sf_dir)
+    return co_occurs_with(spark, sf_dir).drop("doc_ids")

@@ -6,7 +6,7 @@ import re
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Load-file columns and their names here.
@@ -25,9 +25,56 @@ def snake(name: str) -> str:
     return re.sub(r"[ /]", "_", name.strip().lower())
 
 
-def read_dat(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with field separator U+0014 and qualifier U+00FE; cells may hold line ends."""
-    return trim_cells(spark.read.csv(path, sep="\x14", quote="þ", header=True, multiLine=True, encoding="UTF-8"))
+# What parts cells, and what stands around each.
+CELL, QUALIFIER = "\x14", "þ"
+_BETWEEN = f"{QUALIFIER}{CELL}{QUALIFIER}"
+
+
+def _records(spark: SparkSession, path: str, line_end: str) -> DataFrame:
+    """value: one row a record. The end of a record is a qualifier, a line end and a qualifier, so that line ends inside cells
+    are none; Spark's text source splits files there, however large."""
+    return spark.read.text(path, lineSep=f"{QUALIFIER}{line_end}{QUALIFIER}")
+
+
+def _cells() -> Column:
+    """The cells of a record, without the qualifiers that the first and the last record of a file still have."""
+    bare = F.regexp_replace("value", f"^(?:﻿{QUALIFIER}|{QUALIFIER}(?!{QUALIFIER}))|(?<!{QUALIFIER}){QUALIFIER}\\s*$", "")
+    bare = F.when(bare.endswith(f"{CELL}{QUALIFIER}{QUALIFIER}"), F.regexp_replace(bare, f"{QUALIFIER}$", "")).otherwise(bare)
+    return F.split(bare, _BETWEEN)
+
+
+def read_dat(spark: SparkSession, path: str, columns: list[str] | None = None, names: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """A delimited file with field separator U+0014 and qualifier U+00FE around every cell; cells may hold line ends.
+
+    Files are read in splits by many tasks. Only the given columns are made, all by default. Without `names` the first record has
+    them; with names, files have no such record and a folder of files is read. A record with another number of cells than names
+    ends the job: files whose cells are not all qualified are read with `whole`, one task a file.
+    """
+    if whole:
+        rows = spark.read.csv(path, sep=CELL, quote=QUALIFIER, header=names is None, multiLine=True, encoding="UTF-8")
+        rows = rows.toDF(*names) if names else rows
+        return trim_cells(rows.select(*[F.col(f"`{c}`") for c in columns or rows.columns]))
+    head = spark.read.text(path).limit(1).collect()
+    line_end = "\r\n" if head and head[0].value.endswith("\r") else "\n"  # a header record is one line
+    records = _records(spark, path, line_end)
+    first = records.limit(1).select(_cells().alias("cells")).collect()
+    titles = names or (first[0].cells if first else [])
+    rows = records.select(_cells().alias("cells"))
+    if names is None:
+        rows = rows.filter(F.col("cells") != F.array(*[F.lit(t) for t in titles]))  # the header
+    size = F.size("cells")
+    told = F.raise_error(F.format_string(f"a record has %d cells, not {len(titles)}", size))
+    rows = rows.filter(~((size == 1) & (F.trim(F.col("cells")[0]) == "")) if len(titles) > 1 else F.lit(True))  # what follows the last line end
+    checked = rows.select(F.when(size == len(titles), F.col("cells")).otherwise(told.cast("array<string>")).alias("cells"))
+    return trim_cells(checked.select(*[F.col("cells")[i].alias(t) for i, t in enumerate(titles) if columns is None or t in columns]))
+
+
+def write_dat(rows: DataFrame, path: str) -> None:
+    """A folder of files with a record a row and no header; cells are text, nulls empty. Qualifiers inside cells are refused."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns]
+    line = F.concat(F.lit(QUALIFIER), F.concat_ws(_BETWEEN, *cells), F.lit(QUALIFIER))
+    held = F.exists(F.array(*cells), lambda c: c.contains(QUALIFIER))
+    rows.select(F.when(held, F.raise_error(F.lit("a cell holds the qualifier")).cast("string")).otherwise(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_opt(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -58,3 +62,39 @@ def test_numbers_follow_the_order(spark):
     rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"))
     assert {r.x: r.n for r in numbered(rows, [F.col("x").desc()], "n").collect()} == {i: 499 - i for i in range(500)}
     assert numbered(rows.limit(0), [F.col("x")], "n").count() == 0
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_split_reading_equals_one_task(spark, tmp_path, line_end):
+    """A file of many splits, with line ends and blanks inside cells, empty cells and a byte-order mark."""
+    r = random.Random(8)
+    names = ["Bates Begin", "Email From", "Body", "File Size"]
+    cells = lambda i: [f"D_{i:06}", r.choice(["", "ann@x.org", " bob "]), line_end.join("w" * r.randint(0, 90) for _ in range(r.randint(0, 12))), r.choice(["", str(i)])]
+    rows = [names] + [cells(i) for i in range(4000)]
+    path = tmp_path / "a.dat"
+    path.write_bytes(("﻿" + line_end.join("\x14".join(f"þ{c}þ" for c in row) for row in rows) + line_end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        split = loadfile.read_dat(spark, str(path))
+        assert split.rdd.getNumPartitions() > 10
+        whole = loadfile.read_dat(spark, str(path), whole=True)
+        got, want = (sorted(tuple(x) for x in f.fillna("").collect()) for f in (split, whole))
+        fold = lambda t: tuple(c.replace("\r\n", "\n") for c in t)
+        assert split.columns == whole.columns == names and len(got) == 4000 and [fold(x) for x in got] == [fold(x) for x in want]
+        two = loadfile.read_dat(spark, str(path), columns=["Email From", "File Size"])
+        assert two.columns == ["Email From", "File Size"] and two.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_load_files_are_written_and_odd_records_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x\ny"), ("b", None), (None, ""), ("c", " z ")], "k string, v string").repartition(2)
+    loadfile.write_dat(rows, str(tmp_path / "out"))
+    got = {(r.k, r.v) for r in loadfile.read_dat(spark, str(tmp_path / "out"), names=["k", "v"]).collect()}
+    assert got == {("a", "x\ny"), ("b", None), (None, None), ("c", "z")}
+    (tmp_path / "bad.dat").write_text("þaþ\x14þbþ\nþ1þ\x14þ2þ\nþ1þ\x14þ2þ\x14þ3þ\n")
+    with pytest.raises(Exception, match="a record has 3 cells, not 2"):
+        loadfile.read_dat(spark, str(tmp_path / "bad.dat")).collect()
+    with pytest.raises(Exception, match="holds the qualifier"):
+        loadfile.write_dat(spark.createDataFrame([("þ",)], "k string"), str(tmp_path / "bad"))
