@@ -37,9 +37,9 @@ def _records(spark: SparkSession, path: str, line_end: str) -> DataFrame:
 
 
 def _cells() -> Column:
-    """The cells of a record, without the qualifiers that the first and the last record of a file still have."""
-    bare = F.regexp_replace("value", f"^(?:﻿{QUALIFIER}|{QUALIFIER}(?!{QUALIFIER}))|(?<!{QUALIFIER}){QUALIFIER}\\s*$", "")
-    bare = F.when(bare.endswith(f"{CELL}{QUALIFIER}{QUALIFIER}"), F.regexp_replace(bare, f"{QUALIFIER}$", "")).otherwise(bare)
+    """The cells of a record. Only a file's first record still has its first qualifier and only its last record the last one; a
+    qualifier next to a separator belongs to an empty cell."""
+    bare = F.regexp_replace("value", f"^(?:﻿{QUALIFIER}|{QUALIFIER}(?!{CELL}))|(?<!{CELL}){QUALIFIER}\\s*$", "")
     return F.split(bare, _BETWEEN)
 
 
@@ -64,7 +64,6 @@ def read_dat(spark: SparkSession, path: str, columns: list[str] | None = None, n
         rows = rows.filter(F.col("cells") != F.array(*[F.lit(t) for t in titles]))  # the header
     size = F.size("cells")
     told = F.raise_error(F.format_string(f"a record has %d cells, not {len(titles)}", size))
-    rows = rows.filter(~((size == 1) & (F.trim(F.col("cells")[0]) == "")) if len(titles) > 1 else F.lit(True))  # what follows the last line end
     checked = rows.select(F.when(size == len(titles), F.col("cells")).otherwise(told.cast("array<string>")).alias("cells"))
     return trim_cells(checked.select(*[F.col("cells")[i].alias(t) for i, t in enumerate(titles) if columns is None or t in columns]))
 
