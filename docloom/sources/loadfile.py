@@ -54,7 +54,7 @@ def read_dat(spark: SparkSession, path: str, columns: list[str] | None = None, n
         rows = spark.read.csv(path, sep=CELL, quote=QUALIFIER, header=names is None, multiLine=True, encoding="UTF-8")
         rows = rows.toDF(*names) if names else rows
         return trim_cells(rows.select(*[F.col(f"`{c}`") for c in columns or rows.columns]))
-    head = spark.read.text(path).limit(1).collect()
+    head = spark.read.text(path, lineSep="\n").limit(1).collect()
     line_end = "\r\n" if head and head[0].value.endswith("\r") else "\n"  # a header record is one line
     records = _records(spark, path, line_end)
     first = records.limit(1).select(_cells().alias("cells")).collect()

@@ -70,20 +70,20 @@ def test_split_reading_equals_one_task(spark, tmp_path, line_end):
     r = random.Random(8)
     names = ["Bates Begin", "Email From", "Body", "File Size"]
     cells = lambda i: [f"D_{i:06}", r.choice(["", "ann@x.org", " bob "]), line_end.join("w" * r.randint(0, 90) for _ in range(r.randint(0, 12))), r.choice(["", str(i)])]
-    rows = [names] + [cells(i) for i in range(4000)]
+    rows = [names] + [cells(i) for i in range(1500)]
     path = tmp_path / "a.dat"
     path.write_bytes(("﻿" + line_end.join("\x14".join(f"þ{c}þ" for c in row) for row in rows) + line_end).encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
         split = loadfile.read_dat(spark, str(path))
         assert split.rdd.getNumPartitions() > 10
         whole = loadfile.read_dat(spark, str(path), whole=True)
         got, want = (sorted(tuple(x) for x in f.fillna("").collect()) for f in (split, whole))
         fold = lambda t: tuple(c.replace("\r\n", "\n") for c in t)
-        assert split.columns == whole.columns == names and len(got) == 4000 and [fold(x) for x in got] == [fold(x) for x in want]
+        assert split.columns == whole.columns == names and len(got) == 1500 and [fold(x) for x in got] == [fold(x) for x in want]
         two = loadfile.read_dat(spark, str(path), columns=["Email From", "File Size"])
-        assert two.columns == ["Email From", "File Size"] and two.count() == 4000
+        assert two.columns == ["Email From", "File Size"] and two.count() == 1500
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
