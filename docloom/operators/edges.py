@@ -15,10 +15,15 @@ def _present(c: str) -> Column:
     return F.col(c).isNotNull() & (strip_all(F.col(c).cast("string")) != "")
 
 
-def drop_routing(rows: DataFrame) -> DataFrame:
-    """Rows with an address at either end, a subject or a date; routing blocks have none of these."""
+def is_mail() -> Column:
+    """An address at either end, a subject or a date: routing blocks have none of these."""
     address = F.coalesce(F.col("source").contains("@"), F.lit(False)) | F.coalesce(F.col("target").contains("@"), F.lit(False))
-    return rows.filter(address | _present("subject") | _present("sent_raw"))
+    return address | _present("subject") | _present("sent_raw")
+
+
+def drop_routing(rows: DataFrame) -> DataFrame:
+    """Rows that are mail."""
+    return rows.filter(is_mail())
 
 
 def days_between(first: Column, last: Column) -> Column:

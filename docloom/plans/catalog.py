@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates, fixed, profile, spans, textmap
 from docloom.functions.profile import micro
-from docloom.operators import answering, edges, evaluation, graph, matching, range_joins, reports, resolution, retrieval, traversal
+from docloom.operators import answering, citations, edges, evaluation, gates, graph, matching, payloads, range_joins, reports, resolution, retrieval, traversal
 from docloom.session import spread, table
 from docloom.sources import loadfile
 from docloom.sources.workspace import new_folder
@@ -838,6 +838,86 @@ def question_pairs(spark, sf):
     return matching.first_two(matching.match_entities(*_questions(spark, sf)))
 
 
+# --- Cited answers, payloads, gates -------------------------------------------------------------------------------------
+
+
+def _cited_rows(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_linestatus")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    return lines.join(orders, "l_orderkey").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_orderkey").alias("message_key"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_linestatus").alias("subject"), F.col("o_orderdate").alias("sent_at"))
+
+
+_CITED_SQL = """
+WITH r AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, l_orderkey AS k, l_partkey AS doc, l_linenumber AS page, l_linestatus AS subject, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT src AS a, dst AS b, count(DISTINCT k) AS weight, min(d) AS d0, max(d) AS d1, count(DISTINCT doc) AS n_docs FROM r GROUP BY 1, 2),
+p AS (SELECT src AS a, dst AS b, doc, min(page) AS page, row_number() OVER (PARTITION BY src, dst ORDER BY doc) AS n FROM r GROUP BY 1, 2, 3),
+t AS (SELECT a, b, string_agg(doc || ' p. ' || page, ', ' ORDER BY doc) AS docs, count(*) AS shown FROM p WHERE n <= 3 GROUP BY 1, 2),
+u AS (SELECT a, b, arg_min(subject, (-k, subject)) AS subject FROM (SELECT src AS a, dst AS b, subject, count(*) AS k FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+f AS (SELECT s.a, s.b, weight, weight || CASE WHEN weight = 1 THEN ' message' ELSE ' messages' END || ', ' || strftime(d0, '%Y-%m-%d') || CASE WHEN strftime(d0, '%Y-%m-%d') <> strftime(d1, '%Y-%m-%d') THEN ' to ' || strftime(d1, '%Y-%m-%d') ELSE '' END
+        || ', e.g. ' || chr(39) || subject || chr(39) || '; ' || docs || CASE WHEN n_docs > shown THEN ' and ' || (n_docs - shown) || ' more' ELSE '' END AS cited FROM s JOIN t ON s.a = t.a AND s.b = t.b JOIN u ON s.a = u.a AND s.b = u.b),
+x AS (SELECT DISTINCT a, b FROM (SELECT 'c' || c_custkey AS a, 's' || (c_custkey % (SELECT count(*) FROM supplier)) AS b FROM customer UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey + 1) FROM customer)),
+h AS (SELECT x.a, x.b, l.b AS via, row_number() OVER (PARTITION BY x.a, x.b ORDER BY l.weight * m.weight DESC, l.b) AS n, l.cited AS c1, m.cited AS c2 FROM x JOIN f l ON l.a = x.a JOIN f m ON m.a = x.b AND m.b = l.b),
+o AS (SELECT x.a, x.b, CAST(NULL AS VARCHAR) AS via, 1 AS hops, '- ' || x.a || ' wrote with ' || x.b || ' (' || cited || ')' AS text FROM x JOIN f ON f.a = x.a AND f.b = x.b
+  UNION ALL SELECT a, b, via, 2, '- ' || a || ' wrote with ' || via || ' (' || c1 || ')' || chr(10) || '- ' || via || ' wrote with ' || b || ' (' || c2 || ')' || chr(10) || '  => ' || a || ' reaches ' || b || ' through ' || via || '; no message between them was found' FROM h WHERE n = 1)
+"""
+
+
+@query(_CITED_SQL + """SELECT a, b, via, hops, text FROM o UNION ALL SELECT a, b, NULL, 0, '- No connection between ' || a || ' and ' || b || ' was found within two hops' FROM x WHERE (a, b) NOT IN (SELECT (a, b) FROM o)""")
+def cited_connections(spark, sf):
+    """Each customer with a supplier and with the next customer: one text with dates, three documents and pages."""
+    customers = table(spark, sf, "customer").select("c_custkey")
+    n = table(spark, sf, "supplier").count()
+    name = lambda kind, k: F.concat(F.lit(kind), k.cast("string"))
+    pairs = customers.select(name("c", F.col("c_custkey")).alias("a"), name("s", F.col("c_custkey") % n).alias("b")).unionByName(customers.select(name("c", F.col("c_custkey")).alias("a"), name("c", F.col("c_custkey") + 1).alias("b")))
+    return citations.connection_texts(citations.evidence_store(_cited_rows(spark, sf)), pairs)
+
+
+_PAYLOAD_SQL = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract(text, '([A-Za-z]{4,})[^A-Za-z]+([A-Za-z]{4,})', 1) AS s1, regexp_extract(text, '([A-Za-z]{4,})[^A-Za-z]+([A-Za-z]{4,})', 2) AS s2 FROM documents),
+p AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN '{"entities": [{"surface": "' || s1 WHEN 1 THEN '{"other": 1}' WHEN 2 THEN NULL
+  ELSE '{"entities": [{"surface": " ' || s1 || ' ", "type": "person", "verdict": "kept"}, "loose", {"surface": "' || s2 || '", "type": "ORG"}, 7, {"surface": "' || s2 || '~q", "type": "GPE", "verdict": "added"}, {"surface": "x", "type": "ORG"}, {"surface": "yes", "type": "DATE"}]}' END AS payload FROM w),
+j AS (SELECT *, payload IS NULL AS missing, json_valid(coalesce(payload, '')) AS valid, CASE WHEN json_valid(coalesce(payload, '')) THEN json_type(payload, '$.entities') END AS kind FROM p)
+"""
+
+
+def _payloads(spark, sf):
+    """What a model could have answered on every document: broken, of another shape, missing, or two surfaces and what is not there."""
+    word = lambda i: F.regexp_extract("text", "([A-Za-z]{4,})[^A-Za-z]+([A-Za-z]{4,})", i)
+    kind, s1, s2 = F.col("doc_id") % 6, word(1), word(2)
+    whole = F.concat(F.lit('{"entities": [{"surface": " '), s1, F.lit(' ", "type": "person", "verdict": "kept"}, "loose", {"surface": "'), s2, F.lit('", "type": "ORG"}, 7, {"surface": "'), s2, F.lit('~q", "type": "GPE", "verdict": "added"}, {"surface": "x", "type": "ORG"}, {"surface": "yes", "type": "DATE"}]}'))
+    payload = F.when(kind == 0, F.concat(F.lit('{"entities": [{"surface": "'), s1)).when(kind == 1, '{"other": 1}').when(kind > 2, whole)
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.lit(0).alias("char_start"), F.length("text").alias("char_end"), payload.alias("payload"))
+
+
+@query(_PAYLOAD_SQL + "SELECT doc_id AS chunk_id, CASE WHEN missing THEN 'missing' WHEN NOT valid THEN 'malformed' ELSE 'no entities' END AS reason FROM j WHERE missing OR NOT valid OR coalesce(kind, '') <> 'ARRAY'")
+def payload_failures(spark, sf):
+    return payloads.failures(_payloads(spark, sf))
+
+
+@query(_PAYLOAD_SQL + rf""", k AS (SELECT *, strpos(text, s1) AS p1 FROM j WHERE kind = 'ARRAY'),
+l AS (SELECT *, CASE WHEN strpos(text, s2) = p1 THEN p1 + strpos(substr(text, p1 + 1), s2) ELSE strpos(text, s2) END AS p2 FROM k),
+m AS (SELECT doc_id, p1 - 1 AS start, s1 AS surface, 'PERSON' AS type, 'kept' AS note FROM l UNION ALL SELECT doc_id, p2 - 1, s2, 'ORG', NULL FROM l UNION ALL SELECT doc_id, -1, s2 || '~q', 'GPE', 'unlocated' FROM l)
+SELECT doc_id, CAST(start AS INTEGER) AS start, surface, type, note FROM m WHERE length(surface) >= 2 AND regexp_matches(surface, '\p{{L}}') AND NOT regexp_matches(surface, '(?i){fixed.JUNK}')
+""")
+def payload_mentions(spark, sf):
+    return payloads.mentions(_payloads(spark, sf)).select("doc_id", "start", "surface", "type", "note")
+
+
+@query("""
+WITH m AS (SELECT CASE WHEN l_partkey % 11 <> 0 THEN l_suppkey END AS e, l_linenumber % 6 = 0 AS head FROM lineitem), n AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0),
+g AS (SELECT 'linked' AS gate, count(*) AS rows, count(e) AS kept FROM m UNION ALL SELECT 'body', count(*), count(*) FILTER (WHERE NOT head) FROM m WHERE e IS NOT NULL
+  UNION ALL SELECT 'clean', count(*), count(*) FILTER (WHERE e NOT IN (SELECT s_suppkey FROM n)) FROM m WHERE e IS NOT NULL AND NOT head)
+SELECT gate, rows, kept, rows - kept AS dropped FROM g
+""")
+def gate_counts(spark, sf):
+    """Mentions through three gates; the counts come with the pass over them."""
+    mentions = table(spark, sf, "lineitem").select(F.when(F.col("l_partkey") % 11 != 0, F.col("l_suppkey")).alias("entity_id"), (F.col("l_linenumber") % 6 == 0).alias("in_header"))
+    noisy = table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("entity_id"))
+    held = gates.mention_gates(mentions, noisy)
+    held.rows.write.format("noop").mode("overwrite").save()
+    return held.counts(spark)
+
+
 # --- Retrieval and evaluation -------------------------------------------------------------------------------------------
 
 
