@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import retrieval, traversal
+from docloom.operators import citations, retrieval
 
 MENTIONS = "chunk_id string, doc_id string, start int, end int, surface string, type string, note string"
 
@@ -51,24 +51,16 @@ def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], list[l
     return rows.select("id", "text").mapInPandas(run, f"id {kind}, text string, v array<float>")
 
 
-def graph_context(question: str, names: list[tuple[str, str]], adjacent: DataFrame) -> dict:
-    """What the graph says on a question: the connection of its first two entities, the surroundings of a single one,
-    or nothing."""
-    found = retrieval.match_entities(question, names)[:2]
-    label = {e: n for e, n in names}
-    if len(found) == 2:
-        return {"entities": found, "text": traversal.render_connection(traversal.find_connection(adjacent, *found), label[found[0]], label[found[1]])}
-    if found:
-        near, far = traversal.explore(adjacent, found[0])
-        lines = [f"{label[found[0]]} - {label.get(r.other, r.other)} (weight {r.weight:g})" for r in near.collect()]  # at most five rows
-        lines += [f"{label[found[0]]} - {label.get(r.via, r.via)} - {label.get(r.other, r.other)}" for r in far.collect()]
-        return {"entities": found, "text": "\n".join(lines)}
-    return {"entities": [], "text": ""}
+def graph_context(question: str, names: DataFrame, store: DataFrame) -> str:
+    """What the graph says on a question, with its sources: the connection of its first two entities, the surroundings of a
+    single one, or nothing. names(name, entity_id); the store is that of citations.evidence_store."""
+    asked = store.sparkSession.createDataFrame([(0, question)], "question_id int, text string")
+    return citations.question_contexts(asked, names, store).first().text
 
 
-def answer(question: str, hits: DataFrame, ask: Callable[[str], str], names=(), adjacent: DataFrame | None = None) -> dict:
+def answer(question: str, hits: DataFrame, ask: Callable[[str], str], names: DataFrame | None = None, store: DataFrame | None = None) -> dict:
     """hits(rank, text, page_start, page_end), with the graph's part if there is one, put to a language model."""
     context = retrieval.context(hits).first().context or ""
-    graph = graph_context(question, list(names), adjacent) if adjacent is not None else {"entities": [], "text": ""}
-    parts = [p for p in (graph["text"], context) if p]
-    return {"question": question, "context": "\n\n".join(parts), "answer": ask("\n\n".join([*parts, question])), "entities": graph["entities"]}
+    told = graph_context(question, names, store) if store is not None else ""
+    parts = [p for p in (told, context) if p]
+    return {"question": question, "context": "\n\n".join(parts), "answer": ask("\n\n".join([*parts, question])), "graph": told}

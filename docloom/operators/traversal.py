@@ -55,15 +55,6 @@ def explore(adjacent: DataFrame, seed, limit: int = fixed.EXPLORE_LIMIT, second:
     return near, far
 
 
-def render_connection(found: DataFrame, a: str, b: str) -> str:
-    """At most one row as a sentence."""
-    rows = found.collect()
-    if not rows:
-        return f"No connection between {a} and {b} was found within two hops."
-    r = rows[0]
-    return f"{a} is directly connected to {b} (weight {r.strength:g})." if r.hops == 1 else f"{a} is connected to {b} through {r.via} (strength {r.strength:g})."
-
-
 def mine_one_hop(store: DataFrame, n: int, seed: str = "one") -> DataFrame:
     """n edges in the order of a seeded hash."""
     return store.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "a", "b")), "a", "b").limit(n)
