@@ -44,7 +44,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
         w = words[i].lower()
         named = ["bias", f"w={w}", f"s={w[-3:]}", f"p={w[:3]}", f"x={shapes[i]}", f"-1={words[i - 1].lower()}", f"+1={words[i + 1].lower()}", f"-2={words[i - 2].lower()}", f"xx={shapes[i - 1]}|{shapes[i]}|{shapes[i + 1]}", f"s-1={words[i - 1].lower()[-3:]}|{shapes[i]}", f"e+1={shapes[i]}|{words[i + 1].lower()}"]
         out.append([zlib.crc32(n.encode()) & (2**BITS - 1) for n in named])
-    return np.array(out, np.int64).reshape(len(spans), -1)
+    return np.array(out, np.int64) if out else np.zeros((0, 1), np.int64)
 
 
 def _allowed() -> np.ndarray:
@@ -80,7 +80,7 @@ class Tagger:
         self.weight, self.follow = weight, follow
 
     def path(self, rows: np.ndarray) -> np.ndarray:
-        return viterbi(self.weight[rows].sum(1) if len(rows) else np.zeros((0, len(TAGS)), np.float32), self.follow + ALLOWED)
+        return viterbi(self.weight[rows].sum(1), self.follow + ALLOWED)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type) of the names in a text."""
