@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
+from docloom.operators.numbering import numbered
 from docloom.functions.profile import ratio
 
 
@@ -59,7 +60,7 @@ def context_window(text: Column, start: Column, end: Column, around: int = 60) -
 
 def deal(rows: DataFrame, annotators: int, shared: int, seed: str = "deal") -> DataFrame:
     """rows(doc_id, ..) blinded: the first `shared` documents by hash go to all annotators, the others round-robin."""
-    docs = rows.select("doc_id").distinct().withColumn("_n", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), "doc_id")) - 1)
+    docs = numbered(rows.select("doc_id").distinct(), [F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))), F.col("doc_id")], "_n")
     everyone = F.array(*[F.lit(i) for i in range(annotators)])
     who = F.when(F.col("_n") < shared, everyone).otherwise(F.array(F.pmod(F.col("_n") - shared, F.lit(annotators)).cast("int")))
     return rows.drop("systems", "system").join(docs.select("doc_id", F.explode(who).alias("annotator")), "doc_id")

@@ -994,12 +994,17 @@ def complete_documents(spark, sf):
     return evaluation.complete_documents(turns, turns.filter(F.length("text") >= 40)).select(F.col("doc_id").alias("conv_id"))
 
 
-@query()
+@query(r"""
+WITH q AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS source FROM conversations WHERE role = 'user' GROUP BY 1),
+a AS (SELECT conv_id || '-' || turn AS id, source, regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\[\d+\]', '', 'g') AS plain, regexp_replace(text, '\[\d+\]', '', 'g') AS raw FROM conversations JOIN q USING (conv_id) WHERE role = 'assistant'),
+t AS (SELECT id, source, list_distinct(list_concat(regexp_extract_all(plain, '\b\d{2,}\b'), regexp_extract_all(plain, '\b[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,})*\b'))) AS ts FROM a)
+SELECT id, CAST(len(ts) AS BIGINT) AS total_terms, CAST(len(list_filter(ts, lambda x: contains(source, x))) AS BIGINT) AS supported_terms, CASE WHEN len(ts) > 0 THEN floor(CAST(len(list_filter(ts, lambda x: contains(source, x))) AS DOUBLE) / len(ts) * 1e6 + 0.5) / 1e6 END AS coverage FROM t
+""")
 def faithfulness(spark, sf):
     turns = table(spark, sf, "conversations")
     asked = turns.filter("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), " ").alias("source"))
     answers = turns.filter("role = 'assistant'").join(asked, "conv_id").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("answer"), "source")
-    return evaluation.faithfulness(answers)
+    return evaluation.faithfulness(answers).select("id", "total_terms", "supported_terms", micro(F.col("coverage")).alias("coverage"))
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2")
@@ -1207,10 +1212,178 @@ def hashed_search(spark, sf):
     return retrieval.top_k_many(d, q, 3).select("query_id", "id", "rank")
 
 
-@query()
+@query("""
+WITH a AS (SELECT CASE c_custkey % 5 WHEN 0 THEN 'x' || lower(c_mktsegment) WHEN 1 THEN lower(c_mktsegment) || '' WHEN 2 THEN substr(lower(c_mktsegment), 2) ELSE lower(c_mktsegment) END || '@ex.org' AS address, lower(c_mktsegment) AS pool FROM customer),
+c AS (SELECT address, pool, count(*) AS n FROM a GROUP BY 1, 2), b AS (SELECT pool, arg_min(address, (-n, length(address), address)) AS best FROM c GROUP BY 1)
+SELECT address, best FROM c JOIN b USING (pool)
+""")
 def canonical_addresses(spark, sf):
-    rows = table(spark, sf, "customer").select(F.concat(F.lower("c_mktsegment"), (F.col("c_custkey") % 5).cast("string"), F.lit("@ex.org")).alias("address"))
-    return resolution.canonical_addresses(rows)
+    """Addresses with a letter too many or too few pool with the right one."""
+    segment, kind = F.lower("c_mktsegment"), F.col("c_custkey") % 5
+    local = F.when(kind == 0, F.concat(F.lit("x"), segment)).when(kind == 2, F.substring(segment, 2, 100)).otherwise(segment)
+    return resolution.canonical_addresses(table(spark, sf, "customer").select(F.concat(local, F.lit("@ex.org")).alias("address")))
+
+
+# --- Sources, filters, lookups and graphs over whole tables ---------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT printf('%08d', event_id) AS page_id, 'V' || (user_id % 5) AS volume, event_type = 'signup' AS opens, CASE WHEN event_type = 'signup' AND event_id % 4 <> 0 THEN event_id % 9 END AS n FROM events),
+d AS (SELECT *, last_value(CASE WHEN opens THEN page_id END IGNORE NULLS) OVER (PARTITION BY volume ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS doc_id FROM p)
+SELECT doc_id, CAST(max(n) AS BIGINT) AS opt_pages, count(*) AS image_pages FROM d GROUP BY 1
+""")
+def page_lists(spark, sf):
+    """Events as a page list written and read again: pages belong to the document whose break came last in their volume."""
+    events = table(spark, sf, "events")
+    opens = F.col("event_type") == "signup"
+    count = F.when(opens, F.when(F.col("event_id") % 4 != 0, (F.col("event_id") % 9).cast("string")).otherwise(" ? ")).otherwise("")
+    rows = events.select(F.format_string("%08d", "event_id"), F.concat(F.lit("V"), (F.col("user_id") % 5).cast("string")), F.lit("img"), F.when(opens, "Y").otherwise(""), F.lit(""), F.lit(""), count)
+    folder = new_folder(spark, "pages")
+    rows.write.csv(folder)
+    return loadfile.opt_documents(loadfile.read_opt(spark, folder))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, 'X_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS id, source, n_chars, lang FROM documents),
+p AS (SELECT id, doc_id % 3 + 1 AS n FROM d)
+SELECT d.id AS doc_id, CAST(d.doc_id AS BIGINT) AS bates_seq, source AS email_from, CASE WHEN d.doc_id % 7 <> 0 THEN n_chars END AS pages, CASE WHEN d.doc_id % 5 <> 0 THEN make_timestamp(2000 + d.doc_id % 20, 1 + d.doc_id % 12, 1 + d.doc_id % 28, 0, 0, 0) END AS date_sent,
+  lang = 'en' AS has_native, d.doc_id % 4 = 1 AS is_attachment, n AS image_pages FROM d JOIN p ON d.id = p.id
+""")
+def manifest_rows(spark, sf):
+    """A load file with bad numbers and dates, joined with its page list: casts, flags and counts."""
+    docs = table(spark, sf, "documents")
+    number, name = F.col("doc_id"), F.concat(F.lit("X_"), F.lpad(F.col("doc_id").cast("string"), 6, "0"))
+    date = F.concat(F.lpad((1 + number % 12).cast("string"), 2, "0"), F.lit("/"), F.lpad((1 + number % 28).cast("string"), 2, "0"), F.lit("/"), (2000 + number % 20).cast("string"))
+    cells = {"Bates Begin": name, "Attachment Begin": F.when(number % 4 == 1, "X_other").otherwise(name), "Email From": F.concat(F.lit(" "), "source", F.lit(" ")), "Pages": F.when(number % 7 != 0, F.col("n_chars").cast("string")).otherwise("n/a"), "Date Sent": F.when(number % 5 != 0, date).otherwise("99/99/2012"), "Native Link": F.when(F.col("lang") == "en", "a.doc").otherwise(" ")}
+    folder = new_folder(spark, "manifest")
+    loadfile.write_dat(docs.select(*[c.alias(k) for k, c in cells.items()]), f"{folder}/dat")
+    pages = docs.select(name.alias("id"), F.explode(F.sequence(F.lit(0), (number % 3).cast("int"))).alias("i")).select(F.concat("id", F.when(F.col("i") == 0, "").otherwise(F.concat(F.lit("-"), F.col("i").cast("string")))), F.lit("V"), F.lit("img"), F.when(F.col("i") == 0, "Y").otherwise(""), F.lit(""), F.lit(""), F.lit(""))
+    pages.write.csv(f"{folder}/opt")
+    texts = spark.createDataFrame([], "doc_id string, text_path string, volume string, text_bytes long")
+    rows = loadfile.manifest(loadfile.read_dat(spark, f"{folder}/dat", names=list(cells)), loadfile.read_opt(spark, f"{folder}/opt"), texts)
+    return rows.select("doc_id", "bates_seq", "email_from", "pages", F.col("date_sent").cast("timestamp_ntz").alias("date_sent"), "has_native", "is_attachment", "image_pages")
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN trim(text, ' ') <> '' THEN md5(text) END AS digest FROM (SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, CASE WHEN turn % 3 <> 0 THEN role END AS role, text FROM conversations)")
+def sheet_rows(spark, sf):
+    """Turns written as CSV sheets and read again: quoted cells with line ends, blanks as nulls."""
+    folder = new_folder(spark, "sheets")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("role")).otherwise(" ").alias("role"), "text")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    return loadfile.read_sheets(spark, folder).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query("""
+WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(q.v, e.v) AS score FROM u q JOIN u e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def index_search(spark, sf):
+    """Vectors saved as an index of unit length, loaded and searched."""
+    folder = new_folder(spark, "index")
+    retrieval.save_index(_vectors(spark, sf), folder)
+    index = retrieval.load_index(spark, folder)
+    return retrieval.top_k_many(index, index.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 5, max_queries=7).select("query_id", "id", "rank")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT conv_id AS doc, CASE WHEN turn % 4 = 0 THEN 'mailer ' || role ELSE role || ' ' || chr(CAST(97 + turn % 26 AS INTEGER)) END AS norm FROM conversations WHERE turn % 3 <> 1),
+e AS (SELECT * FROM h WHERE norm NOT LIKE '%mailer%'), f AS (SELECT DISTINCT 's' || (turn % 2) AS system, conv_id AS doc, role || ' ' || chr(CAST(97 + turn % 26 AS INTEGER)) AS norm FROM conversations WHERE length(text) > 100)
+SELECT system, count(*) AS n_found, (SELECT count(*) FROM e) AS n_expected, floor(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM e) * 1e6 + 0.5) / 1e6 AS recall FROM f JOIN e USING (doc, norm) GROUP BY 1
+""")
+def header_recall(spark, sf):
+    """How many of the names in headers each system finds; addresses of machines are no persons."""
+    turns = table(spark, sf, "conversations")
+    name = F.concat("role", F.lit(" "), F.char(97 + F.col("turn") % 26))
+    expected = turns.filter("turn % 3 <> 1").select(F.col("conv_id").alias("doc_id"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("mailer "), "role")).otherwise(name).alias("norm"))
+    found = turns.filter(F.length("text") > 100).select(F.concat(F.lit("s"), (F.col("turn") % 2).cast("string")).alias("system"), F.col("conv_id").alias("doc_id"), name.alias("norm"), F.lit("PERSON").alias("type"))
+    return evaluation.header_recall(expected, found).select("system", "n_found", "n_expected", micro(F.col("recall")).alias("recall"))
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, text, doc_id % 200 AS a, doc_id % 200 + 20 AS b FROM documents),
+w AS (SELECT doc_id, regexp_replace(substr(text, greatest(a - 60, 0) + 1, b + 60 - greatest(a - 60, 0)), '\s+', ' ', 'g') AS line FROM c)
+SELECT doc_id, CASE WHEN regexp_matches(line, '^[=+\-@]') THEN chr(39) || line ELSE line END AS line FROM w
+""")
+def context_windows(spark, sf):
+    rows = table(spark, sf, "documents")
+    at = (F.col("doc_id") % 200).cast("int")
+    return rows.select("doc_id", evaluation.context_window(F.col("text"), at, at + 20).alias("line"))
+
+
+@query(rf"""
+WITH p AS ({_PROFILE_SQL})
+SELECT doc_id FROM p WHERE NOT (n_words < 5 OR no_vowel_type_ratio > CASE WHEN n_words < 100 THEN 0.12 ELSE 0.06 END OR nonword_char_ratio > 0.005)
+""")
+def usable_documents(spark, sf):
+    rows = profile.profile(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    rows = rows.withColumns({c: micro(F.col(c)) for c in ("no_vowel_type_ratio", "nonword_char_ratio")}).withColumn("ocr_quality", profile.ocr_quality())
+    return rows.filter(profile.usable()).select("doc_id")
+
+
+@query("""
+WITH n AS (SELECT 'PER_' || c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'Dear Bob' WHEN c_custkey % 13 = 0 THEN 'Al' ELSE 'Person ' || (c_custkey % 400) END AS name, CAST(floor(c_acctbal / 1000) AS BIGINT) AS n FROM customer UNION ALL SELECT 'ORG_' || s_suppkey, s_name, 9 FROM supplier)
+SELECT lower(name) AS name, max_by(id, (n, id)) AS entity_id FROM n WHERE id LIKE 'PER_%' AND n >= 2 AND length(name) >= 4 AND name <> 'Dear Bob' GROUP BY 1
+""")
+def name_index(spark, sf):
+    """One well-evidenced person a name: short, rare and noisy names are left out."""
+    people = table(spark, sf, "customer").select(F.concat(F.lit("PER_"), F.col("c_custkey").cast("string")).alias("entity_id"), F.when(F.col("c_custkey") % 9 == 0, "Dear Bob").when(F.col("c_custkey") % 13 == 0, "Al").otherwise(F.concat(F.lit("Person "), (F.col("c_custkey") % 400).cast("string"))).alias("canonical"), F.lit("PERSON").alias("type"), F.floor(F.col("c_acctbal") / 1000).alias("n_mentions"))
+    firms = table(spark, sf, "supplier").select(F.concat(F.lit("ORG_"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("canonical"), F.lit("ORG").alias("type"), F.lit(9).cast("long").alias("n_mentions"))
+    return retrieval.name_index(people.unionByName(firms)).select(F.lower("canonical").alias("name"), "entity_id")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS key, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, name) AS i FROM c)
+SELECT key, string_agg(name, '; ' ORDER BY i) AS names FROM r WHERE i <= 3 GROUP BY 1
+""")
+def display_names(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("name"))
+    return resolution.top_names(rows).select("key", F.array_join("names", "; ").alias("names"))
+
+
+_TRADE = "flows AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(DISTINCT l_orderkey) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+_BUSY = f"{_TRADE}, thin AS (SELECT * FROM flows WHERE weight >= 4)"
+
+
+def _trade(spark, sf):
+    """Customers and suppliers: a graph that grows with the tables; the weight is the number of orders."""
+    return _letters_of_orders(spark, sf).groupBy("src", "dst").agg(F.countDistinct("message_key").alias("weight"))
+
+
+@query(f"""
+WITH {_TRADE}, o AS (SELECT src AS node, count(*) AS od, CAST(sum(weight) AS BIGINT) AS os FROM flows GROUP BY 1), i AS (SELECT dst AS node, count(*) AS id, CAST(sum(weight) AS BIGINT) AS s FROM flows GROUP BY 1)
+SELECT coalesce(o.node, i.node) AS node, coalesce(od, 0) AS out_degree, coalesce(os, 0) AS out_strength, coalesce(id, 0) AS in_degree, coalesce(s, 0) AS in_strength FROM o FULL JOIN i ON o.node = i.node
+""")
+def trade_degrees(spark, sf):
+    return graph.degrees(_trade(spark, sf)).select("node", "out_degree", "out_strength", "in_degree", "in_strength")
+
+
+@query(_pagerank_sql(8).replace(_FLOWS, _TRADE))
+def trade_pagerank(spark, sf):
+    return graph.pagerank(_trade(spark, sf), fixed_rounds=8).select("node", micro(F.col("rank")).alias("rank"))
+
+
+@query(f"""
+WITH RECURSIVE {_BUSY}, u AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), reach AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
+l AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1) SELECT node, root, count(*) OVER (PARTITION BY root) AS size FROM l
+""")
+def trade_components(spark, sf):
+    return graph.weak_components(_trade(spark, sf).filter("weight >= 4"))
+
+
+@query(f"WITH {_TRADE} SELECT src, dst, weight FROM flows WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 5000) AND dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+def induced_trade(spark, sf):
+    """The edges between rich customers and rich suppliers."""
+    rich = lambda t, kind, k, balance: table(spark, sf, t).filter(F.col(balance) > 5000).select(F.concat(F.lit(kind), F.col(k).cast("string")).alias("node"))
+    return graph.induced(_trade(spark, sf), rich("customer", "c", "c_custkey", "c_acctbal").unionByName(rich("supplier", "s", "s_suppkey", "s_acctbal")))
+
+
+@query(f"WITH {_TRADE} SELECT src, dst, 'communicated_with' AS relation, CAST(weight AS DOUBLE) AS weight, CAST(NULL AS DOUBLE) AS npmi FROM flows UNION ALL SELECT CAST(src AS VARCHAR), CAST(dst AS VARCHAR), 'co_occurs_with', floor(npmi * 1e4 + 0.5) / 1e4, npmi FROM ({_NPMI_SQL})")
+def stacked_edges(spark, sf):
+    """Two kinds of edges as one table with the columns of both."""
+    wrote = _trade(spark, sf).withColumn("relation", F.lit("communicated_with")).withColumn("weight", F.col("weight").cast("double"))
+    together = co_occurs_with(spark, sf).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("co_occurs_with").alias("relation"), (F.floor(F.col("npmi") * 1e4 + 0.5) / 1e4).alias("weight"), "npmi")
+    return edges.stack_edges(wrote, together).select("src", "dst", "relation", "weight", "npmi")
 
 
 def flagship(spark, sf_dir):
