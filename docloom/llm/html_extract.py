@@ -24,6 +24,8 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -110,49 +112,88 @@ def _families(attrs: str) -> int:
     return bits
 
 
+class OpenElements:
+    """The stack of open elements, with the places of each name and of all blocks, so that nothing is found by going down the
+    stack: what is asked costs no more for deep pages. An inline element has the node of its block."""
+
+    def __init__(self, root: int):
+        self.names, self.nodes = ["html"], [root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # without the root
+        self.blocks = [0]
+
+    def push(self, name: str, node: int) -> None:
+        self.places[name].append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def close(self, i: int) -> None:
+        """Close the elements from place i on."""
+        while len(self.names) > i:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, 0 if there is none."""
+        held = self.places.get(name)
+        return held[-1] if held else 0
+
+    def first_above(self, name: str, i: int) -> int | None:
+        """Place of the outermost open element of a name above place i."""
+        held = self.places.get(name, ())
+        k = bisect_right(held, i)
+        return held[k] if k < len(held) else None
+
+    def make_room(self, tag: str) -> None:
+        """Close what cannot hold a block: its own kind up to the list or table it belongs to, or a paragraph."""
+        closes = CLOSES.get(tag, ())
+        if not closes:
+            if self.names[self.blocks[-1]] == "p":
+                self.close(self.blocks[-1])
+            return
+        fence = max(map(self.last, FENCE[tag]))
+        found = [x for name in (*closes, "p") if (x := self.first_above(name, fence)) is not None]
+        if found:
+            self.close(min(found))
+
+
 def parse(page: str) -> Page:
     out = Page()
-    stack = [("html", out.node(-1, "html", 0))]  # all open elements; an inline one has the node of its block
+    held = OpenElements(out.node(-1, "html", 0))
     run: list[str] = []
-    linked = at = links = paragraphs = 0
-
-    def close(i: int) -> None:
-        """Close the elements from place i on."""
-        nonlocal links, paragraphs
-        links -= sum(t == "a" for t, _ in stack[i:])
-        paragraphs -= sum(t == "p" for t, _ in stack[i:])
-        del stack[i:]
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                out.node(stack[-1][1], "#text", 0, text, min(linked, len(text)))
+                out.node(held.nodes[-1], "#text", 0, text, min(linked, len(text)))
             run.clear()
         linked = 0
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             run.append(page[at : m.start()])
-            if links:
+            if held.last("a"):
                 linked += m.start() - at
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            if tag == "p" and not paragraphs:
-                flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(t in BLOCK for t, _ in stack[i:]):
-                        flush()
-                    close(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end does not close a block
+            i = held.last(tag)
+            if tag in BLOCK:
+                if i or tag == "p":  # an end without its paragraph still parts texts
+                    flush()
+                if i:
+                    held.close(i)
+            elif i > held.blocks[-1]:  # an inline end does not close a block
+                held.close(i)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -160,29 +201,14 @@ def parse(page: str) -> Page:
             elif tag == "br":
                 run.append(" ")
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag == "html" or tag == "body" and held.last("body"):
             continue
         if tag in BLOCK:
             flush()
-            closes, fence = CLOSES.get(tag, ()), FENCE.get(tag, ())
-            i = len(stack) - 1
-            while i > 0:
-                name = stack[i][0]
-                if name in fence:
-                    break
-                if name in closes or name == "p":
-                    close(i)
-                    if name == "p" and not closes:
-                        break
-                elif name in BLOCK and not closes:
-                    break
-                i -= 1
-            paragraphs += tag == "p"
-            stack.append((tag, out.node(stack[-1][1], tag, _families(m["attrs"] or ""))))
+            held.make_room(tag)
+            held.push(tag, out.node(held.nodes[-1], tag, _families(m["attrs"] or "")))
         else:
-            if tag == "a":
-                links += 1
-            stack.append((tag, stack[-1][1]))
+            held.push(tag, held.nodes[-1])
     if at < len(page):
         run.append(page[at:])
     flush()
