@@ -14,7 +14,7 @@ choice. A common vector is only ever a few rows per task.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, as do those
 of another than the commonest dimension; equal scores rank by smaller vec_id; a candidate with the
-query's own vec_id is left out; repeated rows are candidates each, and queries each; fewer
+query's own vec_id is left out; rows with a null vec_id are candidates, last among equals, and no queries; repeated rows are candidates each, and queries each; fewer
 candidates than k give fewer rows; an empty table gives an empty result.
 """
 
@@ -35,6 +35,7 @@ ROUNDS = 2
 RERANK = 96
 CHUNK = 2048
 QUERY_BLOCK = 2048
+NO_ID = np.iinfo(np.int64).max  # stands for a null id, which comes last
 
 
 def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -180,7 +181,7 @@ def _block(index: DataFrame, books: Codebooks, queries, k: int, rerank: int) ->
         for b in batches:
             for lo in range(0, b.num_rows, CHUNK):
                 part = b.slice(lo, CHUNK)
-                vec = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+                vec = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 order = np.argsort(vec, kind="stable")
                 vec, v = vec[order], _matrix(part.column(1))[order]
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)[order]
@@ -202,7 +203,7 @@ def _block(index: DataFrame, books: Codebooks, queries, k: int, rerank: int) ->
                 pick = np.lexsort([best_id, -best_s], axis=1)[:, :k]
                 best_s, best_id = np.take_along_axis(best_s, pick, 1), np.take_along_axis(best_id, pick, 1)
         row, col = np.nonzero(best_s > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), pa.array(ids[row]), pa.array(best_id[row, col]), pa.array(best_s[row, col])], ["q", "query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64)), pa.array(ids[row]), pa.array(best_id[row, col], mask=best_id[row, col] == NO_ID), pa.array(best_s[row, col])], ["q", "query_id", "vec_id", "score"])
 
     return index.mapInArrow(search, "q long, query_id long, vec_id long, score double")
 
@@ -226,9 +227,9 @@ def neighbours(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, re
         queries = numbered.filter(F.col("_block") == i).orderBy("vec_id", "v").collect()  # about QUERY_BLOCK rows
         if not queries:
             continue
-        found = _block(index.filter("vec_id IS NOT NULL"), books, queries, k, rerank).withColumn("_block", F.lit(i))
+        found = _block(index, books, queries, k, rerank).withColumn("_block", F.lit(i))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], RESULT)
-    best = Window.partitionBy("_block", "q").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("_block", "q").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -325,7 +325,7 @@ def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (6, [1.0, 0.0]), (None, [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
     got = sorted((r.query_id, r.rank, r.vec_id) for r in additive_quant.neighbours(spark, frame, lambda i: i % 50 == 0).collect())
-    assert got == [(0, 1, 5), (0, 2, 6), (0, 3, 6), (0, 4, 50), (50, 1, 0), (50, 2, 5), (50, 3, 6), (50, 4, 6)]
+    assert got == [(0, 1, 5), (0, 2, 6), (0, 3, 6), (0, 4, None), (0, 5, 50), (50, 1, 0), (50, 2, 5), (50, 3, 6), (50, 4, 6), (50, 5, None)]
     assert additive_quant.neighbours(spark, frame.limit(0), lambda i: i % 50 == 0).count() == 0
 
 
