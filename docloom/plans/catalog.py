@@ -607,7 +607,13 @@ def capitalised_mentions(spark, sf):
     return _mentions(spark, sf).groupBy("norm").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query("""
+WITH m AS (SELECT ['maria', 'm', 'marla', 'john', 'jon'][c_custkey % 5 + 1] AS given, 'family' || (c_custkey % 37) AS last FROM customer),
+f AS (SELECT given, last, given || ' ' || last AS norm, count(*) AS n FROM m GROUP BY 1, 2), h AS (SELECT last, bool_or(given = 'm') AS initial FROM f GROUP BY 1),
+k AS (SELECT f.*, CASE WHEN initial AND given IN ('maria', 'marla') THEN 'm' ELSE given END AS pool FROM f JOIN h USING (last)),
+g AS (SELECT min(norm) AS root, arg_min(norm, (-n, -length(norm), norm)) AS canonical, count(*) AS n_aliases, CAST(sum(n) AS BIGINT) AS n_mentions FROM k GROUP BY last, pool)
+SELECT printf('PER_%06d', row_number() OVER (ORDER BY root) - 1) AS entity_id, 'PERSON' AS type, canonical, n_aliases, n_mentions FROM g
+""")
 def resolved_people(spark, sf):
     """Supplier and customer names as persons of two words, with variants by initial."""
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.element_at(F.array(*[F.lit(x) for x in ("maria", "m", "marla", "john", "jon")]), (F.col("c_custkey") % 5 + 1).cast("int")), F.lit(" family"), (F.col("c_custkey") % 37).cast("string")).alias("norm"), F.lit("PERSON").alias("type"))
@@ -622,9 +628,15 @@ def surface_forms(spark, sf):
     return resolution.surface_counts(rows).select("norm", "n")
 
 
-@query()
+@query("""
+WITH p AS (SELECT DISTINCT p_name AS base FROM part), f AS (SELECT base, base AS norm, 0 AS far FROM p UNION SELECT base, base || ' inc', 0 FROM p UNION SELECT base, 'the ' || base, 0 FROM p UNION SELECT base, base || 'x', 1 FROM p),
+k AS (SELECT *, length(replace(base, ' ', '')) AS n FROM f), g AS (SELECT *, far = 1 AND 200.0 * n / (2 * n + 1) < 94 AS apart FROM k)
+SELECT norm, min(norm) OVER (PARTITION BY base, apart) AS root, CASE WHEN count(*) OVER (PARTITION BY base, apart) > 1 THEN 'near_duplicate' ELSE 'singleton' END AS kind FROM g
+""")
 def clustered_names(spark, sf):
-    forms = table(spark, sf, "part").select(F.col("p_name").alias("norm")).distinct()
+    """Part names as firms: with a legal form, with an article, and with a letter too many."""
+    base = table(spark, sf, "part").select(F.col("p_name").alias("b")).distinct()
+    forms = base.select(F.explode(F.array("b", F.concat("b", F.lit(" inc")), F.concat(F.lit("the "), "b"), F.concat("b", F.lit("x")))).alias("norm"))
     return resolution.cluster_conservative(forms)
 
 
