@@ -229,3 +229,20 @@ def plot_frame(ranks: DataFrame, edges: DataFrame, membership: DataFrame, top: i
     nodes = chosen.join(membership.select("node", "community"), "node", "left").select("node", "rank", F.coalesce("community", F.lit(-1)).alias("community"), (80 + 4000 * F.sqrt("rank")).alias("size"))
     width = F.least(F.greatest(F.pow("weight", F.lit(0.35)), F.lit(0.4)), F.lit(4.0))
     return nodes, induced(edges, chosen.select("node")).select("src", "dst", "weight", width.alias("width"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges of the weak component with most nodes, the least root among equals."""
+    found = weak_components(edges)
+    first = found.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "root").limit(1).select("root")
+    return induced(edges, found.join(F.broadcast(first), "root", "left_semi").select("node"))  # one row
+
+
+def community_table(members: DataFrame, scores: DataFrame, top: int = 5) -> DataFrame:
+    """members(node, community), scores(node, score) to community, size and top_members, an array of the nodes with the largest
+    scores, the least node first among equals. A node without a score counts as 0."""
+    size = members.groupBy("community").agg(F.count("*").alias("size"))
+    rated = members.join(scores.select("node", "score"), "node", "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    first = rated.withColumn("_n", F.row_number().over(Window.partitionBy("community").orderBy(F.col("score").desc(), "node"))).filter(F.col("_n") <= top)
+    named = first.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "node"))), lambda x: x["node"]).alias("top_members"))
+    return size.join(named, "community")

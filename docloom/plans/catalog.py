@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import dates, fixed, profile, spans, textmap
 from docloom.functions.profile import micro
-from docloom.operators import answering, citations, edges, evaluation, gates, graph, matching, payloads, range_joins, reports, resolution, retrieval, tagger, traversal
+from docloom.operators import citations, edges, evaluation, gates, graph, matching, payloads, range_joins, reports, resolution, retrieval, tagger, traversal
 from docloom.session import spread, table
 from docloom.sources import loadfile
 from docloom.sources.workspace import new_folder
@@ -1383,6 +1383,26 @@ def trade_components(spark, sf):
     return graph.weak_components(_trade(spark, sf).filter("weight >= 4"))
 
 
+_PARTS = f"""
+WITH RECURSIVE {_BUSY}, u AS (SELECT src AS a, dst AS b FROM thin UNION SELECT dst, src FROM thin), reach AS (SELECT DISTINCT a AS node, a AS seen FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.seen = u.a),
+l AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1), z AS (SELECT root, count(*) AS size FROM l GROUP BY 1),
+d AS (SELECT node, sum(weight) AS strength FROM (SELECT src AS node, weight FROM thin UNION ALL SELECT dst, weight FROM thin) GROUP BY 1), o AS (SELECT root, l.node, row_number() OVER (PARTITION BY root ORDER BY strength DESC, l.node) AS n FROM l JOIN d ON l.node = d.node)
+"""
+
+
+@query(_PARTS + "SELECT src, dst, weight FROM thin JOIN l ON src = node WHERE root = (SELECT root FROM z ORDER BY size DESC, root LIMIT 1)")
+def largest_trade_component(spark, sf):
+    return graph.largest_component(_trade(spark, sf).filter("weight >= 4")).select("src", "dst", "weight")
+
+
+@query(_PARTS + "SELECT z.root AS community, size, string_agg(node, ', ' ORDER BY n) AS top_members FROM z JOIN o ON z.root = o.root WHERE n <= 3 GROUP BY 1, 2")
+def trade_groups(spark, sf):
+    """Size and strongest members of each component, as of any other grouping of nodes."""
+    busy = _trade(spark, sf).filter("weight >= 4")
+    members = graph.weak_components(busy).select("node", F.col("root").alias("community"))
+    return graph.community_table(members, graph.degrees(busy).select("node", F.col("strength").alias("score")), 3).select("community", "size", F.array_join("top_members", ", ").alias("top_members"))
+
+
 @query(f"WITH {_TRADE} SELECT src, dst, weight FROM flows WHERE src IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 5000) AND dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def induced_trade(spark, sf):
     """The edges between rich customers and rich suppliers."""
