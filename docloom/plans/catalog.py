@@ -211,6 +211,29 @@ def load_file_rows(spark, sf):
     return rows.select(F.col("`Bates Begin`").alias("doc_id"), F.col("`Original Filename`").alias("source"), F.md5("Body").alias("digest"))
 
 
+# What rewriting keeps: all but white space, hyphens and stamps, with one mark for each run of redactions.
+_KEPT = rf"md5(regexp_replace(regexp_replace(regexp_replace(text, '{fixed.STAMP}', '', 'gi'), '(?i)(?:{fixed.REDACTION})(?:[^\p{{L}}\p{{N}}]{{0,{fixed.REDACTION_JOIN}}}(?:{fixed.REDACTION}))*', '[REDACTED]', 'g'), '[\s\-]+', '', 'g'))"
+
+
+@query(f"SELECT doc_id, {_KEPT} AS digest FROM documents")
+def normalised_letters(spark, sf):
+    """Rewriting changes white space, hyphens, stamps and redactions and nothing else."""
+    rows = textmap.normalised(spread(table(spark, sf, "documents")))
+    return rows.select("doc_id", F.md5(F.regexp_replace("doc.text", r"[\s\-]+", "")).alias("digest"))
+
+
+@query(rf"SELECT doc_id, {_KEPT} AS digest, TRUE AS rising, TRUE AS short FROM documents WHERE regexp_matches(regexp_replace(text, '{fixed.STAMP}', '', 'gi'), '\S')")
+def chunk_bodies(spark, sf):
+    """The chunks of a document, each without what the one before has, give its whole text; they rise and are of bounded length."""
+    rows = textmap.chunks(spread(table(spark, sf, "documents")))
+    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    new = F.expr("substring(text, greatest(coalesce(_end, 0) - char_start, 0) + 1)")
+    rows = rows.withColumn("_end", F.lag("char_end").over(order)).withColumn("_start", F.lag("char_start").over(order))
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", new.alias("t")))).alias("p"), F.bool_and(F.coalesce(F.col("char_start") > F.col("_start"), F.lit(True))).alias("rising"), F.max("n_words").alias("n"))
+    body = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["t"]), ""), r"[\s\-]+", "")
+    return parts.select("doc_id", F.md5(body).alias("digest"), "rising", (F.col("n") <= fixed.TARGET_WORDS + fixed.OVERLAP_WORDS).alias("short"))
+
+
 @query()
 def document_chunks(spark, sf):
     return textmap.chunks(table(spark, sf, "documents")).select("chunk_id", "doc_id", "char_start", "char_end", "n_words", "has_header")
