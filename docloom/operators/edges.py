@@ -32,14 +32,17 @@ def days_between(first: Column, last: Column) -> Column:
     return F.floor(seconds / 86400).cast("long")
 
 
-def least_values(rows: DataFrame, keys: list[str], value: Column, cap: int, out: str) -> DataFrame:
-    """keys, out: the `cap` least distinct values that are not blank, as evidence text; no group is gathered beyond the cap."""
+def least_values(rows: DataFrame, keys: list[str], value: Column, cap: int, out: str, count: str | None = None) -> DataFrame:
+    """keys, out: the `cap` least distinct values that are not blank, as evidence text; no group is gathered beyond the cap.
+
+    `count` names a column for the number of these values.
+    """
     one = rows.select(*keys, value.cast("string").alias("_v")).filter(F.col("_v").isNotNull() & (strip_all(F.col("_v")) != "")).distinct()
     counted = one.groupBy(*keys).agg(F.count("*").alias("_k"))
     first = one.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).filter(F.col("_n") <= cap)
     kept = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_v")), "; ").alias("_t"))
     more = F.when(F.col("_k") > cap, F.concat(F.lit("; +"), (F.col("_k") - cap).cast("string"), F.lit(" more"))).otherwise("")
-    return kept.join(counted, keys).select(*keys, F.concat("_t", more).alias(out))
+    return kept.join(counted, keys).select(*keys, F.concat("_t", more).alias(out), *([F.col("_k").alias(count)] if count else []))
 
 
 def top_values(counts: DataFrame, keys: list[str], value: str, n: str, cap: int, out: str) -> DataFrame:
@@ -82,7 +85,7 @@ def co_recipients(rows: DataFrame) -> DataFrame:
     """rows(message_key, dst, doc_id, block_index, is_cc, sent_at, subject) to undirected edges of joint recipients.
 
     Of a recipient's copies of a message the one with the least (doc_id, block_index) tells whether it was a copy, when it
-    was sent and its subject. Documents are those of all copies of the message, whoever is named in them. Documents,
+    was sent and its subject. Documents are those of all copies of the message, whoever is named in them; a blank id is none. Documents,
     dates and subjects are reduced by message first and meet its pairs as rows.
     """
     key = ["message_key"]
@@ -96,11 +99,11 @@ def co_recipients(rows: DataFrame) -> DataFrame:
         F.min("first_sent").alias("first_sent"),
         F.max("last_sent").alias("last_sent"),
     )
-    placed = pairs.select(*key, *keys).join(rows.select("message_key", "doc_id").filter("doc_id IS NOT NULL").distinct(), key).select(*keys, "doc_id").distinct()
-    docs = placed.groupBy(keys).agg(F.count("*").alias("n_docs"))
+    placed = pairs.select(*key, *keys).join(rows.select("message_key", "doc_id").distinct(), key)
+    docs = least_values(placed, keys, F.col("doc_id"), fixed.EVIDENCE_CAP, "doc_ids", "n_docs")
     spoken = one.filter("subject IS NOT NULL").groupBy("message_key", "subject").agg(F.count("*").alias("k"))
     subjects = top_values(pairs.select(*key, *keys).join(spoken, key).groupBy(*keys, "subject").agg(F.sum("k").alias("k")), keys, "subject", "k", fixed.SUBJECT_CAP, "subjects")
-    out = counted.join(docs, keys, "left").join(least_values(placed, keys, F.col("doc_id"), fixed.EVIDENCE_CAP, "doc_ids"), keys, "left").join(subjects, keys, "left")
+    out = counted.join(docs, keys, "left").join(subjects, keys, "left")
     return out.select(
         *keys, F.lit("co_recipient_of").alias("relation"), F.lit(1).alias("tier"), "weight", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_cc", "first_sent", "last_sent",
         days_between(F.col("first_sent"), F.col("last_sent")).alias("span_days"), F.coalesce("doc_ids", F.lit("")).alias("doc_ids"), F.coalesce("subjects", F.lit("")).alias("subjects"),
