@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def by_relation(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("tier", "relation").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+def by_relation(edges: DataFrame, known: list[tuple[int, str]] | None = None) -> DataFrame:
+    """tier, relation, n_edges, weight; a `known` (tier, relation) without edges has a row too, with no edges and a null weight."""
+    counts = edges.groupBy("tier", "relation").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+    if not known:
+        return counts
+    names = edges.sparkSession.createDataFrame(known, "tier int, relation string")
+    return counts.join(names, ["tier", "relation"], "full").select("tier", "relation", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "weight")
 
 
 def per_year(rows: DataFrame, column: str = "sent_at", key: str = "message_key") -> DataFrame:
