@@ -26,10 +26,13 @@ def drop_routing(rows: DataFrame) -> DataFrame:
     return rows.filter(is_mail())
 
 
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
 def days_between(first: Column, last: Column) -> Column:
     """Whole elapsed days."""
-    seconds = F.unix_timestamp(last.cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))
-    return F.floor(seconds / 86400).cast("long")
+    return F.floor((_micros(last) - _micros(first)) / 86_400_000_000).cast("long")
 
 
 def least_values(rows: DataFrame, keys: list[str], value: Column, cap: int, out: str, count: str | None = None) -> DataFrame:
@@ -134,10 +137,10 @@ def threads(rows: DataFrame, window_days: float = fixed.THREAD_WINDOW_DAYS, min_
     _, member, dated = _spoken(rows)
     seats = member.select("subject", "message_key", "who").distinct().join(dated, ["subject", "message_key"])
     order = Window.partitionBy("subject", "who").orderBy(F.col("sent").asc_nulls_first(), "message_key")
-    gap = F.unix_timestamp(F.col("sent").cast("timestamp")) - F.unix_timestamp(F.lag("sent").over(order).cast("timestamp"))
+    gap = _micros(F.col("sent")) - _micros(F.lag("sent").over(order))
     undated = F.max(F.col("sent").isNull()).over(Window.partitionBy("subject", "who"))
     linked = seats.select("subject", "message_key", F.lag("message_key").over(order).alias("before"), gap.alias("gap"), undated.alias("undated"))
-    linked = linked.filter(F.col("before").isNotNull() & (F.col("undated") | (F.col("gap") <= window_days * 86400)))
+    linked = linked.filter(F.col("before").isNotNull() & (F.col("undated") | (F.col("gap") <= int(window_days * 86_400_000_000))))
     return threads_by_links(rows, linked.select("subject", "message_key", "before"), min_messages)
 
 

@@ -75,6 +75,13 @@ def test_thread_window_and_generic_subjects(spark):
     assert {(r.src, r.weight) for r in links.collect()} == {("a", 2), ("b", 2)}
 
 
+def test_fractions_of_a_second_count_for_the_window(spark):
+    day = datetime(2012, 1, 1)
+    late = lambda micros: [("a", "b", "m1", "d", 0, False, day, "long topic"), ("a", "b", "m2", "d", 0, False, day + timedelta(days=60, microseconds=micros), "long topic")]
+    assert [r.n_messages for r in edges.threads(letters(spark, late(0)), window_days=60)[0].collect()] == [2]
+    assert edges.threads(letters(spark, late(1)), window_days=60)[0].collect() == []
+
+
 def test_an_undated_message_joins_its_participants(spark):
     day = datetime(2012, 1, 1)
     rows = [("a", "b", "m1", "d", 0, False, day, "long topic"), ("a", "b", "m2", "d", 0, False, None, "long topic"), ("a", "b", "m3", "d", 0, False, day + timedelta(days=400), "long topic")]
