@@ -16,6 +16,7 @@ from docloom.functions.profile import strip_all
 from docloom.operators.components import connected_components
 from docloom.operators.numbering import numbered
 from docloom.operators.similarity_join import indel_ratio, similar_pairs
+from docloom.sources.workspace import cut_lineage
 
 _TITLE = re.compile(fixed.TITLE, re.I)
 
@@ -190,20 +191,26 @@ def attach_addresses(pairs: DataFrame, min_seen: int = 2) -> DataFrame:
     return seen.groupBy("entity_id").agg(F.array_sort(F.collect_set("address")).alias("addresses"))
 
 
+def known_people(actors: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(actors with `exact` and `reordered`: the entity of the same form, and of the same words in another order; the forms' entities)."""
+    wanted = actors.select("norm").filter("norm IS NOT NULL").distinct()
+    names = aliases.filter("norm IS NOT NULL").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
+    exact = wanted.join(names, "norm", "left").withColumnRenamed("entity_id", "exact")
+    bags = names.groupBy(name_key(F.col("norm")).alias("bag")).agg(F.min("entity_id").alias("reordered"))
+    return exact.withColumn("bag", F.when(F.col("exact").isNull(), name_key(F.col("norm")))).join(bags, "bag", "left").drop("bag"), names
+
+
 def match_people(actors: DataFrame, aliases: DataFrame, threshold: float = fixed.PERSON_FUZZ) -> DataFrame:
     """actors(norm), aliases(norm, entity_id) of persons to (norm, entity_id, how), a row for each different actor.
 
     In order: the same form, the same words in another order, the most similar form with the same last word (then the
     least form), else unmatched with a null id. Of several entities of a form the least counts.
     """
-    wanted = actors.select("norm").filter("norm IS NOT NULL").distinct()
-    names = aliases.filter("norm IS NOT NULL").groupBy("norm").agg(F.min("entity_id").alias("entity_id"))
-    exact = wanted.join(names, "norm", "left").withColumnRenamed("entity_id", "exact")
-    bags = names.groupBy(name_key(F.col("norm")).alias("bag")).agg(F.min("entity_id").alias("reordered"))
-    step = exact.withColumn("bag", F.when(F.col("exact").isNull(), name_key(F.col("norm")))).join(bags, "bag", "left").drop("bag")
+    step, names = known_people(actors, aliases)
+    step, names = cut_lineage(step), cut_lineage(names)
     last = F.substring_index("norm", " ", -1).alias("last")
     left = step.filter("exact IS NULL AND reordered IS NULL").select(F.col("norm").alias("s"), last)
-    pairs = similar_pairs(left, names.select(F.col("norm").alias("s"), last), threshold, ["last"])
+    pairs = similar_pairs(left, names.select(F.col("norm").alias("s"), last), threshold, ["last"], best=True)
     best = pairs.groupBy(F.col("a").alias("norm")).agg(F.min_by("b", F.struct((-F.col("ratio")).alias("r"), "b")).alias("b"))
     fuzzy = best.join(names.select(F.col("norm").alias("b"), F.col("entity_id").alias("fuzzy")), "b").select("norm", "fuzzy")
     step = step.join(fuzzy, "norm", "left")
@@ -219,7 +226,7 @@ def link_addresses(actors: DataFrame, aliases: DataFrame, min_seen: int = 2) ->
     """
     mails = actors.filter(F.col("address").contains("@") & F.col("norm").isNotNull())
     firm = mails.groupBy("norm", "address").agg(F.count("*").alias("n")).filter(F.col("n") >= min_seen)
-    known = match_people(firm, aliases).filter(F.col("how").isin("exact", "reordered"))
+    known = known_people(firm, aliases)[0].select("norm", F.coalesce("exact", "reordered").alias("entity_id")).filter("entity_id IS NOT NULL")
     found = firm.join(known, "norm").join(canonical_addresses(mails.select("address")), "address")
     return found.groupBy("entity_id").agg(F.array_sort(F.collect_set("best")).alias("addresses"))
 

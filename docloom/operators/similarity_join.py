@@ -9,19 +9,29 @@ grams as rare as the last one); strings that share none are never met. Lengths b
 
 What is met is checked by length, place, and Spark's Levenshtein distance (never above the indel distance), and only then
 measured in Python.
+
+Blocks in which all grams are common (names of few syllables) would meet more often than they have pairs. Their strings are dealt
+to cells of bounded size instead, and a cell compares its pairs by the counts of their characters, whose differences are never
+above the indel distance; what is left is measured by bit-parallel rows, many pairs at a time.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docloom.sources.workspace import cut_lineage
+
 #: Stands before a string's first character, so that every string has as many grams as characters.
 PAD = "\x01"
 _SLACK = 1e-9
+#: Strings of one side of a cell, pairs that are held at once in it, and pairs of a cell that cost as much as one meeting by a gram.
+CELL, TILE, PAIRS_A_MEETING = 2048, 1 << 20, 16
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -83,15 +93,111 @@ def _prefixes(grams: DataFrame, counts: DataFrame, block: list[str], threshold:
     return held.select(*block, "s", "n", F.explode(few).alias("x")).select(*block, "s", "n", "x.g", "x.p")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 88, block: list[str] | None = None) -> DataFrame:
+def _bags(texts: list[str]) -> np.ndarray:
+    """(2, n): counts of characters in 32 classes, up to four each, as bits; differing bits never outnumber the edits."""
+    out = np.zeros((2, len(texts)), np.uint64)
+    for i, s in enumerate(texts):
+        seen: dict[int, int] = {}
+        for c in s:
+            k = ord(c) & 31
+            seen[k] = seen.get(k, 0) + 1
+        for k, n in seen.items():
+            out[k >> 4, i] |= np.uint64(((1 << min(n, 4)) - 1) << 4 * (k & 15))
+    return out
+
+
+def _ratios(a: list[str], b: list[str], ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """indel_ratio of a[ia] and b[ib]; texts `a` of up to 64 characters by rows of 64 bits."""
+    out = np.empty(len(ia))
+    la, lb = np.array([len(x) for x in a])[ia], np.array([len(x) for x in b])[ib]
+    for i in np.flatnonzero((la > 64) | (lb > 256)):
+        out[i] = indel_ratio(a[ia[i]], b[ib[i]])
+    short = np.flatnonzero((la <= 64) & (lb <= 256))
+    letters = {c: i for i, c in enumerate(sorted({c for x in a if len(x) <= 64 for c in x}))}
+    places = np.zeros((len(a), len(letters) + 1), np.uint64)  # the last letter is one that `a` has not
+    for i, x in enumerate(a):
+        for j, c in enumerate(x if len(x) <= 64 else ""):
+            places[i, letters[c]] |= np.uint64(1 << j)
+    coded = np.full((len(b), max([len(x) for x in b if len(x) <= 256], default=0)), len(letters), np.int32)
+    for i, x in enumerate(b):
+        if len(x) <= 256:
+            coded[i, : len(x)] = [letters.get(c, len(letters)) for c in x]
+    for at in range(0, len(short), TILE // 8):
+        part = short[at : at + TILE // 8]
+        x, y = ia[part], ib[part]
+        row = np.full(len(part), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for j in range(int(lb[part].max(initial=0))):
+            hit = row & places[x, coded[y, j]]
+            row = (row + hit) | (row - hit)
+        total = la[part] + lb[part]
+        out[part] = np.where(total > 0, 200.0 * (64 - np.bitwise_count(row).astype(np.int64)) / np.maximum(total, 1), 100.0)
+    return out
+
+
+def cell_pairs(a: list[str], b: list[str], threshold: float, alone: bool, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices into the sorted lists a and b, and the ratios, of the different strings that reach the threshold; `alone`: a < b.
+
+    `best` leaves one pair for each of a: the largest ratio, the least of b among equals.
+    """
+    bags_a, bags_b = _bags(a), _bags(b)
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    most = np.floor(np.arange(la.max(initial=0) + lb.max(initial=0) + 1) * ((100.0 - threshold) / 100.0) + _SLACK).astype(np.int64)
+    place = {x: i for i, x in enumerate(sorted({*a, *b}))}
+    ra, rb = np.array([place[x] for x in a], np.int64), np.array([place[x] for x in b], np.int64)
+    height = max(1, TILE // max(1, len(b)))
+    parts = []
+    for at in range(0, len(a), height):
+        rows = slice(at, at + height)
+        apart = np.bitwise_count(bags_a[0, rows, None] ^ bags_b[0]).astype(np.int64) + np.bitwise_count(bags_a[1, rows, None] ^ bags_b[1])
+        limit = most[la[rows, None] + lb]
+        ia, ib = np.nonzero((apart <= limit) & (np.abs(la[rows, None] - lb) <= limit))
+        ia = ia + at
+        wanted = ra[ia] < rb[ib] if alone else ra[ia] != rb[ib]
+        ia, ib = ia[wanted], ib[wanted]
+        ratios = _ratios(a, b, ia, ib)
+        near = ratios >= threshold
+        ia, ib, ratios = ia[near], ib[near], ratios[near]
+        if best:
+            order = np.lexsort((ib, -ratios, ia))
+            first = order[np.unique(ia[order], return_index=True)[1]]
+            ia, ib, ratios = ia[first], ib[first], ratios[first]
+        parts.append((ia, ib, ratios))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.array([], int), np.array([], int), np.array([]))
+
+
+def _in_cells(left: DataFrame, right: DataFrame, sizes: DataFrame, block: list[str], threshold: float, alone: bool, best: bool) -> DataFrame:
+    """block, a, b, ratio of blocks sizes(block.., na, nb): each string of one side goes to the cells of all strings of the other."""
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    deal = lambda rows, mine, other, i, j, side: (
+        rows.join(sizes, block).withColumn(i, F.pmod(F.xxhash64("s"), cells(mine)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), cells(other) - 1))).select(*block, "_i", "_j", F.lit(side).alias("_side"), "s")
+    )
+    rows = deal(left, "na", "nb", "_i", "_j", 0).unionByName(deal(right, "nb", "na", "_j", "_i", 1))
+    kept = [left.schema[c] for c in block]
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, s = table["_side"].to_numpy(), table["s"].to_pylist()
+        a, b = (sorted(x for x, k in zip(s, side) if k == which) for which in (0, 1))
+        ia, ib, ratios = cell_pairs(a, b, threshold, alone, best)
+        keys = [pa.repeat(table[c][0], len(ia)) for c in block]
+        return pa.table([*keys, pa.array([a[i] for i in ia], pa.string()), pa.array([b[i] for i in ib], pa.string()), pa.array(ratios, pa.float64())], names=[*block, "a", "b", "ratio"])
+
+    schema = T.StructType([*kept, T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("ratio", T.DoubleType())])
+    return rows.groupBy(*block, "_i", "_j").applyInArrow(compare, schema)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 88, block: list[str] | None = None, best: bool = False) -> DataFrame:
     """left(s, block..), right(s, block..) to the pairs (block.., a, b, ratio) of one block whose ratio reaches the threshold.
 
     Each pair of different texts comes once a block, equal strings of both sides too, with ratio 100. Without `right`
     left is joined with itself, then a < b and equal strings are no pair. Null strings and null blocks have no partner; two empty strings
-    are equal.
+    are equal. With `best` pairs may be left out that are not a's most similar one, the least b among equals.
     """
     named = block or []
     block = [f"_block{i}" for i in range(len(named))]  # the caller's names cannot clash with those used here
+    if not named:
+        left, named, block = left.withColumn("_all", F.lit(0)), ["_all"], ["_block0"]
+        right = None if right is None else right.withColumn("_all", F.lit(0))
+        return similar_pairs(left, right, threshold, named, best).drop("_all")
     q = gram_size(threshold)
     alone = right is None
     texts = lambda rows: rows.select(*[F.col(c).alias(k) for c, k in zip(named, block)], "s").filter("s IS NOT NULL").distinct()
@@ -99,12 +205,20 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     other = mine if alone else texts(right)
     a, b = _grams(mine, block, q), _grams(other, block, q)
     counts = (a if alone else a.unionByName(b)).groupBy(*block, "g").agg(F.count("*").alias("k"))
-    pa = _prefixes(a, counts, block, threshold, q).select(*block, "g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    pb = (_prefixes(b, counts, block, threshold, q)).select(*block, "g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    ga = _prefixes(a, counts, block, threshold, q).select(*block, "g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    gb = _prefixes(b, counts, block, threshold, q).select(*block, "g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    held = lambda rows, k: rows.groupBy(*block, "g").agg(F.count("*").cast("double").alias(k))
+    size = lambda rows, k: rows.groupBy(*block).agg(F.count("*").alias(k))
+    meetings = held(ga, "x").join(held(gb, "y"), [*block, "g"]).groupBy(*block).agg(F.sum(F.col("x") * F.col("y")).alias("met"))
+    sizes = size(mine, "na").join(size(other, "nb"), block).join(meetings, block)
+    crowded = cut_lineage(sizes.filter(F.col("met") * PAIRS_A_MEETING > F.col("na").cast("double") * F.col("nb") + CELL * CELL).select(*block, "na", "nb"))
+    cells = _in_cells(mine, other, crowded, block, threshold, alone, best)
+    ga, gb = (x.join(crowded, block, "left_anti") for x in (ga, gb))
     edits = most_edits(F.col("na"), F.col("nb"), threshold)
     near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)
-    met = pa.join(pb, [*block, "g"]).filter(near & ((F.col("a") < F.col("b")) if alone else (F.col("a") != F.col("b")))).select(*block, "a", "b").distinct()
+    met = ga.join(gb, [*block, "g"]).filter(near & ((F.col("a") < F.col("b")) if alone else (F.col("a") != F.col("b")))).select(*block, "a", "b").distinct()
     found = met.filter(may_reach(F.col("a"), F.col("b"), threshold)).withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    found = found.unionByName(cells)
     named_again = dict(zip(block, named))
     if alone:
         return found.withColumnsRenamed(named_again)

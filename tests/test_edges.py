@@ -164,6 +164,38 @@ def test_similar_pairs_equal_all_pairs(spark, threshold):
     assert {(x.a, x.b) for x in alone} == {(a, b) for a in texts for b in texts if a < b and similarity_join.indel_ratio(a, b) >= threshold}
 
 
+def test_crowded_blocks_in_cells_equal_all_pairs(spark, monkeypatch):
+    """Names of few syllables, whose grams all are common, and long texts; before, they met by their grams alone."""
+    monkeypatch.setattr(similarity_join, "CELL", 16)
+    r = random.Random(5)
+    name = lambda: "".join(r.choice(["ba", "de", "lo"]) for _ in range(r.randint(3, 7))) + " smith"
+    left, right = ([("long " * 20 + name() if r.random() < 0.1 else name(), r.randrange(2)) for _ in range(150)] for _ in range(2))
+    frames = [spark.createDataFrame(x, "s string, k int").repartition(3) for x in (left, right)]
+    ratio = similarity_join.indel_ratio
+    want = {(k, a, b, ratio(a, b)) for a, k in left for b, j in right if k == j and ratio(a, b) >= 88}
+    for best in (False, True):
+        plan = similarity_join.similar_pairs(*frames, threshold=88, block=["k"], best=best)
+        got = {tuple(x) for x in plan.select("k", "a", "b", "ratio").collect()}
+        assert got <= want and (best or got == want) and plan.filter("a <> b").count() > 100
+        first = lambda rows: {(k, a): min((-x, b) for i, c, b, x in rows if (i, c) == (k, a)) for k, a, _, _ in rows}
+        assert first(got) == first(want)
+    alone = similarity_join.similar_pairs(frames[0], threshold=88, block=["k"])
+    assert {tuple(x) for x in alone.select("k", "a", "b").collect()} == {(k, a, b) for a, k in left for b, j in left if k == j and a < b and ratio(a, b) >= 88}
+    texts = sorted({x for x, _ in left}), sorted({x for x, _ in right})
+    ia, ib, ratios = similarity_join.cell_pairs(*texts, 88, False, False)
+    assert {(texts[0][i], texts[1][j], x) for i, j, x in zip(ia, ib, ratios)} == {(a, b, ratio(a, b)) for a in texts[0] for b in texts[1] if a != b and ratio(a, b) >= 88}
+
+
+def test_linked_addresses_compare_no_similar_names(spark, monkeypatch):
+    """Exact and reordered names alone give addresses, so names are not compared for similarity."""
+    seen = []
+    whole = resolution.similar_pairs
+    monkeypatch.setattr(resolution, "similar_pairs", lambda rows, *more, **how: seen.append(more) or whole(rows, *more, **how))
+    rows = spark.createDataFrame([("maria lopez", "ml@x.org")] * 2 + [("lopez maria", "ml2@x.org")] * 2 + [("mario lopez", "no@x.org")] * 2, "norm string, address string")
+    (r,) = resolution.link_addresses(rows, spark.createDataFrame([("maria lopez", "P1")], "norm string, entity_id string")).collect()
+    assert (r.entity_id, r.addresses) == ("P1", ["ml2@x.org", "ml@x.org"]) and all(not more for more in seen)
+
+
 def test_a_threshold_without_grams_is_refused():
     with pytest.raises(ValueError):
         similarity_join.gram_size(40)
