@@ -25,3 +25,21 @@ def test_co_recipients_meet_once(spark):
     assert not re.search(r"Exchange hashpartitioning\(src#\d+L?, dst#\d+L?, [a-z_]+#", _plan(found))  # documents and subjects of a pair shuffle no more
     got = {(r.src, r.dst): (r.weight, r.n_cc, r.n_docs, r.doc_ids, r.subjects, r.span_days) for r in found.collect()}
     assert got == {("a", "b"): (2, 1, 3, "d1; d2; d3", "s; t", 1), ("a", "c"): (1, 0, 2, "d1; d2", "t; s", 0), ("b", "c"): (1, 0, 2, "d1; d2", "t; s", 0)}
+
+
+def test_communication_meets_once(spark):
+    rows = spark.createDataFrame(
+        [("a", "b", 1, " ", True, "s"), ("a", "b", 1, "d1", False, None), ("a", "b", 2, "d1", False, " "), ("a", "b", 3, None, True, "t"), ("b", "a", 4, "", False, "u"), ("a", "a", 5, "d", False, "u")],
+        "src string, dst string, message_key int, doc_id string, is_cc boolean, subject string",
+    ).selectExpr("*", "timestamp'2001-01-01 00:00:00' AS sent_at")
+    found = edges.communicated_with(rows, 5)
+    assert set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", _plan(found)))) == {"src, dst, 5"}
+    got = {(r.src, r.dst): (r.weight, r.n_rows, r.n_docs, r.n_cc, r.doc_ids, r.subjects) for r in found.collect()}
+    assert got == {("a", "b"): (3, 4, 2, 2, "d1", "s; t"), ("b", "a"): (1, 1, 1, 0, "", "u")}
+
+
+def test_message_counts_deal_pairs(spark):
+    rows = spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("a", "b", 2), ("b", "a", None)], "src string, dst string, message_key int")
+    found = edges.message_counts(rows, 7)
+    assert "src, dst, 7" in re.sub(r"#\d+L?", "", _plan(found))
+    assert [tuple(r) for r in found.collect()] == [("a", "b", 2)]
