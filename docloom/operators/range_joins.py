@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key and bin from which on a group is dealt to several tasks.
 GROUP_ROWS = 20_000
+#: Width of a bin in mean spans: wider bins store fewer copies of a span and compare more pairs.
+WIDTH = 4
 
 
 def _named(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -26,24 +28,21 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s
     """(left, right): structs of the rows with equal keys whose half-open spans overlap, left.start < right.end and
     right.start < left.end.
 
-    A span stands in each bin it meets, and a pair counts in its first common bin. Without a width, bins are as wide as the mean
-    span, so that all spans together stand in at most three times as many bins as there are spans. Spans with a null bound, an end
+    A span stands in each bin it meets, and a pair counts in its first common bin. Without a width, bins are WIDTH times as wide as
+    the mean span, so that a span stands in 1 + 1 / WIDTH bins in the mean where starts are spread evenly. Rows go with their keys, bounds and bin alone beside their own columns. Spans with a null bound, an end
     before their start, or a null key have no partner; empty spans overlap those that hold their place inside.
     """
-    sides = []
-    for rows, name in ((left, "left"), (right, "right")):
-        named = _named(rows, keys, name)
-        sides.append(named.withColumns({"_a": F.col(f"{name}.{start}").cast("long"), "_b": F.col(f"{name}.{end}").cast("long")}).filter("_a <= _b"))
+    bound = lambda side, c: F.col(f"{side}.{c}").cast("long")
+    sides = [_named(rows, keys, name).filter(bound(name, start) <= bound(name, end)) for rows, name in ((left, "left"), (right, "right"))]
     if width is None:
-        sizes = [s.agg(F.count("*").alias("n"), F.sum(F.col("_b") - F.col("_a")).alias("s")).first() for s in sides]
-        width = max(1, -(-sum(x.s or 0 for x in sizes) // max(1, sum(x.n for x in sizes))))
+        sizes = [s.agg(F.count("*").alias("n"), F.sum(bound(name, end) - bound(name, start)).alias("s")).first() for s, name in zip(sides, ("left", "right"))]
+        width = max(1, -(-WIDTH * sum(x.s or 0 for x in sizes) // max(1, sum(x.n for x in sizes))))
     wide = F.lit(width)
-    last = F.greatest(_bin(F.col("_b") - 1, wide), _bin(F.col("_a"), wide))
-    binned = [s.withColumn("_first", _bin(F.col("_a"), wide)).withColumn("_bin", F.explode(F.sequence(_bin(F.col("_a"), wide), last))) for s in sides]
+    first = lambda name: _bin(bound(name, start), wide)
+    last = lambda name: F.greatest(_bin(bound(name, end) - 1, wide), first(name))
+    a, b = (s.withColumn("_bin", F.explode(F.sequence(first(name), last(name)))) for s, name in zip(sides, ("left", "right")))
     on = [f"_key{i}" for i in range(len(keys))]
-    a = binned[0].withColumnsRenamed({"_a": "_la", "_b": "_lb", "_first": "_lf"})
-    b = binned[1].withColumnsRenamed({"_a": "_ra", "_b": "_rb", "_first": "_rf"})
-    met = a.join(b, [*on, "_bin"]).filter("_la < _rb AND _ra < _lb AND _bin = greatest(_lf, _rf)")
+    met = a.join(b, [*on, "_bin"]).filter((bound("left", start) < bound("right", end)) & (bound("right", start) < bound("left", end)) & (F.col("_bin") == F.greatest(first("left"), first("right"))))
     return met.select("left", "right")
 
 
