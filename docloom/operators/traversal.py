@@ -44,6 +44,19 @@ def connections(adjacent: DataFrame, pairs: DataFrame) -> DataFrame:
     return direct.unionByName(best)
 
 
+def connections_in(store: DataFrame, pairs: DataFrame) -> DataFrame:
+    """connections for a store(a, b, weight) with a < b: its rows are looked up as they lie, and only the way from a node to its
+    neighbours needs them in both directions."""
+    edge = store.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "weight")
+    between = lambda x, y: (F.least(x, y) == F.col("_a")) & (F.greatest(x, y) == F.col("_b"))
+    direct = pairs.join(edge, between("a", "b")).select("a", "b", F.lit(None).cast(store.schema["a"].dataType).alias("via"), F.col("weight").cast("double").alias("strength"), F.lit(1).alias("hops"))
+    rest = pairs.join(direct, ["a", "b"], "left_anti")
+    left = rest.join(adjacency(store).select(F.col("node").alias("a"), F.col("other").alias("via"), F.col("weight").alias("wa")), "a")
+    two = left.join(edge, between("b", "via")).withColumn("strength", (F.col("wa") * F.col("weight")).cast("double"))
+    best = two.groupBy("a", "b").agg(F.min(F.struct((-F.col("strength")).alias("s"), "via")).alias("t")).select("a", "b", "t.via", (-F.col("t.s")).alias("strength"), F.lit(2).alias("hops"))
+    return direct.unionByName(best)
+
+
 def explore(adjacent: DataFrame, seed, limit: int = fixed.EXPLORE_LIMIT, second: int = fixed.SECOND_HOP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(direct neighbours, two-hop nodes by product): per neighbour the best few, without the seed and its neighbours."""
     near = direct_edges(adjacent, seed, limit)

@@ -43,3 +43,23 @@ def test_message_counts_deal_pairs(spark):
     found = edges.message_counts(rows, 7)
     assert "src, dst, 7" in re.sub(r"#\d+L?", "", _plan(found))
     assert [tuple(r) for r in found.collect()] == [("a", "b", 2)]
+
+
+def test_wide_bins_store_few_copies(spark):
+    from docloom.operators import range_joins
+
+    spans = spark.range(1000).selectExpr("id", "1 AS doc", "id * 7 AS start", "id * 7 + 20 AS end")
+    met = range_joins.overlaps(spans, spans, ["doc"])
+    assert re.search(r"/ 80\D", _plan(met))  # bins of four mean spans, not of one
+    assert met.count() == sum(1 for i in range(1000) for j in range(max(0, i - 2), min(1000, i + 3)))
+
+
+def test_connections_of_equals_texts_of_the_whole_store(spark):
+    from docloom.operators import citations
+
+    rows = spark.createDataFrame([("a", "b", 1, "d1", 1, "s"), ("b", "a", 2, "d2", 1, "s"), ("b", "c", 3, "d1", 2, None), ("c", "x", 4, "d3", 1, "t"), ("a", "x", 5, "d3", 1, "t"), ("x", "a", 6, None, None, "t")], "src string, dst string, message_key int, doc_id string, page int, subject string").selectExpr("*", "timestamp'2001-01-01 00:00:00' AS sent_at")
+    pairs = spark.createDataFrame([("b", "a"), ("c", "a"), ("a", "c"), ("b", "x"), ("q", "a"), ("a", None)], "a string, b string")
+    whole = citations.connection_texts(citations.evidence_store(rows), pairs).collect()
+    part = citations.connections_of(rows, pairs, 5)
+    assert sorted(map(tuple, part.collect()), key=str) == sorted(map(tuple, whole), key=str) and len(whole) == 5
+    assert {(r.a, r.b, r.via, r.hops) for r in whole} == {("b", "a", None, 1), ("c", "a", "b", 2), ("a", "c", "b", 2), ("b", "x", "a", 2), ("q", "a", None, 0)}
