@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udf, udtf
 
 from docloom.functions import fixed
 from docloom.operators import retrieval
@@ -62,9 +64,49 @@ def register(spark: SparkSession) -> None:
         spark.udtf.register(name, made)
 
 
-def capitalised(chunks: DataFrame, min_length: int = 6) -> DataFrame:
+def _lists(texts: pa.Array, found, surface: bool) -> pa.Array:
+    """A list for each text of a batch: `found` gives (start, end) of the spans of a text."""
+    texts = texts.to_pylist()
+    held = [list(found(t)) if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, held)])
+    flat = [pa.array([x[k] for spans in held for x in spans], pa.int32()) for k in (0, 1)]
+    names = ["start", "end"]
+    if surface:
+        names, flat = [*names, "surface"], [*flat, pa.array([t[a:b] for t, spans in zip(texts, held) for a, b in spans], pa.string())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names))
+
+
+def _column(text: str, found, surface: bool) -> Column:
+    """Lists of spans of a text column, one call a batch: a table function is called, and its rows are made Arrow, text by text."""
+    kind = "array<struct<start:int,end:int,surface:string>>" if surface else "array<struct<start:int,end:int>>"
+
+    @arrow_udf(returnType=kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists(texts, found, surface)
+
+    return run(F.col(text))
+
+
+def capitalised(chunks: DataFrame, min_length: int = 6, surface: bool = True) -> DataFrame:
     """chunks(.., text) with start, end, surface: a row a run of capitalised words of at least `min_length` characters."""
-    return chunks.lateralJoin(CapitalisedSpans(F.col("text").outer())).filter(F.length("surface") >= min_length)
+
+    def found(text):
+        for m in _NAME.finditer(text):
+            end = m.start() + len(m[0].rstrip())
+            if end - m.start() >= min_length:
+                yield m.start(), end
+
+    return chunks.select("*", F.inline(_column("text", found, surface)))
+
+
+def matches(chunks: DataFrame, pattern: str, max_length: int | None = None) -> DataFrame:
+    """chunks(.., text) with start, end: a row a match of a pattern that is not empty and has at most `max_length` characters."""
+    held = re.compile(pattern)
+
+    def found(text):
+        return [s for s in (m.span() for m in held.finditer(text)) if s[0] < s[1] and (max_length is None or s[1] - s[0] <= max_length)]
+
+    return chunks.select("*", F.inline(_column("text", found, False)))
 
 
 def located(chunks: DataFrame, surfaces: str) -> DataFrame:
