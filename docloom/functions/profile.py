@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +46,22 @@ def profile(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     raw = F.col(text)
     body = F.regexp_replace(raw, "(?i)" + fixed.STAMP, " ")
-    prose = F.regexp_replace(F.regexp_replace(body, fixed.URL, " "), fixed.EMAIL, " ")
+    # A pattern is tried only where a text holds what each of its matches does.
+    without = lambda x, pattern, *marks: F.when(reduce(or_, [x.contains(m) for m in marks]), F.regexp_replace(x, pattern, " ")).otherwise(x)
     spread = lambda words: F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    step = docs.withColumn("_body", body).withColumn("_words", F.lower(F.concat(spread(F.regexp_extract_all(prose, F.lit(f"({fixed.WORD})"), F.lit(1))))))
-    step = step.withColumn("_types", spread(F.array_distinct(F.regexp_extract_all("_words", F.lit(r"(\S+)"), F.lit(1)))))
+    step = docs.withColumn("_body", body).withColumn("_prose", without(F.col("_body"), fixed.URL, "http", "www."))
+    step = step.withColumn("_found", F.regexp_extract_all(without(F.col("_prose"), fixed.EMAIL, "@"), F.lit(fixed.WORD), F.lit(0)))
+    step = step.withColumn("_n", F.size("_found").cast("long")).withColumn("_words", F.lower(F.array_join("_found", " ")))
+    step = step.withColumn("_kinds", F.when(F.col("_n") > 0, F.array_distinct(F.split("_words", " "))).otherwise(F.array().cast("array<string>")))
+    step = step.withColumns({"_k": F.size("_kinds").cast("long"), "_types": spread(F.col("_kinds")), "_words": F.concat(F.lit(" "), F.replace("_words", F.lit(" "), F.lit("  ")), F.lit(" "))})
     step = step.withColumn("_solid", F.length(F.regexp_replace("_body", r"(?U)\s+", ""))).withColumn("_letters", F.length(F.regexp_replace("_body", r"\P{L}+", "")))
     words, types = F.col("_words"), F.col("_types")
     some = lambda xs, pattern: F.regexp_count(xs, F.lit(f" {pattern} ")).cast("long")
-    n, k = some(words, r"\S+"), some(types, r"\S+")
+    n, k = F.col("_n"), F.col("_k")  # counted once: what stands in a branch is worked out for each
     no_vowel = f"(?!{_listed(fixed.VOWELLESS_WORDS)} )[^aeiouy ]{{3,}}"
     # A line is what is left of one between white space at its ends.
-    lines = F.regexp_count("_body", F.lit(r"(?m)^[^\n]*\S[^\n]*$")).cast("long")
+    step = step.withColumn("_lines", F.regexp_count("_body", F.lit(r"(?m)^[^\n]*\S[^\n]*$")).cast("long"))
+    lines = F.col("_lines")
     in_lines = F.length(F.regexp_replace("_body", r"\r?\n", "")) - F.length(F.regexp_replace(F.regexp_replace("_body", r"(?m)^[^\n]*\S[^\n]*$", ""), r"\r?\n", ""))
     metrics = {
         "n_chars": F.length(raw).cast("long"),
@@ -79,7 +87,7 @@ def profile(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_bates_stamps": _count(raw, fixed.STAMP, True),
     }
     present = {c: F.when(raw.isNotNull(), e) for c, e in metrics.items()}
-    return step.withColumns(present).drop("_body", "_words", "_types", "_solid", "_letters")
+    return step.withColumns(present).drop("_body", "_prose", "_found", "_n", "_words", "_kinds", "_k", "_types", "_solid", "_letters", "_lines")
 
 
 def ocr_quality() -> Column:
