@@ -13,6 +13,10 @@ measured in Python.
 Blocks in which all grams are common (names of few syllables) would meet more often than they have pairs. Their strings are dealt
 to cells of bounded size instead, and a cell compares its pairs by the counts of their characters, whose differences are never
 above the indel distance; what is left is measured by bit-parallel rows, many pairs at a time.
+
+Where only the most similar partner of a string is asked for, large blocks do not meet by grams at all: the strings of one
+side are walked as tries, many strings of the other side at once, and a branch is left as soon as its beginning alone costs too
+many edits. Most strings have a partner within a part of the edits; only those that have none go on to all of them.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ PAD = "\x01"
 _SLACK = 1e-9
 #: Strings of one side of a cell, pairs that are held at once in it, and pairs of a cell that cost as much as one meeting by a gram.
 CELL, TILE, PAIRS_A_MEETING = 2048, 1 << 20, 16
+#: Strings of a cell that walk tries, strings in the tries of a cell, and walks that go on at once.
+WALKERS, LEAVES, FRONT = 1 << 16, 1 << 17, 1 << 16
+#: Parts of the edits that are allowed, one after the other, to strings that have no partner yet.
+STAGES = (0.25, 0.5, 0.75, 1.0)
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -165,9 +173,144 @@ def cell_pairs(a: list[str], b: list[str], threshold: float, alone: bool, best:
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.array([], int), np.array([], int), np.array([]))
 
 
-def _in_cells(left: DataFrame, right: DataFrame, sizes: DataFrame, block: list[str], threshold: float, alone: bool, best: bool) -> DataFrame:
-    """block, a, b, ratio of blocks sizes(block.., na, nb): each string of one side goes to the cells of all strings of the other."""
-    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+class _Trie:
+    """Different texts of one length, ascending: the nodes of each depth in order, with their letters and where their children begin."""
+
+    def __init__(self, texts: list[str], letters: np.ndarray):
+        raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), len(texts[0]))
+        at = np.minimum(np.searchsorted(letters, raw), len(letters) - 1).astype(np.int32)
+        code = np.where(letters[at] == raw, at, np.int32(len(letters)))
+        new = np.ones(raw.shape, bool)
+        new[1:] = np.logical_or.accumulate(raw[1:] != raw[:-1], axis=1)
+        self.code, self.first = [], []
+        held = np.zeros(1, np.int64)
+        for depth in range(raw.shape[1]):
+            starts = np.flatnonzero(new[:, depth])
+            self.first.append(np.r_[np.searchsorted(starts, held), len(starts)].astype(np.int32))
+            self.code.append(code[starts, depth])
+            held = starts
+
+
+def _walk(trie: _Trie, places: np.ndarray, who: np.ndarray, la: int, lb: int, most: int):
+    """(parts of (walker, text of the trie, edits), steps): the texts of lb characters within `most` edits of the walkers `who` of la characters.
+
+    places[walker, letter] are the places of a letter, as bits. With as many characters to come on both sides, those of the
+    walker so far that have no partner cost an edit each, and as many more as the texts differ in length.
+    """
+    wide, flat, shift = places.shape[1], places.reshape(-1), lb - la
+    found, steps = [], 0
+    todo = [(0, x.astype(np.int32), np.zeros(len(x), np.int32), np.full(len(x), 0xFFFFFFFFFFFFFFFF, np.uint64)) for x in (who[lo : lo + FRONT // 4] for lo in range(0, len(who), FRONT // 4))]
+    while todo:
+        depth, w, node, row = todo.pop()
+        while len(w) and depth < lb:
+            low = trie.first[depth][node]
+            n = trie.first[depth][node + 1] - low
+            if (n != 1).any():
+                place, number = _numbered(n)
+                w, row, node = w[place], row[place], low[place] + number
+            else:
+                node = low
+            steps += len(w)
+            held = flat[w.astype(np.int64) * wide + trie.code[depth][node]]
+            hit = row & held
+            row = (row + hit) | (row - hit)
+            depth += 1
+            so_far = np.uint64((1 << min(max(depth - shift, 0), la)) - 1)
+            near = np.flatnonzero(2 * np.bitwise_count(row & so_far).astype(np.int32) + shift <= most)
+            w, node, row = w[near], node[near], row[near]
+            if len(w) > FRONT and depth < lb:
+                half = FRONT // 2
+                todo += [(depth, w[lo : lo + half], node[lo : lo + half], row[lo : lo + half]) for lo in range(half, len(w), half)]
+                w, node, row = w[:half], node[:half], row[:half]
+        found.append((w, node, 2 * np.bitwise_count(row & np.uint64((1 << la) - 1)).astype(np.int64) + shift))
+    return found, steps
+
+
+def _numbered(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts (2, 0, 3): the place (0, 0, 2, 2, 2) and the number within it (0, 1, 0, 1, 2)."""
+    place = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    return place, np.arange(len(place), dtype=np.int32) - (np.cumsum(counts) - counts)[place].astype(np.int32)
+
+
+class _Forest:
+    """The texts b without an ending that all have, in tries by length, and walkers a without it; `back`: all from their ends."""
+
+    def __init__(self, a: list[str], b: list[str], ending: int, threshold: float, back: bool):
+        turn = (lambda x: x[: len(x) - ending][::-1]) if back else (lambda x: x[: len(x) - ending])
+        self.a, self.texts, self.ending, self.threshold = [turn(x) for x in a], [turn(x) for x in b], ending, threshold
+        self.letters = np.array(sorted({ord(c) for x in self.a for c in x}) or [0], np.uint32)
+        self.by_length: dict[int, list[int]] = {}
+        for i in sorted(range(len(b)), key=self.texts.__getitem__):
+            self.by_length.setdefault(len(self.texts[i]), []).append(i)
+        self.tries: dict[int, _Trie] = {}
+
+    def near(self, who: np.ndarray, la: int, part: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(ia, ib, ratios, steps): the texts within a part of the edits of the walkers `who`, which have la characters here."""
+        places = np.zeros((len(who), len(self.letters) + 1), np.uint64)  # the last letter is one that no walker has
+        if la:
+            raw = np.frombuffer("".join(self.a[i] for i in who).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(who), la)
+            for j in range(la):
+                places[np.arange(len(who)), np.searchsorted(self.letters, raw[:, j])] |= np.uint64(1 << j)
+        parts, steps = [(np.zeros(0, np.int64),) * 3], 0
+        for lb, index in self.by_length.items():
+            total = la + lb + 2 * self.ending
+            most = int(np.floor(total * part * ((100.0 - self.threshold) / 100.0) + _SLACK))
+            if abs(lb - la) > most:
+                continue
+            if lb not in self.tries:
+                self.tries[lb] = _Trie([self.texts[i] for i in index], self.letters)
+            found, taken = _walk(self.tries[lb], places, np.arange(len(who)), la, lb, most)
+            steps += taken
+            for w, leaf, edits in found:
+                parts.append((who[w], np.array(index, np.int64)[leaf], 100.0 * (total - edits) / total))
+        ia, ib, ratios = (np.concatenate(x) for x in zip(*parts))
+        return ia, ib, ratios, steps
+
+
+def best_pairs(a: list[str], b: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cell_pairs with `best` and without `alone`, by tries; strings of a that b holds, too, are left out, as they are their own best."""
+    held = set(b)
+    ends = [x[::-1] for x in (*a, *b)]
+    least, largest = min(ends, default=""), max(ends, default="")
+    ending = next((i for i, (x, y) in enumerate(zip(least, largest)) if x != y), min(len(least), len(largest)))
+    mine = np.array([i for i, x in enumerate(a) if x not in held], np.int64)
+    lengths = np.array([len(a[i]) - ending for i in mine], np.int64)
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def keep(ia, ib, ratios):
+        order = np.lexsort((ib, -ratios, ia))
+        first = order[np.unique(ia[order], return_index=True)[1]]
+        parts.append((ia[first], ib[first], ratios[first]))
+
+    long, short = mine[lengths > 64], mine[lengths <= 64]
+    if len(long):
+        ia, ib, ratios = cell_pairs([a[i] for i in long], b, threshold, False, True)
+        keep(long[ia], ib, ratios)
+    if len(short) and b:
+        lengths = lengths[lengths <= 64]
+        local = [a[i] for i in short]
+        forests = [_Forest(local, b, ending, threshold, back) for back in (False, True)]
+        some = np.unique(np.linspace(0, len(short) - 1, 32).astype(np.int64))
+        steps = [sum(f.near(some[lengths[some] == la], int(la), 1.0)[3] for la in np.unique(lengths[some])) for f in forests]
+        forest = forests[int(steps[1] < steps[0])]
+        height = max(1, TILE * 4 // (len(forest.letters) + 1))
+        for la in np.unique(lengths).tolist():
+            same = np.flatnonzero(lengths == la)
+            for todo in (same[lo : lo + height] for lo in range(0, len(same), height)):
+                for part in STAGES:
+                    ia, ib, ratios, _ = forest.near(todo, la, part)
+                    near = ratios >= (threshold if part == 1 else 100.0 - part * (100.0 - threshold))
+                    keep(short[ia[near]], ib[near], ratios[near])
+                    todo = np.setdiff1d(todo, ia[near])
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _in_cells(left: DataFrame, right: DataFrame, sizes: DataFrame, block: list[str], pairs, of_left: int, of_right: int) -> DataFrame:
+    """block, a, b, ratio of blocks sizes(block.., na, nb): each string of one side goes to the cells of all strings of the other.
+
+    `pairs` compares a cell's sorted lists; `of_left` and `of_right` are the strings of a side of a cell.
+    """
+    cells = lambda n: F.ceil(F.col(n) / {"na": of_left, "nb": of_right}[n]).cast("int")
     deal = lambda rows, mine, other, i, j, side: (
         rows.join(sizes, block).withColumn(i, F.pmod(F.xxhash64("s"), cells(mine)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), cells(other) - 1))).select(*block, "_i", "_j", F.lit(side).alias("_side"), "s")
     )
@@ -177,7 +320,7 @@ def _in_cells(left: DataFrame, right: DataFrame, sizes: DataFrame, block: list[s
     def compare(table: pa.Table) -> pa.Table:
         side, s = table["_side"].to_numpy(), table["s"].to_pylist()
         a, b = (sorted(x for x, k in zip(s, side) if k == which) for which in (0, 1))
-        ia, ib, ratios = cell_pairs(a, b, threshold, alone, best)
+        ia, ib, ratios = pairs(a, b)
         keys = [pa.repeat(table[c][0], len(ia)) for c in block]
         return pa.table([*keys, pa.array([a[i] for i in ia], pa.string()), pa.array([b[i] for i in ib], pa.string()), pa.array(ratios, pa.float64())], names=[*block, "a", "b", "ratio"])
 
@@ -203,24 +346,30 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
     texts = lambda rows: rows.select(*[F.col(c).alias(k) for c, k in zip(named, block)], "s").filter("s IS NOT NULL").distinct()
     mine = texts(left)
     other = mine if alone else texts(right)
+    whole, cells = (mine, other), None
+    size = lambda rows, k: rows.groupBy(*block).agg(F.count("*").alias(k))
+    if best and not alone:
+        large = size(mine, "na").join(size(other, "nb"), block).filter(F.col("na").cast("double") * F.col("nb") > CELL * CELL)
+        large = F.broadcast(cut_lineage(large))  # at most a row for 2 * CELL strings
+        cells = _in_cells(mine, other, large, block, lambda x, y: best_pairs(x, y, threshold), WALKERS, LEAVES)
+        mine, other = (x.join(large, block, "left_anti") for x in whole)
     a, b = _grams(mine, block, q), _grams(other, block, q)
     counts = (a if alone else a.unionByName(b)).groupBy(*block, "g").agg(F.count("*").alias("k"))
     ga = _prefixes(a, counts, block, threshold, q).select(*block, "g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     gb = _prefixes(b, counts, block, threshold, q).select(*block, "g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     held = lambda rows, k: rows.groupBy(*block, "g").agg(F.count("*").cast("double").alias(k))
-    size = lambda rows, k: rows.groupBy(*block).agg(F.count("*").alias(k))
     meetings = held(ga, "x").join(held(gb, "y"), [*block, "g"]).groupBy(*block).agg(F.sum(F.col("x") * F.col("y")).alias("met"))
     sizes = size(mine, "na").join(size(other, "nb"), block).join(meetings, block)
     crowded = cut_lineage(sizes.filter(F.col("met") * PAIRS_A_MEETING > F.col("na").cast("double") * F.col("nb") + CELL * CELL).select(*block, "na", "nb"))
-    cells = _in_cells(mine, other, crowded, block, threshold, alone, best)
+    crossed = _in_cells(mine, other, crowded, block, lambda x, y: cell_pairs(x, y, threshold, alone, best), CELL, CELL)
     ga, gb = (x.join(crowded, block, "left_anti") for x in (ga, gb))
     edits = most_edits(F.col("na"), F.col("nb"), threshold)
     near = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.abs(F.col("pa") - F.col("pb")) <= edits)
     met = ga.join(gb, [*block, "g"]).filter(near & ((F.col("a") < F.col("b")) if alone else (F.col("a") != F.col("b")))).select(*block, "a", "b").distinct()
     found = met.filter(may_reach(F.col("a"), F.col("b"), threshold)).withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= threshold)
-    found = found.unionByName(cells)
+    found = found.unionByName(crossed) if cells is None else found.unionByName(crossed).unionByName(cells)
     named_again = dict(zip(block, named))
     if alone:
         return found.withColumnsRenamed(named_again)
-    same = mine.join(other, [*block, "s"]).select(*block, F.col("s").alias("a"), F.col("s").alias("b"), F.lit(100.0).alias("ratio"))
+    same = whole[0].join(whole[1], [*block, "s"]).select(*block, F.col("s").alias("a"), F.col("s").alias("b"), F.lit(100.0).alias("ratio"))
     return found.unionByName(same).withColumnsRenamed(named_again)

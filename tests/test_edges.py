@@ -186,6 +186,30 @@ def test_crowded_blocks_in_cells_equal_all_pairs(spark, monkeypatch):
     assert {(texts[0][i], texts[1][j], x) for i, j, x in zip(ia, ib, ratios)} == {(a, b, ratio(a, b)) for a in texts[0] for b in texts[1] if a != b and ratio(a, b) >= 88}
 
 
+def test_best_partners_by_tries_equal_all_pairs(monkeypatch):
+    """Names of few syllables with a common ending, letters beyond one plane, long and empty texts; walks are dealt out and bounded."""
+    ratio, r = similarity_join.indel_ratio, random.Random(11)
+    for threshold, syllables, ending in ((88, ["ba", "de", "lo", "ra"], " smith"), (75, list("abc"), ""), (94, ["ba", "é", "日本", "\U0001f600"], "x"), (88.5, ["ba", "de"], "")):
+        monkeypatch.setattr(similarity_join, "FRONT", r.choice([8, 1 << 16]))
+        a, b = (sorted({"".join(r.choice(syllables) for _ in range(r.randint(0, r.choice([5, 14, 60])))) + ending for _ in range(120)}) for _ in range(2))
+        b = sorted({*b, *(x[:2] + "q" + x[2:] for x in a[::3])})
+        want = {x: min((-ratio(x, y), y) for y in b) for x in a if x not in b}
+        ia, ib, ratios = similarity_join.best_pairs(a, b, threshold)
+        assert {a[i]: (-x, b[j]) for i, j, x in zip(ia, ib, ratios)} == {x: y for x, y in want.items() if -y[0] >= threshold}
+
+
+def test_best_partners_take_far_fewer_steps_than_pairs(monkeypatch):
+    """40,000 names of six syllables; before, every two names of a block met in some cell."""
+    steps, walk = [], similarity_join._walk
+    monkeypatch.setattr(similarity_join, "_walk", lambda *x: steps.append(walk(*x)) or steps[-1])
+    syllables = "ba de lo mi ra to ve su ni ko".split()
+    b = sorted("".join(syllables[int(c)] for c in str(100_000 + 7 * i)) + " smith" for i in range(40_000))
+    a = sorted(x[:7] + "l" + x[8:] for x in b[::40])
+    ia, ib, ratios = similarity_join.best_pairs(a, b, 88)
+    assert len(ia) > 900 and all(x == similarity_join.indel_ratio(a[i], b[j]) for i, j, x in zip(ia, ib, ratios))
+    assert sum(x[1] for x in steps) * 20 < len(a) * len(b)
+
+
 def test_linked_addresses_compare_no_similar_names(spark, monkeypatch):
     """Exact and reordered names alone give addresses, so names are not compared for similarity."""
     seen = []
