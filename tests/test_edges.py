@@ -43,6 +43,33 @@ def test_co_recipients_count_documents_of_partial_copies(spark):
     assert (ac.weight, ac.n_docs, ac.doc_ids, ac.span_days) == (1, 2, "d1; d2", 3)
 
 
+def test_co_recipients_move_once_and_hot_ones_are_dealt_out(spark, monkeypatch):
+    """Rows move once by message and once by recipient; before, pairs moved three times, once for each kind of evidence."""
+    r = random.Random(4)
+    day = datetime(2012, 1, 1)
+    rows = [("s", r.choice([*"abcde", "zo\u00e9", None]), f"m{r.randrange(25)}", r.choice(["d1", "d2", "d3", " ", None]), i % 4, r.choice([True, True, False, None]), r.choice([None, day + timedelta(days=i % 9)]), r.choice([*"xyzw", None])) for i in range(250)]
+    plan = edges.co_recipients(letters(spark, rows))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 2
+    want: dict = {}
+    best: dict = {}
+    for _, dst, m, doc, *_ in rows:
+        best.setdefault((m, dst), []).append(doc)
+    for m in {m for m, _ in best}:
+        docs = {x for k, v in best.items() if k[0] == m for x in v if x and x.strip()}
+        names = sorted(d for k, d in best if k == m and d)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                w = want.setdefault((a, b), [0, set()])
+                w[0] += 1
+                w[1] |= docs
+    got = [tuple(x) for x in plan.collect()]
+    assert {(x[0], x[1]): (x[4], x[5], x[10]) for x in got} == {k: (n, len(d), "; ".join(sorted(d))) for k, (n, d) in want.items()}
+    monkeypatch.setattr(edges, "HOT", 3)
+    again = edges.co_recipients(letters(spark, rows)).collect()
+    assert sorted(repr(tuple(x)) for x in again) == sorted(repr(x) for x in got)
+
+
 def test_header_and_noisy_mentions_make_no_edge(spark):
     schema = "chunk_id string, doc_id string, entity_id string, in_header boolean"
     rows = [(f"c{i}", f"D{i}", e, True) for i in range(5) for e in ("E1", "E2")]
